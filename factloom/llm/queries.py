@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factloom.llm import bpe, canonical
+from factloom.llm import bpe, canonical, names
 
-QUERIES = {**canonical.QUERIES, **bpe.QUERIES}
+QUERIES = {**canonical.QUERIES, **names.QUERIES, **bpe.QUERIES}
 ORACLE = {**canonical.ORACLE}
