@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factloom.llm import bpe, canonical, names
+from factloom.llm import bpe, canonical, names, pii
 
-QUERIES = {**canonical.QUERIES, **names.QUERIES, **bpe.QUERIES}
+QUERIES = {**canonical.QUERIES, **names.QUERIES, **pii.QUERIES, **bpe.QUERIES}
 ORACLE = {**canonical.ORACLE}
