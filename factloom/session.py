@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -48,3 +49,8 @@ def spread(df: DataFrame) -> DataFrame:
     """df over at least as many partitions as there are cores; a table of few small files is dealt out, larger ones are left alone."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def ship(spark: SparkSession, what: object) -> Broadcast:
+    """A broadcast of an object with its class, for executors that don't have this package; read it with pickle.loads(b.value)."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(what))
