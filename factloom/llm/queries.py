@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factloom.llm import bpe, canonical, names, pii, sentences
+from factloom.llm import bpe, canonical, leakage, names, pii, sentences
 
-QUERIES = {**canonical.QUERIES, **names.QUERIES, **pii.QUERIES, **bpe.QUERIES, **sentences.QUERIES}
+QUERIES = {**canonical.QUERIES, **names.QUERIES, **pii.QUERIES, **bpe.QUERIES, **leakage.QUERIES, **sentences.QUERIES}
 ORACLE = {**canonical.ORACLE}
