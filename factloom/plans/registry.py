@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factloom.plans import problems
+from factloom.plans import facts, graph, problems
 
-QUERIES = {**problems.QUERIES}
-ORACLE: dict[str, str] = {}
+QUERIES = {**problems.QUERIES, **facts.QUERIES, **graph.QUERIES}
+ORACLE: dict[str, str] = {**facts.ORACLE, **graph.ORACLE}
