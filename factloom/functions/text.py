@@ -54,15 +54,20 @@ def scoped_key(instance: Column | str, key: Column | str) -> Column:
     return F.concat_ws("|", instance, key)
 
 
+def _list(words_: list[str]) -> Column:
+    """A constant array, as one literal."""
+    return F.split(F.lit("|".join(words_)), r"\|")
+
+
 def mentions(question: Column) -> Column:
     """The names a question uses, lower case, in order, and the user's key if it speaks of itself."""
     runs = F.regexp_extract_all(question, F.lit(r"(\b[A-Z][a-z]{2,}(?:\s+[A-Z][a-z]+)*)"), F.lit(1))
     low = F.transform(runs, lambda r: F.lower(r))
-    starters, dropped = F.array(*map(F.lit, vocab.STARTERS)), F.array(*map(F.lit, [*vocab.CALENDAR, *vocab.SECOND_PERSON]))
+    starters, dropped = _list(vocab.STARTERS), _list([*vocab.CALENDAR, *vocab.SECOND_PERSON])
     first = lambda r: F.regexp_extract(r, r"^(\S+)", 1)
     bare = F.transform(low, lambda r: F.when(F.array_contains(starters, first(r)), F.regexp_replace(F.regexp_replace(r, r"^\S+\s*", ""), r"\s+", " ")).otherwise(r))
     kept = F.array_distinct(F.filter(bare, lambda r: (r != "") & ~F.array_contains(dropped, r)))
-    speaks = F.arrays_overlap(words(question), F.array(*map(F.lit, vocab.SELF_CUES)))
+    speaks = F.arrays_overlap(words(question), _list(vocab.SELF_CUES))
     return F.when(speaks, F.concat(kept, F.array(F.lit(vocab.SELF_KEY)))).otherwise(kept)
 
 

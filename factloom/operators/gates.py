@@ -14,6 +14,7 @@ from factloom.functions.text import fold, mentions, question_predicates
 from factloom.functions.windows import overlaps, window_label, with_window
 from factloom.operators.graph import adjacent, connected, incidence
 from factloom.operators.merge import first_wins
+from factloom.session import written
 
 
 def named(questions: DataFrame) -> DataFrame:
@@ -86,7 +87,9 @@ def window_hits(keys: DataFrame, facts: DataFrame) -> DataFrame:
 def cascade(questions: DataFrame, entities: DataFrame, facts: DataFrame, aliases: DataFrame) -> DataFrame:
     """instance_id, passed, reason, missing, resolved, round_trips of each question."""
     q = with_window(questions.select("instance_id", "question", "asked_at")).withColumn("wanted", question_predicates(F.coalesce("question", F.lit("")))).drop("question", "asked_at")
-    g1 = entity_gate(questions, entities, facts, aliases)
+    # Facts and the first gate feed every later one: written once, read by each.
+    facts = written(facts.select("vid", "instance_id", "asserted_at", "subject_key", "predicate", "value_text", "value_type", "snippet", "valid_from", "valid_to"), "gates")
+    g1 = written(entity_gate(questions, entities, facts, aliases), "gates")
     keys = g1.where("passed").select("instance_id", F.posexplode("resolved")).toDF("instance_id", "pos", "key").join(q, "instance_id")
     k = keys.join(held(facts), ["instance_id", "key"], "left").join(window_hits(keys, facts), ["instance_id", "key"], "left")
     ok2 = predicate_passes(F.col("wanted"), F.col("predicates"), F.col("key"))

@@ -14,6 +14,7 @@ from factloom.functions.text import digits_only, entity_key, normalized, staged,
 from factloom.functions.windows import DAY
 from factloom.operators.history import neighbours
 from factloom.operators.merge import first_wins
+from factloom.session import written
 
 
 def valid_from(df: DataFrame, hint: str, said_at: str) -> Column:
@@ -161,7 +162,7 @@ def alias_closure(aliases: DataFrame, steps: int = 3) -> DataFrame:
 
     A key with several aliases follows the largest; links lead from shorter to longer names, so there is no cycle.
     """
-    a = aliases.groupBy("instance_id", "alias_key").agg(F.max("canonical_key").alias("canonical_key"))
+    a = written(aliases.groupBy("instance_id", "alias_key").agg(F.max("canonical_key").alias("canonical_key")), "aliases")  # read by every step
     for _ in range(steps):
         onward = a.select("instance_id", F.col("alias_key").alias("canonical_key"), F.col("canonical_key").alias("_to"))
         a = a.join(onward, ["instance_id", "canonical_key"], "left").select("instance_id", "alias_key", F.coalesce("_to", "canonical_key").alias("canonical_key"))
