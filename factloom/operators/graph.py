@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import vocab
@@ -192,3 +192,14 @@ def connected(anchors: DataFrame, adj: DataFrame) -> DataFrame:
     mid = anchors.join(adj.select("instance_id", "a", F.col("b").alias("m")), ["instance_id", "a"])
     far = mid.join(adj.select("instance_id", F.col("a").alias("m"), "b"), ["instance_id", "m", "b"]).select("instance_id", "a", "b", F.lit(4).alias("hops"))
     return direct.unionByName(far).groupBy("instance_id", "a", "b").agg(F.min("hops").alias("hops"))
+
+
+def fair_limit(paths: DataFrame, signature: str, order: str, limit: int = vocab.PATH_LIMIT) -> DataFrame:
+    """At most limit paths, taken in turn from each signature: the first of each, then the second of each, and so on.
+
+    Only the first `limit` of a signature can be taken, so each is cut to that within parts of its order before parts meet.
+    """
+    p = paths.withColumn("_b", F.pmod(F.xxhash64(order), F.lit(64)))
+    for keys in ([signature, "_b"], [signature]):
+        p = p.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).where(F.col("_n") <= limit)
+    return p.orderBy("_n", signature, order).limit(limit).drop("_n", "_b")
