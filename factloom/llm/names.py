@@ -30,7 +30,7 @@ NICKNAMES = {
     "margaret": ["maggie", "peggy", "meg"], "gabriela": ["gabi", "gaby"], "meiling": ["mei"], "isabella": ["izzy", "bella"], "katherine": ["kate", "kitty", "kathy"],
     "rajendra": ["raj"], "akhilesh": ["akhil"], "priyanka": ["priya"], "jose": ["pepe"], "monica": ["moni"], "veronique": ["vero"], "xaviera": ["xavi"],
     "henrietta": ["etta", "hettie"], "alexander": ["alex", "sandy"], "penelope": ["penny", "nell"], "leopold": ["leo", "poldi"],
-    "theodora": ["thea", "dora", "teddy"], "dorothea": ["dorrie", "dora", "thea"], "robert": ["rob", "bob"], "william": ["bill", "liam", "will"],
+    "theodora": ["thea", "dora", "teddy", "dorrie"], "dorothea": ["dorrie", "dora", "thea"], "robert": ["rob", "bob"], "william": ["bill", "liam", "will"],
     "valentina": ["val", "tina"], "beatrice": ["bea", "trixie"], "octavia": ["tavi"], "edward": ["ned", "ted", "teddy", "ed"],
     "elizabeth": ["liz", "beth", "betty"], "richard": ["dick", "rick"], "james": ["jim", "jimmy"], "thomas": ["tom"], "michael": ["mike"],
 }
