@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions.text import staged, strip
+from factloom.session import written
 
 # Month names in English and German, by number.
 MONTHS = {
@@ -197,7 +198,8 @@ def session_instants(sessions: DataFrame) -> DataFrame:
     """vid, key, client_tz, epoch_s, matches of each session; epoch_s null where ts_text is unusable."""
     s = sessions.select("vid", "key", "client_tz", "client_locale", "ts_text")
     month_first = F.coalesce(F.lower(F.regexp_replace("client_locale", "_", "-")) == "en-us", F.lit(False))
-    s = _plan(parsed(s, "ts_text", month_first, partial=False), "client_tz").select("vid", "key", "client_tz", "fixed", "local", "zone")
+    # Parsed once: the intervals are made for the zones and years that occur, which reads the parsed rows a second time.
+    s = written(_plan(parsed(s, "ts_text", month_first, partial=False), "client_tz").select("vid", "key", "client_tz", "fixed", "local", "zone"), "instants")
     return localised(s, "local", "zone").select("vid", "key", "client_tz", F.coalesce("fixed", "epoch_s").alias("epoch_s"), "matches")
 
 
@@ -208,7 +210,7 @@ def hint_instants(facts: DataFrame, instants: DataFrame) -> DataFrame:
     """
     f = facts.select("extract_id", "session_id", "valid_from_hint").where(F.col("valid_from_hint").rlike(r"\d"))
     f = parsed(f, "valid_from_hint", F.lit(True), partial=True).withColumns({"yearless": F.col("y").isNull() & F.col("mo").isNotNull() & F.col("d").isNotNull()}).drop("valid_from_hint")
-    f = f.where(F.col("epoch").isNotNull() | F.col("mo").isNotNull())
+    f = written(f.where(F.col("epoch").isNotNull() | F.col("mo").isNotNull()), "instants")  # read by each of the three ways below
     needs = F.col("epoch").isNull() & (F.col("yearless") | (F.col("clock") & F.col("off").isNull()))
     own = _plan(f.where(~needs).withColumn("_tz", F.lit("UTC")), "_tz").select("extract_id", F.coalesce("fixed", "local").alias("epoch_s"), F.lit(None).cast("int").alias("matches"))
     # One row a session even if a session row is repeated.
@@ -224,6 +226,6 @@ def hint_instants(facts: DataFrame, instants: DataFrame) -> DataFrame:
 
 def instants(sessions: DataFrame, facts: DataFrame) -> DataFrame:
     """origin, record_id, epoch_s of every usable instant."""
-    at = session_instants(sessions)
+    at = written(session_instants(sessions), "instants")
     both = at.select(F.lit("session").alias("origin"), F.col("vid").alias("record_id"), "epoch_s").unionByName(hint_instants(facts, at).select(F.lit("hint").alias("origin"), F.col("extract_id").alias("record_id"), "epoch_s"))
     return both.where(F.col("epoch_s").isNotNull())
