@@ -36,12 +36,19 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def passing(spark: SparkSession, path: str) -> None:
+    """Has a path deleted when the driver ends; until then every lazy result that reads it stays valid."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+
+
 def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """df, materialised as a table in the shared folder: the lineage is cut and survives lost executors."""
     spark = df.sparkSession
     path = scratch(spark, name)
     writer = df.write.mode("overwrite")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    passing(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factloom.functions.text import fold
-from factloom.session import scratch
+from factloom.session import passing, scratch
 
 LATEST = 2**62
 DROPPED = "delivery_id bigint"
@@ -98,10 +98,13 @@ def dropped_deliveries(spark: SparkSession, path: str, horizon_s: int = 7 * 8640
 
     With root given, a second call goes on where the first ended.
     """
+    own = root is None
     root = root or scratch(spark, "delivery")
     schema = spark.read.parquet(path).select("delivery_id", "received_at", "run_id", "arm", "instance_id").schema
     query = stream(spark, path, schema, files_per_batch).writeStream.foreachBatch(absorb(root, horizon_s)).option("checkpointLocation", f"{root}/offsets").trigger(availableNow=True).start()
     query.awaitTermination()
+    if own:
+        passing(spark, root)
     done = _commits(spark, root)
     if not done:
         return spark.createDataFrame([], DROPPED)
