@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,36 +80,41 @@ def evidence(answers: DataFrame, facts: DataFrame) -> DataFrame:
     return c.join(f, ["instance_id", "fact_id"]).join(r, ["instance_id", "fact_id"], "left").select("id", "pos", "fact_id", "predicate", "value", "session_id", "turn_idx", "role", "valid_from", "valid_to", F.coalesce("replaced", F.lit("")).alias("supersedes"))
 
 
+def _packed(vectors: DataFrame, at_once: int = 2048) -> DataFrame:
+    """ids, m: blocks of at most at_once vectors of one length, as a matrix in bytes."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for _, part in b.groupby(b["embedding"].map(len)):
+                for a in range(0, len(part), at_once):
+                    p = part.iloc[a : a + at_once]
+                    yield pd.DataFrame({"ids": [p["vec_id"].to_numpy()], "m": [np.array(p["embedding"].tolist(), np.float64).tobytes()]})
+
+    v = vectors.select("vec_id", "embedding").where("vec_id is not null and embedding is not null and size(embedding) > 0")
+    return v.mapInPandas(run, "ids array<bigint>, m binary")
+
+
 def nearest(queries: DataFrame, vectors: DataFrame, k: int = vocab.TOP_K) -> DataFrame:
     """query_id, vec_id, score, rank: the k vectors of the largest dot product with each query, ties by id.
 
-    The stated query set is packed into blocks and held against all vectors in one pass; each partition keeps its k best for
-    every query before anything is shuffled.
+    Queries and vectors are packed into blocks; every block of the stated query set is held against every block of vectors by
+    one matrix product, which keeps its k best for each query before anything else moves. Neither side is collected. Vectors of
+    another length than the query's, null and empty ones are left out; repeated vectors are each ranked.
     """
-    import numpy as np
-    import pandas as pd
-
-    qs = [(r[0], r[1]) for r in queries.collect()]  # the stated queries
-    ids = np.array([q for q, _ in qs], np.int64)
-    m = np.array([v for _, v in qs], np.float64)
-    held = vectors.sparkSession.sparkContext.broadcast((ids, m))
+    q = _packed(queries).select(F.col("ids").alias("qids"), F.col("m").alias("qm"))
+    blocks = _packed(vectors).crossJoin(q)  # blocks of a stated query set against blocks of all rows
 
-    def best(batches):
-        qid, q = held.value
-        parts = []
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            if not len(b) or not len(qid):
-                continue
-            v = np.array(b["embedding"].tolist(), np.float64)
-            vid = b["vec_id"].to_numpy()
-            s = np.round(v @ q.T, 9)
-            for j in range(len(qid)):
-                order = np.lexsort((vid, -s[:, j]))[:k]
-                parts.append(pd.DataFrame({"query_id": qid[j], "vec_id": vid[order], "score": s[order, j]}))
-        if parts:
-            p = pd.concat(parts).sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
-            yield p.groupby("query_id").head(k)
-
-    top = vectors.select("vec_id", "embedding").where("embedding is not null").mapInPandas(best, "query_id bigint, vec_id bigint, score double")
+            for ids, m, qids, qm in zip(b["ids"], b["m"], b["qids"], b["qm"], strict=True):
+                x, y = np.frombuffer(m).reshape(len(ids), -1), np.frombuffer(qm).reshape(len(qids), -1)
+                if x.shape[1] != y.shape[1]:
+                    continue
+                vid, s = np.asarray(ids, np.int64), np.round(y @ x.T, 9)
+                for j, query in enumerate(qids):
+                    order = np.lexsort((vid, -s[j]))[:k]
+                    yield pd.DataFrame({"query_id": query, "vec_id": vid[order], "score": s[j, order]})
+
+    top = blocks.mapInPandas(best, "query_id bigint, vec_id bigint, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return top.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

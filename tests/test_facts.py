@@ -143,3 +143,19 @@ def test_ranked_against_sorting(spark):
         v = sorted(b for a, b in rows if a == k)
         assert got[k] == (v[len(v) // 2], v[min(len(v) - 1, int(len(v) * 0.95))])
     assert "q" not in got
+
+
+def test_nearest_against_sorting(spark):
+    from factloom.operators.retrieval import nearest
+
+    r = random.Random(8)
+    rows = [(i, [r.choice([0.0, 0.5, 1.0]) for _ in range(4)]) for i in range(60)] + [(70, None), (71, []), (72, [1.0]), (None, [1.0] * 4)]
+    v = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").repartition(3)
+    got = {}
+    for x in nearest(v.where("vec_id % 20 = 0"), v, 5).collect():
+        got.setdefault(x.query_id, {})[x.rank] = x.vec_id
+    full = dict(rows[:60])
+    for q in (0, 20, 40):
+        best = sorted(full, key=lambda i: (-round(sum(a * b for a, b in zip(full[q], full[i], strict=True)), 9), i))[:5]
+        assert [got[q][n] for n in range(1, 6)] == best
+    assert nearest(v.where("false"), v).count() == 0
