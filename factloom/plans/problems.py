@@ -22,3 +22,14 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found}
+
+ORACLE = {
+    "p3_found": rf"""WITH u AS (SELECT subject_vid, predicate, coalesce(valid_from, asserted_at) AS s, coalesce(valid_to, 0) AS e, coalesce(lower(regexp_replace(value_text, '[\s\p{{Z}}]+', '', 'g')), chr(1)) AS v, asserted_at, received_at, log_id
+ FROM facts WHERE predicate IN (SELECT predicate FROM canon_predicates WHERE single_valued)),
+ one AS (SELECT * FROM u WHERE s IS NOT NULL QUALIFY row_number() OVER (PARTITION BY subject_vid, predicate, s ORDER BY asserted_at DESC NULLS LAST, received_at DESC, log_id DESC) = 1),
+ p AS (SELECT subject_vid, predicate, s, v, least(CASE WHEN e <> 0 THEN e END, lead(s) OVER (PARTITION BY subject_vid, predicate ORDER BY s)) AS until FROM one),
+ held AS (SELECT *, CASE WHEN lag(v) OVER w = v AND lag(until) OVER w = s THEN 0 ELSE 1 END AS fresh FROM p WHERE until IS NULL OR until > s WINDOW w AS (PARTITION BY subject_vid, predicate ORDER BY s)),
+ runs AS (SELECT *, sum(fresh) OVER (PARTITION BY subject_vid, predicate ORDER BY s) AS run FROM held)
+ SELECT subject_vid, predicate, min(s) AS valid_from, CASE WHEN bool_or(until IS NULL) THEN 0 ELSE max(until) END AS valid_to FROM runs GROUP BY subject_vid, predicate, run""",
+    "p4_found": r"""SELECT delivery_id FROM results QUALIFY row_number() OVER (PARTITION BY run_id, arm, lower(regexp_replace(instance_id, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')) ORDER BY received_at, delivery_id) > 1""",
+}

@@ -5,4 +5,4 @@ from __future__ import annotations
 from factloom.plans import evaluation, facts, graph, problems, retrieval
 
 QUERIES = {**problems.QUERIES, **facts.QUERIES, **graph.QUERIES, **retrieval.QUERIES, **evaluation.QUERIES}
-ORACLE: dict[str, str] = {**facts.ORACLE, **graph.ORACLE, **retrieval.ORACLE, **evaluation.ORACLE}
+ORACLE: dict[str, str] = {**problems.ORACLE, **facts.ORACLE, **graph.ORACLE, **retrieval.ORACLE, **evaluation.ORACLE}
