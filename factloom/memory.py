@@ -78,7 +78,7 @@ class Memory:
     def search(self, questions: DataFrame) -> DataFrame:
         """The verdict of the cascade on each question (instance_id, question, asked_at)."""
         e = self.entities()
-        return gates.cascade(questions, e, self.facts(), graph.alias_closure(graph.alias_containment(e)))
+        return gates.cascade(questions, e, self.facts(), graph.alias_closure(graph.alias_links(e)))
 
     def evidence(self, questions: DataFrame) -> DataFrame:
         """The lines a reader gets for the questions that pass."""

@@ -157,16 +157,31 @@ def alias_ratio(entities: DataFrame, least: float = 0.92) -> DataFrame:
     return p.mapInPandas(run, "instance_id string, alias_key string, canonical_key string, ratio double")
 
 
-def alias_closure(aliases: DataFrame, steps: int = 3) -> DataFrame:
-    """instance_id, alias_key, canonical_key after following up to 2**steps links.
+def alias_links(entities: DataFrame) -> DataFrame:
+    """instance_id, alias_key, canonical_key of all near-identical names: by containment or by ratio."""
+    keys = ["instance_id", "alias_key", "canonical_key"]
+    return alias_containment(entities).select(keys).unionByName(alias_ratio(entities).select(keys)).distinct()
 
-    A key with several aliases follows the largest; links lead from shorter to longer names, so there is no cycle.
+
+def alias_closure(aliases: DataFrame) -> DataFrame:
+    """instance_id, alias_key, canonical_key after following all links.
+
+    A key with several aliases follows the largest. Links lead from shorter to longer names, but a key of several names may close a
+    circle: then the first key met again counts. Every round doubles the links a walk has followed, until no walk can go on; a walk
+    is no longer than the names of one instance differ in length.
     """
-    a = written(aliases.groupBy("instance_id", "alias_key").agg(F.max("canonical_key").alias("canonical_key")), "aliases")  # read by every step
-    for _ in range(steps):
-        onward = a.select("instance_id", F.col("alias_key").alias("canonical_key"), F.col("canonical_key").alias("_to"))
-        a = a.join(onward, ["instance_id", "canonical_key"], "left").select("instance_id", "alias_key", F.coalesce("_to", "canonical_key").alias("canonical_key"))
-    return a
+    a = aliases.groupBy("instance_id", "alias_key").agg(F.max("canonical_key").alias("canonical_key"))
+    a = written(a.select("instance_id", "alias_key", "canonical_key", F.array("alias_key", "canonical_key").alias("walk"), (F.col("alias_key") == F.col("canonical_key")).alias("ended")), "aliases")
+    while True:
+        onward = a.select("instance_id", F.col("alias_key").alias("canonical_key"), F.col("walk").alias("_on"))
+        go = a.join(onward, ["instance_id", "canonical_key"], "left").withColumn("_go", ~F.col("ended") & F.col("_on").isNotNull())
+        go = go.withColumn("walk", F.when(F.col("_go"), F.concat("walk", F.slice("_on", 2, F.size("_on") - 1))).otherwise(F.col("walk")))
+        again = F.filter("walk", lambda x, i: F.array_position("walk", x) <= i)
+        go = staged(go, _again=F.get(again, F.lit(0)))
+        a = written(go.select("instance_id", "alias_key", F.coalesce("_again", F.element_at("walk", -1)).alias("canonical_key"), "walk", F.col("_again").isNotNull().alias("ended"), "_go"), "aliases")
+        if a.where("_go").isEmpty():
+            return a.select("instance_id", "alias_key", "canonical_key")
+        a = a.drop("_go")
 
 
 def incidence(facts: DataFrame) -> DataFrame:

@@ -69,7 +69,7 @@ def alias_ratio(spark: SparkSession, d: str) -> DataFrame:
 
 
 def alias_closure(spark: SparkSession, d: str) -> DataFrame:
-    return graph.alias_closure(graph.alias_containment(entities(spark, d)))
+    return graph.alias_closure(graph.alias_links(entities(spark, d)))
 
 
 def path_pairs_2(spark: SparkSession, d: str) -> DataFrame:
@@ -87,7 +87,7 @@ def question_mentions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _aliases(spark: SparkSession, d: str) -> DataFrame:
-    return graph.alias_closure(graph.alias_containment(entities(spark, d)))
+    return graph.alias_closure(graph.alias_links(entities(spark, d)))
 
 
 def text_resolve(spark: SparkSession, d: str) -> DataFrame:

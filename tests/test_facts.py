@@ -159,3 +159,71 @@ def test_nearest_against_sorting(spark):
         best = sorted(full, key=lambda i: (-round(sum(a * b for a, b in zip(full[q], full[i], strict=True)), 9), i))[:5]
         assert [got[q][n] for n in range(1, 6)] == best
     assert nearest(v.where("false"), v).count() == 0
+
+
+def walked(links):
+    """The closure by chasing one key at a time. links: (alias, canonical)."""
+    after = {}
+    for a, c in links:
+        after[a] = max(c, after.get(a, c))
+    out = {}
+    for a in after:
+        key, seen = a, set()
+        while key in after and key not in seen:
+            seen.add(key)
+            key = after[key]
+        out[a] = key
+    return out
+
+
+def test_alias_closure_against_chasing(spark):
+    chain_ = [(f"k{i:02}", f"k{i + 1:02}") for i in range(21)] + [("k03", "a"), ("t", "u"), ("u", "v"), ("v", "w"), ("w", "u"), ("x", "x")]
+    got = graph.alias_closure(spark.createDataFrame([("i", *x) for x in chain_], "instance_id string, alias_key string, canonical_key string"))
+    assert {r.alias_key: r.canonical_key for r in got.collect()} == walked(chain_)
+
+
+def brute_aliases(rows):
+    """instance -> closure over all pairs of names by containment or ratio. rows: (instance_id, kind, key, norm)."""
+    from collections import defaultdict
+    from difflib import SequenceMatcher
+
+    groups, links = defaultdict(set), defaultdict(set)
+    for i, kind, key, norm in rows:
+        if i is not None and norm:
+            groups[i, kind].add((key, norm))
+    for (i, _), names in groups.items():
+        for ka, a in names:
+            for kb, b in names:
+                if ka != kb and len(a) < len(b) and (set(a.split()) < set(b.split()) or SequenceMatcher(None, a, b).ratio() > 0.92):
+                    links[i].add((ka, kb))
+    return {(i, a): c for i, x in links.items() for a, c in walked(x).items()}
+
+
+def test_alias_closure_against_all_pairs_of_the_tables(spark, data):
+    from factloom.plans import graph as plans
+
+    e = plans.entities(spark, data)
+    want = brute_aliases([tuple(r) for r in e.select("instance_id", "entity_type", "key", normalized("name")).collect()])
+    got = {(r.instance_id, r.alias_key): r.canonical_key for r in plans.alias_closure(spark, data).collect()}
+    assert got == want and len(got) > 40
+
+
+def test_cascade_against_the_closure_of_all_pairs(spark, data):
+    from factloom.operators import gates
+    from factloom.plans import graph as plans
+
+    e, q, f = plans.entities(spark, data), plans.questions(spark, data), plans.stored(spark, data)
+    closed = brute_aliases([tuple(r) for r in e.select("instance_id", "entity_type", "key", normalized("name")).collect()])
+    aliases = spark.createDataFrame([(i, a, c) for (i, a), c in closed.items()], "instance_id string, alias_key string, canonical_key string")
+    assert sorted(plans.gate_cascade(spark, data).collect()) == sorted(gates.cascade(q, e, f, aliases).collect())
+
+
+def test_search_follows_a_misspelt_name(spark, tmp_path):
+    from factloom.memory import Memory
+
+    m = Memory(spark, str(tmp_path))
+    e = spark.createDataFrame([(1, "person:theodra strandanova", "i|a", "Theodra Strandanova", "person", 0, 0, "i"), (2, "person:theodora strandanova", "i|b", "Theodora Strandanova", "person", 0, 0, "i")], "vid bigint, key string, skey string, name string, entity_type string, first_seen int, last_seen int, instance_id string")
+    f = spark.createDataFrame([(7, "f7", "i", 2, "person:theodora strandanova", "occupation", "dentist", "literal", 1, 0, 1, "s", 0, "user", "", 1.0, "current")], FACT)
+    m.add_rows(f, e)
+    q = spark.createDataFrame([("i", "Who is Theodra Strandanova?", None)], "instance_id string, question string, asked_at bigint")
+    assert m.search(q).first().resolved == "person:theodora strandanova"
