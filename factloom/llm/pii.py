@@ -5,20 +5,27 @@ identity number is its remainder by 23, card numbers satisfy Luhn and bank accou
 before and behind adjust it. Spans that reach the threshold are kept, the surer and longer one where two overlap; a name inside
 an address or email is no piece of its own.
 
+Person names come from any vocabulary: runs of capitalised words are scored by titles, cues before and behind, and by the names
+known in entities.name, which raise persons (in any case) and rule out organisations and places. The listed given names are one
+more score. Known names are joined: words of a text that may stand in a name, by a bitmap of fixed size, are looked up exactly.
+
 Positions are code points, end exclusive. Null and empty texts have none, and long texts are read whole, in one pass a pattern.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm.names import NICKNAMES
-from factloom.session import spread
+from factloom.session import spread, written
 
 THRESHOLD = 0.5
 
@@ -33,6 +40,10 @@ FAMILY_ENDINGS = "aker anova ardson asaki ello enko ere etti hurrel ides ingmoor
 NAME_BEFORE = {"call", "met", "and", "signed", "name", "contact", "dr", "mr", "mrs", "ms", "miss", "prof", "frau", "herr", "sra", "sr", "mme", "m", "that", "did", "ask", "asked", "with", "from", "by", "dear", "for", "to", "hi", "hello", "regards", "cheers", "thanks", "love", "sincerely", "user"}
 NAME_BEHIND = {"wrote", "moved", "ever", "is", "on", "at", "and", "has", "said", "asked", "email", "tel", "about", "in", "for", "can", "will", "was"}
 TITLES = {"dr", "mr", "mrs", "ms", "miss", "prof", "frau", "herr", "sra", "sr", "mme", "hr", "fr"}
+# Words that a person alone does, words that only a person stands behind, and words that are part of no person's name.
+PERSON_BEHIND = set("called wrote said says told asked asks phoned emailed texted replied married thinks wants lives lived moved smiled laughed introduced wished remembers".split())
+PERSON_BEFORE = set("call called met meet dear signed ask asked told tell contact named phone email mail text invited married regards cheers sincerely colleague friend neighbour neighbor brother sister husband wife boss landlord dentist doctor teacher uncle aunt cousin".split())
+NO_PERSON = set("street road avenue lane way close crescent terrace drive court square place gardens park hill station bridge river lake mount north south east west new saint university college school institute hospital clinic museum library church hotel airport bank labs lab studio design works data foods health partners robotics analytics systems software solutions services group holdings inc llc ltd gmbh corp company co agency office department team project plan club bar restaurant café cafe market store shop foundation association council university monday tuesday wednesday thursday friday saturday sunday january february march april may june july august september october november december english german french spanish chinese thai fact question answer session turn known".split())
 OTHER_NUMBER = re.compile(r"(?:order|ticket|reference|ref|fact|invoice|build|version|platform|seats?|session|turn|case|no\. of)\W{0,3}(?:no\.?|number|id|nr\.?)?\W{0,3}$", re.I)
 ID_BEFORE = re.compile(r"\b(?:id|ids|identity|national|passport|ssn|nino|dni|nif|nie|insurance|social security|ausweis|personalausweis|on file)\b[^.!?\n]{0,25}$", re.I)
 PHONE_BEFORE = re.compile(r"\b(?:phone|call|tel|cell|mobile|work|reach|number|nummer|fax|whatsapp|text|it's|on|contact)\b[^!?\n]{0,60}$", re.I)
@@ -139,7 +150,68 @@ def _family(word: str, strict: bool) -> bool:
     return not strict and word[0].isupper() and len(word) > 2 and _fold(word) not in _GIVEN
 
 
-def _names(text: str) -> list[tuple[int, int, str, float]]:
+_BEFORE = TITLES | PERSON_BEFORE | NAME_BEFORE
+_CAPITAL = r"[^\W\d_a-zß-öø-ÿ](?:\w|['’-](?=[^\W\d_]))*"
+_RUN = re.compile(rf"(?<![\w'’@#/.-]){_CAPITAL}(?:(?: |\. ){_CAPITAL}){{1,4}}")
+_LAST_WORD = re.compile(r"([^\W\d_][\w'’]*)[.,:]?\s{1,2}$")
+_NEXT_WORD = re.compile(r"[ ,]{1,2}([^\W\d_][\w'’]*)")
+
+
+def _runs(text: str, known: dict[str, bool]) -> list[tuple[int, int, str, float]]:
+    """Runs of capitalised words of any vocabulary, scored by what stands around them. known: folded names, whether of a person."""
+    out = []
+    for m in _RUN.finditer(text):
+        ws = [(m.start() + x.start(), m.start() + x.end(), x[0]) for x in WORD.finditer(m[0])]
+        before = _LAST_WORD.search(text[max(0, m.start() - 30) : m.start()])
+        cue = before[1].lower() if before else ""
+        while ws and (ws[0][2].lower() in _BEFORE or _sentence(ws[0][2])):
+            cue = ws.pop(0)[2].lower()
+        part = 0  # a full stop behind a whole word ends a sentence
+        for a, b in zip(ws, ws[1:], strict=False):
+            part += 1
+            if text[a[1] : b[0]] == ". " and len(a[2]) > 1:
+                ws = ws[:part]
+                break
+        if not 2 <= len(ws) <= 4 or not all(w[0].isupper() for _, _, w in ws) or len(ws[-1][2]) < 2 or any(len(w) > 1 and w.isupper() for _, _, w in ws) or any(_fold(w) in NO_PERSON or _sentence(w) for _, _, w in ws):
+            continue
+        person = known.get(" ".join(_fold(w) for _, _, w in ws))
+        if person is False:
+            continue
+        behind = _NEXT_WORD.match(text, ws[-1][1])
+        after = behind[1].lower() if behind else ""
+        score = 0.15 + 0.55 * (cue in TITLES) + 0.35 * (cue in PERSON_BEFORE) + 0.1 * (cue in NAME_BEFORE) + 0.35 * (after in PERSON_BEHIND) + 0.1 * (after in NAME_BEHIND) + 0.4 * bool(person) + 0.15 * (_fold(ws[0][2]) in _GIVEN)
+        out.append((ws[0][0], ws[-1][1], "person_name", score))
+    return out
+
+
+def _known(text: str, known: dict[str, bool]) -> list[tuple[int, int, str, float]]:
+    """Known persons' names in whatever case."""
+    persons = {n for n, person in known.items() if person}
+    if not persons:
+        return []
+    low = _fold(text)
+    if len(low) != len(text):  # a letter that folds to two: letter by letter, to keep the positions
+        low = "".join(x if len(x := _fold(c)) == 1 else c for c in text)
+    part = lambda at: 0 <= at < len(low) and (low[at].isalnum() or low[at] in "_-'’@")
+    out = []
+    for n in persons:
+        at = low.find(n)
+        while at >= 0:
+            if not part(at - 1) and not (part(at + len(n)) and (low[at + len(n)] not in "'’" or part(at + len(n) + 1) and low[at + len(n) + 1] != "s")):
+                out.append((at, at + len(n), "person_name", 0.6))
+            at = low.find(n, at + 1)
+    return out
+
+
+def _names(text: str, known: dict[str, bool] | None = None) -> list[tuple[int, int, str, float]]:
+    known = known or {}
+    listed = _listed(text)
+    sure = [x for x in listed if x[3] >= THRESHOLD]
+    return listed + [x for x in _runs(text, known) + _known(text, known) if all(x[1] <= y[0] or y[1] <= x[0] for y in sure)]
+
+
+def _listed(text: str) -> list[tuple[int, int, str, float]]:
+    """Names with a listed given name, an initial or a title."""
     if _KNOWN.isdisjoint(_PLAIN_WORD.findall(text.lower().translate(_FOLD))) and not _INITIAL.search(text):
         return []
     words = [(m.start(), m.end(), m[0]) for m in WORD.finditer(text)]
@@ -219,7 +291,11 @@ def _names(text: str) -> list[tuple[int, int, str, float]]:
                 continue
         # A family name alone, behind a title
         if i and words[i - 1][2].lower() in TITLES and w[0].isupper() and gap(i - 1, i) in (". ", " ") and _family(w, strict=False):
-            out.append((s, e, "person_name", 0.6))
+            j = i
+            while j + 1 < n and j < i + 2 and gap(j, j + 1) == " " and len(words[j + 1][2]) > 1 and words[j + 1][2][0].isupper() and _fold(words[j + 1][2]) not in NO_PERSON and not _sentence(words[j + 1][2]):
+                j += 1
+            out.append((s, words[j][1], "person_name", 0.6))
+            i = j
         i += 1
     return out
 
@@ -232,7 +308,7 @@ def _sentence(word: str) -> bool:
     return word.lower() in _STARTERS or word.lower().replace("’", "'") in _STARTERS
 
 
-def spans(text: str | None) -> list[tuple[int, int, str]]:
+def spans(text: str | None, known: dict[str, bool] | None = None) -> list[tuple[int, int, str]]:
     """start, end, kind of each piece, in order."""
     if not text:
         return []
@@ -246,7 +322,7 @@ def spans(text: str | None) -> list[tuple[int, int, str]]:
                 found += [(*m.span(), "street_address", 0.95) for m in p.finditer(text)]
         if _DIGITS.search(text):
             found += _numbers(text)
-    found += _names(text)
+    found += _names(text, known)
     found = sorted((x for x in found if x[3] >= THRESHOLD), key=lambda x: (x[2] == "person_name", -x[3], x[0] - x[1]))
     kept: list[tuple[int, int, str, float]] = []
     for x in found:
@@ -255,36 +331,112 @@ def spans(text: str | None) -> list[tuple[int, int, str]]:
     return sorted((a, b, k) for a, b, k, _ in kept)
 
 
-def redact(text: str | None) -> str | None:
+def redact(text: str | None, known: dict[str, bool] | None = None) -> str | None:
     """text with [KIND] in place of each piece."""
     if text is None:
         return None
     out, at = [], 0
-    for a, b, kind in spans(text):
+    for a, b, kind in spans(text, known):
         out += [text[at:a], f"[{kind.upper()}]"]
         at = b
     return "".join(out) + text[at:]
 
 
-def found(texts: DataFrame) -> DataFrame:
-    """origin, record_id, start_at, end_at, kind of each piece in texts (origin, record_id, text)."""
+BITS = 1 << 22
+
+
+def known_names(entities: DataFrame) -> DataFrame:
+    """name (folded, given name first), person (whether most of its entities are) of each name of two to four words."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for name, kind in zip(b["name"], b["entity_type"], strict=True):
+                family, comma, rest = name.partition(",")
+                ws = [_fold(w) for w in WORD.findall(f"{rest} {family}" if comma else name)]
+                if 2 <= len(ws) <= 4 and all(len(w) > 2 for w in ws) and not any(w in TITLES or _sentence(w) for w in ws):
+                    rows.append((" ".join(ws), 1 if kind == "person" else -1))
+            yield pd.DataFrame(rows, columns=["name", "vote"])
+
+    e = entities.where("name is not null and entity_type is not null").select("name", "entity_type")
+    return e.mapInPandas(run, "name string, vote int").groupBy("name").agg((F.sum("vote") > 0).alias("person"))
+
+
+def name_words(known: DataFrame) -> bytes:
+    """A bitmap of the words of all known names: BITS bits, however many names there are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(BITS, bool)
+        for b in batches:
+            for name in b.column("name").to_pylist():
+                for w in name.split(" "):
+                    bits[zlib.crc32(w.encode()) % BITS] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], ["bits"])
+
+    parts = known.select("name").coalesce(known.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, "bits binary")
+    return parts.rdd.map(lambda r: bytes(r[0])).treeReduce(lambda a, b: (np.frombuffer(a, np.uint8) | np.frombuffer(b, np.uint8)).tobytes())
+
+
+class _Flags(dict):
+    """Whether a word may stand in a known name."""
+
+    def __init__(self, bits: bytes):
+        self.bits = np.unpackbits(np.frombuffer(bits, np.uint8)).astype(bool)
+
+    def __missing__(self, word: str) -> bool:
+        if len(self) > 500_000:
+            self.clear()
+        self[word] = r = bool(self.bits[zlib.crc32(word.encode("utf-8", "ignore")) % BITS])
+        return r
+
+
+def with_known(texts: DataFrame, entities: DataFrame | None) -> DataFrame:
+    """texts with known, the known names in each, by an exact join: a line each, with + before persons and - before others."""
+    if entities is None:
+        return texts.withColumn("known", F.lit(None).cast("string"))
+    known = written(known_names(entities), "names")
+    bits = texts.sparkSession.sparkContext.broadcast(name_words(known))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        flags = _Flags(bits.value)
+        for b in batches:
+            rows = []
+            for o, r, t in zip(b["origin"], b["record_id"], b["text"], strict=True):
+                ws = WORD.findall(_fold(t))
+                may = list(map(flags.__getitem__, ws))
+                if sum(may) > 1:
+                    seen = {" ".join(ws[i : i + n]) for i in range(len(ws) - 1) if may[i] and may[i + 1] for n in (2, 3, 4) if i + n <= len(ws) and all(may[i : i + n])}
+                    rows += [(o, r, x) for x in seen]
+            yield pd.DataFrame(rows, columns=["origin", "record_id", "name"])
+
+    c = texts.where("text <> ''").mapInPandas(run, "origin string, record_id bigint, name string").join(known, "name")
+    c = c.groupBy("origin", "record_id").agg(F.array_join(F.collect_set(F.concat(F.when(F.col("person"), "+").otherwise("-"), "name")), "\n").alias("known"))  # the names in one text
+    return texts.join(c, ["origin", "record_id"], "left")
+
+
+def _dict(known: str | None) -> dict[str, bool]:
+    return {x[1:]: x[0] == "+" for x in known.split("\n")} if isinstance(known, str) else {}
+
+
+def found(texts: DataFrame, entities: DataFrame | None = None) -> DataFrame:
+    """origin, record_id, start_at, end_at, kind of each piece in texts (origin, record_id, text). entities: name, entity_type."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(o, r, *x) for o, r, t in zip(b["origin"], b["record_id"], b["text"], strict=True) for x in spans(t)]
+            rows = [(o, r, *x) for o, r, t, k in zip(b["origin"], b["record_id"], b["text"], b["known"], strict=True) for x in spans(t, _dict(k))]
             yield pd.DataFrame(rows, columns=["origin", "record_id", "start_at", "end_at", "kind"])
 
-    return texts.where("text <> ''").mapInPandas(run, "origin string, record_id bigint, start_at int, end_at int, kind string")
+    return with_known(texts.where("text <> ''"), entities).mapInPandas(run, "origin string, record_id bigint, start_at int, end_at int, kind string")
 
 
-def redacted(texts: DataFrame) -> DataFrame:
+def redacted(texts: DataFrame, entities: DataFrame | None = None) -> DataFrame:
     """origin, record_id, text with placeholders."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield b.assign(text=[redact(t) for t in b["text"]])
+            yield b.assign(text=[redact(t, _dict(k)) for t, k in zip(b["text"], b["known"], strict=True)]).drop(columns="known")
 
-    return texts.mapInPandas(run, "origin string, record_id bigint, text string")
+    return with_known(texts, entities).mapInPandas(run, "origin string, record_id bigint, text string")
 
 
 def texts(turns: DataFrame, facts: DataFrame) -> DataFrame:
@@ -298,11 +450,11 @@ def _texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return found(_texts(spark, d))
+    return found(_texts(spark, d), spark.read.parquet(f"{d}/entities.parquet"))
 
 
 def p6_redacted(spark: SparkSession, d: str) -> DataFrame:
-    return redacted(_texts(spark, d))
+    return redacted(_texts(spark, d), spark.read.parquet(f"{d}/entities.parquet"))
 
 
 QUERIES = {"p6_found": p6_found, "p6_redacted": p6_redacted}

@@ -83,6 +83,25 @@ def test_pii_table(spark):
     assert [r.text[-13:] if r.text else r.text for r in pii.redacted(t).orderBy("record_id").collect()] == ["[PERSON_NAME]", None, ""]
 
 
+FOREIGN = [
+    ("Wei Zhang called me", {}, ["Wei Zhang"]), ("Mr. Wei Zhang is here", {}, ["Wei Zhang"]), ("I met Oluwaseun Adeyemi in Lagos.", {}, ["Oluwaseun Adeyemi"]), ("Dear Nguyen Thi Hoa, thanks.", {}, ["Nguyen Thi Hoa"]),
+    ("lunch for wei zhang at noon", {"wei zhang": True}, ["wei zhang"]), ("Lunch: Wei Zhang. At noon.", {"wei zhang": True}, ["Wei Zhang"]),
+    ("I called Blue Heron today", {"blue heron": False}, []), ("Platform 28 at Quarry Hill station. I work at Nimbule Design Studio.", {}, []), ("We saw Silver Lining with Golden Gate from far.", {}, []),
+]
+
+
+@pytest.mark.parametrize("text,known,want", FOREIGN)
+def test_names_of_any_vocabulary(text, known, want):
+    assert [text[a:b] for a, b, _ in pii.spans(text, known)] == want
+
+
+def test_known_names_are_joined(spark):
+    t = spark.createDataFrame([("turn", 1, "lunch for wei zhang at noon"), ("turn", 2, "I called Blue Heron today"), ("fact", 1, "nothing"), ("fact", 2, None)], "origin string, record_id bigint, text string")
+    e = spark.createDataFrame([("Zhang, Wei", "person"), ("Blue Heron", "org"), (None, "person")], "name string, entity_type string")
+    assert [tuple(r) for r in pii.found(t, e).collect()] == [("turn", 1, 10, 19, "person_name")]
+    assert {r.text for r in pii.redacted(t, e).collect()} == {"lunch for [PERSON_NAME] at noon", "I called Blue Heron today", "nothing", None}
+
+
 @pytest.fixture(scope="module")
 def model(spark, data):
     return sentences.fit(spark.read.parquet(data.replace("sf0.001", "sf0.01") + "/documents.parquet"))
