@@ -7,7 +7,8 @@ projected on the leading directions, and pairs of a cosine of COSINE or more are
 common run of words settles verbatim leaks, the longest common subsequence tells paraphrases.
 
 Any run of 12 words lies within one passage of 24 words taken every 12, and within one item passage of 16 words taken every 4,
-so a leaked run always makes a pair of passages that share it. The items are the stated query set (a few hundred, held out, not
+so a leaked run always makes a pair of passages that share it. Where rarer words around a run keep their cosine low, the run is
+found all the same: hashes of all runs of the items are held, and every run of a document is looked up among them. The items are the stated query set (a few hundred, held out, not
 growing): they alone are broadcast, and the corpus is read against them in blocks, without a shuffle.
 
 Words are runs of letters and digits of the NFKC form, without case and without characters that do not show. Null, empty and
@@ -173,6 +174,20 @@ def directions(corpus: DataFrame, idf: np.ndarray, rank: int = RANK) -> np.ndarr
     return q[:, :rank]
 
 
+_POWERS = np.array([pow(0x9E3779B97F4A7C15, j, 1 << 64) for j in range(RUN)], np.uint64)
+
+
+def run_hashes(ids: np.ndarray) -> np.ndarray:
+    """A hash of each run of RUN words."""
+    n = len(ids) - RUN + 1
+    out = np.zeros(max(n, 0), np.uint64)
+    if n > 0:
+        wide = ids.astype(np.uint64) + np.uint64(1)
+        for j in range(RUN):
+            out += wide[j : j + n] * _POWERS[j]
+    return out
+
+
 def common_run(a: np.ndarray, b: np.ndarray) -> bool:
     """Whether a and b share RUN words in a row."""
     if len(a) < RUN or len(b) < RUN:
@@ -204,10 +219,18 @@ class Items:
         parts = [(k, p) for k, v in enumerate(self.words) for p in passages(v, ITEM_WIDTH, ITEM_STRIDE)]
         self.of = np.array([k for k, _ in parts], np.int64)
         self.basis, self.idf = basis, idf
+        runs = np.array(sorted({(h, k) for k, v in enumerate(self.words) for h in run_hashes(v).tolist()}), np.uint64).reshape(-1, 2)
+        self.runs, self.run_of = runs[:, 0].copy(), runs[:, 1].astype(np.int64)
         self.latent = unit(times(sparse([p for _, p in parts], idf), basis)) if parts else np.zeros((0, basis.shape[1]), np.float32)
 
+    def sharing(self, ids: np.ndarray) -> set[int]:
+        """The items that have a run of RUN words with these, by hash."""
+        h = np.unique(run_hashes(ids))
+        lo, hi = np.searchsorted(self.runs, h), np.searchsorted(self.runs, h, "right")
+        return {k for a, b in zip(lo[lo < hi].tolist(), hi[lo < hi].tolist(), strict=True) for k in self.run_of[a:b].tolist()}
+
     def candidates(self, texts: list[np.ndarray]) -> Iterator[tuple[int, int, float]]:
-        """(text, item, cosine) of each pair with passages of a cosine of COSINE or more."""
+        """(text, item, cosine) of each pair with passages of a cosine of COSINE or more, or that shares a run."""
         parts = [(k, p) for k, t in enumerate(texts) for p in passages(t, WIDTH, STRIDE)]
         if not parts or not len(self.of):
             return
@@ -221,6 +244,10 @@ class Items:
             for k, c in zip(key.tolist(), cosine[x, y].tolist(), strict=True):
                 if c > best.get(k, 0):
                     best[k] = c
+        for t, ids in enumerate(texts):
+            for i in self.sharing(ids):
+                if t * len(self.ids) + i not in best:
+                    best[t * len(self.ids) + i] = float((latent[of == t] @ self.latent[self.of == i].T).max())
         for k, c in best.items():
             yield k // len(self.ids), k % len(self.ids), c
 

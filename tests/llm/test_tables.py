@@ -123,6 +123,24 @@ def test_leaks_against_brute_force(spark):
     assert len(want) > 30 and len(got) == len({tuple(g) for g in got}) and {tuple(g) for g in got} == want
 
 
+def test_runs_of_exactly_12_words_among_words_of_other_topics(spark):
+    r = random.Random(5)
+    topic = lambda t, n: [f"{t}{r.randrange(40)}" for _ in range(n)]
+    rare = iter(f"r{i}" for i in range(100_000))
+    items, docs, want = [], [], set()
+    for i in range(40):
+        run = [next(rare) for _ in range(12)]
+        items.append((i, " ".join([*topic("a", 20), *run, *topic("a", 20)])))
+        docs.append((i, " ".join([*topic("b", 30 + i % 12), *run, *topic("b", 30)])))
+        docs.append((1000 + i, " ".join([*topic("b", 30), *run[:11], *topic("b", 30)])))
+        want.add((i, i))
+    docs += [(5000 + i, " ".join(topic("abcd"[i % 4], 200))) for i in range(400)]
+    d, x = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    assert sorted((g.doc_id, g.item_id) for g in leakage.verbatim(d, x).collect()) == sorted(want)
+    leaks = leakage.reported(d, x).where("kind = 'verbatim'").collect()
+    assert {(g.doc_id, g.item_id) for g in leaks} == want and sum(g.cosine < leakage.COSINE for g in leaks) > 5  # these the cosine alone would lose
+
+
 def test_words_and_runs():
     import numpy as np
 
