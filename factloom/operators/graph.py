@@ -218,3 +218,23 @@ def fair_limit(paths: DataFrame, signature: str, order: str, limit: int = vocab.
     for keys in ([signature, "_b"], [signature]):
         p = p.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).where(F.col("_n") <= limit)
     return p.orderBy("_n", signature, order).limit(limit).drop("_n", "_b")
+
+
+def path_rows(anchors: DataFrame, inc: DataFrame, limit: int = vocab.PATH_LIMIT) -> DataFrame:
+    """instance_id, a, b, hops, entities, facts of the paths of up to four edges between anchor pairs (instance_id, a, b).
+
+    No node is passed twice. An instance gets at most limit paths, taken in turn from each sequence of entities.
+    """
+    e = inc.select("instance_id", "fact", "entity")
+    edge = lambda x, f, y: e.select("instance_id", F.col("entity").alias(x), F.col("fact").alias(f)).join(e.select("instance_id", F.col("fact").alias(f), F.col("entity").alias(y)), ["instance_id", f]).where(f"{x} <> {y}")
+    p = anchors.select("instance_id", "a", "b").where("a <> b").distinct()
+    two = p.join(edge("a", "f", "b"), ["instance_id", "a", "b"]).select("instance_id", "a", "b", F.lit(2).alias("hops"), F.array("a", "b").alias("entities"), F.array("f").alias("facts"))
+    four = p.join(edge("a", "f", "m"), ["instance_id", "a"]).where("m <> b").join(edge("m", "g", "b"), ["instance_id", "m", "b"]).where("f <> g")
+    four = four.select("instance_id", "a", "b", F.lit(4).alias("hops"), F.array("a", "m", "b").alias("entities"), F.array("f", "g").alias("facts"))
+    out = two.unionByName(four).withColumn("_b", F.pmod(F.xxhash64("facts"), F.lit(64)))
+    # Only the first `limit` of a sequence, and of an instance, can be taken: cut within parts before parts meet.
+    for keys in (["instance_id", "entities", "_b"], ["instance_id", "entities"]):
+        out = out.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("facts"))).where(F.col("_n") <= limit)
+    for keys in (["instance_id", F.pmod(F.xxhash64("entities"), F.lit(64))], ["instance_id"]):
+        out = out.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("_n", "entities"))).where(F.col("_r") <= limit)
+    return out.drop("_b", "_n", "_r")

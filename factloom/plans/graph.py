@@ -82,6 +82,15 @@ def path_anchor_pairs(spark: SparkSession, d: str) -> DataFrame:
     return graph.connected(e, graph.adjacent(graph.incidence(stored(spark, d))))
 
 
+def question_paths(spark: SparkSession, d: str) -> DataFrame:
+    """The paths between all pairs of anchors of each question, with their entities and facts."""
+    f = stored(spark, d)
+    g = gates.entity_gate(questions(spark, d), entities(spark, d), f, _aliases(spark, d)).where("passed")
+    t = g.select("instance_id", F.array_except("resolved", F.array(F.lit(vocab.ASSISTANT_KEY))).alias("t"))
+    pairs = t.select("instance_id", "t", F.explode("t").alias("a")).select("instance_id", "a", F.explode("t").alias("b")).where("a < b")
+    return graph.path_rows(pairs, graph.incidence(f))
+
+
 def question_mentions(spark: SparkSession, d: str) -> DataFrame:
     return questions(spark, d).select("instance_id", F.array_join(mentions(F.coalesce("question", F.lit(""))), ",").alias("mentions"))
 
@@ -141,7 +150,7 @@ def appeals(spark: SparkSession, d: str) -> DataFrame:
     return gates.appeal(g.join(w, "instance_id"), stored(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (clean_facts, date_hints, build_facts, build_entities, build_edges, edge_type_counts, session_next_edges, session_upsert, entity_first_last_seen, alias_containment, alias_ratio, alias_closure, path_pairs_2, path_anchor_pairs, question_mentions, text_resolve, gate_entity, gate_predicate, gate_window, gate_cascade, cascade_cost, citation_gate, appeals)}
+QUERIES = {f.__name__: f for f in (clean_facts, date_hints, build_facts, build_entities, build_edges, edge_type_counts, session_next_edges, session_upsert, entity_first_last_seen, alias_containment, alias_ratio, alias_closure, path_pairs_2, path_anchor_pairs, question_paths, question_mentions, text_resolve, gate_entity, gate_predicate, gate_window, gate_cascade, cascade_cost, citation_gate, appeals)}
 
 # --- the same in DuckDB
 

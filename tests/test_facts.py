@@ -227,3 +227,29 @@ def test_search_follows_a_misspelt_name(spark, tmp_path):
     m.add_rows(f, e)
     q = spark.createDataFrame([("i", "Who is Theodra Strandanova?", None)], "instance_id string, question string, asked_at bigint")
     assert m.search(q).first().resolved == "person:theodora strandanova"
+
+
+def test_path_rows_against_walking(spark):
+    r = random.Random(9)
+    inc = {("i", f, f"e{x}") for f in range(60) for x in r.sample(range(9), r.choice([1, 2, 2]))} | {("j", 1, "e0"), ("j", 1, "e1")}
+    pairs = [("i", f"e{x}", f"e{y}") for x in range(4) for y in range(x + 1, 4)] + [("j", "e0", "e1"), ("j", "e0", "e2")]
+    of, at = {}, {}
+    for i, f, e in inc:
+        of.setdefault((i, e), set()).add(f)
+        at.setdefault((i, f), set()).add(e)
+    want = set()
+    for i, a, b in pairs:
+        for f in of.get((i, a), ()):
+            for m in at[i, f] - {a}:
+                if m == b:
+                    want.add((i, (a, b), (f,)))
+                else:
+                    want |= {(i, (a, m, b), (f, g)) for g in of[i, m] - {f} if b in at[i, g]}
+    p, n = spark.createDataFrame(pairs, "instance_id string, a string, b string"), spark.createDataFrame(sorted(inc), "instance_id string, fact int, entity string")
+    rows = lambda k: {(x.instance_id, tuple(x.entities), tuple(x.facts)) for x in graph.path_rows(p, n, k).collect()}
+    assert rows(10_000) == want and len(want) > 64
+    fair, seen = [], {}
+    for i, e, f in sorted(w for w in want if w[0] == "i"):
+        seen[e] = seen.get(e, 0) + 1
+        fair.append((seen[e], e, i, f))
+    assert rows(20) == {(i, e, f) for _, e, i, f in sorted(fair)[:20]} | {w for w in want if w[0] == "j"}
