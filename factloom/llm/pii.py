@@ -1,19 +1,21 @@
 """Personal information in free text: found, typed, and replaced by placeholders.
 
-Regular expressions propose spans. Each has a score to start with; checksums raise it or rule it out (the letter of a Spanish
-identity number is its remainder by 23, card numbers satisfy Luhn and bank accounts mod-97 and are no identity numbers), words
-before and behind adjust it. Spans that reach the threshold are kept, the surer and longer one where two overlap; a name inside
-an address or email is no piece of its own.
+Regular expressions propose spans. Each has a score to start with; checksums confirm it or rule it out (remainder by 23 of Spanish
+identity numbers, mod-97 of French ones, Luhn of Swedish and Canadian ones, weighted sums of Polish ones and Italian tax codes; card
+numbers that satisfy Luhn and bank accounts that satisfy mod-97 are no identity numbers), words before and behind adjust it. Spans
+that reach the threshold are kept, the surer and longer one where two overlap; a name inside an address or email is no piece.
 
-Person names come from any vocabulary: runs of capitalised words are scored by titles, cues before and behind, and by the names
-known in entities.name, which raise persons (in any case) and rule out organisations and places. The listed given names are one
-more score. Known names are joined: words of a text that may stand in a name, by a bitmap of fixed size, are looked up exactly.
+Person names are proposed by shape: runs of capitalised words, initials, words behind titles, `Family, Given`, and words in any
+case that a name model knows. The model is learned from all of entities.name: for each word, whether it stands in front or at the end
+of persons' names or in other names, and which endings family names have. It has a fixed size (bitmaps with four hashes, and counts
+of endings), however many names there are; common given names of many countries and a nickname table add to it.
 
 Positions are code points, end exclusive. Null and empty texts have none, and long texts are read whole, in one pass a pattern.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 import zlib
 from collections.abc import Iterator
@@ -25,17 +27,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm.names import NICKNAMES
-from factloom.session import spread, written
+from factloom.session import spread
 
 THRESHOLD = 0.5
 
-# Given names with the letters they are written with; short forms come from the nickname table.
-GIVEN = """akhilesh alexander andré anne-marie beatrice bärbel chloë christopher dorothea dímitra edward françois frederica gabriela gökhan henrietta håkon isabella
-jean-luc jonathan josé katherine leopold margaret mei-ling mónica nathaniel nuño octavia penelope priyanka quentin rajendra renée robert stephanie søren
-theodora tomáš ulrike valentina véronique william xaviera yolanda zachary élodie íñigo özlem łucja
-anna john mary peter paul david sarah laura maria thomas michael elizabeth james richard daniel emma julia martin""".split()
-# Endings of family names.
-FAMILY_ENDINGS = "aker anova ardson asaki ello enko ere etti hurrel ides ingmoor ishel munth ombe ory owicz quorst strom urk wyn sson sen son ova ovic ić ez ski ska mann berg".split()
+# Common given names of many countries; short forms come from the nickname table.
+GIVEN = """aaliyah abdullah ahmed aisha alejandro aleksandra ali amina amit ana anastasia andrea andrew anita anna antonio arjun ashley barbara bashir benjamin boris brian carlos
+carmen catherine charles chen chiara chinwe christine claire daniel david deborah diego dmitri donna elena emily emma eric esther fatima fatou fernando francesco frank george
+giovanni giulia hannah hans hassan helen henry hiroshi hugo ibrahim igor ingrid irina isabel ivan jacob jacques james jan jean jennifer jessica joão john jorge joseph juan julia
+jürgen karen karim kenji kevin khadija kofi kwame lars laura layla leila li linda lisa lucas luis magdalena mahmoud maria marie mark martin mary matthew maya mehmet mei
+michael michelle min mohammed nadia nancy natalia nia nicole nikolai noor olga olivia omar pablo patricia paul pedro peter piotr priya rachel rahul ravi rebecca richard
+rosa ruth samuel sandra sanjay sara sarah sergei sofia sophie sunita susan sven takeshi tariq thomas tuan victor wei yasmin yuki yusuf zainab""".split()
+# Endings of family names in many languages; those of the texts' own names are learned.
+FAMILY_ENDINGS = "sson ssen sen son ova ovic ovich enko ić ez ski ska sky mann berg strom ström owicz etti elli idis poulos yan ian oglu wicz".split()
 # Words that come before or behind a person's name, and words that come before a number of another sort.
 NAME_BEFORE = {"call", "met", "and", "signed", "name", "contact", "dr", "mr", "mrs", "ms", "miss", "prof", "frau", "herr", "sra", "sr", "mme", "m", "that", "did", "ask", "asked", "with", "from", "by", "dear", "for", "to", "hi", "hello", "regards", "cheers", "thanks", "love", "sincerely", "user"}
 NAME_BEHIND = {"wrote", "moved", "ever", "is", "on", "at", "and", "has", "said", "asked", "email", "tel", "about", "in", "for", "can", "will", "was"}
@@ -59,6 +63,7 @@ PHONES = [
     (re.compile(r"(?<!\w)\(\d{2,5}\) ?\d{3,4}[ -]?\d{3,4}(?!\w|[-.]\d)"), 0.8),
     (re.compile(r"(?<![\w.+-])\d{3}([-.])\d{3}\1\d{4}(?!\w|[-.]\d)"), 0.7),
     (re.compile(r"(?<![\w.+/-])0\d{2,4}[/ ]\d{5,8}(?!\w|[-.]\d)"), 0.6),
+    (re.compile(r"(?<![\w.+/-])0\d{2,4} \d{3,4} \d{3,4}(?!\w|[-.]\d)"), 0.6),
     (re.compile(r"(?<![\w.+/-])555-\d{4}(?!\w|[-.]\d)"), 0.6),
     (re.compile(r"(?<![\w.+/-])\d{3}-\d{4}(?!\w|[-.]\d)"), 0.35),
     (re.compile(r"(?<![\w.+/#-])1[2-9]\d{2}[2-9]\d{6}(?!\w|[-.]\d)"), 0.45),
@@ -71,11 +76,18 @@ IDS = [
     (re.compile(r"(?<![\w.-])P<\d{6,9}(?![\w<-])"), "passport", 0.8),
     (re.compile(r"(?<![\w.#-])[A-Z]{1,2}\d{7,8}(?![\w-])"), "passport", 0.6),
     (re.compile(r"(?<![\w.#-])\d{9}(?![\w-])"), "digits", 0.2),
+    (re.compile(r"(?<![\w.#+-])[12] ?\d{2} ?\d{2} ?\d{2} ?\d{3} ?\d{3} ?\d{2}(?![\w-])"), "nir", 0.1),
+    (re.compile(r"(?<![\w.#+-])\d{11}(?![\w-])"), "pesel", 0.1),
+    (re.compile(r"(?<![\w.#+-])\d{6}[-+]\d{4}(?![\w-])"), "personnummer", 0.1),
+    (re.compile(r"(?<![\w.#+-])\d{3}([ -])\d{3}\1\d{3}(?![\w-]|[ ]\d)"), "sin", 0.1),
+    (re.compile(r"(?<![\w.#-])[A-Z]{6}\d{2}[A-EHLMPRST]\d{2}[A-Z]\d{3}[A-Z](?![\w-])"), "codice", 0.3),
 ]
 STREETS = [
     re.compile(r"(?<![\w-])(?:(?:Flat|Apt\.?|Apartment|Unit|Suite) \d+[a-z]?, ?)?\d{1,4}(?: ?[a-d])? (?:(?:St\.|[A-Z][\w'’]*) ){1,3}(?:Street|Road|Avenue|Lane|Way|Close|Crescent|Terrace|Drive|Court|Square|Place|Gardens|St|Rd|Ave|Ln|Dr)\b(?:\.(?=,))?(?:, ?(?:Flat|Apt\.?|Apartment|Unit|Suite|Floor) ?\d+[a-z]?)?"),
     re.compile(r"(?<![\w-])\d{1,4}(?: ?(?:bis|ter|quater))?, ?(?:rue|avenue|impasse|boulevard|bd|place|allée|chemin|quai|cours|passage|route|square)(?: (?:de la|de l['’]|du|des|de|d['’]))?(?: ?(?-i:[^\W\d_a-zà-öø-ÿ])[\w'’-]*){1,3}", re.I),
     re.compile(r"(?<![\w-])(?:Calle|Plaza|Avenida|Avda\.|Paseo|Camino|Ronda|Carrera|C/)(?: (?:de la|de los|de las|del|de|el|la))?(?: (?-i:[^\W\d_a-zà-öø-ÿ])[\w'’-]*){1,3},? \d{1,4}(?:, ?\d{1,2} ?[ºª°](?: ?[A-Z]\b)?)?", re.I),
+    re.compile(r"(?<![\w-])(?:Via|Viale|Piazza|Piazzale|Corso|Largo|Vicolo|Rua|Travessa|Praça|Avenida|ulica|ul\.|aleja|al\.)(?: (?:del|della|dei|di|da|do|dos|das|de))?(?: (?-i:[^\W\d_a-zà-öø-ÿ])[\w'’-]*){1,3},? \d{1,4}(?:[/ ]?[a-dA-D]\b|/\d{1,3})?", re.I),
+    re.compile(r"(?<![\w-])[A-ZÅÄÖØÆ][\w-]*(?:straat|laan|gracht|plein|gatan|gata|vägen|veien|vej|gade|katu|tie) \d{1,4}(?: ?[a-dA-D]\b)?"),
     re.compile(r"(?<![\w-])(?:(?:Am|An der|Im|Auf dem|Auf der|Zum|Zur|In der) [A-ZÄÖÜ][\wäöüß-]+|[A-ZÄÖÜ][\wäöüß-]*(?:straße|strasse|str\.|allee|weg|platz|ring|gasse|ufer|damm)|[A-ZÄÖÜ][\wäöüß-]+er (?:Weg|Straße|Str\.|Platz|Allee|Ring|Damm|Ufer)) \d{1,4}(?: ?[a-d]\b)?", re.I),
 ]
 WORD = re.compile(r"[^\W\d_](?:[\w]|['’-](?=[^\W\d_]))*")
@@ -87,21 +99,62 @@ def _fold(w: str) -> str:
     return w.lower().translate(_FOLD)
 
 
-_GIVEN = {_fold(g) for g in GIVEN}
-_SHORT = {s for forms in NICKNAMES.values() for s in forms} | {"mei", "anne", "jean"}
-_COMPOUND = {g.replace("-", "") for g in _GIVEN if "-" in g}
-_GIVEN |= _COMPOUND
-_KNOWN = _GIVEN | _SHORT | {x for g in GIVEN for x in (g, g.replace("-", ""))} | TITLES
 _ENDINGS = tuple(_fold(e) for e in FAMILY_ENDINGS)
+_GIVEN = {_fold(g) for g in GIVEN} | {_fold(g) for g in NICKNAMES}
+_SHORT = {s for forms in NICKNAMES.values() for s in forms}
+_BITS, _HASHES, _TAILS = 1 << 24, 4, 1 << 16
+#: What a word may be in a name.
+IS_GIVEN, IS_FAMILY, IS_OTHER, IS_SHORT = 1, 2, 4, 8
+
+
+def _slots(word: str, size: int = _BITS) -> list[int]:
+    """The places of a word in a bitmap, by four hashes."""
+    raw = word.encode("utf-8", "ignore")
+    a, b = zlib.crc32(raw), zlib.adler32(raw) * 2654435761 | 1
+    return [(a + i * b) % size for i in range(_HASHES)]
+
+
+class NameModel(dict):
+    """What each folded word may be in a name: bits of IS_GIVEN, IS_FAMILY, IS_OTHER and IS_SHORT."""
+
+    def __init__(self, raw: bytes | None = None):
+        self.bits = self.tails = None
+        if raw:
+            m = np.frombuffer(raw, np.uint8)
+            self.bits = m[: 3 * _BITS // 8].reshape(3, -1)
+            self.tails = m[3 * _BITS // 8 :].view(np.int64).reshape(2, -1)
+
+    def _in(self, role: int, slots: list[int]) -> bool:
+        row = self.bits[role]
+        return all(row[x >> 3] >> (x & 7) & 1 for x in slots)
+
+    def __missing__(self, word: str) -> int:
+        out = IS_GIVEN * (word in _GIVEN) | IS_SHORT * (word in _SHORT) | IS_FAMILY * (len(word) > 4 and word.endswith(_ENDINGS))
+        if self.bits is not None and len(word) > 1:
+            slots = _slots(word)
+            given, family, other = (self._in(i, slots) for i in range(3))
+            out |= IS_GIVEN * given | IS_FAMILY * family | IS_OTHER * other
+            if not out & IS_FAMILY and len(word) > 4:
+                out |= IS_FAMILY * any(self._tail(word[-n:]) for n in (4, 3, 5) if len(word) > n + 1)
+        if len(self) > 500_000:
+            self.clear()
+        self[word] = out
+        return out
+
+    def _tail(self, end: str) -> bool:
+        """Whether three times as many family names as other words end so."""
+        i = zlib.crc32(end.encode("utf-8", "ignore")) % _TAILS
+        family, other = int(self.tails[0, i]), int(self.tails[1, i])
+        return family >= 8 and family >= 3 * other
 
 
 # What a text must have for the fuller search to find anything.
 _PLAIN_WORD = re.compile(r"[^\W\d_][\w'’-]*")
 _INITIAL = re.compile(r"(?<![\w'’])(?:(?![IA] )[^\W\d_a-zß-öø-ÿ](?:\. ?| )|[^\W\d_]\. )[^\W\d_]{3}")
 _DIGIT = re.compile(r"\d")
-_DIGITS = re.compile(r"\d(?:[ ()./-]{0,3}\d){5}")
+_DIGITS = re.compile(r"\d(?:[ ()./-]{0,3}\d){5}|\d{2}[A-Z]\d{2}[A-Z]\d{3}")
 _STREET_PREFIXES = ("Am ", "An der", "Im ", "Auf d", "Zum ", "Zur ", "In der")
-_STREET_WORDS = ("street", "road", "avenue", "lane", "way", "close", "crescent", "terrace", "drive", "court", "square", "place", "garden", " st", " rd", " ave", " ln", " dr", "rue", "impasse", "boulevard", "bd", "allée", "chemin", "quai", "cours", "passage", "route", "calle", "plaza", "avenida", "avda", "paseo", "camino", "ronda", "carrera", "c/", "straße", "strasse", "str.", "allee", "weg", "platz", "ring", "gasse", "ufer", "damm")
+_STREET_WORDS = ("street", "road", "avenue", "lane", "way", "close", "crescent", "terrace", "drive", "court", "square", "place", "garden", " st", " rd", " ave", " ln", " dr", "rue", "impasse", "boulevard", "bd", "allée", "chemin", "quai", "cours", "passage", "route", "calle", "plaza", "avenida", "avda", "paseo", "camino", "ronda", "carrera", "c/", "straße", "strasse", "str.", "allee", "weg", "platz", "ring", "gasse", "ufer", "damm", "via", "piazza", "corso", "largo", "vicolo", "rua", "travessa", "praça", "ulica", "ul.", "aleja", "al.", "straat", "laan", "gracht", "plein", "gata", "vägen", "veien", "vej", "gade", "katu", "tie")
 
 
 def luhn(digits: str) -> bool:
@@ -120,6 +173,34 @@ def dni(number: str) -> bool:
     return "TRWAGMYFPDXBNJZSQVHLCKE"[int(digits) % 23] == n[-1]
 
 
+def luhn10(number: str) -> bool:
+    """Luhn of nine or ten digits."""
+    ds = [int(c) for c in number if c.isdigit()]
+    return sum(d if i % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d) for i, d in enumerate(reversed(ds))) % 10 == 0
+
+
+def nir(number: str) -> bool:
+    n = number.replace(" ", "")
+    return 97 - int(n[:13]) % 97 == int(n[13:])
+
+
+def pesel(number: str) -> bool:
+    ds = list(map(int, number))
+    return sum(w * d for w, d in zip((1, 3, 7, 9, 1, 3, 7, 9, 1, 3, 1), ds, strict=True)) % 10 == 0 and 1 <= int(number[2:4]) % 20 <= 12 and 1 <= int(number[4:6]) <= 31
+
+
+# What a sign in an odd place counts, 0 to 9 and A to Z alike by their order.
+_ODD = [1, 0, 5, 7, 9, 13, 15, 17, 19, 21, 2, 4, 18, 20, 11, 3, 6, 8, 12, 14, 16, 10, 22, 25, 24, 23]
+
+
+def codice(number: str) -> bool:
+    order = [int(c) if c.isdigit() else ord(c) - 65 for c in number]
+    return sum(_ODD[v] if i % 2 == 0 else v for i, v in enumerate(order[:15])) % 26 == order[15]
+
+
+#: Sorts of numbers with a check that confirms them.
+CHECKED = {"dni": dni, "nie": dni, "nir": nir, "pesel": pesel, "personnummer": luhn10, "sin": luhn10, "codice": codice}
+
 _ACCOUNT = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
 _CARD = re.compile(r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?!\w)")
 
@@ -136,18 +217,17 @@ def _numbers(text: str) -> list[tuple[int, int, str, float]]:
         for m in p.finditer(text):
             before = text[max(0, m.start() - 40) : m.start()]
             s = score + 0.35 * bool(ID_BEFORE.search(before)) - 0.6 * bool(OTHER_NUMBER.search(before))
-            if sort in ("dni", "nie"):
-                s += 0.4 if dni(m[0]) else -0.1
+            if sort in CHECKED:
+                s += 0.4 if CHECKED[sort](m[0]) else -0.1
             out.append((*m.span(), "id_number", s))
     return [x for x in out if x[3] > 0.75 and x[2] == "phone" or not any(a <= x[0] and x[1] <= b for a, b in no)]
 
 
-def _family(word: str, strict: bool) -> bool:
-    """Whether a word can be a family name: by its capital, or, where there is none, by its ending."""
-    parts = word.split("-")
-    if all(_fold(p).endswith(_ENDINGS) and len(p) > 3 for p in parts):
+def _family(word: str, strict: bool, model: NameModel) -> bool:
+    """Whether a word can be a family name: by the model, or, where that isn't asked for, by its capital."""
+    if all(model[_fold(p)] & IS_FAMILY for p in word.split("-")):
         return True
-    return not strict and word[0].isupper() and len(word) > 2 and _fold(word) not in _GIVEN
+    return not strict and word[0].isupper() and len(word) > 2 and not model[_fold(word)] & IS_GIVEN
 
 
 _BEFORE = TITLES | PERSON_BEFORE | NAME_BEFORE
@@ -157,8 +237,8 @@ _LAST_WORD = re.compile(r"([^\W\d_][\w'’]*)[.,:]?\s{1,2}$")
 _NEXT_WORD = re.compile(r"[ ,]{1,2}([^\W\d_][\w'’]*)")
 
 
-def _runs(text: str, known: dict[str, bool]) -> list[tuple[int, int, str, float]]:
-    """Runs of capitalised words of any vocabulary, scored by what stands around them. known: folded names, whether of a person."""
+def _runs(text: str, model: NameModel) -> list[tuple[int, int, str, float]]:
+    """Runs of capitalised words of any vocabulary, scored by the model and by what stands around them."""
     out = []
     for m in _RUN.finditer(text):
         ws = [(m.start() + x.start(), m.start() + x.end(), x[0]) for x in WORD.finditer(m[0])]
@@ -172,47 +252,53 @@ def _runs(text: str, known: dict[str, bool]) -> list[tuple[int, int, str, float]
             if text[a[1] : b[0]] == ". " and len(a[2]) > 1:
                 ws = ws[:part]
                 break
-        if not 2 <= len(ws) <= 4 or not all(w[0].isupper() for _, _, w in ws) or len(ws[-1][2]) < 2 or any(len(w) > 1 and w.isupper() for _, _, w in ws) or any(_fold(w) in NO_PERSON or _sentence(w) for _, _, w in ws):
+        if not 2 <= len(ws) <= 4 or not all(w[0].isupper() for _, _, w in ws) or len(ws[-1][2]) < 2 or any(len(w) > 1 and w.isupper() for _, _, w in ws):
             continue
-        person = known.get(" ".join(_fold(w) for _, _, w in ws))
-        if person is False:
+        is_ = [model[_fold(w)] for _, _, w in ws]
+        if any(_fold(w) in NO_PERSON or _sentence(w) or k & IS_OTHER and not k & (IS_GIVEN | IS_FAMILY) for (_, _, w), k in zip(ws, is_, strict=True)):
             continue
         behind = _NEXT_WORD.match(text, ws[-1][1])
         after = behind[1].lower() if behind else ""
-        score = 0.15 + 0.55 * (cue in TITLES) + 0.35 * (cue in PERSON_BEFORE) + 0.1 * (cue in NAME_BEFORE) + 0.35 * (after in PERSON_BEHIND) + 0.1 * (after in NAME_BEHIND) + 0.4 * bool(person) + 0.15 * (_fold(ws[0][2]) in _GIVEN)
+        given, family = any(k & (IS_GIVEN | IS_SHORT) for k in is_[:1]), bool(is_[-1] & IS_FAMILY)
+        score = 0.15 + 0.55 * (cue in TITLES) + 0.35 * (cue in PERSON_BEFORE) + 0.1 * (cue in NAME_BEFORE) + 0.35 * (after in PERSON_BEHIND) + 0.1 * (after in NAME_BEHIND) + 0.35 * given + 0.1 * family + 0.25 * (given and family)
         out.append((ws[0][0], ws[-1][1], "person_name", score))
     return out
 
 
-def _known(text: str, known: dict[str, bool]) -> list[tuple[int, int, str, float]]:
-    """Known persons' names in whatever case."""
-    persons = {n for n, person in known.items() if person}
-    if not persons:
-        return []
-    low = _fold(text)
-    if len(low) != len(text):  # a letter that folds to two: letter by letter, to keep the positions
-        low = "".join(x if len(x := _fold(c)) == 1 else c for c in text)
-    part = lambda at: 0 <= at < len(low) and (low[at].isalnum() or low[at] in "_-'’@")
-    out = []
-    for n in persons:
-        at = low.find(n)
-        while at >= 0:
-            if not part(at - 1) and not (part(at + len(n)) and (low[at + len(n)] not in "'’" or part(at + len(n) + 1) and low[at + len(n) + 1] != "s")):
-                out.append((at, at + len(n), "person_name", 0.6))
-            at = low.find(n, at + 1)
-    return out
+class _Taken:
+    """Spans that don't overlap, kept in order."""
 
+    def __init__(self):
+        self.starts: list[int] = []
+        self.spans: list[tuple] = []
+
+    def add(self, x: tuple) -> bool:
+        """Takes a span unless it overlaps one that is taken."""
+        i = bisect.bisect_left(self.starts, x[1])
+        if i and self.spans[i - 1][1] > x[0]:
+            return False
+        self.starts.insert(i, x[0])
+        self.spans.insert(i, x)
+        return True
 
-def _names(text: str, known: dict[str, bool] | None = None) -> list[tuple[int, int, str, float]]:
-    known = known or {}
-    listed = _listed(text)
-    sure = [x for x in listed if x[3] >= THRESHOLD]
-    return listed + [x for x in _runs(text, known) + _known(text, known) if all(x[1] <= y[0] or y[1] <= x[0] for y in sure)]
+    def hits(self, x: tuple) -> bool:
+        i = bisect.bisect_left(self.starts, x[1])
+        return bool(i) and self.spans[i - 1][1] > x[0]
 
 
-def _listed(text: str) -> list[tuple[int, int, str, float]]:
-    """Names with a listed given name, an initial or a title."""
-    if _KNOWN.isdisjoint(_PLAIN_WORD.findall(text.lower().translate(_FOLD))) and not _INITIAL.search(text):
+def _names(text: str, model: NameModel) -> list[tuple[int, int, str, float]]:
+    listed = _listed(text, model)
+    sure = _Taken()
+    for x in listed:
+        if x[3] >= THRESHOLD:
+            sure.add(x)
+    return listed + [x for x in _runs(text, model) if not sure.hits(x)]
+
+
+def _listed(text: str, model: NameModel) -> list[tuple[int, int, str, float]]:
+    """Names with a word that the model knows as a given name, with an initial or with a title."""
+    plain = set(_PLAIN_WORD.findall(_fold(text)))
+    if TITLES.isdisjoint(plain) and not any(model[w] & (IS_GIVEN | IS_SHORT) for w in plain) and not _INITIAL.search(text):
         return []
     words = [(m.start(), m.end(), m[0]) for m in WORD.finditer(text)]
     out: list[tuple[int, int, str, float]] = []
@@ -225,8 +311,8 @@ def _listed(text: str) -> list[tuple[int, int, str, float]]:
         """0, 1 for a short form, 2 for a full given name."""
         if j >= n:
             return 0
-        f = _fold(words[j][2])
-        return 2 if f in _GIVEN else 1 if f in _SHORT else 0
+        k = model[_fold(words[j][2])]
+        return 2 if k & IS_GIVEN else 1 if k & IS_SHORT else 0
 
     def initial(j: int) -> bool:
         return j < n and len(words[j][2]) == 1 and words[j][2] not in "Iay" or (j < n and len(words[j][2]) == 1 and text[words[j][1] : words[j][1] + 1] == ".")
@@ -243,7 +329,7 @@ def _listed(text: str) -> list[tuple[int, int, str, float]]:
             continue
         g = given(i)
         # Family, Given or Family, I.
-        if i + 1 < n and gap(i, i + 1) in (", ", ",") and not g and not _sentence(w) and (given(i + 1) or (initial(i + 1) and text[words[i + 1][1] : words[i + 1][1] + 1] == ".")) and _family(w, strict=not (w[0].isupper() and (i and words[i - 1][2].lower() in NAME_BEFORE))):
+        if i + 1 < n and gap(i, i + 1) in (", ", ",") and not g and not _sentence(w) and (given(i + 1) or (initial(i + 1) and text[words[i + 1][1] : words[i + 1][1] + 1] == ".")) and _family(w, model=model, strict=not (w[0].isupper() and (i and words[i - 1][2].lower() in NAME_BEFORE))):
             j = i + 1
             end = words[j][1]
             if initial(j):
@@ -256,17 +342,17 @@ def _listed(text: str) -> list[tuple[int, int, str, float]]:
             continue
         if g:
             j, end, score = i, e, 0.0
-            if j + 1 < n and gap(j, j + 1) == " " and _fold(w) + _fold(words[j + 1][2]) in _COMPOUND:
+            if j + 1 < n and gap(j, j + 1) == " " and len(words[j + 1][2]) > 1 and model[_fold(w) + _fold(words[j + 1][2])] & IS_GIVEN:
                 j, g = j + 1, 2
                 end = words[j][1]
             k = j + 1
             if k < n and gap(j, k) == " " and initial(k) and words[k][2].isupper() and text[words[k][1] : words[k][1] + 2] == ". ":
                 k += 1
-            elif k + 1 < n and gap(j, k) == " " and initial(k) and words[k][2].isupper() and gap(k, k + 1) == " " and _family(words[k + 1][2], strict=True):
+            elif k + 1 < n and gap(j, k) == " " and initial(k) and words[k][2].isupper() and gap(k, k + 1) == " " and _family(words[k + 1][2], model=model, strict=True):
                 k += 1
             ok = k < n and (gap(k - 1, k) in (" ", ". ") if k > j + 1 else gap(j, k) == " " or (gap(j, k) == ". " and g == 1))
-            if ok and _family(words[k][2], strict=not (w[0].isupper() and g == 2)) and not (words[k][2][0].isupper() and _sentence(words[k][2])):
-                score = 0.8 if _family(words[k][2], strict=True) else 0.55
+            if ok and _family(words[k][2], model=model, strict=not (w[0].isupper() and g == 2)) and not (words[k][2][0].isupper() and _sentence(words[k][2])):
+                score = 0.8 if _family(words[k][2], model=model, strict=True) else 0.55
                 j, end = k, words[k][1]
             elif g == 2 and w[0].isupper():
                 score = 0.5
@@ -285,12 +371,12 @@ def _listed(text: str) -> list[tuple[int, int, str, float]]:
             if (dotted or gap(i, j) == " ") and w.isupper() and initial(j) and j + 1 < n and gap(j, j + 1) in (". ", " "):
                 j += 1  # two initials
                 dotted = True
-            if gap(j - 1, j) in (". ", " ", ".") and _family(words[j][2], strict=True) and (dotted or w.isupper()) and not given(j):
+            if gap(j - 1, j) in (". ", " ", ".") and _family(words[j][2], model=model, strict=True) and (dotted or w.isupper()) and not given(j):
                 out.append((s, words[j][1], "person_name", 0.6 + cue(i, j)))
                 i = j + 1
                 continue
         # A family name alone, behind a title
-        if i and words[i - 1][2].lower() in TITLES and w[0].isupper() and gap(i - 1, i) in (". ", " ") and _family(w, strict=False):
+        if i and words[i - 1][2].lower() in TITLES and w[0].isupper() and gap(i - 1, i) in (". ", " ") and _family(w, model=model, strict=False):
             j = i
             while j + 1 < n and j < i + 2 and gap(j, j + 1) == " " and len(words[j + 1][2]) > 1 and words[j + 1][2][0].isupper() and _fold(words[j + 1][2]) not in NO_PERSON and not _sentence(words[j + 1][2]):
                 j += 1
@@ -308,7 +394,10 @@ def _sentence(word: str) -> bool:
     return word.lower() in _STARTERS or word.lower().replace("’", "'") in _STARTERS
 
 
-def spans(text: str | None, known: dict[str, bool] | None = None) -> list[tuple[int, int, str]]:
+_PLAIN = NameModel()
+
+
+def spans(text: str | None, model: NameModel = _PLAIN) -> list[tuple[int, int, str]]:
     """start, end, kind of each piece, in order."""
     if not text:
         return []
@@ -322,121 +411,100 @@ def spans(text: str | None, known: dict[str, bool] | None = None) -> list[tuple[
                 found += [(*m.span(), "street_address", 0.95) for m in p.finditer(text)]
         if _DIGITS.search(text):
             found += _numbers(text)
-    found += _names(text, known)
-    found = sorted((x for x in found if x[3] >= THRESHOLD), key=lambda x: (x[2] == "person_name", -x[3], x[0] - x[1]))
-    kept: list[tuple[int, int, str, float]] = []
-    for x in found:
-        if all(x[1] <= k[0] or k[1] <= x[0] for k in kept):
-            kept.append(x)
-    return sorted((a, b, k) for a, b, k, _ in kept)
+    found += _names(text, model)
+    kept = _Taken()
+    for x in sorted((x for x in found if x[3] >= THRESHOLD), key=lambda x: (x[2] == "person_name", -x[3], x[0] - x[1])):
+        kept.add(x)
+    return [x[:3] for x in kept.spans]
 
 
-def redact(text: str | None, known: dict[str, bool] | None = None) -> str | None:
+def redact(text: str | None, model: NameModel = _PLAIN) -> str | None:
     """text with [KIND] in place of each piece."""
     if text is None:
         return None
     out, at = [], 0
-    for a, b, kind in spans(text, known):
+    for a, b, kind in spans(text, model):
         out += [text[at:a], f"[{kind.upper()}]"]
         at = b
     return "".join(out) + text[at:]
 
 
-BITS = 1 << 22
-
-
-def known_names(entities: DataFrame) -> DataFrame:
-    """name (folded, given name first), person (whether most of its entities are) of each name of two to four words."""
+def name_words(entities: DataFrame) -> DataFrame:
+    """word, given, family, other: how often each folded word stands in front or at the end of persons' names, or in other names."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for name, kind in zip(b["name"], b["entity_type"], strict=True):
                 family, comma, rest = name.partition(",")
-                ws = [_fold(w) for w in WORD.findall(f"{rest} {family}" if comma else name)]
-                if 2 <= len(ws) <= 4 and all(len(w) > 2 for w in ws) and not any(w in TITLES or _sentence(w) for w in ws):
-                    rows.append((" ".join(ws), 1 if kind == "person" else -1))
-            yield pd.DataFrame(rows, columns=["name", "vote"])
+                ws = [w for w in (_fold(w) for w in WORD.findall(f"{rest} {family}" if comma else name)) if w not in TITLES]
+                if kind != "person":
+                    rows += [(w, 0, 0, 1) for w in ws if len(w) > 1]
+                elif ws not in (["user"], ["assistant"]) and len(ws) <= 4 and not any(w in NO_PERSON or _sentence(w) for w in ws):
+                    rows += [(ws[0], 1, 0, 0)] if ws and len(ws[0]) > 1 else []
+                    rows += [(ws[-1], 0, 1, 0)] if len(ws) > 1 and len(ws[-1]) > 1 else []
+            yield pd.DataFrame(rows, columns=["word", "given", "family", "other"])
 
     e = entities.where("name is not null and entity_type is not null").select("name", "entity_type")
-    return e.mapInPandas(run, "name string, vote int").groupBy("name").agg((F.sum("vote") > 0).alias("person"))
+    return e.mapInPandas(run, "word string, given bigint, family bigint, other bigint").groupBy("word").agg(*[F.sum(c).alias(c) for c in ("given", "family", "other")])
 
 
-def name_words(known: DataFrame) -> bytes:
-    """A bitmap of the words of all known names: BITS bits, however many names there are."""
+def learned(words: DataFrame) -> bytes:
+    """The model of name_words, of one size for any number of words: parts made on the executors meet in a tree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(BITS, bool)
+        bits, tails = np.zeros((3, _BITS // 8), np.uint8), np.zeros((2, _TAILS), np.int64)
         for b in batches:
-            for name in b.column("name").to_pylist():
-                for w in name.split(" "):
-                    bits[zlib.crc32(w.encode()) % BITS] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], ["bits"])
-
-    parts = known.select("name").coalesce(known.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, "bits binary")
-    return parts.rdd.map(lambda r: bytes(r[0])).treeReduce(lambda a, b: (np.frombuffer(a, np.uint8) | np.frombuffer(b, np.uint8)).tobytes())
-
-
-class _Flags(dict):
-    """Whether a word may stand in a known name."""
+            for w, given, family, other in zip(*(b.column(c).to_pylist() for c in ("word", "given", "family", "other")), strict=True):
+                roles = [given > other and given >= family, family > other and family >= given, other > 0]
+                for x in _slots(w):
+                    for i, yes in enumerate(roles):
+                        if yes:
+                            bits[i, x >> 3] |= 1 << (x & 7)
+                for n in (3, 4, 5):
+                    if len(w) > n + 1:
+                        tails[0 if roles[1] else 1, zlib.crc32(w[-n:].encode("utf-8", "ignore")) % _TAILS] += 1
+        yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes() + tails.tobytes()], pa.binary())], ["model"])
 
-    def __init__(self, bits: bytes):
-        self.bits = np.unpackbits(np.frombuffer(bits, np.uint8)).astype(bool)
-
-    def __missing__(self, word: str) -> bool:
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = r = bool(self.bits[zlib.crc32(word.encode("utf-8", "ignore")) % BITS])
-        return r
-
-
-def with_known(texts: DataFrame, entities: DataFrame | None) -> DataFrame:
-    """texts with known, the known names in each, by an exact join: a line each, with + before persons and - before others."""
-    if entities is None:
-        return texts.withColumn("known", F.lit(None).cast("string"))
-    known = written(known_names(entities), "names")
-    bits = texts.sparkSession.sparkContext.broadcast(name_words(known))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        flags = _Flags(bits.value)
-        for b in batches:
-            rows = []
-            for o, r, t in zip(b["origin"], b["record_id"], b["text"], strict=True):
-                ws = WORD.findall(_fold(t))
-                may = list(map(flags.__getitem__, ws))
-                if sum(may) > 1:
-                    seen = {" ".join(ws[i : i + n]) for i in range(len(ws) - 1) if may[i] and may[i + 1] for n in (2, 3, 4) if i + n <= len(ws) and all(may[i : i + n])}
-                    rows += [(o, r, x) for x in seen]
-            yield pd.DataFrame(rows, columns=["origin", "record_id", "name"])
+    def both(a: bytes, b: bytes) -> bytes:
+        n = 3 * _BITS // 8
+        x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+        return (x[:n] | y[:n]).tobytes() + (x[n:].view(np.int64) + y[n:].view(np.int64)).tobytes()
 
-    c = texts.where("text <> ''").mapInPandas(run, "origin string, record_id bigint, name string").join(known, "name")
-    c = c.groupBy("origin", "record_id").agg(F.array_join(F.collect_set(F.concat(F.when(F.col("person"), "+").otherwise("-"), "name")), "\n").alias("known"))  # the names in one text
-    return texts.join(c, ["origin", "record_id"], "left")
+    parts = words.coalesce(words.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, "model binary")
+    rdd = parts.rdd.map(lambda r: bytes(r[0]))
+    return rdd.treeReduce(both) if rdd.getNumPartitions() else b""
 
 
-def _dict(known: str | None) -> dict[str, bool]:
-    return {x[1:]: x[0] == "+" for x in known.split("\n")} if isinstance(known, str) else {}
+def _model(texts: DataFrame, entities: DataFrame | None):
+    """A function that gives each worker the model: of entities, or the general one."""
+    held = None if entities is None else texts.sparkSession.sparkContext.broadcast(learned(name_words(entities)))
+    return lambda: NameModel(None if held is None else held.value)
 
 
 def found(texts: DataFrame, entities: DataFrame | None = None) -> DataFrame:
     """origin, record_id, start_at, end_at, kind of each piece in texts (origin, record_id, text). entities: name, entity_type."""
+    made = _model(texts, entities)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = made()
         for b in batches:
-            rows = [(o, r, *x) for o, r, t, k in zip(b["origin"], b["record_id"], b["text"], b["known"], strict=True) for x in spans(t, _dict(k))]
+            rows = [(o, r, *x) for o, r, t in zip(b["origin"], b["record_id"], b["text"], strict=True) for x in spans(t, model)]
             yield pd.DataFrame(rows, columns=["origin", "record_id", "start_at", "end_at", "kind"])
 
-    return with_known(texts.where("text <> ''"), entities).mapInPandas(run, "origin string, record_id bigint, start_at int, end_at int, kind string")
+    return texts.where("text <> ''").mapInPandas(run, "origin string, record_id bigint, start_at int, end_at int, kind string")
 
 
 def redacted(texts: DataFrame, entities: DataFrame | None = None) -> DataFrame:
     """origin, record_id, text with placeholders."""
+    made = _model(texts, entities)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = made()
         for b in batches:
-            yield b.assign(text=[redact(t, _dict(k)) for t, k in zip(b["text"], b["known"], strict=True)]).drop(columns="known")
+            yield b.assign(text=[redact(t, model) for t in b["text"]])
 
-    return with_known(texts, entities).mapInPandas(run, "origin string, record_id bigint, text string")
+    return texts.select("origin", "record_id", "text").mapInPandas(run, "origin string, record_id bigint, text string")
 
 
 def texts(turns: DataFrame, facts: DataFrame) -> DataFrame:
