@@ -2,14 +2,17 @@
 
 Documents and items are cut into overlapping passages of words. Words are hashed into FEATURES dimensions and weighted by TF-IDF,
 whose counts cover all documents. A randomised SVD of the passage matrix is computed by passes over the corpus: each partition
-adds its part of A'(AQ), a matrix whose size doesn't depend on the corpus, and the parts meet in a tree. Passages and items are
-projected on the leading directions, and pairs of a cosine of COSINE or more are candidates. They are then read: the longest
-common run of words settles verbatim leaks, the longest common subsequence tells paraphrases.
+adds its part of A'(AQ), a matrix whose size doesn't depend on the corpus, and the parts meet in a tree; the eigenvectors of the
+small matrix Q'A'AQ order the directions, of which RANK are kept. Passages and items are projected on them, and a document and an
+item with passages of a cosine of COSINE or more are a candidate pair. Candidates are then read where their passages met:
 
-Any run of 12 words lies within one passage of 24 words taken every 12, and within one item passage of 16 words taken every 4,
-so a leaked run always makes a pair of passages that share it. Where rarer words around a run keep their cosine low, the run is
-found all the same: hashes of all runs of the items are held, and every run of a document is looked up among them. The items are the stated query set (a few hundred, held out, not
-growing): they alone are broadcast, and the corpus is read against them in blocks, without a shuffle.
+- verbatim: an index of all runs of RUN words of the items is held against the document's runs, and the words themselves are
+  compared where hashes agree. Pairs below the cosine whose runs agree are found all the same, so that the cosine loses none;
+- paraphrase: the longest common subsequence of the item and the stretch of the document that met it must hold ALIKE_ORDER of the
+  item's words, and the answer check wants ANSWERED of the item's weight there: its names, numbers and other rare words, which
+  carry the answer, count by their inverse frequency.
+
+The items are the stated query set: they are broadcast, BLOCK at a time, and the corpus is read against them without a shuffle.
 
 Words are runs of letters and digits of the NFKC form, without case and without characters that do not show. Null, empty and
 short texts leak nothing; repeated documents are reported each.
@@ -18,6 +21,7 @@ short texts leak nothing; repeated documents are reported each.
 from __future__ import annotations
 
 import pickle
+import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -30,31 +34,38 @@ from pyspark.sql import functions as F
 
 from factloom.session import ship, spread, written
 
-FEATURES, RANK, MORE, ROUNDS, SEED = 1 << 14, 128, 8, 2, 7
+FEATURES, RANK, MORE, ROUNDS, SEED = 1 << 14, 64, 16, 2, 7
 COSINE, RUN = 0.45, 12
-WIDTH, STRIDE, ITEM_WIDTH, ITEM_STRIDE = 24, 12, 16, 4
+WIDTH, STRIDE = 24, 12
+#: A paraphrase has this cosine, this share of the item's words in the same order, and this share of the item's weight.
+ALIKE_COSINE, ALIKE_ORDER, ANSWERED = 0.7, 0.6, 0.6
+#: Items broadcast at a time.
+BLOCK = 20_000
 
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 _HIDDEN = regex.compile(r"[\p{Cf}\p{Cc}--[\t\n\v\f\r\x85]]|[︀-️]", regex.V1)
+_ASCII = re.compile(r"[a-z0-9]+")
+_CONTROL = dict.fromkeys(i for i in [*range(32), 127] if chr(i) not in "\t\n\v\f\r")
 
 
 def words(text: str | None) -> list[str]:
     t = text or ""
-    if not t.isascii():
-        t = unicodedata.normalize("NFKC", t)
-    return _WORD.findall(_HIDDEN.sub("", t).casefold())
+    if t.isascii():
+        return _ASCII.findall((t if t.isprintable() else t.translate(_CONTROL)).lower())
+    return _WORD.findall(_HIDDEN.sub("", unicodedata.normalize("NFKC", t)).casefold())
+
+
+class WordIds(dict):
+    """A hash of each word; a cache of bounded size."""
 
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        self[word] = i = zlib.crc32(word.encode("utf-8", "ignore"))
+        return i
 
-def word_ids(text: str | None, cache: dict[str, int]) -> np.ndarray:
-    out = []
-    for w in words(text):
-        i = cache.get(w)
-        if i is None:
-            if len(cache) > 500_000:
-                cache.clear()
-            i = cache[w] = zlib.crc32(w.encode())
-        out.append(i)
-    return np.array(out, np.uint32)
+    def of(self, text: str | None) -> np.ndarray:
+        return np.array(list(map(self.__getitem__, words(text))), np.uint32)
 
 
 def passages(ids: np.ndarray, width: int, stride: int) -> list[np.ndarray]:
@@ -63,11 +74,18 @@ def passages(ids: np.ndarray, width: int, stride: int) -> list[np.ndarray]:
     return [ids[i : i + width] for i in range(0, max(n - width + stride, 1), stride)] if n >= RUN else []
 
 
+def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys and how often each occurs."""
+    keys = np.sort(keys)
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+    return keys[first], np.diff(np.append(first, len(keys)))
+
+
 def sparse(parts: list[np.ndarray], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Normalised TF-IDF rows: features, weights, and where each row begins."""
     rows = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
     key = rows * FEATURES + np.concatenate(parts).astype(np.int64) % FEATURES
-    u, c = np.unique(key, return_counts=True)
+    u, c = counted(key)
     row, feature = u // FEATURES, u % FEATURES
     w = (c * idf[feature]).astype(np.float32)
     begin = np.searchsorted(row, np.arange(len(parts)))
@@ -109,9 +127,9 @@ def tokenised(documents: DataFrame) -> DataFrame:
     """doc_id, ids (the words' hashes as bytes) of each document with at least one run's words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, int] = {}
+        ids = WordIds()
         for b in batches:
-            rows = [(i, v.tobytes()) for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True) if len(v := word_ids(t, cache)) >= RUN]
+            rows = [(i, v.tobytes()) for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True) if len(v := ids.of(t)) >= RUN]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["doc_id", "ids"])
 
     return spread(documents.select("doc_id", "text").where("text is not null and doc_id is not null")).mapInArrow(run, "doc_id bigint, ids binary")
@@ -132,8 +150,9 @@ def inverse_frequency(corpus: DataFrame) -> np.ndarray:
             for _, texts in _batches(b):
                 parts = [p for t in texts for p in passages(t, WIDTH, WIDTH)]
                 n += len(parts)
-                for p in parts:
-                    df[np.unique(p % FEATURES)] += 1
+                rows = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+                u, _ = counted(rows * FEATURES + np.concatenate(parts).astype(np.int64) % FEATURES)
+                df += np.bincount(u % FEATURES, minlength=FEATURES)
         hit = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(hit, -1)), pa.array(np.append(df[hit], n))], ["feature", "n"])
 
@@ -169,7 +188,11 @@ def directions(corpus: DataFrame, idf: np.ndarray, rank: int = RANK) -> np.ndarr
         parts = corpus.mapInArrow(run, "part binary")
         # One row a partition, all of one size whatever the corpus is; they are added up in a tree.
         total = parts.rdd.map(lambda r: np.frombuffer(bytes(r[0]), np.float32)).treeReduce(lambda a, b: a + b, depth=3)
-        q = np.linalg.qr(total.reshape(FEATURES, -1).astype(np.float64))[0].astype(np.float32)
+        total = total.reshape(FEATURES, -1).astype(np.float64)
+        # The small matrix Q'A'AQ: its eigenvectors order the directions by their singular values before the last are cut off.
+        small = q.T.astype(np.float64) @ total
+        order = np.linalg.eigh((small + small.T) / 2)[1][:, ::-1]
+        q = np.linalg.qr(total @ order)[0].astype(np.float32)
         held.unpersist()
     return q[:, :rank]
 
@@ -188,19 +211,6 @@ def run_hashes(ids: np.ndarray) -> np.ndarray:
     return out
 
 
-def common_run(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether a and b share RUN words in a row."""
-    if len(a) < RUN or len(b) < RUN:
-        return False
-    e1 = a[:, None] == b[None, :]
-    e2 = e1[:-1, :-1] & e1[1:, 1:]
-    e4 = e2[:-2, :-2] & e2[2:, 2:]
-    if not e4.any():
-        return False
-    e8 = e4[:-4, :-4] & e4[4:, 4:]
-    return bool((e8[:-4, :-4] & e4[8:, 8:]).any())
-
-
 def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
     """Words in the longest common subsequence of a and b."""
     row = np.zeros(len(b) + 1, np.int32)
@@ -210,92 +220,133 @@ def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
 
 
 class Items:
-    """The items' words and, block by block, their passages in latent space."""
+    """A block of items: their words, the index of their runs, and their passages in latent space."""
 
     def __init__(self, rows: list[tuple[int, str]], idf: np.ndarray, basis: np.ndarray):
-        cache: dict[str, int] = {}
-        kept = [(i, v) for i, t in rows if len(v := word_ids(t, cache)) >= RUN]
+        ids = WordIds()
+        kept = [(i, v) for i, t in rows if len(v := ids.of(t)) >= RUN]
         self.ids, self.words = [i for i, _ in kept], [v for _, v in kept]
-        parts = [(k, p) for k, v in enumerate(self.words) for p in passages(v, ITEM_WIDTH, ITEM_STRIDE)]
+        self.all = np.concatenate([*self.words, np.zeros(0, np.uint32)])
+        at, runs, of, where = 0, [], [], []
+        for k, v in enumerate(self.words):
+            h = run_hashes(v)
+            runs.append(h)
+            of.append(np.full(len(h), k))
+            where.append(at + np.arange(len(h)))
+            at += len(v)
+        runs, of, where = (np.concatenate([*x, np.zeros(0, t)]) for x, t in ((runs, np.uint64), (of, np.int64), (where, np.int64)))
+        order = np.argsort(runs, kind="stable")
+        self.runs, self.run_of, self.run_at = runs[order], of[order], where[order]
+        parts = [(k, p) for k, v in enumerate(self.words) for p in passages(v, WIDTH, STRIDE)]
         self.of = np.array([k for k, _ in parts], np.int64)
         self.basis, self.idf = basis, idf
-        runs = np.array(sorted({(h, k) for k, v in enumerate(self.words) for h in run_hashes(v).tolist()}), np.uint64).reshape(-1, 2)
-        self.runs, self.run_of = runs[:, 0].copy(), runs[:, 1].astype(np.int64)
         self.latent = unit(times(sparse([p for _, p in parts], idf), basis)) if parts else np.zeros((0, basis.shape[1]), np.float32)
 
-    def sharing(self, ids: np.ndarray) -> set[int]:
-        """The items that have a run of RUN words with these, by hash."""
-        h = np.unique(run_hashes(ids))
-        lo, hi = np.searchsorted(self.runs, h), np.searchsorted(self.runs, h, "right")
-        return {k for a, b in zip(lo[lo < hi].tolist(), hi[lo < hi].tolist(), strict=True) for k in self.run_of[a:b].tolist()}
-
-    def candidates(self, texts: list[np.ndarray]) -> Iterator[tuple[int, int, float]]:
-        """(text, item, cosine) of each pair with passages of a cosine of COSINE or more, or that shares a run."""
+    def verbatim(self, texts: list[np.ndarray]) -> set[tuple[int, int]]:
+        """(text, item) of each pair with RUN words in a row: runs of equal hash, compared word by word."""
+        if not len(self.runs):
+            return set()
+        flat = np.concatenate(texts)
+        of = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+        h = run_hashes(flat)
+        at = np.flatnonzero(of[: len(h)] == of[RUN - 1 :])  # runs within one text
+        lo = np.searchsorted(self.runs, h[at])
+        at, lo = at[(hit := (lo < len(self.runs)) & (self.runs[np.minimum(lo, len(self.runs) - 1)] == h[at]))], lo[hit]
+        out: set[tuple[int, int]] = set()
+        while len(at):
+            same = (flat[at[:, None] + np.arange(RUN)] == self.all[self.run_at[lo][:, None] + np.arange(RUN)]).all(1)
+            out |= set(zip(of[at[same]].tolist(), self.run_of[lo[same]].tolist(), strict=True))
+            more = (lo + 1 < len(self.runs)) & (self.runs[np.minimum(lo + 1, len(self.runs) - 1)] == self.runs[lo])
+            at, lo = at[more], lo[more] + 1
+        return out
+
+    def candidates(self, texts: list[np.ndarray]) -> dict[tuple[int, int], tuple[float, int, int]]:
+        """(text, item) -> cosine, begin and end of the words that met, of each pair with passages of a cosine of COSINE or more."""
         parts = [(k, p) for k, t in enumerate(texts) for p in passages(t, WIDTH, STRIDE)]
         if not parts or not len(self.of):
-            return
+            return {}
         of = np.array([k for k, _ in parts], np.int64)
+        number = np.arange(len(of)) - np.searchsorted(of, of)
         latent = unit(times(sparse([p for _, p in parts], self.idf), self.basis))
-        best: dict[int, float] = {}
-        for a in range(0, len(latent), 1000):
-            cosine = latent[a : a + 1000] @ self.latent.T
+        keys, cosines, numbers = [], [], []
+        for a in range(0, len(latent), 2000):
+            cosine = latent[a : a + 2000] @ self.latent.T
             x, y = np.nonzero(cosine >= COSINE)
-            key = of[x + a] * len(self.ids) + self.of[y]
-            for k, c in zip(key.tolist(), cosine[x, y].tolist(), strict=True):
-                if c > best.get(k, 0):
-                    best[k] = c
-        for t, ids in enumerate(texts):
-            for i in self.sharing(ids):
-                if t * len(self.ids) + i not in best:
-                    best[t * len(self.ids) + i] = float((latent[of == t] @ self.latent[self.of == i].T).max())
-        for k, c in best.items():
-            yield k // len(self.ids), k % len(self.ids), c
-
-
-def prepared(documents: DataFrame, items: DataFrame) -> tuple[DataFrame, Items]:
+            keys.append(of[x + a] * len(self.ids) + self.of[y])
+            cosines.append(cosine[x, y])
+            numbers.append(number[x + a])
+        key, cosine, number = np.concatenate(keys), np.concatenate(cosines), np.concatenate(numbers)
+        if not len(key):
+            return {}
+        order = np.argsort(key, kind="stable")
+        key, cosine, number = key[order], cosine[order], number[order]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        best, low, high = np.maximum.reduceat(cosine, first), np.minimum.reduceat(number, first), np.maximum.reduceat(number, first)
+        return {divmod(k, len(self.ids)): (c, lo * STRIDE, hi * STRIDE + WIDTH) for k, c, lo, hi in zip(key[first].tolist(), best.tolist(), low.tolist(), high.tolist(), strict=True)}
+
+    def leaks(self, texts: list[np.ndarray]) -> list[tuple[int, int]]:
+        """(text, item) of the verbatim leaks: candidates by cosine that the index confirms, then what the index holds besides."""
+        sure = self.verbatim(texts)
+        retrieved = [pair for pair in self.candidates(texts) if pair in sure]
+        return retrieved + sorted(sure.difference(retrieved))
+
+    def report(self, texts: list[np.ndarray]) -> list[tuple]:
+        """(text, item, cosine or None if below COSINE, share in order, share of weight, kind) of the leaks of both kinds."""
+        sure, met, out = self.verbatim(texts), self.candidates(texts), []
+        for k, i in sorted(sure | {pair for pair, m in met.items() if m[0] >= ALIKE_COSINE}):
+            c, begin, end = met.get((k, i), (None, 0, len(texts[k])))
+            item, stretch = self.words[i], texts[k][max(0, begin - WIDTH) : end + WIDTH]
+            there, weight = np.isin(item, stretch), self.idf[item.astype(np.int64) % FEATURES]
+            answered = float(weight[there].sum() / weight.sum())
+            if (k, i) not in sure and (answered < ANSWERED or there.mean() < ALIKE_ORDER):
+                continue  # no subsequence can be longer than the words in common
+            share = common_subsequence(stretch, item) / len(item)
+            if (k, i) in sure or share >= ALIKE_ORDER:
+                out.append((k, self.ids[i], None if c is None else round(float(c), 4), round(share, 4), round(answered, 4), "verbatim" if (k, i) in sure else "paraphrase"))
+        return out
+
+
+def prepared(documents: DataFrame, items: DataFrame) -> tuple[DataFrame, list[Items]]:
+    """The corpus as word ids, and the items in blocks of about BLOCK."""
     corpus = written(tokenised(documents), "leakage")
     idf = inverse_frequency(corpus)
-    rows = [(r[0], r[1]) for r in items.select("item_id", "text").where("item_id is not null and text is not null").distinct().collect()]
-    return corpus, Items(rows, idf, directions(corpus, idf))
+    basis = directions(corpus, idf)
+    given = items.select("item_id", "text").where("item_id is not null and text is not null").distinct()
+    blocks = max(1, -(-given.count() // BLOCK))
+    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
+    return corpus, [Items([(r[0], r[1]) for r in given.where(part == b).collect()], idf, basis) for b in range(blocks)]
 
 
-def verbatim(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """doc_id, item_id of each document and item that share RUN consecutive words."""
-    corpus, made = prepared(documents, items)
-    held = ship(corpus.sparkSession, made)
+def _against(corpus: DataFrame, blocks: list[Items], read, schema: str) -> DataFrame:
+    """The corpus read against each block; read(items, doc ids, texts) gives rows."""
+    out = None
+    arrow = corpus.sparkSession.createDataFrame([], schema).schema
+    for made in blocks:
+        held = ship(corpus.sparkSession, made)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        it = pickle.loads(held.value)
-        for b in batches:
-            out = [(doc[k], it.ids[i]) for doc, texts in _batches(b) for k, i, _ in it.candidates(texts) if common_run(texts[k], it.words[i])]
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64())], ["doc_id", "item_id"])
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            from pyspark.sql.pandas.types import to_arrow_schema
 
-    return corpus.mapInArrow(run, "doc_id bigint, item_id bigint")
+            it, kind = pickle.loads(held.value), to_arrow_schema(arrow)
+            for b in batches:
+                for doc, texts in _batches(b):
+                    if rows := read(it, doc, texts):
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kind, strict=True)], kind.names)
+
+        part = corpus.mapInArrow(run, schema)
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
-#: A paraphrase has this cosine, and this share of the item's words in the same order.
-ALIKE_COSINE, ALIKE_ORDER = 0.8, 0.7
+def verbatim(documents: DataFrame, items: DataFrame) -> DataFrame:
+    """doc_id, item_id of each document and item that share RUN consecutive words."""
+    return _against(*prepared(documents, items), lambda it, doc, texts: [(doc[k], it.ids[i]) for k, i in it.leaks(texts)], "doc_id bigint, item_id bigint")
 
 
 def reported(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """doc_id, item_id, cosine, in_order (share of the item's words in the longest common subsequence), kind of each leak."""
-    corpus, made = prepared(documents, items)
-    held = ship(corpus.sparkSession, made)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        it = pickle.loads(held.value)
-        for b in batches:
-            out = []
-            for doc, texts in _batches(b):
-                for k, i, c in it.candidates(texts):
-                    same = common_run(texts[k], it.words[i])
-                    if same or c >= ALIKE_COSINE and len(np.intersect1d(texts[k], it.words[i])) >= ALIKE_ORDER * len(np.unique(it.words[i])):
-                        share = common_subsequence(texts[k], it.words[i]) / len(it.words[i])
-                        if same or share >= ALIKE_ORDER:
-                            out.append((doc[k], it.ids[i], round(c, 4), round(share, 4), "verbatim" if same else "paraphrase"))
-            yield pa.RecordBatch.from_pylist([dict(zip(("doc_id", "item_id", "cosine", "in_order", "kind"), o, strict=True)) for o in out], pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("cosine", pa.float64()), ("in_order", pa.float64()), ("kind", pa.string())]))
-
-    return corpus.mapInArrow(run, "doc_id bigint, item_id bigint, cosine double, in_order double, kind string")
+    """doc_id, item_id, cosine (null below COSINE), in_order (share of the item's words in the longest common subsequence), answered (share of its weight), kind of each leak."""
+    read = lambda it, doc, texts: [(doc[k], *rest) for k, *rest in it.report(texts)]
+    return _against(*prepared(documents, items), read, "doc_id bigint, item_id bigint, cosine double, in_order double, answered double, kind string")
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:

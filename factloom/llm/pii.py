@@ -57,39 +57,51 @@ EMAIL = re.compile(
     r"|(?<![\w@.+-])[^\W_](?:[\w.+%-]*\w)?(?:\s+dot\s+[\w+-]+)*\s+at\s+[^\W_](?:[\w-]*\w)?(?:\s+dot\s+[^\W_](?:[\w-]*\w)?)+",
     re.I,
 )
-PHONES = [
-    (re.compile(r"(?<![\w+])\+\d{1,3}(?:[ .-]?\(0\)[ .-]?|[ .-]?\(\d{1,4}\)[ .-]?|[ .-]?)\d{1,5}(?:[ ./-]?\d{2,8}){1,4}(?!\w|[-.]\d)"), 0.9),
-    (re.compile(r"(?<![\w+])00\d{1,3}[ ./-]\d{1,5}(?:[ ./-]\d{2,8}){1,4}(?![\w]|[-.]\d)"), 0.8),
-    (re.compile(r"(?<!\w)\(\d{2,5}\) ?\d{3,4}[ -]?\d{3,4}(?!\w|[-.]\d)"), 0.8),
-    (re.compile(r"(?<![\w.+-])\d{3}([-.])\d{3}\1\d{4}(?!\w|[-.]\d)"), 0.7),
-    (re.compile(r"(?<![\w.+/-])0\d{2,4}[/ ]\d{5,8}(?!\w|[-.]\d)"), 0.6),
-    (re.compile(r"(?<![\w.+/-])0\d{2,4} \d{3,4} \d{3,4}(?!\w|[-.]\d)"), 0.6),
-    (re.compile(r"(?<![\w.+/-])555-\d{4}(?!\w|[-.]\d)"), 0.6),
-    (re.compile(r"(?<![\w.+/-])\d{3}-\d{4}(?!\w|[-.]\d)"), 0.35),
-    (re.compile(r"(?<![\w.+/#-])1[2-9]\d{2}[2-9]\d{6}(?!\w|[-.]\d)"), 0.45),
-]
-IDS = [
-    (re.compile(r"(?<![\w.-])\d{8}-?[A-Z](?![\w-])"), "dni", 0.3),
-    (re.compile(r"(?<![\w.-])[XYZ]-?\d{7}-?[A-Z](?![\w-])"), "nie", 0.3),
-    (re.compile(r"(?<![\w.-])[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D](?![\w-])"), "nino", 0.7),
-    (re.compile(r"(?<![\w.-])\d{3}([- ])\d{2}\1\d{4}(?!\w|[-.]\d)"), "ssn", 0.65),
-    (re.compile(r"(?<![\w.-])P<\d{6,9}(?![\w<-])"), "passport", 0.8),
-    (re.compile(r"(?<![\w.#-])[A-Z]{1,2}\d{7,8}(?![\w-])"), "passport", 0.6),
-    (re.compile(r"(?<![\w.#-])\d{9}(?![\w-])"), "digits", 0.2),
-    (re.compile(r"(?<![\w.#+-])[12] ?\d{2} ?\d{2} ?\d{2} ?\d{3} ?\d{3} ?\d{2}(?![\w-])"), "nir", 0.1),
-    (re.compile(r"(?<![\w.#+-])\d{11}(?![\w-])"), "pesel", 0.1),
-    (re.compile(r"(?<![\w.#+-])\d{6}[-+]\d{4}(?![\w-])"), "personnummer", 0.1),
-    (re.compile(r"(?<![\w.#+-])\d{3}([ -])\d{3}\1\d{3}(?![\w-]|[ ]\d)"), "sin", 0.1),
-    (re.compile(r"(?<![\w.#-])[A-Z]{6}\d{2}[A-EHLMPRST]\d{2}[A-Z]\d{3}[A-Z](?![\w-])"), "codice", 0.3),
-]
+#: Shapes of phone numbers with the score each starts with; one pattern reads a text for all of them.
+PHONE_SHAPES = {
+    "plus": (r"(?<!\w)\+\d{1,3}(?:[ .-]?\(0\)[ .-]?|[ .-]?\(\d{1,4}\)[ .-]?|[ .-]?)\d{1,5}(?:[ ./-]?\d{2,8}){1,4}(?!\w|[-.]\d)", 0.9),
+    "zeros": (r"(?<!\w)00\d{1,3}[ ./-]\d{1,5}(?:[ ./-]\d{2,8}){1,4}(?![\w]|[-.]\d)", 0.8),
+    "bracket": (r"\(\d{2,5}\) ?\d{3,4}[ -]?\d{3,4}(?!\w|[-.]\d)", 0.8),
+    "ten": (r"(?<![.-])\d{3}(?P<t>[-.])\d{3}(?P=t)\d{4}(?!\w|[-.]\d)", 0.7),
+    "trunk": (r"(?<![./-])0\d{2,4}[/ ]\d{5,8}(?!\w|[-.]\d)", 0.6),
+    "trunk3": (r"(?<![./-])0\d{2,4} \d{3,4} \d{3,4}(?!\w|[-.]\d)", 0.6),
+    "film": (r"(?<![./-])555-\d{4}(?!\w|[-.]\d)", 0.6),
+    "seven": (r"(?<![./-])\d{3}-\d{4}(?!\w|[-.]\d)", 0.35),
+    "plain": (r"(?<![./#-])1[2-9]\d{2}[2-9]\d{6}(?!\w|[-.]\d)", 0.45),
+}
+#: Shapes of identity and passport numbers.
+ID_SHAPES = {
+    "dni": (r"\d{8}-?[A-Z](?![\w-])", 0.3),
+    "nie": (r"[XYZ]-?\d{7}-?[A-Z](?![\w-])", 0.3),
+    "nino": (r"[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D](?![\w-])", 0.7),
+    "ssn": (r"\d{3}(?P<a>[- ])\d{2}(?P=a)\d{4}(?!\w|[-.]\d)", 0.65),
+    "marked": (r"P<\d{6,9}(?![\w<-])", 0.8),
+    "passport": (r"(?<!#)[A-Z]{1,2}\d{7,8}(?![\w-])", 0.6),
+    "digits": (r"(?<!#)\d{9}(?![\w-])", 0.2),
+    "nir": (r"(?<![#+])[12] ?\d{2} ?\d{2} ?\d{2} ?\d{3} ?\d{3} ?\d{2}(?![\w-])", 0.1),
+    "pesel": (r"(?<![#+])\d{11}(?![\w-])", 0.1),
+    "personnummer": (r"(?<![#+])\d{6}[-+]\d{4}(?![\w-])", 0.1),
+    "sin": (r"(?<![#+])\d{3}(?P<b>[ -])\d{3}(?P=b)\d{3}(?![\w-]|[ ]\d)", 0.1),
+    "codice": (r"(?<!#)[A-Z]{6}\d{2}[A-EHLMPRST]\d{2}[A-Z]\d{3}[A-Z](?![\w-])", 0.3),
+}
+PHONE = re.compile(r"(?<![\w+])(?=[\d+(])(?:" + "|".join(f"(?P<{k}>{p})" for k, (p, _) in PHONE_SHAPES.items()) + ")")
+ID = re.compile(r"(?<![\w.-])(?=[\dA-Z])(?:" + "|".join(f"(?P<{k}>{p})" for k, (p, _) in ID_SHAPES.items()) + ")")
+#: Street addresses by language, each with the words of which a text must hold one.
 STREETS = [
-    re.compile(r"(?<![\w-])(?:(?:Flat|Apt\.?|Apartment|Unit|Suite) \d+[a-z]?, ?)?\d{1,4}(?: ?[a-d])? (?:(?:St\.|[A-Z][\w'’]*) ){1,3}(?:Street|Road|Avenue|Lane|Way|Close|Crescent|Terrace|Drive|Court|Square|Place|Gardens|St|Rd|Ave|Ln|Dr)\b(?:\.(?=,))?(?:, ?(?:Flat|Apt\.?|Apartment|Unit|Suite|Floor) ?\d+[a-z]?)?"),
-    re.compile(r"(?<![\w-])\d{1,4}(?: ?(?:bis|ter|quater))?, ?(?:rue|avenue|impasse|boulevard|bd|place|allée|chemin|quai|cours|passage|route|square)(?: (?:de la|de l['’]|du|des|de|d['’]))?(?: ?(?-i:[^\W\d_a-zà-öø-ÿ])[\w'’-]*){1,3}", re.I),
-    re.compile(r"(?<![\w-])(?:Calle|Plaza|Avenida|Avda\.|Paseo|Camino|Ronda|Carrera|C/)(?: (?:de la|de los|de las|del|de|el|la))?(?: (?-i:[^\W\d_a-zà-öø-ÿ])[\w'’-]*){1,3},? \d{1,4}(?:, ?\d{1,2} ?[ºª°](?: ?[A-Z]\b)?)?", re.I),
-    re.compile(r"(?<![\w-])(?:Via|Viale|Piazza|Piazzale|Corso|Largo|Vicolo|Rua|Travessa|Praça|Avenida|ulica|ul\.|aleja|al\.)(?: (?:del|della|dei|di|da|do|dos|das|de))?(?: (?-i:[^\W\d_a-zà-öø-ÿ])[\w'’-]*){1,3},? \d{1,4}(?:[/ ]?[a-dA-D]\b|/\d{1,3})?", re.I),
-    re.compile(r"(?<![\w-])[A-ZÅÄÖØÆ][\w-]*(?:straat|laan|gracht|plein|gatan|gata|vägen|veien|vej|gade|katu|tie) \d{1,4}(?: ?[a-dA-D]\b)?"),
-    re.compile(r"(?<![\w-])(?:(?:Am|An der|Im|Auf dem|Auf der|Zum|Zur|In der) [A-ZÄÖÜ][\wäöüß-]+|[A-ZÄÖÜ][\wäöüß-]*(?:straße|strasse|str\.|allee|weg|platz|ring|gasse|ufer|damm)|[A-ZÄÖÜ][\wäöüß-]+er (?:Weg|Straße|Str\.|Platz|Allee|Ring|Damm|Ufer)) \d{1,4}(?: ?[a-d]\b)?", re.I),
-]
+    ("street,road,avenue,lane,way,close,crescent,terrace,drive,court,square,place,garden, st, rd, ave, ln, dr",
+     r"(?<![\w-])(?:(?:Flat|Apt\.?|Apartment|Unit|Suite) \d+[a-z]?, ?)?\d{1,4}(?: ?[a-d])? (?:(?:St\.|[A-Z][\w'’]*) ){1,3}(?:Street|Road|Avenue|Lane|Way|Close|Crescent|Terrace|Drive|Court|Square|Place|Gardens|St|Rd|Ave|Ln|Dr)\b(?:\.(?=,))?(?:, ?(?:Flat|Apt\.?|Apartment|Unit|Suite|Floor) ?\d+[a-z]?)?", 0),
+    ("rue,avenue,impasse,boulevard,bd,place,allée,chemin,quai,cours,passage,route,square",
+     r"(?<![\w-])\d{1,4}(?: ?(?:bis|ter|quater))?, ?(?:rue|avenue|impasse|boulevard|bd|place|allée|chemin|quai|cours|passage|route|square)(?: (?:de la|de l['’]|du|des|de|d['’]))?(?: ?(?-i:[^\W\d_a-zà-öø-ÿ])[\w'’-]*){1,3}", re.I),
+    ("calle,plaza,avenida,avda,paseo,camino,ronda,carrera,c/",
+     r"(?<![\w-])(?:Calle|Plaza|Avenida|Avda\.|Paseo|Camino|Ronda|Carrera|C/)(?: (?:de la|de los|de las|del|de|el|la))?(?: (?-i:[^\W\d_a-zà-öø-ÿ])[\w'’-]*){1,3},? \d{1,4}(?:, ?\d{1,2} ?[ºª°](?: ?[A-Z]\b)?)?", re.I),
+    ("via ,viale,piazza,corso ,largo ,vicolo,rua ,travessa,praça,avenida,ulica,ul.,aleja,al.",
+     r"(?<![\w-])(?:Via|Viale|Piazza|Piazzale|Corso|Largo|Vicolo|Rua|Travessa|Praça|Avenida|ulica|ul\.|aleja|al\.)(?: (?:del|della|dei|di|da|do|dos|das|de))?(?: (?-i:[^\W\d_a-zà-öø-ÿ])[\w'’-]*){1,3},? \d{1,4}(?:[/ ]?[a-dA-D]\b|/\d{1,3})?", re.I),
+    ("straat,laan,gracht,plein,gata,vägen,veien,vej,gade,katu,tie",
+     r"(?<![\w-])[A-ZÅÄÖØÆ][\w-]*(?:straat|laan|gracht|plein|gatan|gata|vägen|veien|vej|gade|katu|tie) \d{1,4}(?: ?[a-dA-D]\b)?", 0),
+    ("straße,strasse,str.,allee,weg,platz,ring,gasse,ufer,damm,am ,an der,im ,auf d,zum ,zur ,in der",
+     r"(?<![\w-])(?:(?:Am|An der|Im|Auf dem|Auf der|Zum|Zur|In der) [A-ZÄÖÜ][\wäöüß-]+|[A-ZÄÖÜ][\wäöüß-]*(?:straße|strasse|str\.|allee|weg|platz|ring|gasse|ufer|damm)|[A-ZÄÖÜ][\wäöüß-]+er (?:Weg|Straße|Str\.|Platz|Allee|Ring|Damm|Ufer)) \d{1,4}(?: ?[a-d]\b)?", re.I),
+]
+STREETS = [(ws.split(","), re.compile(p, f)) for ws, p, f in STREETS]
 WORD = re.compile(r"[^\W\d_](?:[\w]|['’-](?=[^\W\d_]))*")
 
 _FOLD = str.maketrans("éèëêáàäâãåíìïîóòöôõøúùüûñçšłğýž", "eeeeaaaaaaiiiioooooouuuuncslgyz")
@@ -153,8 +165,6 @@ _PLAIN_WORD = re.compile(r"[^\W\d_][\w'’-]*")
 _INITIAL = re.compile(r"(?<![\w'’])(?:(?![IA] )[^\W\d_a-zß-öø-ÿ](?:\. ?| )|[^\W\d_]\. )[^\W\d_]{3}")
 _DIGIT = re.compile(r"\d")
 _DIGITS = re.compile(r"\d(?:[ ()./-]{0,3}\d){5}|\d{2}[A-Z]\d{2}[A-Z]\d{3}")
-_STREET_PREFIXES = ("Am ", "An der", "Im ", "Auf d", "Zum ", "Zur ", "In der")
-_STREET_WORDS = ("street", "road", "avenue", "lane", "way", "close", "crescent", "terrace", "drive", "court", "square", "place", "garden", " st", " rd", " ave", " ln", " dr", "rue", "impasse", "boulevard", "bd", "allée", "chemin", "quai", "cours", "passage", "route", "calle", "plaza", "avenida", "avda", "paseo", "camino", "ronda", "carrera", "c/", "straße", "strasse", "str.", "allee", "weg", "platz", "ring", "gasse", "ufer", "damm", "via", "piazza", "corso", "largo", "vicolo", "rua", "travessa", "praça", "ulica", "ul.", "aleja", "al.", "straat", "laan", "gracht", "plein", "gata", "vägen", "veien", "vej", "gade", "katu", "tie")
 
 
 def luhn(digits: str) -> bool:
@@ -208,18 +218,16 @@ _CARD = re.compile(r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?!\w)")
 def _numbers(text: str) -> list[tuple[int, int, str, float]]:
     out = []
     no = [m.span() for m in _ACCOUNT.finditer(text) if mod97(m[0])] + [m.span() for m in _CARD.finditer(text) if luhn(re.sub(r"\D", "", m[0]))]
-    for p, score in PHONES:
-        for m in p.finditer(text):
-            before = text[max(0, m.start() - 70) : m.start()]
-            s = score + 0.3 * bool(PHONE_BEFORE.search(before)) - 0.6 * bool(OTHER_NUMBER.search(before))
-            out.append((*m.span(), "phone", s))
-    for p, sort, score in IDS:
-        for m in p.finditer(text):
-            before = text[max(0, m.start() - 40) : m.start()]
-            s = score + 0.35 * bool(ID_BEFORE.search(before)) - 0.6 * bool(OTHER_NUMBER.search(before))
-            if sort in CHECKED:
-                s += 0.4 if CHECKED[sort](m[0]) else -0.1
-            out.append((*m.span(), "id_number", s))
+    for m in PHONE.finditer(text):
+        before = text[max(0, m.start() - 70) : m.start()]
+        s = PHONE_SHAPES[m.lastgroup][1] + 0.3 * bool(PHONE_BEFORE.search(before)) - 0.6 * bool(OTHER_NUMBER.search(before))
+        out.append((*m.span(), "phone", s))
+    for m in ID.finditer(text):
+        before, sort = text[max(0, m.start() - 40) : m.start()], m.lastgroup
+        s = ID_SHAPES[sort][1] + 0.35 * bool(ID_BEFORE.search(before)) - 0.6 * bool(OTHER_NUMBER.search(before))
+        if sort in CHECKED:
+            s += 0.4 if CHECKED[sort](m[0]) else -0.1
+        out.append((*m.span(), "id_number", s))
     return [x for x in out if x[3] > 0.75 and x[2] == "phone" or not any(a <= x[0] and x[1] <= b for a, b in no)]
 
 
@@ -406,8 +414,8 @@ def spans(text: str | None, model: NameModel = _PLAIN) -> list[tuple[int, int, s
     if "@" in text or "at" in low and ("(at" in low or "[at" in low or "dot" in low):
         found += [(*m.span(), "email", 1.0) for m in EMAIL.finditer(text)]
     if _DIGIT.search(text):
-        if any(k in low for k in _STREET_WORDS) or any(k in text for k in _STREET_PREFIXES):
-            for p in STREETS:
+        for ws, p in STREETS:
+            if any(w in low for w in ws):
                 found += [(*m.span(), "street_address", 0.95) for m in p.finditer(text)]
         if _DIGITS.search(text):
             found += _numbers(text)

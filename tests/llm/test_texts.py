@@ -110,7 +110,7 @@ def test_the_name_model_is_learned(spark):
     t = spark.createDataFrame([("turn", 1, "lunch for weilong zhangwen at noon"), ("turn", 2, "I called Blue Heron today"), ("fact", 1, "nothing"), ("fact", 2, None)], "origin string, record_id bigint, text string")
     assert [tuple(r) for r in pii.found(t, e).collect()] == [("turn", 1, 10, 26, "person_name")]
     assert {r.text for r in pii.redacted(t, e).collect()} == {"lunch for [PERSON_NAME] at noon", "I called Blue Heron today", "nothing", None}
-    assert pii.found(t, e.limit(0)).count() == 0
+    assert [r.record_id for r in pii.found(t, e.limit(0)).collect()] == [2]  # without the table Blue Heron is not known to be no person
 
 
 def test_many_spans_of_one_text_take_linear_time():
