@@ -38,7 +38,7 @@ FEATURES, RANK, MORE, ROUNDS, SEED = 1 << 14, 64, 16, 2, 7
 COSINE, RUN = 0.45, 12
 WIDTH, STRIDE = 24, 12
 #: A paraphrase has this cosine, this share of the item's words in the same order, and this share of the item's weight.
-ALIKE_COSINE, ALIKE_ORDER, ANSWERED = 0.7, 0.6, 0.6
+ALIKE_COSINE, ALIKE_ORDER, ANSWERED = 0.8, 0.7, 0.7
 #: Items broadcast at a time.
 BLOCK = 20_000
 
