@@ -49,7 +49,16 @@ def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     writer = df.write.mode("overwrite")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     passing(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discarded(df: DataFrame | None) -> None:
+    """Deletes the table of a written() that nothing reads any more, as in a loop whose next round is written."""
+    if df is not None and (path := getattr(df, "_written_to", None)):
+        where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def spread(df: DataFrame) -> DataFrame:

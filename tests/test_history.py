@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from factloom.operators import history
 
 U = "subject_vid bigint, predicate string, value_text string, valid_from bigint, valid_to bigint, asserted_at bigint, received_at bigint, log_id bigint, month bigint"
@@ -45,26 +47,50 @@ def got(df):
     return set(rows)
 
 
+def whole(spark, rows, most=history.HOT):
+    return got(history.versions(history.merge(None, history.standing(spark.createDataFrame(rows, U)), most), most))
+
+
 def test_against_brute_force(spark):
     for seed in range(3):
         rows = made(400, seed)
-        assert got(history.versions(history.standing(spark.createDataFrame(rows, U)))) == brute(rows)
+        assert whole(spark, rows) == brute(rows)
+    assert whole(spark, rows, most=20) == whole(spark, rows, most=1) == brute(rows)  # some slots or all take the way of hot ones
 
 
 def test_batches_in_any_order_give_the_same_history(spark):
     rows = made(200, 9)
-    whole = got(history.versions(history.standing(spark.createDataFrame(rows, U))))
     random.Random(1).shuffle(rows)
-    state = history.standing(spark.createDataFrame(rows[:80], U))
-    for part in (rows[80:81], rows[81:]):
-        state = history.merge(state, history.standing(spark.createDataFrame(part, U)))
-    assert got(history.versions(state)) == whole
+    dimension, verdicts = None, set()
+    for part in (rows[:80], rows[80:81], rows[81:], rows[:50], []):
+        dimension = history.written(history.merge(dimension, history.standing(spark.createDataFrame(part, U)), most=30), "history")
+        verdicts |= {r.verdict for r in dimension.select("verdict").distinct().collect()}
+    assert got(history.versions(dimension)) == brute(rows) and verdicts == {"new", "changed", "restated", "kept"}
+
+
+def test_a_version_is_closed_and_opened_by_hash(spark):
+    u = lambda *rows: history.standing(spark.createDataFrame([(1, "age", v, s, 0, s, 0, i, 0) for i, (v, s) in enumerate(rows)], U))
+    d = history.written(history.merge(None, u(("a", 10))), "history")
+    d = history.written(history.merge(d, u(("A ", 20), ("b", 30))), "history")
+    assert [(r.start_at, r.until, r.opens) for r in d.orderBy("start_at").collect()] == [(10, 20, True), (20, 30, False), (30, None, True)]
+    d = history.merge(d, u(("c", 15)))  # late: it splits the first version
+    assert got(history.versions(d)) == {(1, "age", 10, 15), (1, "age", 15, 20), (1, "age", 20, 30), (1, "age", 30, 0)}
+
+
+def test_a_log_in_batches(spark):
+    rows = made(300, 4)
+    facts = spark.createDataFrame(rows, U).withColumn("received_at", F.timestamp_seconds("received_at"))
+    canon = spark.createDataFrame([("age", True), ("name", True), ("likes", False)], "predicate string, single_valued boolean")
+    for batches in (1, 3):
+        assert {tuple(r) for r in history.fact_versions(facts, canon, batches).collect()} == brute(rows)
+    assert history.fact_versions(facts.limit(0), canon).count() == 0
 
 
 def test_one_hot_slot_and_repeats(spark):
     rows = [(1, "age", "a" if i // 3 % 2 else "b", i * 50_000, 0, i, 0, i, 0) for i in range(500)] * 3
-    assert got(history.versions(history.standing(spark.createDataFrame(rows, U).repartition(4)))) == brute(rows)
+    for most in (100, 10_000):
+        assert whole(spark, rows, most) == brute(rows)
 
 
 def test_empty(spark):
-    assert history.versions(history.standing(spark.createDataFrame([], U))).count() == 0
+    assert whole(spark, []) == set()
