@@ -18,7 +18,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return delivery.dropped_deliveries(spark, f"{d}/results.parquet")
+    return delivery.dropped_deliveries(spark, delivery.replayed(spark, f"{d}/results.parquet"), files_per_batch=1)
 
 
 QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found}

@@ -1,13 +1,16 @@
 """Exactly one copy of each message out of an at-least-once stream.
 
-A keyed state of seen messages is kept over micro-batches: for each message its keeper (first received, then smallest id) and
-the time it was last seen. Entries that the event-time watermark (latest arrival less a horizon) has passed move from the hot
-state to an archive; a message missing from the hot state is looked up there, so that copies later than the horizon are still
-recognised. State, archive and output of a batch are written below its number and become valid together with one small commit
-file, so that a batch that is run again after a failure replaces its own half-written results and nothing else.
-
-The stream may come in any order: a copy received before the keeper replaces it, and the former keeper is put out as dropped.
-Rows of one message are reduced with partial aggregation, so that a message with a third of all rows meets in no one task.
+A keyed state store (RocksDB) holds for each message its keeper: the delivery received first, then of the smallest id. A timer on the
+event-time watermark (latest arrival so far) expires an entry that was last seen a horizon ago and puts its keeper out to an archive.
+A message without state is looked up in the archive of the batches before, so that copies later than the horizon are still known
+for what they are. State, timers and offsets are Spark's checkpoint of a micro-batch; what a batch puts out is written below its
+number and counts once the batch is in the checkpoint's commit log, so that a batch that is run again after a failure replaces its
+own results and nothing else.
+
+The stream may come in any order: a copy received before the keeper replaces it, and the former keeper is put out as dropped. An
+expired message that comes again has a new life in the state; of the keepers of its lives only the first received stays. Copies
+are reduced within each batch of rows before they shuffle: only the best one goes to its message's state, the others are dropped
+on the spot, spread over all tasks, so that a message with a third of all rows meets in no one task.
 
 Null parts of the key are a value of their own, a null arrival time is later than any other, repeats of one delivery id are one
 delivery, and an empty stream gives an empty result.
@@ -15,6 +18,9 @@ delivery, and an empty stream gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,7 +30,13 @@ from factloom.session import passing, scratch
 
 LATEST = 2**62
 DROPPED = "delivery_id bigint"
-STATE = "message string, keeper struct<at:bigint,id:bigint>, seen bigint"
+EVENTS = "kind string, message string, at bigint, id bigint"
+STATE = "at bigint, id bigint, seen bigint"
+#: Folders that the archive is spread over by the message's hash; a batch reads only those that its messages fall in.
+BUCKETS = 16
+#: Micro-batches that a table at rest is replayed in.
+BATCHES = 4
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def message_key() -> Column:
@@ -32,54 +44,99 @@ def message_key() -> Column:
     return F.to_json(F.struct(F.coalesce("run_id", F.lit("\x00")).alias("r"), F.coalesce("arm", F.lit("\x00")).alias("a"), F.coalesce(fold("instance_id"), F.lit("\x00")).alias("i")))
 
 
-def _commits(spark: SparkSession, root: str) -> list[tuple[int, int]]:
-    """(batch, watermark) of the committed batches, in order."""
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/commits")
-    fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(fs_path):
-        return []
-    names = [s.getPath().getName() for s in fs.listStatus(fs_path)]
-    return sorted(tuple(map(int, n.split("-"))) for n in names if not n.startswith("."))
+def _reduced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """message, at, id, on, key: the best copy of each message under the message, further copies (no message) under a key of few values."""
+    for b in batches:
+        b = b.sort_values(["at", "id"], kind="stable")
+        further = b.duplicated("message") & ~b.duplicated(["message", "id"])
+        best = ~b.duplicated("message")
+        yield b[best].assign(key=b["message"][best])
+        spare = b[further]
+        yield spare.assign(key="\x01" + (spare["id"] % 1000).astype(str), message=None)
+
+
+def _settled(horizon_ms: int):
+    """The function of one key's rows and state: rows of EVENTS."""
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        message = key[0]
+        if state.hasTimedOut:
+            at, id_, _ = state.get
+            state.remove()
+            yield pd.DataFrame({"kind": ["gone"], "message": [message], "at": [at], "id": [id_]})
+            return
+        if message[:1] == "\x01":
+            for f in frames:
+                yield pd.DataFrame({"kind": "lost", "message": None, "at": f["at"], "id": f["id"]})
+            return
+        at, id_, seen = state.get if state.exists else (None, None, 0)
+        was, lost = id_, []
+        for f in frames:
+            for a, i in zip(f["at"].tolist(), f["id"].tolist(), strict=True):
+                if id_ is None or (a, i) < (at, id_):
+                    lost += [id_] if id_ is not None and id_ != i else []
+                    at, id_ = a, i
+                elif i != id_:
+                    lost.append(i)
+                seen = max(seen, a // 1000 if a < LATEST else 0)
+        now = max(state.getCurrentWatermarkMs(), 0)
+        state.update((at, id_, seen))
+        state.setTimeoutTimestamp(max(seen, now) + horizon_ms + 1)
+        if was != id_:
+            yield pd.DataFrame({"kind": ["keeper"], "message": [message], "at": [at], "id": [id_]})
+        if lost:
+            yield pd.DataFrame({"kind": "lost", "message": None, "at": None, "id": lost})
+
+    return run
+
+
+def settled(deliveries: DataFrame, horizon_s: int) -> DataFrame:
+    """Rows of EVENTS of a stream of deliveries: keeper (a message's new best copy), lost (a copy to be dropped), gone (an expired entry)."""
+    at = F.coalesce(F.unix_micros("received_at"), F.lit(LATEST))
+    rows = deliveries.where("delivery_id is not null").select(message_key().alias("message"), at.alias("at"), F.col("delivery_id").alias("id"), F.col("received_at").cast("timestamp").alias("on"))
+    rows = rows.mapInPandas(_reduced, "message string, at bigint, id bigint, on timestamp, key string").withWatermark("on", "0 seconds")
+    # Spark filters what is older than the watermark before the state sees it. Late copies are cases here, so the column
+    # is emptied behind the watermark; the mark itself has been taken from it by then.
+    empty = F.lit(None).cast("timestamp").alias("on", metadata={"spark.watermarkDelayMs": 0})
+    rows = rows.select("key", "at", "id", empty)
+    return rows.groupBy("key").applyInPandasWithState(_settled(horizon_s * 1000), EVENTS, STATE, "append", "EventTimeTimeout")
+
+
+def _listed(spark: SparkSession, folder: str) -> list[str]:
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in fs.listStatus(where)] if fs.exists(where) else []
 
 
-def _commit(spark: SparkSession, root: str, batch: int, watermark: int) -> None:
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/commits/{batch}-{max(watermark, 0)}")
-    fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).create(fs_path, True).close()
+def committed(spark: SparkSession, root: str) -> list[int]:
+    """The batches that the checkpoint's commit log holds."""
+    return sorted(int(n) for n in _listed(spark, f"{root}/checkpoint/commits") if n.isdigit())
 
 
-def absorb(root: str, horizon_s: int):
-    """The foreachBatch function that keeps its state below root."""
+def absorb(root: str):
+    """The foreachBatch function that writes a batch's events below root and looks its keepers up in the archive."""
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        done = _commits(spark, root)
-        if any(n == number for n, _ in done):
-            return  # this batch was committed before the restart
-        past = [n for n, _ in done]
-        rows = batch.select(message_key().alias("message"), F.coalesce(F.unix_micros("received_at"), F.lit(LATEST)).alias("at"), F.col("delivery_id").alias("id")).where(F.col("id").isNotNull())
-        mine = rows.groupBy("message").agg(F.min(F.struct("at", "id")).alias("keeper"), F.max(F.when(F.col("at") < LATEST, F.col("at"))).alias("seen"))
-        hot = spark.read.schema(STATE).parquet(f"{root}/state/{past[-1]}") if past else None
-        if hot is not None:
-            cold = spark.read.schema(STATE).parquet(*[f"{root}/archive/{n}" for n in past])
-            # Archived messages come back into the state when they are seen again; their later archive row is the valid one.
-            cold = cold.join(mine.select("message"), "message", "left_semi").groupBy("message").agg(F.min("keeper").alias("keeper"), F.max("seen").alias("seen"))
-            known = hot.unionByName(cold)
-            state = known.unionByName(mine).groupBy("message").agg(F.min("keeper").alias("keeper"), F.max("seen").alias("seen"))
-        else:
-            state = mine
-        state.write.mode("overwrite").parquet(f"{root}/merged/{number}")
-        state = spark.read.schema(STATE).parquet(f"{root}/merged/{number}")
-        lost = rows.join(state.select("message", "keeper"), "message").where(F.col("keeper.id") != F.col("id")).select("id")
-        if hot is not None:
-            old = known.select("message", F.col("keeper").alias("was")).join(state.select("message", "keeper"), "message")
-            lost = lost.unionByName(old.where(F.col("was.id") != F.col("keeper.id")).select(F.col("was.id").alias("id")))
-        lost.select(F.col("id").alias("delivery_id")).write.mode("overwrite").parquet(f"{root}/dropped/{number}")
-        latest = state.agg(F.max("seen")).first()[0]
-        mark = max(done[-1][1] if done else 0, (latest or 0) - horizon_s * 1_000_000)
-        gone = F.coalesce(F.col("seen") < mark, F.lit(False))
-        state.where(gone).write.mode("overwrite").parquet(f"{root}/archive/{number}")
-        state.where(~gone).write.mode("overwrite").parquet(f"{root}/state/{number}")
-        _commit(spark, root, number, mark)
+        bucket = F.when(F.col("kind") == "lost", F.lit(0)).otherwise(F.pmod(F.xxhash64("message"), F.lit(BUCKETS))).cast("int")
+        # Written once: reading the batch again would run the state again.
+        batch.withColumn("bucket", bucket).repartition("kind", "bucket").write.mode("overwrite").partitionBy("kind", "bucket").parquet(f"{root}/events/{number}")
+        late = spark.createDataFrame([], DROPPED)
+        earlier = [n for n in committed(spark, root) if n < number and "kind=gone" in _listed(spark, f"{root}/events/{n}")]
+        if earlier and "kind=keeper" in (mine := _listed(spark, f"{root}/events/{number}")) and mine:
+            where = f"{root}/events/{number}/kind=keeper"
+            buckets = [int(x.removeprefix("bucket=")) for x in _listed(spark, where) if x.startswith("bucket=")]
+            schema = "message string, at bigint, id bigint, bucket int"
+            keepers = spark.read.schema(schema).parquet(where)
+            gone = spark.read.schema(schema).parquet(*[f"{root}/events/{n}/kind=gone" for n in earlier]) if len(earlier) == 1 else None
+            if gone is None:
+                for n in earlier:
+                    part = spark.read.schema(schema).parquet(f"{root}/events/{n}/kind=gone")
+                    gone = part if gone is None else gone.unionByName(part)
+            gone = gone.where(F.col("bucket").isin(buckets)).groupBy("message").agg(F.min(F.struct("at", "id")).alias("old"))
+            met = keepers.join(gone, "message").select(F.struct("at", "id").alias("new"), "old").where("new.id <> old.id")
+            late = met.select(F.when(F.col("old") < F.col("new"), F.col("new.id")).otherwise(F.col("old.id")).alias("delivery_id"))
+        late.write.mode("overwrite").parquet(f"{root}/late/{number}")
 
     return run
 
@@ -93,6 +150,15 @@ def stream(spark: SparkSession, path: str, schema: T.StructType, files_per_batch
     return reader.parquet(path)
 
 
+def replayed(spark: SparkSession, path: str, batches: int = BATCHES) -> str:
+    """A folder with the deliveries of a table at rest in as many files as batches, by batch_no: the stream that they came in."""
+    where = scratch(spark, "deliveries")
+    rows = spark.read.parquet(path).select("delivery_id", "received_at", "run_id", "arm", "instance_id", "batch_no")
+    rows.repartitionByRange(batches, F.coalesce("batch_no", F.lit(0)), "delivery_id").drop("batch_no").write.parquet(where)
+    passing(spark, where)
+    return where
+
+
 def dropped_deliveries(spark: SparkSession, path: str, horizon_s: int = 7 * 86400, files_per_batch: int = 1000, root: str | None = None) -> DataFrame:
     """delivery_id of each delivery that is a further copy, after running the stream over all that is there.
 
@@ -101,11 +167,23 @@ def dropped_deliveries(spark: SparkSession, path: str, horizon_s: int = 7 * 8640
     own = root is None
     root = root or scratch(spark, "delivery")
     schema = spark.read.parquet(path).select("delivery_id", "received_at", "run_id", "arm", "instance_id").schema
-    query = stream(spark, path, schema, files_per_batch).writeStream.foreachBatch(absorb(root, horizon_s)).option("checkpointLocation", f"{root}/offsets").trigger(availableNow=True).start()
+    events = settled(stream(spark, path, schema, files_per_batch), horizon_s)
+    # The number of state partitions stays what it is at a stream's first start; both settings hold for this query only.
+    ours = {"spark.sql.streaming.stateStore.providerClass": STORE, "spark.sql.shuffle.partitions": str(min(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism))}
+    before = {k: spark.conf.get(k, None) for k in ours}
+    for k, v in ours.items():
+        spark.conf.set(k, v)
+    try:
+        query = events.writeStream.foreachBatch(absorb(root)).outputMode("append").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     query.awaitTermination()
     if own:
         passing(spark, root)
-    done = _commits(spark, root)
-    if not done:
-        return spark.createDataFrame([], DROPPED)
-    return spark.read.schema(DROPPED).parquet(*[f"{root}/dropped/{n}" for n, _ in done]).distinct()
+    out = spark.createDataFrame([], DROPPED)
+    for n in committed(spark, root):
+        out = out.unionByName(spark.read.schema(DROPPED).parquet(f"{root}/late/{n}"))
+        if "kind=lost" in _listed(spark, f"{root}/events/{n}"):
+            out = out.unionByName(spark.read.schema("id bigint").parquet(f"{root}/events/{n}/kind=lost").select(F.col("id").alias("delivery_id")))
+    return out.distinct()

@@ -47,17 +47,36 @@ def test_goes_on_from_where_it_ended(spark, tmp_path):
 
 
 def test_a_batch_that_failed_before_its_commit_is_run_again(spark, tmp_path):
-    rows, root = made(60, 2), f"{tmp_path}/s"
-    run = delivery.absorb(root, 3600)
-    first, second = spark.createDataFrame(rows[:30], R), spark.createDataFrame(rows[30:], R)
-    run(first, 0)
-    run(second, 1)
-    commit = [f for f in os.listdir(f"{root}/commits") if f.startswith("1-")][0]
-    os.remove(f"{root}/commits/{commit}")
-    run(second, 1)
-    run(second, 1)  # after the commit nothing happens
-    got = spark.read.parquet(f"{root}/dropped/0", f"{root}/dropped/1")
-    assert {r[0] for r in got.collect()} == brute(rows)
+    rows, folder, root = made(120, 2), f"{tmp_path}/r.parquet", f"{tmp_path}/s"
+    parts(spark, rows, folder, 3)
+    assert {r[0] for r in delivery.dropped_deliveries(spark, folder, 3600, 1, root).collect()} == brute(rows)
+    last = delivery.committed(spark, root)[-1]
+    for f in os.listdir(f"{root}/checkpoint/commits"):
+        if str(last) in f:
+            os.remove(f"{root}/checkpoint/commits/{f}")
+    spark.createDataFrame([(10**6,)], delivery.DROPPED).write.mode("append").parquet(f"{root}/late/{last}")  # half-written results
+    assert {r[0] for r in delivery.dropped_deliveries(spark, folder, 3600, 1, root).collect()} == brute(rows)
+    assert {r[0] for r in delivery.dropped_deliveries(spark, folder, 3600, 1, root).collect()} == brute(rows)  # nothing is left to do
+
+
+def test_expiry_and_copies_later_than_the_horizon(spark, tmp_path):
+    folder, root = f"{tmp_path}/r.parquet", f"{tmp_path}/s"
+    at = lambda h: T0 + timedelta(hours=h)
+    rows = [[(1, 0, at(0), "r", "a", "x", ""), (2, 0, at(1), "r", "a", "y", "")], [(3, 1, at(100), "r", "a", "z", "")], [(4, 2, at(2), "r", "a", "x", ""), (5, 2, at(0.5), "r", "a", "y", ""), (6, 2, at(200), "r", "a", "X ", "")], [(7, 3, at(400), "r", "a", "w", "")]]
+    for part in rows:
+        spark.createDataFrame(part, R).coalesce(1).write.mode("append").parquet(folder)
+        got = {r[0] for r in delivery.dropped_deliveries(spark, folder, 3600, 1, root).collect()}
+    assert got == {4, 6, 2}  # 5 was received before 2, which had expired when 5 came
+    late = [n for n in delivery.committed(spark, root) if spark.read.schema(delivery.DROPPED).parquet(f"{root}/late/{n}").count()]
+    gone = [n for n in delivery.committed(spark, root) if os.path.exists(f"{root}/events/{n}/kind=gone")]
+    assert late and gone
+
+
+def test_one_message_with_most_rows(spark, tmp_path):
+    rows = [(i, 0, T0 + timedelta(seconds=(i * 37) % 5000), "r", "a", "hot", "") for i in range(3000)] + made(100, 6)[:0]
+    parts(spark, rows, f"{tmp_path}/r.parquet", 2)
+    got = [r[0] for r in delivery.dropped_deliveries(spark, f"{tmp_path}/r.parquet", 3600, 1).collect()]
+    assert len(got) == 2999 and set(got) == brute(rows)
 
 
 def test_file_and_empty(spark, tmp_path):
