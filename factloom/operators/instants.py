@@ -2,8 +2,9 @@
 
 The text is cut by a list of patterns into year|month|day|hour|minute|second|am-pm|zone. A stated offset or zone gives the
 instant by arithmetic. A wall-clock time without one is joined, as of its local time, to the offset intervals of the client's
-zone, exploded by zone and year: two intervals that match mean an hour that occurs twice (the earlier instant is taken), none
+zone, exploded to rows by zone and year: two intervals that match mean an hour that occurs twice (the earlier instant is taken), none
 a time the clock skipped (moved on by the length of the gap, which is the offset before it), one gives the offset.
+The calendar repeats every 400 years, and the zones' last rules with it: later years are looked up in the years they repeat.
 
 Nulls, blanks, words, impossible dates and unknown zone names in the text give null. A null or unknown client zone counts as UTC.
 """
@@ -15,7 +16,7 @@ from datetime import UTC, datetime
 from zoneinfo import ZoneInfo
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.text import staged, strip
@@ -112,15 +113,17 @@ def day_number(y: Column, mo: Column, d: Column) -> Column:
     return F.unix_date(F.when(y.between(1, 9999), F.format_string("%04d-%02d-%02d", y, mo, d).try_cast("date"))).cast("bigint")
 
 
-FIRST_YEAR, LAST_YEAR = 1850, 2150
+#: Before FIRST_YEAR every zone keeps its local mean time; from REPEATS on every zone follows its last rule, year by year.
+FIRST_YEAR, REPEATS = 1800, 2100
+CYCLE_YEARS, CYCLE_S = 400, 146_097 * 86_400
 
 
-def _offsets(zone: str, year: int) -> list[dict]:
-    """The wall-clock intervals [lo, hi) of one zone around one year, each with its offset."""
+def _offsets(zone: str, year: int) -> list[tuple[int, int, int]]:
+    """lo, hi, offset of the wall-clock intervals [lo, hi) of one zone around one year."""
     try:
         rules = ZoneInfo(zone)
     except Exception:  # unknown names, empty strings, paths
-        return [{"lo": -(2**62), "hi": 2**62, "off": 0}]
+        return [(-(2**62), 2**62, 0)]
 
     def at(sec: int) -> int:
         return int(datetime.fromtimestamp(sec, UTC).astimezone(rules).utcoffset().total_seconds())
@@ -140,39 +143,59 @@ def _offsets(zone: str, year: int) -> list[dict]:
         t = nxt
     out, lo = [], -(2**62)
     for when, before, after in cuts:
-        out.append({"lo": lo, "hi": when + before, "off": before})
+        out.append((lo, when + before, before))
         lo = when + after
-    return [*out, {"lo": lo, "hi": 2**62, "off": off}]
+    return [*out, (lo, 2**62, off)]
 
 
 def zone_intervals(pairs: DataFrame) -> DataFrame:
-    """(zone, year) -> ivals, an array of (lo, hi, off) sorted by time. pairs: distinct (zone, year)."""
+    """zone, year, lo, hi, off: a row for each wall-clock interval. pairs: distinct (zone, year)."""
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"zone": b.zone, "year": b.year, "ivals": [_offsets(z, int(y)) for z, y in zip(b.zone, b.year, strict=True)]})
+            yield pd.DataFrame([(z, y, *i) for z, y in zip(b.zone, b.year, strict=True) for i in _offsets(z, int(y))], columns=["zone", "year", "lo", "hi", "off"])
 
-    return pairs.mapInPandas(build, "zone string, year int, ivals array<struct<lo bigint, hi bigint, off int>>")
+    return pairs.mapInPandas(build, "zone string, year int, lo bigint, hi bigint, off int")
+
+
+def zone_periods(intervals: DataFrame) -> DataFrame:
+    """zone, year, start, until, matches, off: the wall-clock time of each zone and year cut where an interval begins or ends.
+
+    Within a period the same intervals match: of two the larger offset gives the earlier instant, where none does the offset before holds.
+    """
+    edge = Window.partitionBy("zone", "year").orderBy("start")
+    cuts = intervals.select("zone", "year", F.explode(F.array("lo", "hi")).alias("start")).distinct()
+    cuts = cuts.withColumn("until", F.lead("start").over(edge)).where("until is not null")
+    j = cuts.join(intervals, ["zone", "year"])
+    fits, past = (F.col("lo") <= F.col("start")) & (F.col("start") < F.col("hi")), F.col("hi") <= F.col("start")
+    g = j.groupBy("zone", "year", "start", "until").agg(F.count_if(fits).cast("int").alias("matches"), F.max(F.when(fits, F.col("off"))).alias("_in"), F.max_by("off", F.when(past, F.col("hi"))).alias("_before"))
+    return g.select("zone", "year", "start", "until", "matches", F.coalesce("_in", "_before").alias("off"))
 
 
 def localised(df: DataFrame, local: str, zone: str) -> DataFrame:
     """Adds epoch_s and matches (the number of intervals that hold the local time) to rows of wall-clock seconds.
 
-    The interval table has at most one row for each IANA zone (about 600, other names counting as UTC) and each of 301 years,
-    whatever the number of rows is: that bound is what lets it be broadcast.
+    An as-of join: of the periods of its zone and year, the one that a local time falls in. The table of periods has a few rows for
+    each IANA zone (about 600, other names counting as UTC) and each of 700 years, whatever the number of rows is; it is broadcast
+    if it has no more than PERIODS.
     """
-    known = F.broadcast(df.sparkSession.createDataFrame([(z,) for z in sorted(_names())], "name string"))
-    year = F.greatest(F.least(F.year(F.date_from_unix_date(F.floor(F.col(local) / 86400).cast("int"))), F.lit(LAST_YEAR)), F.lit(FIRST_YEAR))
-    df = df.join(known, F.col(zone) == F.col("name"), "left").withColumns({"_z": F.coalesce("name", F.lit("UTC")), "_y": year.cast("int")}).drop("name")
-    table = zone_intervals(df.where(F.col(local).isNotNull()).select(F.col("_z").alias("zone"), F.col("_y").alias("year")).distinct())
-    table = F.broadcast(table.select(F.col("zone").alias("_z"), F.col("year").alias("_y"), "ivals"))
+    spark = df.sparkSession
+    known = F.broadcast(spark.createDataFrame([(z,) for z in sorted(_names())], "name string"))  # the time zone database's
     t = F.col(local)
-    out = df.join(table, ["_z", "_y"], "left")
-    fits = F.filter("ivals", lambda i: (i["lo"] <= t) & (t < i["hi"]))
-    before = F.filter("ivals", lambda i: i["hi"] <= t)
-    out = staged(out, _fits=fits, _before=before)
-    offset = F.when(F.size("_fits") > 0, F.array_max(F.transform("_fits", lambda i: i["off"]))).otherwise(F.try_element_at("_before", F.lit(-1))["off"])
-    return staged(out, epoch_s=(t - offset).cast("bigint"), matches=F.when(t.isNotNull(), F.size("_fits"))).drop("_z", "_y", "ivals", "_fits", "_before")
+    year = F.year(F.date_from_unix_date(F.floor(t / 86400).cast("int")))
+    cycles = F.when(year >= REPEATS, F.floor((year - REPEATS) / CYCLE_YEARS)).otherwise(0)
+    df = df.join(known, F.col(zone) == F.col("name"), "left")
+    df = staged(df, _z=F.coalesce("name", F.lit("UTC")), _y=F.greatest(year - cycles * CYCLE_YEARS, F.lit(FIRST_YEAR)).cast("int"), _t=t - cycles * CYCLE_S).drop("name")
+    pairs = df.where(t.isNotNull()).select(F.col("_z").alias("zone"), F.col("_y").alias("year")).distinct()
+    periods = written(zone_periods(zone_intervals(pairs)), "zones").select(F.col("zone").alias("_z"), F.col("year").alias("_y"), "start", "until", "matches", F.col("off").alias("_off"))
+    near = F.broadcast(periods) if periods.count() <= PERIODS else periods
+    in_it = (F.col("l._z") == F.col("p._z")) & (F.col("l._y") == F.col("p._y")) & (F.col("p.start") <= F.col("l._t")) & (F.col("l._t") < F.col("p.until"))
+    out = df.alias("l").join(near.alias("p"), in_it, "left")
+    return out.select(*[F.col(f"l.{c}") for c in df.columns if c not in ("_z", "_y", "_t")], (F.col(f"l.{local}") - F.col("p._off")).cast("bigint").alias("epoch_s"), F.when(F.col(f"l.{local}").isNotNull(), F.col("p.matches")).alias("matches"))
+
+
+#: Periods that are broadcast: those of 600 zones in 700 years are fewer.
+PERIODS = 2_000_000
 
 
 def _names() -> set[str]:

@@ -27,6 +27,10 @@ CASES = [
     # Clock changes: twice (the earlier instant), never (moved on by the gap).
     ("2023-11-05T01:30:00", "America/New_York", None, at(2023, 11, 5, 5, 30)), ("2023-03-12T02:30:00", "America/New_York", None, at(2023, 3, 12, 7, 30)), ("2021-10-03 02:30:00", "Australia/Sydney", None, at(2021, 10, 2, 16, 30)),
     ("2021-06-19T12:44:09", "No/Where", None, at(2021, 6, 19, 12, 44, 9)),
+    # Far years: the last rules go on, every 400 years alike; before standard time there is local mean time.
+    ("2160-07-01T12:00:00", "America/New_York", None, at(2160, 7, 1, 16)), ("2160-01-01T12:00:00", "America/New_York", None, at(2160, 1, 1, 17)), ("2101-12-31T23:59:59", "Europe/Berlin", None, at(2101, 12, 31, 22, 59, 59)),
+    ("9998-07-01T12:00:00", "Europe/Berlin", None, at(9998, 7, 1, 10)), ("2499-12-31T23:00:00", "America/New_York", None, at(2500, 1, 1, 4)), ("2500-01-01T00:00:00", "America/New_York", None, at(2500, 1, 1, 5)),
+    ("1700-05-05T12:00:00", "Europe/Berlin", None, at(1700, 5, 5, 12, tz="Europe/Berlin")), ("1847-11-30T12:00:00", "Europe/London", None, at(1847, 11, 30, 12, tz="Europe/London")),
     ("2023/02/30 (Thu) 10:00", None, None, None), ("2022-13-45", None, None, None), ("25:61", None, None, None), ("unknown", None, None, None), ("", None, None, None), (None, None, None, None), ("0000-00-00 00:00:00", None, None, None), ("2021-06-19 24:10", None, None, None), ("x" * 100_000, None, None, None),
 ]
 
@@ -42,6 +46,18 @@ def test_matches_tell_ambiguous_and_skipped(spark):
     assert {r.vid: r.matches for r in instants.session_instants(df).collect()} == {1: 2, 2: 0, 3: 1}
 
 
+def test_any_year_against_the_zone_rules(spark):
+    import random
+
+    r = random.Random(2)
+    zones = ["America/New_York", "Europe/London", "Australia/Lord_Howe", "Pacific/Apia", "Africa/Casablanca", "Asia/Kathmandu", "America/St_Johns"]
+    rows = [(i, f"s{i}", r.choice(zones), None, f"{r.choice([r.randint(1801, 2120), r.randint(2120, 9000)]):04d}-{r.randint(1, 12):02d}-{r.randint(1, 28):02d} {r.randint(0, 23):02d}:{r.randint(0, 59):02d}:00") for i in range(600)]
+    got = {x.vid: (x.epoch_s, x.matches) for x in instants.session_instants(spark.createDataFrame(rows, S)).collect()}
+    for i, _, z, _, t in rows:
+        when = datetime.fromisoformat(t)
+        assert got[i][0] == at(*when.timetuple()[:6], tz=z), (t, z)
+
+
 def test_hints(spark):
     sessions = spark.createDataFrame([(1, "s", "Asia/Tokyo", None, "2023-04-10 00:00:00"), (1, "s", "Asia/Tokyo", None, "2023-04-10 00:00:00"), (2, "bad", None, None, "soon")], S)
     said = at(2023, 4, 9, 15)
