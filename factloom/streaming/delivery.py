@@ -1,7 +1,8 @@
 """Exactly one copy of each message out of an at-least-once stream.
 
-A keyed state store (RocksDB) holds for each message its keeper: the delivery received first, then of the smallest id. A timer on the
-event-time watermark (latest arrival so far) expires an entry that was last seen a horizon ago and puts its keeper out to an archive.
+A keyed state store (RocksDB) holds for each message its keeper: the delivery received first, then of the smallest id. Messages share
+a state by shards of their hash, some dozens in each, as a call of the state's function costs far more than an entry does. Timers on
+the event-time watermark (latest arrival so far) expire an entry that was last seen a horizon ago and put its keeper out to an archive.
 A message without state is looked up in the archive of the batches before, so that copies later than the horizon are still known
 for what they are. State, timers and offsets are Spark's checkpoint of a micro-batch; what a batch puts out is written below its
 number and counts once the batch is in the checkpoint's commit log, so that a batch that is run again after a failure replaces its
@@ -18,7 +19,9 @@ delivery, and an empty stream gives an empty result.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,7 +34,9 @@ from factloom.session import passing, scratch
 LATEST = 2**62
 DROPPED = "delivery_id bigint"
 EVENTS = "kind string, message string, at bigint, id bigint"
-STATE = "at bigint, id bigint, seen bigint"
+STATE = "entries string"
+#: Shards of messages; a stream of very many messages takes more, so that a shard holds some dozens. It can't change within a stream.
+SHARDS = 1024
 #: Folders that the archive is spread over by the message's hash; a batch reads only those that its messages fall in.
 BUCKETS = 16
 #: Micro-batches that a table at rest is replayed in.
@@ -45,61 +50,63 @@ def message_key() -> Column:
 
 
 def _reduced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """message, at, id, on, key: the best copy of each message under the message, further copies (no message) under a key of few values."""
+    """The best copy of each message with its shard; further copies with no message and a negative shard of few values."""
     for b in batches:
         b = b.sort_values(["at", "id"], kind="stable")
-        further = b.duplicated("message") & ~b.duplicated(["message", "id"])
-        best = ~b.duplicated("message")
-        yield b[best].assign(key=b["message"][best])
-        spare = b[further]
-        yield spare.assign(key="\x01" + (spare["id"] % 1000).astype(str), message=None)
+        again = b.duplicated("message")
+        yield b[~again]
+        spare = b[again & ~b.duplicated(["message", "id"])]
+        yield spare.assign(shard=-1 - spare["id"] % 100, message=None)
 
 
 def _settled(horizon_ms: int):
-    """The function of one key's rows and state: rows of EVENTS."""
+    """The function of one shard's rows and state: rows of EVENTS."""
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        message = key[0]
-        if state.hasTimedOut:
-            at, id_, _ = state.get
-            state.remove()
-            yield pd.DataFrame({"kind": ["gone"], "message": [message], "at": [at], "id": [id_]})
-            return
-        if message[:1] == "\x01":
-            for f in frames:
-                yield pd.DataFrame({"kind": "lost", "message": None, "at": f["at"], "id": f["id"]})
-            return
-        at, id_, seen = state.get if state.exists else (None, None, 0)
-        was, lost = id_, []
-        for f in frames:
-            for a, i in zip(f["at"].tolist(), f["id"].tolist(), strict=True):
-                if id_ is None or (a, i) < (at, id_):
-                    lost += [id_] if id_ is not None and id_ != i else []
-                    at, id_ = a, i
-                elif i != id_:
-                    lost.append(i)
-                seen = max(seen, a // 1000 if a < LATEST else 0)
         now = max(state.getCurrentWatermarkMs(), 0)
-        state.update((at, id_, seen))
-        state.setTimeoutTimestamp(max(seen, now) + horizon_ms + 1)
-        if was != id_:
-            yield pd.DataFrame({"kind": ["keeper"], "message": [message], "at": [at], "id": [id_]})
-        if lost:
-            yield pd.DataFrame({"kind": "lost", "message": None, "at": None, "id": lost})
+        kinds: list[tuple] = []
+        held = {m: (a, i, t) for m, a, i, t in json.loads(state.get[0])} if state.exists else {}
+        touched: dict[str, int | None] = {}  # and the keeper that each had
+        if not state.hasTimedOut:
+            if key[0] < 0:
+                for f in frames:
+                    yield pd.DataFrame({"kind": "lost", "message": None, "at": f["at"], "id": f["id"]})
+                return
+            for f in frames:
+                for m, a, i in zip(f["message"].tolist(), f["at"].tolist(), f["id"].tolist(), strict=True):
+                    at, id_, seen = held.get(m, (None, None, now))
+                    touched.setdefault(m, id_)
+                    if id_ is None or (a, i) < (at, id_):
+                        if id_ is not None and id_ != i:
+                            kinds.append(("lost", None, at, id_))
+                        at, id_ = a, i
+                    elif i != id_:
+                        kinds.append(("lost", None, a, i))
+                    held[m] = (at, id_, max(seen, a // 1000 if a < LATEST else 0))
+            kinds += [("keeper", m, *held[m][:2]) for m, was in touched.items() if held[m][1] != was]
+        over = [m for m, (_, _, seen) in held.items() if seen + horizon_ms < now and m not in touched]
+        kinds += [("gone", m, *held.pop(m)[:2]) for m in over]
+        if held:
+            state.update((json.dumps([(m, *x) for m, x in held.items()]),))
+            state.setTimeoutTimestamp(max(min(seen for _, _, seen in held.values()) + horizon_ms, now) + 1)
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(kinds, columns=["kind", "message", "at", "id"])
 
     return run
 
 
-def settled(deliveries: DataFrame, horizon_s: int) -> DataFrame:
+def settled(deliveries: DataFrame, horizon_s: int, shards: int = SHARDS) -> DataFrame:
     """Rows of EVENTS of a stream of deliveries: keeper (a message's new best copy), lost (a copy to be dropped), gone (an expired entry)."""
     at = F.coalesce(F.unix_micros("received_at"), F.lit(LATEST))
     rows = deliveries.where("delivery_id is not null").select(message_key().alias("message"), at.alias("at"), F.col("delivery_id").alias("id"), F.col("received_at").cast("timestamp").alias("on"))
-    rows = rows.mapInPandas(_reduced, "message string, at bigint, id bigint, on timestamp, key string").withWatermark("on", "0 seconds")
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("message"), F.lit(shards)))
+    rows = rows.mapInPandas(_reduced, "message string, at bigint, id bigint, on timestamp, shard bigint").withWatermark("on", "0 seconds")
     # Spark filters what is older than the watermark before the state sees it. Late copies are cases here, so the column
     # is emptied behind the watermark; the mark itself has been taken from it by then.
     empty = F.lit(None).cast("timestamp").alias("on", metadata={"spark.watermarkDelayMs": 0})
-    rows = rows.select("key", "at", "id", empty)
-    return rows.groupBy("key").applyInPandasWithState(_settled(horizon_s * 1000), EVENTS, STATE, "append", "EventTimeTimeout")
+    rows = rows.select("shard", "message", "at", "id", empty)
+    return rows.groupBy("shard").applyInPandasWithState(_settled(horizon_s * 1000), EVENTS, STATE, "append", "EventTimeTimeout")
 
 
 def _listed(spark: SparkSession, folder: str) -> list[str]:
@@ -123,16 +130,12 @@ def absorb(root: str):
         batch.withColumn("bucket", bucket).repartition("kind", "bucket").write.mode("overwrite").partitionBy("kind", "bucket").parquet(f"{root}/events/{number}")
         late = spark.createDataFrame([], DROPPED)
         earlier = [n for n in committed(spark, root) if n < number and "kind=gone" in _listed(spark, f"{root}/events/{n}")]
-        if earlier and "kind=keeper" in (mine := _listed(spark, f"{root}/events/{number}")) and mine:
+        if earlier and "kind=keeper" in _listed(spark, f"{root}/events/{number}"):
             where = f"{root}/events/{number}/kind=keeper"
             buckets = [int(x.removeprefix("bucket=")) for x in _listed(spark, where) if x.startswith("bucket=")]
             schema = "message string, at bigint, id bigint, bucket int"
             keepers = spark.read.schema(schema).parquet(where)
-            gone = spark.read.schema(schema).parquet(*[f"{root}/events/{n}/kind=gone" for n in earlier]) if len(earlier) == 1 else None
-            if gone is None:
-                for n in earlier:
-                    part = spark.read.schema(schema).parquet(f"{root}/events/{n}/kind=gone")
-                    gone = part if gone is None else gone.unionByName(part)
+            gone = reduce(DataFrame.unionByName, (spark.read.schema(schema).parquet(f"{root}/events/{n}/kind=gone") for n in earlier))
             gone = gone.where(F.col("bucket").isin(buckets)).groupBy("message").agg(F.min(F.struct("at", "id")).alias("old"))
             met = keepers.join(gone, "message").select(F.struct("at", "id").alias("new"), "old").where("new.id <> old.id")
             late = met.select(F.when(F.col("old") < F.col("new"), F.col("new.id")).otherwise(F.col("old.id")).alias("delivery_id"))
