@@ -1,17 +1,20 @@
 """Spellings of one person or organisation linked, within an instance.
 
-Names are cut into tokens without accents, case, legal forms and titles. Blocks are formed by the phonetic code of one token and
-the first letter of another, and by two first letters, over all orders of tokens (nicknames add their formal names), so that
-swapped and misspelt parts still meet. Pairs within a block are compared token by token with Jaro-Winkler, edit distance and the nickname table. Accepted
-pairs of full names are clustered by connected components. Shortened names (initials, cut words, acronyms) are then tied to the
-cluster they fit, if they fit exactly one; those that fit none are clustered among themselves.
-
-Rows with the same tokens are one node from the start, so repeats cost nothing in the blocks. Rows with a null or blank name,
-instance or type are never linked, nor are types other than person and org, nor the speakers themselves (user, assistant).
+Names are cut into tokens without accents, case, legal forms and titles. Blocks are formed by the phonetic codes of sorted sounds of
+one token and the first letter of another, over all orders of tokens; a code also comes with each of its sounds left out, so that
+misspelt sounds still meet, and nicknames add their formal names. Pairs within a block are compared token by token with
+Jaro-Winkler, edit distance and the nickname table. Accepted pairs of full names are clustered by connected components. Shortened
+names (initials, cut words, acronyms) are then tied to the cluster they fit, if they fit exactly one; those that fit none are
+clustered among themselves.
+
+Rows with the same tokens are one node from the start, so repeats cost nothing in the blocks; blocks shuffle hashes and node ids
+only. Rows with a null or blank name, instance or type are never linked, nor are types other than person and org, nor the speakers
+themselves (user, assistant).
 """
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -25,14 +28,20 @@ from factloom.session import spread, written
 
 # Short forms of given names.
 NICKNAMES = {
-    "zachary": ["zach", "zack"], "ulrike": ["uli", "ulli"], "quentin": ["quinn"], "yolanda": ["yoli"], "nathaniel": ["nate", "nat", "nathan"],
-    "jonathan": ["jon", "jonny", "johnny"], "frederica": ["freddie", "fred", "rica"], "christopher": ["chris", "kit"], "stephanie": ["steph", "steffi"],
-    "margaret": ["maggie", "peggy", "meg"], "gabriela": ["gabi", "gaby"], "meiling": ["mei"], "isabella": ["izzy", "bella"], "katherine": ["kate", "kitty", "kathy"],
-    "rajendra": ["raj"], "akhilesh": ["akhil"], "priyanka": ["priya"], "jose": ["pepe"], "monica": ["moni"], "veronique": ["vero"], "xaviera": ["xavi"],
-    "henrietta": ["etta", "hettie"], "alexander": ["alex", "sandy"], "penelope": ["penny", "nell"], "leopold": ["leo", "poldi"],
-    "theodora": ["thea", "dora", "teddy", "dorrie"], "dorothea": ["dorrie", "dora", "thea"], "robert": ["rob", "bob"], "william": ["bill", "liam", "will"],
-    "valentina": ["val", "tina"], "beatrice": ["bea", "trixie"], "octavia": ["tavi"], "edward": ["ned", "ted", "teddy", "ed"],
-    "elizabeth": ["liz", "beth", "betty"], "richard": ["dick", "rick"], "james": ["jim", "jimmy"], "thomas": ["tom"], "michael": ["mike"],
+    "abigail": ["abby", "gail"], "abraham": ["abe"], "akhilesh": ["akhil"], "albert": ["al", "bert", "bertie"], "aleksander": ["alek", "olek"], "alexander": ["alex", "sandy", "xander"], "alexandra": ["alex", "sandra", "sasha"],
+    "alfred": ["alf", "fred"], "amanda": ["mandy"], "andrew": ["andy", "drew"], "anthony": ["tony"], "antonio": ["toni"], "archibald": ["archie"], "arthur": ["art"], "barbara": ["babs", "barb"], "bartholomew": ["bart"],
+    "beatrice": ["bea", "trixie"], "benjamin": ["ben", "benny"], "bernard": ["bernie"], "bridget": ["biddy"], "catherine": ["cathy", "kate", "kitty"], "charles": ["charlie", "chuck"], "charlotte": ["lottie"], "christina": ["tina", "chris"],
+    "christopher": ["chris", "kit"], "cynthia": ["cindy"], "daniel": ["dan", "danny"], "david": ["dave", "davy"], "deborah": ["deb", "debbie"], "dorothea": ["dorrie", "dora", "thea"], "dorothy": ["dot", "dottie"], "edward": ["ned", "ted", "teddy", "ed", "eddie"],
+    "eleanor": ["ellie", "nell", "nora"], "elizabeth": ["liz", "beth", "betty", "eliza", "lizzie"], "emily": ["em", "millie"], "eugene": ["gene"], "florence": ["flo"], "frances": ["fran", "frankie"], "francisco": ["paco", "pancho"], "franklin": ["frank"],
+    "frederica": ["freddie", "fred", "rica"], "frederick": ["fred", "freddie"], "gabriela": ["gabi", "gaby"], "gabriel": ["gabe"], "geoffrey": ["geoff"], "gerald": ["gerry"], "giuseppe": ["beppe"], "gregory": ["greg"], "guillermo": ["memo"],
+    "harold": ["harry", "hal"], "henrietta": ["etta", "hettie"], "henry": ["hank", "harry"], "ignacio": ["nacho"], "isabella": ["izzy", "bella"], "jacob": ["jake"], "james": ["jim", "jimmy", "jamie"], "jennifer": ["jen", "jenny"], "jessica": ["jess"],
+    "johannes": ["hannes", "jo"], "john": ["jack", "johnny"], "jonathan": ["jon", "jonny", "johnny"], "jose": ["pepe"], "joseph": ["joe", "joey"], "joshua": ["josh"], "josephine": ["josie"], "judith": ["judy"], "katherine": ["kate", "kitty", "kathy", "katie"],
+    "kenneth": ["ken", "kenny"], "lawrence": ["larry"], "leonard": ["leo", "len", "lenny"], "leopold": ["leo", "poldi"], "louise": ["lou"], "margaret": ["maggie", "peggy", "meg", "greta"], "matthew": ["matt"], "meiling": ["mei"], "michael": ["mike", "mick"],
+    "mikhail": ["misha"], "monica": ["moni"], "nathaniel": ["nate", "nat", "nathan"], "nicholas": ["nick", "nicky"], "nikolai": ["kolya"], "octavia": ["tavi"], "oliver": ["ollie"], "pamela": ["pam"], "patricia": ["pat", "patty", "tricia"], "patrick": ["pat", "paddy"],
+    "penelope": ["penny", "nell"], "peter": ["pete"], "philip": ["phil", "pip"], "priyanka": ["priya"], "quentin": ["quinn"], "rajendra": ["raj"], "raymond": ["ray"], "rebecca": ["becky"], "richard": ["dick", "rick", "rich"], "robert": ["rob", "bob", "bobby"],
+    "rosemary": ["rosie"], "samantha": ["sam"], "samuel": ["sam", "sammy"], "sebastian": ["seb", "basti"], "stanley": ["stan"], "stephanie": ["steph", "steffi"], "stephen": ["steve"], "susan": ["sue", "suzie"], "theodora": ["thea", "dora", "teddy", "dorrie"],
+    "theodore": ["ted", "theo"], "thomas": ["tom", "tommy"], "timothy": ["tim"], "ulrike": ["uli", "ulli"], "valentina": ["val", "tina"], "veronique": ["vero"], "victoria": ["vicky", "tori"], "vincent": ["vince"], "vladimir": ["vova"], "walter": ["walt"],
+    "wilhelm": ["willi"], "william": ["bill", "liam", "will", "billy"], "winifred": ["winnie"], "xaviera": ["xavi"], "yekaterina": ["katya"], "yolanda": ["yoli"], "zachary": ["zach", "zack"],
 }
 # Legal forms, articles and titles that are no part of a name.
 LEGAL = {"inc", "llc", "ltd", "gmbh", "co", "corp", "plc", "sa", "ag", "bv", "the", "limited", "company"}
@@ -81,6 +90,7 @@ def weak(t: str) -> bool:
 _CODE = {**dict.fromkeys("bfpv", "1"), **dict.fromkeys("cgjkqsxz", "2"), **dict.fromkeys("dt", "3"), "l": "4", **dict.fromkeys("mn", "5"), "r": "6"}
 
 
+@functools.lru_cache(1 << 16)
 def phonetic(t: str) -> str:
     """Soundex of a token, on its letters."""
     out, last = t[:1], _CODE.get(t[:1], "")
@@ -93,8 +103,22 @@ def phonetic(t: str) -> str:
     return (out + "000")[:4]
 
 
+@functools.lru_cache(1 << 16)
+def sounds(t: str) -> frozenset[str]:
+    """The first letter with the digits of all further consonants in order of size, and the same with one of them left out."""
+    ds = sorted(_CODE[c] for c in t[1:] if c in _CODE)
+    return frozenset({f"{t[0]}~{''.join(ds)}"} | {f"{t[0]}~{''.join(ds[:i] + ds[i + 1 :])}" for i in range(len(ds)) if len(ds) > 1})
+
+
+_FORMAL: dict[str, set[str]] = {}
+for _f, _short in NICKNAMES.items():
+    for _t in _short:
+        _FORMAL.setdefault(_t, {_t}).add(_f)
+
+
 def formal(t: str) -> set[str]:
-    return {t} | {f for f, short in NICKNAMES.items() if t in short}
+    """t, and the given names that it is short for."""
+    return _FORMAL.get(t) or {t}
 
 
 def block_keys(norm: str) -> list[str]:
@@ -107,13 +131,10 @@ def block_keys(norm: str) -> list[str]:
     for i, a in enumerate(ts):
         if weak(a):
             continue
-        codes = {phonetic(f) for f in formal(a)}
-        keys |= {f"1|{c}" for c in codes}  # only for names of one token, see compared()
-        for j, b in enumerate(ts):
-            if i != j:
-                firsts = {c for f in formal(b) for c in (f[:1] if weak(b) else f[:2])}
-                keys |= {f"{c}|{x}" for c in codes for x in firsts}
-                keys |= {"".join(sorted((x[0], y[0]))) for x in formal(a) for y in formal(b)}
+        forms = formal(a)
+        keys |= {f"1|{phonetic(f)}" for f in forms}  # only for names of one token, see compared()
+        firsts = {f[0] for j, b in enumerate(ts) if j != i for f in formal(b)}
+        keys |= {f"{x}|{c}" for f in forms for x in sounds(f) for c in firsts}
     return sorted(keys)
 
 
@@ -160,6 +181,7 @@ def osa(a: str, b: str) -> int:
 ALIKE = 0.84
 
 
+@functools.lru_cache(1 << 17)
 def alike(a: str, b: str) -> int:
     """0: not one token; 1: one cut short; 2: misspelt; 3: equal or a nickname."""
     if a == b:
@@ -243,13 +265,14 @@ def compared(reps: DataFrame) -> DataFrame:
 
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            b["keys"] = [block_keys(n) for n in b["norm"]]
-            yield b
+            yield b.assign(keys=[block_keys(n) for n in b["norm"]]).drop(columns="norm")
 
-    k = reps.mapInPandas(keyed, "node bigint, instance_id string, kind string, norm string, keys array<string>").withColumn("key", F.explode("keys")).withColumn("one", ~F.col("norm").contains(" ")).drop("keys")
-    l, r = k.alias("l"), k.alias("r")
-    on = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in ("instance_id", "kind", "key")]
-    pairs = l.join(r, [*on, F.col("l.node") < F.col("r.node"), ~F.col("l.key").startswith("1|") | F.col("l.one") | F.col("r.one")]).select(F.col("l.node").alias("a"), F.col("r.node").alias("b"), "l.kind", F.col("l.norm").alias("x"), F.col("r.norm").alias("y")).distinct()
+    k = reps.mapInPandas(keyed, "node bigint, instance_id string, kind string, keys array<string>").select("node", "instance_id", "kind", F.explode("keys").alias("key")).select("node", F.xxhash64("instance_id", "kind", "key").alias("h"), F.col("key").startswith("1|").alias("single"))
+    met = k.select(F.col("node").alias("a"), "h", "single").join(k.select(F.col("node").alias("b"), "h"), "h").where("a < b").groupBy("a", "b").agg(F.min("single").alias("single"))
+    side = lambda n, c: reps.select(F.col("node").alias(n), F.struct("instance_id", "kind").alias(f"_{n}"), F.col("norm").alias(c))
+    one = lambda c: ~F.col(c).contains(" ")
+    # Hashes that meet by chance are told apart here; a code alone joins only names of one token.
+    pairs = met.join(side("a", "x"), "a").join(side("b", "y"), "b").where((F.col("_a") == F.col("_b")) & (~F.col("single") | one("x") | one("y"))).select("a", "b", F.col("_a.kind").alias("kind"), "x", "y")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -261,10 +284,10 @@ def compared(reps: DataFrame) -> DataFrame:
 
 
 def clusters(entities: DataFrame) -> DataFrame:
-    """vid, cluster of each row that is linked to another name or shares its tokens with another row."""
+    """vid, cluster, links of each row that may be linked: links counts the other spellings that its own was accepted with."""
     n = written(nodes(entities), "names")
-    reps = n.groupBy("instance_id", "kind", "norm").agg(F.min("vid").alias("node"))
-    fits = written(compared(reps.select("node", "instance_id", "kind", "norm")), "names")
+    reps = written(n.groupBy("instance_id", "kind", "norm").agg(F.min("vid").alias("node")).select("node", "instance_id", "kind", "norm"), "names")
+    fits = written(compared(reps), "names")
     strong = components(fits.where("same >= 2 and not weak_a and not weak_b"), "a", "b")
     # Cut names: the clusters that each fits. A full name without a cluster is one of its own.
     one_weak = fits.where("weak_a <> weak_b").select(F.expr("if(weak_a, a, b)").alias("cut"), F.expr("if(weak_a, b, a)").alias("node"))
@@ -275,8 +298,9 @@ def clusters(entities: DataFrame) -> DataFrame:
     loose = loose.join(choice.select(F.col("cut").alias("a")), "a", "left_anti").join(choice.select(F.col("cut").alias("b")), "b", "left_anti").select("a", "b")
     links = strong.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(tied).unionByName(loose)
     final = components(links, "a", "b")
-    own = n.join(reps, ["instance_id", "kind", "norm"]).select("vid", "node")
-    return own.join(final, "node", "left").select("vid", F.coalesce("component", "node").alias("cluster"))
+    count = fits.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
+    named = reps.join(final, "node", "left").join(count, "node", "left").select("instance_id", "kind", "norm", F.coalesce("component", "node").alias("cluster"), F.coalesce("links", F.lit(0)).alias("links"))
+    return n.join(named, ["instance_id", "kind", "norm"]).select("vid", "cluster", "links")
 
 
 def linked(entities: DataFrame) -> DataFrame:
@@ -289,4 +313,9 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return linked(spark.read.parquet(f"{d}/entities.parquet"))
 
 
-QUERIES = {"p5_found": p5_found}
+def p5_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """A row for each entity: its class, and to how many spellings its own was linked."""
+    return clusters(spark.read.parquet(f"{d}/entities.parquet"))
+
+
+QUERIES = {"p5_found": p5_found, "p5_clusters": p5_clusters}
