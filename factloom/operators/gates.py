@@ -73,6 +73,12 @@ def predicate_passes(wanted: Column, predicates: Column, key: Column) -> Column:
     return (F.size(wanted) == 0) | F.arrays_overlap(predicates, wanted) | F.array_contains(predicates, "other") | (key == vocab.SELF_KEY)
 
 
+def via_other(wanted: Column, predicates: Column) -> Column:
+    """Whether a subject passes only as it holds facts that have no label."""
+    predicates = F.coalesce(predicates, F.array().cast("array<string>"))
+    return (F.size(wanted) > 0) & ~F.arrays_overlap(predicates, wanted) & F.array_contains(predicates, "other")
+
+
 def window_hits(keys: DataFrame, facts: DataFrame) -> DataFrame:
     """instance_id, key, hit of each (instance_id, key, wanted, w_start, w_end): whether a fact of the wanted predicates, or any if it holds none of them, meets the window."""
     k = keys.where("w_start is not null")
@@ -85,7 +91,7 @@ def window_hits(keys: DataFrame, facts: DataFrame) -> DataFrame:
 
 
 def cascade(questions: DataFrame, entities: DataFrame, facts: DataFrame, aliases: DataFrame) -> DataFrame:
-    """instance_id, passed, reason, missing, resolved, round_trips of each question."""
+    """instance_id, passed, reason, missing, resolved, round_trips and trace (a line for each gate that ran) of each question."""
     q = with_window(questions.select("instance_id", "question", "asked_at")).withColumn("wanted", question_predicates(F.coalesce("question", F.lit("")))).drop("question", "asked_at")
     # Facts and the first gate feed every later one: written once, read by each.
     facts = written(facts.select("vid", "instance_id", "asserted_at", "subject_key", "predicate", "value_text", "value_type", "snippet", "valid_from", "valid_to"), "gates")
@@ -95,8 +101,12 @@ def cascade(questions: DataFrame, entities: DataFrame, facts: DataFrame, aliases
     ok2 = predicate_passes(F.col("wanted"), F.col("predicates"), F.col("key"))
     ok3 = F.col("w_start").isNull() | (F.coalesce("hit", F.lit(0)) == 1)
     detail = F.when(~ok2, F.concat("key", F.lit(" has no "), F.concat_ws(", ", "wanted"))).when(~ok3, F.concat(F.col("key"), F.lit(" has no fact valid "), F.col("w_phrase"), F.lit(" ("), window_label(), F.lit(")")))
-    k = k.select("instance_id", "pos", (ok2 & ok3).alias("ok"), F.when(~ok2, "no_such_relation").when(~ok3, "no_fact_in_window").alias("why"), detail.alias("detail"))
-    g23 = k.groupBy("instance_id").agg(F.max("ok").alias("ok23"), F.max_by(F.struct("why", "detail"), "pos").alias("v"))
+    why = F.when(~ok2, "no_such_relation").when(~ok3, "no_fact_in_window")
+    fails = F.concat(why, F.lit(": "), detail)
+    said = F.concat(F.lit("2 predicate: "), F.when(~ok2, fails).when(via_other(F.col("wanted"), F.col("predicates")), "pass (holds unlabelled `other` facts)").otherwise("pass"))
+    then = F.when(ok2, F.concat(F.lit("3 window: "), F.when(~ok3, fails).otherwise("pass")))
+    k = k.select("instance_id", "pos", (ok2 & ok3).alias("ok"), why.alias("why"), detail.alias("detail"), F.array_compact(F.array(said, then)).alias("lines"))
+    g23 = k.groupBy("instance_id").agg(F.max("ok").alias("ok23"), F.max_by(F.struct("why", "detail"), "pos").alias("v"), F.min(F.when(F.col("ok"), F.col("pos"))).alias("_at"), F.array_sort(F.collect_list(F.struct("pos", "lines"))).alias("_l"))  # the names of one question
     anchors = g1.where("passed").select("instance_id", F.array_except("resolved", F.array(F.lit(vocab.ASSISTANT_KEY))).alias("t"), F.size("resolved").alias("n"))
     two = anchors.where("n >= 2 and size(t) >= 2").select("instance_id", F.col("t"), F.explode("t").alias("a")).select("instance_id", "a", F.explode("t").alias("b")).where("a < b")
     linked = connected(two, adjacent(incidence(facts))).select("instance_id").distinct().withColumn("joined", F.lit(True))
@@ -104,10 +114,17 @@ def cascade(questions: DataFrame, entities: DataFrame, facts: DataFrame, aliases
     out = g1.join(g23, "instance_id", "left").join(tried, "instance_id", "left").join(linked, "instance_id", "left")
     fail4 = F.col("tried").isNotNull() & F.col("joined").isNull()
     reason = F.when(~F.col("passed"), "unknown_entity").when(~F.col("ok23"), F.col("v.why")).when(fail4, "no_path")
-    missing = F.when(~F.col("passed"), F.col("missing")).when(~F.col("ok23"), F.col("v.detail")).when(fail4, F.concat(F.array_join("resolved", ", "), F.lit(f": no path within {vocab.MAX_LEN} hops")))
+    no_path = F.concat(F.array_join("resolved", ", "), F.lit(": "), F.col("tried").cast("string"), F.lit(f" pairs, no path within {vocab.MAX_LEN} hops"))
+    missing = F.when(~F.col("passed"), F.col("missing")).when(~F.col("ok23"), F.col("v.detail")).when(fail4, no_path)
     text_read = (F.size("via_text") > 0) | (~F.col("passed") & (F.col("missing") != "<empty graph>"))
     trips = F.when(~F.col("passed"), F.when(text_read, 3).otherwise(2)).when(~F.col("ok23"), 3).when(F.col("tried").isNotNull(), 4).otherwise(3)
-    return out.select("instance_id", reason.isNull().alias("passed"), F.coalesce(reason, F.lit("")).alias("reason"), F.coalesce(missing, F.lit("")).alias("missing"), F.concat_ws(",", "resolved").alias("resolved"), trips.alias("round_trips"))
+    gate1 = F.concat(F.lit("1 entity: "), F.when(~F.col("passed"), F.concat(F.lit("unknown_entity: "), F.col("missing"))).when(F.size("via_text") > 0, F.concat(F.lit("pass (via stored text: "), F.array_join("via_text", ", "), F.lit(")"))).otherwise("pass"))
+    ran = F.filter("_l", lambda x: F.col("_at").isNull() | (x["pos"] <= F.col("_at")))  # it stops at the first entity that passes
+    none = F.array().cast("array<string>")
+    lines = F.coalesce(F.flatten(F.transform(ran, lambda x: x["lines"])), none)
+    gate4 = F.when(F.size("resolved") < 2, F.lit("4 path: skipped (one entity, nothing to connect)")).otherwise(F.concat(F.lit("4 path: "), F.when(fail4, F.concat(F.lit("no_path: "), no_path)).otherwise("pass")))
+    trace = F.concat(F.array(gate1), F.when(F.col("passed"), lines).otherwise(none), F.when(F.coalesce("ok23", F.lit(False)), F.array(gate4)).otherwise(none))
+    return out.withColumn("trace", trace).select("trace", "instance_id", reason.isNull().alias("passed"), F.coalesce(reason, F.lit("")).alias("reason"), F.coalesce(missing, F.lit("")).alias("missing"), F.concat_ws(",", "resolved").alias("resolved"), trips.alias("round_trips"))
 
 
 def cited_ids(c: Column) -> Column:
@@ -129,9 +146,10 @@ def citation_gate(answers: DataFrame, facts: DataFrame) -> DataFrame:
 
 
 def appeal(gated: DataFrame, facts: DataFrame) -> DataFrame:
-    """instance_id, appeal, declined: whether an abstention gets a second look. gated: instance_id, reason, windowed."""
+    """id, instance_id, appeal, declined: whether an abstention gets a second look. gated: instance_id, reason, windowed."""
     f = facts.groupBy("instance_id").agg(F.count("*").alias("n_facts"), F.max((F.length("snippet") > vocab.MAX_SPAN).cast("int")).alias("wide"))
     g = gated.join(f, "instance_id", "left")
+    # Why there is no second look.
     declined = (
         F.when(F.col("reason").isin("uncited_answer", "fabricated_citation"), F.concat("reason", F.lit(" is a contract failure, not a decline")))
         .when(F.col("reason") != "not_in_graph", F.concat("reason", F.lit(" fires before retrieval")))

@@ -14,7 +14,7 @@ from factloom.functions.text import digits_only, entity_key, normalized, staged,
 from factloom.functions.windows import DAY
 from factloom.operators.history import neighbours
 from factloom.operators.merge import first_wins
-from factloom.session import written
+from factloom.session import discarded, written
 
 
 def valid_from(df: DataFrame, hint: str, said_at: str) -> Column:
@@ -124,10 +124,13 @@ def _names(entities: DataFrame) -> DataFrame:
 def alias_containment(entities: DataFrame) -> DataFrame:
     """instance_id, alias_key, canonical_key: the words of one name are some of the words of a longer one, of one type.
 
-    Names meet only on a word: the first word of the shorter one is looked up among all words of the others.
+    Names meet only on a word: the rarest word of the shorter one, by how many names of its kind and instance have it, is looked up
+    among all words of the others.
     """
     n = _names(entities)
-    short = n.select("instance_id", "kind", F.col("key").alias("alias_key"), F.col("norm").alias("a"), F.col("ws").alias("aw"), F.col("ws")[0].alias("w"))
+    each = n.select("instance_id", "kind", "key", "norm", "ws", F.explode("ws").alias("w"))
+    count = each.groupBy("instance_id", "kind", "w").agg(F.count("*").alias("n"))
+    short = each.join(count, ["instance_id", "kind", "w"]).groupBy("instance_id", "kind", F.col("key").alias("alias_key"), F.col("norm").alias("a"), F.col("ws").alias("aw")).agg(F.min_by("w", F.struct("n", "w")).alias("w"))
     long = n.select("instance_id", "kind", F.col("key").alias("canonical_key"), F.col("norm").alias("b"), F.col("ws").alias("bw"), F.explode("ws").alias("w"))
     p = short.join(long, ["instance_id", "kind", "w"]).where("alias_key <> canonical_key and length(a) < length(b) and size(aw) < size(bw) and size(array_except(aw, bw)) = 0")
     return p.select("instance_id", "alias_key", "canonical_key").distinct()
@@ -163,6 +166,17 @@ def alias_links(entities: DataFrame) -> DataFrame:
     return alias_containment(entities).select(keys).unionByName(alias_ratio(entities).select(keys)).distinct()
 
 
+def alias_edges(links: DataFrame) -> DataFrame:
+    """src, dst, rid, instance_id: ALIAS_OF edges of alias_links."""
+    e = links.select(entity_id("instance_id", "alias_key").alias("src"), entity_id("instance_id", "canonical_key").alias("dst"), "instance_id")
+    return e.select("src", "dst", edge_id("src", "ALIAS_OF", "dst").alias("rid"), "instance_id")
+
+
+def scoped(paths: DataFrame, instance: str = "instance_id", nodes: str = "nodes") -> DataFrame:
+    """Paths all of whose nodes (structs with instance_id) are of their own instance."""
+    return paths.where(F.forall(nodes, lambda n: n["instance_id"] == F.col(instance)))
+
+
 def alias_closure(aliases: DataFrame) -> DataFrame:
     """instance_id, alias_key, canonical_key after following all links.
 
@@ -174,14 +188,14 @@ def alias_closure(aliases: DataFrame) -> DataFrame:
     a = written(a.select("instance_id", "alias_key", "canonical_key", F.array("alias_key", "canonical_key").alias("walk"), (F.col("alias_key") == F.col("canonical_key")).alias("ended")), "aliases")
     while True:
         onward = a.select("instance_id", F.col("alias_key").alias("canonical_key"), F.col("walk").alias("_on"))
-        go = a.join(onward, ["instance_id", "canonical_key"], "left").withColumn("_go", ~F.col("ended") & F.col("_on").isNotNull())
+        go = a.select("instance_id", "alias_key", "canonical_key", "walk", "ended").join(onward, ["instance_id", "canonical_key"], "left").withColumn("_go", ~F.col("ended") & F.col("_on").isNotNull())
         go = go.withColumn("walk", F.when(F.col("_go"), F.concat("walk", F.slice("_on", 2, F.size("_on") - 1))).otherwise(F.col("walk")))
         again = F.filter("walk", lambda x, i: F.array_position("walk", x) <= i)
         go = staged(go, _again=F.get(again, F.lit(0)))
-        a = written(go.select("instance_id", "alias_key", F.coalesce("_again", F.element_at("walk", -1)).alias("canonical_key"), "walk", F.col("_again").isNotNull().alias("ended"), "_go"), "aliases")
+        before, a = a, written(go.select("instance_id", "alias_key", F.coalesce("_again", F.element_at("walk", -1)).alias("canonical_key"), "walk", F.col("_again").isNotNull().alias("ended"), "_go"), "aliases")
+        discarded(before)
         if a.where("_go").isEmpty():
             return a.select("instance_id", "alias_key", "canonical_key")
-        a = a.drop("_go")
 
 
 def incidence(facts: DataFrame) -> DataFrame:
@@ -204,8 +218,12 @@ def connected(anchors: DataFrame, adj: DataFrame) -> DataFrame:
     Only the neighbours of anchors are looked at; pairs of the whole graph are never formed.
     """
     direct = anchors.join(adj, ["instance_id", "a", "b"]).select("instance_id", "a", "b", F.lit(2).alias("hops"))
-    mid = anchors.join(adj.select("instance_id", "a", F.col("b").alias("m")), ["instance_id", "a"])
-    far = mid.join(adj.select("instance_id", F.col("a").alias("m"), "b"), ["instance_id", "m", "b"]).select("instance_id", "a", "b", F.lit(4).alias("hops"))
+    # One step from each first end, whatever the number of its pairs, then one to those that are second ends.
+    ends = anchors.select("instance_id", F.col("b").alias("x")).distinct()
+    step = anchors.select("instance_id", "a").distinct().join(adj.select("instance_id", "a", F.col("b").alias("m")), ["instance_id", "a"])
+    onward = adj.select("instance_id", F.col("a").alias("m"), F.col("b").alias("x")).join(ends, ["instance_id", "x"], "left_semi")
+    met = step.join(onward, ["instance_id", "m"]).select("instance_id", "a", F.col("x").alias("b")).distinct()
+    far = anchors.join(met, ["instance_id", "a", "b"], "left_semi").select("instance_id", "a", "b", F.lit(4).alias("hops"))
     return direct.unionByName(far).groupBy("instance_id", "a", "b").agg(F.min("hops").alias("hops"))
 
 

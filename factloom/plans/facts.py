@@ -16,9 +16,14 @@ from factloom.sources.tables import table
 FACT = ["instance_id", "fact_id", "subject_vid", "subject_key", "predicate", "value_text", "value_type", "valid_from", "valid_to", "asserted_at", "session_id", "turn_idx", "role", "snippet", "confidence", "status", "log_id"]
 
 
-def stored(spark: SparkSession, d: str) -> DataFrame:
-    """The fact log as a store: one row per fact, revisions guarded by asserted_at."""
-    return merge.guarded_merge(table(spark, d, "facts").select("vid", *FACT), ["vid"], F.col("asserted_at"), F.col("log_id"))
+def stored(spark: SparkSession, d: str, *cols: str) -> DataFrame:
+    """The fact log as a store: one row per fact, revisions guarded by asserted_at; with vid only the columns named, all if none is.
+
+    What a query doesn't name is neither read from the log nor carried through the merge.
+    """
+    names = list(dict.fromkeys(["vid", *(cols or FACT)]))
+    rows = table(spark, d, "facts").select(*names, F.col("asserted_at").alias("_guard"), F.col("log_id").alias("_at"))
+    return merge.guarded_merge(rows, ["vid"], F.col("_guard"), F.col("_at")).select(*names)
 
 
 def entities(spark: SparkSession, d: str) -> DataFrame:
@@ -40,11 +45,11 @@ def normalize_keys(spark: SparkSession, d: str) -> DataFrame:
 
 def facts_of_subject(spark: SparkSession, d: str) -> DataFrame:
     e = entities(spark, d).select(F.col("vid").alias("subject_vid"), F.col("name").alias("subject_name"))
-    return stored(spark, d).join(e, "subject_vid").select("vid", "fact_id", "instance_id", "subject_key", "subject_name", "predicate", "value_text", "asserted_at")
+    return stored(spark, d, "fact_id", "instance_id", "subject_vid", "subject_key", "predicate", "value_text", "asserted_at").join(e, "subject_vid").select("vid", "fact_id", "instance_id", "subject_key", "subject_name", "predicate", "value_text", "asserted_at")
 
 
 def edge_counts(spark: SparkSession, d: str) -> DataFrame:
-    f, e = stored(spark, d), entities(spark, d)
+    f, e = stored(spark, d, "instance_id", "subject_vid", "predicate", "value_text", "valid_from", "asserted_at", "turn_idx"), entities(spark, d)
     subject = f.join(e.select(F.col("vid").alias("subject_vid")), "subject_vid", "left_semi").groupBy("instance_id").agg(F.count("*").alias("n"))
     parts = [f.groupBy("instance_id").agg(F.count("*").alias("n")).withColumn("what", F.lit("facts")), e.groupBy("instance_id").agg(F.count("*").alias("n")).withColumn("what", F.lit("entities")), subject.withColumn("what", F.lit("subject_edges")), chain.pairs(f).groupBy("instance_id").agg(F.count("*").alias("n")).withColumn("what", F.lit("supersedes_edges"))]
     out = parts[0]
@@ -54,27 +59,27 @@ def edge_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def supersession_facts(spark: SparkSession, d: str) -> DataFrame:
-    return chain.superseded(stored(spark, d)).select("vid", "slot", "superseded_by", "status", "valid_to")
+    return chain.superseded(stored(spark, d, "instance_id", "subject_vid", "predicate", "value_text", "valid_from", "asserted_at", "turn_idx")).select("vid", "slot", "superseded_by", "status", "valid_to")
 
 
 def supersession_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return chain.pairs(stored(spark, d))
+    return chain.pairs(stored(spark, d, "instance_id", "subject_vid", "predicate", "value_text", "valid_from", "asserted_at", "turn_idx"))
 
 
 def current_facts(spark: SparkSession, d: str) -> DataFrame:
-    return chain.current(chain.superseded(stored(spark, d))).select("vid", "instance_id", "subject_key", "predicate", "value_text")
+    return chain.current(chain.superseded(stored(spark, d, "subject_key", "instance_id", "subject_vid", "predicate", "value_text", "valid_from", "asserted_at", "turn_idx"))).select("vid", "instance_id", "subject_key", "predicate", "value_text")
 
 
 def predecessors(spark: SparkSession, d: str) -> DataFrame:
-    return chain.predecessors(stored(spark, d)).select("vid", "fact_id", "replaced")
+    return chain.predecessors(stored(spark, d, "instance_id", "subject_key", "predicate", "value_text", "valid_from", "asserted_at", "turn_idx", "fact_id")).select("vid", "fact_id", "replaced")
 
 
 def change_history(spark: SparkSession, d: str) -> DataFrame:
-    return chain.change_history(stored(spark, d))
+    return chain.change_history(stored(spark, d, "instance_id", "subject_key", "predicate", "value_text", "valid_from", "asserted_at", "turn_idx", "fact_id"))
 
 
 def since_current(spark: SparkSession, d: str) -> DataFrame:
-    return chain.since_current(stored(spark, d))
+    return chain.since_current(stored(spark, d, "instance_id", "subject_key", "predicate", "value_text", "valid_from", "asserted_at", "turn_idx", "fact_id"))
 
 
 def window_bounds(spark: SparkSession, d: str) -> DataFrame:
@@ -84,23 +89,23 @@ def window_bounds(spark: SparkSession, d: str) -> DataFrame:
 
 def facts_in_window(spark: SparkSession, d: str) -> DataFrame:
     q = with_window(questions(spark, d)).where("w_start is not null").select("instance_id", "w_start", "w_end")
-    f = chain.superseded(stored(spark, d)).select("vid", "instance_id", "valid_from", "valid_to")
+    f = chain.superseded(stored(spark, d, "instance_id", "subject_vid", "predicate", "value_text", "valid_from", "asserted_at", "turn_idx")).select("vid", "instance_id", "valid_from", "valid_to")
     return f.join(q, "instance_id").where(overlaps(F.col("valid_from"), F.col("valid_to"), F.col("w_start"), F.col("w_end"))).select("instance_id", "vid")
 
 
 def value_at_time(spark: SparkSession, d: str) -> DataFrame:
     q = questions(spark, d).where("asked_at is not null").select("instance_id", "asked_at")
-    f = chain.superseded(stored(spark, d)).select("vid", "instance_id", "subject_key", "predicate", "value_text", "valid_from", "valid_to")
+    f = chain.superseded(stored(spark, d, "subject_key", "instance_id", "subject_vid", "predicate", "value_text", "valid_from", "asserted_at", "turn_idx")).select("vid", "instance_id", "subject_key", "predicate", "value_text", "valid_from", "valid_to")
     return f.join(q, "instance_id").where(at_time(F.col("valid_from"), F.col("valid_to"), F.col("asked_at"))).select("instance_id", "vid", "subject_key", "predicate", "value_text")
 
 
 def guarded_merge(spark: SparkSession, d: str) -> DataFrame:
-    return stored(spark, d).select("vid", "value_text", "status", "valid_to", "asserted_at", "log_id")
+    return stored(spark, d, "value_text", "status", "valid_to", "asserted_at", "log_id")
 
 
 def close_facts(spark: SparkSession, d: str) -> DataFrame:
     """Closings as a merge guarded by valid_to: an end only ever grows."""
-    f = chain.superseded(stored(spark, d)).select("vid", "valid_to", "status", F.lit(1).alias("at"))
+    f = chain.superseded(stored(spark, d, "instance_id", "subject_vid", "predicate", "value_text", "valid_from", "asserted_at", "turn_idx")).select("vid", "valid_to", "status", F.lit(1).alias("at"))
     log = table(spark, d, "facts").select("vid", F.coalesce("valid_to", F.lit(0)).alias("valid_to"), "status", (F.col("log_id") + 1).alias("at"))
     return merge.guarded_merge(f.unionByName(log), ["vid"], F.col("valid_to"), F.col("at")).select("vid", "valid_to", "status")
 
@@ -108,13 +113,13 @@ def close_facts(spark: SparkSession, d: str) -> DataFrame:
 def guarded_entities(spark: SparkSession, d: str) -> DataFrame:
     """Entities touched again by each fact: last_seen guarded, first_seen kept from the first arrival."""
     e = entities(spark, d).select("vid", "name", "first_seen", "last_seen", F.lit(0).cast("bigint").alias("arrival"))
-    again = stored(spark, d).select(F.col("subject_vid").alias("vid"), F.col("subject_key").alias("name"), F.col("turn_idx").alias("first_seen"), F.col("turn_idx").alias("last_seen"), "log_id").select("vid", "name", "first_seen", "last_seen", F.col("log_id").alias("arrival"))
+    again = stored(spark, d, "subject_vid", "subject_key", "turn_idx", "log_id").select(F.col("subject_vid").alias("vid"), F.col("subject_key").alias("name"), F.col("turn_idx").alias("first_seen"), F.col("turn_idx").alias("last_seen"), "log_id").select("vid", "name", "first_seen", "last_seen", F.col("log_id").alias("arrival"))
     return merge.guarded_merge(e.unionByName(again), ["vid"], F.col("last_seen"), F.col("arrival"), ("first_seen",)).select("vid", "name", "first_seen", "last_seen")
 
 
 def edge_integrity(spark: SparkSession, d: str) -> DataFrame:
     """Facts whose subject or session is not stored."""
-    f = stored(spark, d)
+    f = stored(spark, d, "subject_vid", "session_id")
     no_subject = merge.dangling(f.select("vid", "subject_vid"), entities(spark, d), "subject_vid").select("vid", F.lit("subject").alias("missing"))
     no_session = merge.dangling(f.select("vid", "session_id"), table(spark, d, "sessions"), "session_id", "key").select("vid", F.lit("session").alias("missing"))
     return no_subject.unionByName(no_session)
@@ -125,13 +130,13 @@ def asked_predicates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def memory_get_all(spark: SparkSession, d: str) -> DataFrame:
-    f = stored(spark, d)
+    f = stored(spark, d, "instance_id", "fact_id", "predicate", "value_text", "valid_from", "status")
     return chain.current(f, missing_is_current=False).select("instance_id", "vid", "fact_id", "predicate", "value_text", "valid_from")
 
 
 def memory_history(spark: SparkSession, d: str) -> DataFrame:
     """Each replaced fact with the one that replaced it."""
-    f = stored(spark, d)
+    f = stored(spark, d, "fact_id", "instance_id", "subject_vid", "predicate", "value_text", "valid_from", "asserted_at", "turn_idx")
     p = chain.pairs(f).select(F.col("src").alias("new_vid"), F.col("dst").alias("vid"))
     new = f.select(F.col("vid").alias("new_vid"), F.col("fact_id").alias("new_fact_id"), F.col("value_text").alias("new_value"))
     return p.join(f.select("vid", "fact_id", "value_text"), "vid").join(new, "new_vid").select("vid", "fact_id", "value_text", "new_fact_id", "new_value")
@@ -139,14 +144,40 @@ def memory_history(spark: SparkSession, d: str) -> DataFrame:
 
 def memory_delete(spark: SparkSession, d: str) -> DataFrame:
     """The store after a tombstone on each superseded fact of the log: deleted is final."""
-    f = stored(spark, d)
+    f = stored(spark, d, "status", "valid_to")
     gone = f.where("status = 'superseded'").select("vid", F.lit("deleted").alias("status"), F.greatest(F.coalesce("valid_to", F.lit(0)), F.lit(1)).alias("valid_to"), F.lit(2).alias("guard"))
     rows = f.select("vid", "status", F.coalesce("valid_to", F.lit(0)).alias("valid_to"), F.lit(1).alias("guard")).unionByName(gone)
     out = merge.guarded_merge(rows, ["vid"], F.col("guard"), F.col("guard"))
     return out.groupBy("status").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (det_ids, normalize_keys, facts_of_subject, edge_counts, supersession_facts, supersession_pairs, current_facts, predecessors, change_history, since_current, window_bounds, facts_in_window, value_at_time, guarded_merge, close_facts, guarded_entities, edge_integrity, asked_predicates, memory_get_all, memory_history, memory_delete)}
+def entities_of_instance(spark: SparkSession, d: str) -> DataFrame:
+    """The entities of every tenant that asks a question."""
+    e = entities(spark, d).select("instance_id", "vid", "key", "name", "entity_type")
+    return e.join(table(spark, d, "instances").select("instance_id"), "instance_id", "left_semi")
+
+
+def subject_of_fact(spark: SparkSession, d: str) -> DataFrame:
+    """The entity that each fact is about, looked up by its id."""
+    e = entities(spark, d).select(F.col("vid").alias("subject_vid"), "key", "name", "entity_type")
+    return stored(spark, d, "subject_vid").join(e, "subject_vid").select("vid", "subject_vid", "key", "name", "entity_type")
+
+
+def facts_by_id(spark: SparkSession, d: str) -> DataFrame:
+    """The fact behind every id that supersedes another, looked up by its id."""
+    f = stored(spark, d, "fact_id", "instance_id", "subject_vid", "predicate", "value_text", "valid_from", "asserted_at", "turn_idx")
+    ids = chain.pairs(f).select(F.col("src").alias("vid")).distinct()
+    return f.join(ids, "vid", "left_semi").select("vid", "fact_id", "instance_id", "predicate", "value_text", "asserted_at")
+
+
+def batch_keys(spark: SparkSession, d: str) -> DataFrame:
+    """A key for each batch of answer messages, from what is in it."""
+    from factloom.functions.ids import batch_keys as keys
+
+    return keys(table(spark, d, "results"), "batch_no", ["delivery_id", "run_id", "arm", "instance_id", "answer"], "results")
+
+
+QUERIES = {f.__name__: f for f in (det_ids, normalize_keys, facts_of_subject, edge_counts, supersession_facts, supersession_pairs, current_facts, predecessors, change_history, since_current, window_bounds, facts_in_window, value_at_time, guarded_merge, close_facts, guarded_entities, edge_integrity, asked_predicates, memory_get_all, memory_history, memory_delete, entities_of_instance, subject_of_fact, facts_by_id, batch_keys)}
 
 _END = "CASE WHEN nxt IS NULL THEN 0 ELSE greatest(nvf, coalesce(valid_from, 0)) END"
 _DAY = 86400
@@ -207,4 +238,8 @@ ORACLE = {
     "memory_get_all": f"WITH {sql.STORED} SELECT instance_id, vid, fact_id, predicate, value_text, valid_from FROM stored WHERE status = 'current'",
     "memory_history": f"WITH {sql.CHAIN} SELECT c.vid, c.fact_id, c.value_text, n.fact_id AS new_fact_id, n.value_text AS new_value FROM chain c JOIN stored n ON n.vid = c.nxt",
     "memory_delete": f"WITH {sql.STORED} SELECT CASE status WHEN 'superseded' THEN 'deleted' ELSE status END AS status, count(*) AS n FROM stored GROUP BY 1",
+    "entities_of_instance": "SELECT instance_id, vid, key, name, entity_type FROM entities WHERE instance_id IN (SELECT instance_id FROM instances)",
+    "subject_of_fact": f"WITH {sql.STORED} SELECT s.vid, subject_vid, e.key, e.name, e.entity_type FROM stored s JOIN entities e ON e.vid = s.subject_vid",
+    "facts_by_id": f"WITH {sql.CHAIN} SELECT vid, fact_id, instance_id, predicate, value_text, asserted_at FROM stored WHERE vid IN (SELECT nxt FROM chain)",
+    "batch_keys": """SELECT batch_no, 'results.' || sha256(count(*) || '|' || sum(('0x' || substr(sha256(concat_ws('|', coalesce(delivery_id::VARCHAR, ''), coalesce(run_id, ''), coalesce(arm, ''), coalesce(instance_id, ''), coalesce(answer, ''))), 1, 15))::BIGINT)::HUGEINT) AS key FROM results GROUP BY 1""",
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from factloom.functions.windows import with_window
 from factloom.operators import gates, graph
 from factloom.plans import sql
 from factloom.plans.facts import WINDOWS, entities, questions, stored
+from factloom.session import written
 from factloom.sources.tables import table
 
 
@@ -68,6 +71,35 @@ def alias_ratio(spark: SparkSession, d: str) -> DataFrame:
     return graph.alias_ratio(entities(spark, d))
 
 
+def alias_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Near-identical names: by containment or by ratio."""
+    return graph.alias_links(entities(spark, d))
+
+
+def alias_edges(spark: SparkSession, d: str) -> DataFrame:
+    return graph.alias_edges(graph.alias_links(entities(spark, d)))
+
+
+def aliases_of_entity(spark: SparkSession, d: str) -> DataFrame:
+    """Each entity with those that it is an alias of."""
+    e = entities(spark, d).where("key is not null")
+    a, c = e.select("instance_id", F.col("key").alias("alias_key"), "vid"), e.select("instance_id", F.col("key").alias("canonical_key"), F.col("vid").alias("alias_of"), "name")
+    return graph.alias_links(entities(spark, d)).join(a, ["instance_id", "alias_key"]).join(c, ["instance_id", "canonical_key"]).select("instance_id", "vid", "alias_of", "name")
+
+
+def payload_counts(spark: SparkSession, d: str) -> DataFrame:
+    """How many rows of each payload an ingestion of the tables writes."""
+    from factloom.operators import chain
+
+    t = written(_touched(spark, d), "touched")
+    facts = written(graph.fact_rows(t), "facts")
+    pairs = chain.pairs(facts.select("vid", "instance_id", "subject_vid", "predicate", "value_text", "valid_from", "asserted_at", "turn_idx"))
+    one = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("payload"), "n")
+    parts = [one(table(spark, d, "sessions").select("key").where("key is not null").distinct(), "sessions"), one(graph.entity_rows(t), "entities"), one(facts, "facts"), graph.fact_edges(facts).groupBy(F.lower("type").alias("payload")).agg(F.count("*").alias("n")),
+             one(session_next_edges(spark, d), "next"), one(alias_pairs(spark, d), "alias"), one(pairs, "close"), one(pairs, "supersedes")]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def alias_closure(spark: SparkSession, d: str) -> DataFrame:
     return graph.alias_closure(graph.alias_links(entities(spark, d)))
 
@@ -129,7 +161,7 @@ def gate_window(spark: SparkSession, d: str) -> DataFrame:
 
 
 def gate_cascade(spark: SparkSession, d: str) -> DataFrame:
-    return gates.cascade(questions(spark, d), entities(spark, d), stored(spark, d), _aliases(spark, d))
+    return gates.cascade(questions(spark, d), entities(spark, d), stored(spark, d), _aliases(spark, d)).drop("trace")
 
 
 def cascade_cost(spark: SparkSession, d: str) -> DataFrame:
@@ -150,7 +182,7 @@ def appeals(spark: SparkSession, d: str) -> DataFrame:
     return gates.appeal(g.join(w, "instance_id"), stored(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (clean_facts, date_hints, build_facts, build_entities, build_edges, edge_type_counts, session_next_edges, session_upsert, entity_first_last_seen, alias_containment, alias_ratio, alias_closure, path_pairs_2, path_anchor_pairs, question_paths, question_mentions, text_resolve, gate_entity, gate_predicate, gate_window, gate_cascade, cascade_cost, citation_gate, appeals)}
+QUERIES = {f.__name__: f for f in (clean_facts, date_hints, build_facts, build_entities, build_edges, edge_type_counts, session_next_edges, session_upsert, entity_first_last_seen, alias_containment, alias_ratio, alias_pairs, alias_edges, aliases_of_entity, payload_counts, alias_closure, path_pairs_2, path_anchor_pairs, question_paths, question_mentions, text_resolve, gate_entity, gate_predicate, gate_window, gate_cascade, cascade_cost, citation_gate, appeals)}
 
 # --- the same in DuckDB
 
@@ -177,12 +209,19 @@ _EDGES = f"""{FACTS}, e0 AS (SELECT vid AS src, instance_id, 'SUBJECT' AS type,
  UNION ALL SELECT vid, instance_id, 'ASSERTED_IN', {sql.nid('S', "instance_id || '|' || session_id")} FROM fr)"""
 _ENT = f"""{TOUCHED}, u AS (SELECT instance_id, session_idx, extract_id, subject_key AS key, subject_name AS name, 'person' AS entity_type, 0 AS part FROM touched UNION ALL SELECT instance_id, session_idx, extract_id, object_key, value_text, object_type, 1 FROM touched WHERE object_key IS NOT NULL),
 seen AS (SELECT instance_id, key, min(session_idx) AS first_seen, max(session_idx) AS last_seen FROM u GROUP BY 1, 2), fst AS (SELECT instance_id, key, name, entity_type FROM u QUALIFY row_number() OVER (PARTITION BY instance_id, key ORDER BY session_idx, extract_id, part) = 1)"""
+_ENT_ONLY = _ENT.removeprefix(f"{TOUCHED}, ")
 _ALIAS = f"""nm AS (SELECT DISTINCT instance_id, entity_type AS kind, key, coalesce({sql.normalized('name')}, '') AS norm FROM entities WHERE instance_id IS NOT NULL), nw AS (SELECT *, list_distinct(string_split(norm, ' ')) AS ws FROM nm WHERE norm <> ''),
 alias AS (SELECT DISTINCT a.instance_id, a.key AS alias_key, b.key AS canonical_key FROM nw a JOIN nw b ON a.instance_id = b.instance_id AND a.kind = b.kind AND a.key <> b.key AND length(a.norm) < length(b.norm) AND len(a.ws) < len(b.ws) AND list_has_all(b.ws, a.ws))"""
-_CLOSURE = f"""{_ALIAS}, a0 AS (SELECT instance_id, alias_key, max(canonical_key) AS canonical_key FROM alias GROUP BY 1, 2),
-a1 AS (SELECT x.instance_id, x.alias_key, coalesce(y.canonical_key, x.canonical_key) AS canonical_key FROM a0 x LEFT JOIN a0 y ON y.instance_id = x.instance_id AND y.alias_key = x.canonical_key),
-a2 AS (SELECT x.instance_id, x.alias_key, coalesce(y.canonical_key, x.canonical_key) AS canonical_key FROM a1 x LEFT JOIN a1 y ON y.instance_id = x.instance_id AND y.alias_key = x.canonical_key),
-closed AS (SELECT x.instance_id, x.alias_key, coalesce(y.canonical_key, x.canonical_key) AS canonical_key FROM a2 x LEFT JOIN a2 y ON y.instance_id = x.instance_id AND y.alias_key = x.canonical_key)"""
+# The longest matching block of two texts, the first of the longest; what is left and right of it is matched in turn.
+_BLOCK = "list_max(flatten(list_transform(range(1, length(a) + 1), lambda i: list_transform(list_filter(range(1, length(a) - i + 2), lambda n: contains(b, substr(a, i, n))), lambda n: {'n': n, 'i': -i}))))"
+_RATIO = f"""{_ALIAS}, rp AS (SELECT row_number() OVER () AS pid, x.instance_id, x.key AS alias_key, y.key AS canonical_key, x.norm AS a, y.norm AS b FROM nw x JOIN nw y ON x.instance_id = y.instance_id AND x.kind = y.kind AND x.key <> y.key AND length(x.norm) < length(y.norm) AND 2 * length(x.norm) > 0.92 * (length(x.norm) + length(y.norm))),
+seg AS (SELECT pid, a, b, {_BLOCK} AS m FROM rp UNION ALL SELECT pid, a, b, {_BLOCK} FROM (SELECT pid, unnest([substr(a, 1, -m.i - 1), substr(a, -m.i + m.n, length(a))]) AS a, unnest([substr(b, 1, strpos(b, substr(a, -m.i, m.n)) - 1), substr(b, strpos(b, substr(a, -m.i, m.n)) + m.n, length(b))]) AS b FROM seg WHERE m IS NOT NULL) WHERE a <> '' AND b <> ''),
+ratios AS (SELECT DISTINCT rp.instance_id, alias_key, canonical_key, (2 * t)::DOUBLE / (length(a) + length(b)) AS ratio FROM rp JOIN (SELECT pid, sum(m.n) AS t FROM seg GROUP BY 1) USING (pid) WHERE (2 * t)::DOUBLE / (length(a) + length(b)) > 0.92),
+links AS (SELECT instance_id, alias_key, canonical_key FROM alias UNION SELECT instance_id, alias_key, canonical_key FROM ratios)"""
+_CLOSURE = f"""{_RATIO}, a0 AS (SELECT instance_id, alias_key, max(canonical_key) AS canonical_key FROM links GROUP BY 1, 2),
+chase AS (SELECT instance_id, alias_key, canonical_key AS here, [alias_key, canonical_key] AS seen FROM a0
+ UNION ALL SELECT c.instance_id, c.alias_key, a0.canonical_key, list_append(seen, a0.canonical_key) FROM chase c JOIN a0 ON a0.instance_id = c.instance_id AND a0.alias_key = c.here WHERE list_position(seen, c.here) = len(seen)),
+closed AS (SELECT instance_id, alias_key, arg_max(here, len(seen)) AS canonical_key FROM chase GROUP BY 1, 2)"""
 _INC_ = f"""inc AS (SELECT DISTINCT instance_id, vid AS fact, subject_key AS entity FROM stored WHERE subject_key IS NOT NULL AND instance_id IS NOT NULL UNION SELECT instance_id, vid, {sql.entity_key(sql.object_type(), 'value_text')} FROM stored WHERE value_type = 'entity' AND value_text IS NOT NULL AND instance_id IS NOT NULL),
 adj AS (SELECT DISTINCT x.instance_id, x.entity AS a, y.entity AS b FROM inc x JOIN inc y ON x.instance_id = y.instance_id AND x.fact = y.fact AND x.entity <> y.entity)"""
 _INC = f"{sql.STORED}, {_INC_}"
@@ -214,9 +253,9 @@ v23 AS (SELECT instance_id, bool_or(ok2 AND ok3) AS ok23, arg_max(CASE WHEN NOT
  arg_max(CASE WHEN NOT ok2 THEN key || ' has no ' || array_to_string(wanted, ', ') WHEN NOT ok3 THEN key || ' has no fact valid ' || phrase || ' (' || lbl || ')' ELSE '' END, pos) AS detail FROM k23 GROUP BY 1),
 an AS (SELECT instance_id, list_filter(resolved, lambda x: x <> 'person:assistant') AS t, len(resolved) AS n FROM g1 WHERE passed), ea AS (SELECT instance_id, unnest(t) AS a FROM an WHERE n >= 2 AND len(t) >= 2), two AS (SELECT x.instance_id, x.a, y.a AS b FROM ea x JOIN ea y ON x.instance_id = y.instance_id AND x.a < y.a),
 {_INC_}, joined AS (SELECT DISTINCT two.instance_id FROM two WHERE EXISTS (SELECT 1 FROM adj WHERE adj.instance_id = two.instance_id AND adj.a = two.a AND adj.b = two.b) OR EXISTS (SELECT 1 FROM adj p JOIN adj r ON r.instance_id = p.instance_id AND r.a = p.b WHERE p.instance_id = two.instance_id AND p.a = two.a AND r.b = two.b)),
-tried AS (SELECT DISTINCT instance_id FROM two), fin AS (SELECT g1.*, ok23, why, detail, tried.instance_id IS NOT NULL AS did, joined.instance_id IS NOT NULL AS ok4 FROM g1 LEFT JOIN v23 USING (instance_id) LEFT JOIN tried USING (instance_id) LEFT JOIN joined USING (instance_id)),
+tried AS (SELECT instance_id, count(*) AS pairs FROM two GROUP BY 1), fin AS (SELECT g1.*, ok23, why, detail, pairs, tried.instance_id IS NOT NULL AS did, joined.instance_id IS NOT NULL AS ok4 FROM g1 LEFT JOIN v23 USING (instance_id) LEFT JOIN tried USING (instance_id) LEFT JOIN joined USING (instance_id)),
 cascade AS (SELECT instance_id, passed AND ok23 AND (NOT did OR ok4) AS passed, CASE WHEN NOT passed THEN 'unknown_entity' WHEN NOT ok23 THEN why WHEN did AND NOT ok4 THEN 'no_path' ELSE '' END AS reason,
- CASE WHEN NOT passed THEN missing WHEN NOT ok23 THEN detail WHEN did AND NOT ok4 THEN array_to_string(resolved, ', ') || ': no path within 4 hops' ELSE '' END AS missing, array_to_string(resolved, ',') AS resolved,
+ CASE WHEN NOT passed THEN missing WHEN NOT ok23 THEN detail WHEN did AND NOT ok4 THEN array_to_string(resolved, ', ') || ': ' || pairs || ' pairs, no path within 4 hops' ELSE '' END AS missing, array_to_string(resolved, ',') AS resolved,
  CASE WHEN NOT passed THEN CASE WHEN n_text > 0 OR missing <> '<empty graph>' THEN 3 ELSE 2 END WHEN NOT ok23 THEN 3 WHEN did THEN 4 ELSE 3 END AS round_trips FROM fin)"""
 _CITED = "list_filter(list_transform(coalesce(cited_fact_ids, []), lambda x: trim(lower(coalesce(x, '')))), lambda x: x <> '')"
 CITE = f"""{sql.STORED}, an AS (SELECT delivery_id AS id, lower(trim(instance_id)) AS instance_id, coalesce(answer, '') AS answer, {_CITED} AS c0 FROM results), cit AS (SELECT * EXCLUDE c0, list_filter(c0, lambda x, i: list_position(c0, x) = i) AS cited FROM an)"""
@@ -233,17 +272,24 @@ ORACLE = {
     "session_upsert": "SELECT key, vid, idx, instance_id FROM sessions QUALIFY row_number() OVER (PARTITION BY key ORDER BY received_at DESC, vid DESC) = 1",
     "entity_first_last_seen": f"WITH {_ENT} SELECT instance_id, key, first_seen, last_seen FROM seen",
     "alias_containment": f"WITH {_ALIAS} SELECT * FROM alias",
-    "alias_closure": f"WITH {_CLOSURE} SELECT * FROM closed",
+    "alias_ratio": f"WITH RECURSIVE {_RATIO} SELECT * FROM ratios",
+    "alias_pairs": f"WITH RECURSIVE {_RATIO} SELECT * FROM links",
+    "alias_edges": f"""WITH RECURSIVE {_RATIO} SELECT src, dst, {sql.nid('R', "src || '|ALIAS_OF|' || dst")} AS rid, instance_id FROM (SELECT instance_id, {sql.nid('E', "instance_id || '|' || alias_key")} AS src, {sql.nid('E', "instance_id || '|' || canonical_key")} AS dst FROM links)""",
+    "aliases_of_entity": f"""WITH RECURSIVE {_RATIO} SELECT l.instance_id, x.vid, y.vid AS alias_of, y.name FROM links l JOIN entities x ON x.instance_id = l.instance_id AND x.key = l.alias_key JOIN entities y ON y.instance_id = l.instance_id AND y.key = l.canonical_key""",
+    "alias_closure": f"WITH RECURSIVE {_CLOSURE} SELECT * FROM closed",
+    "payload_counts": f"""WITH RECURSIVE {_EDGES}, {_RATIO}, {_ENT_ONLY}, cf AS (SELECT vid, lead(vid) OVER (PARTITION BY instance_id, sk, predicate, slot ORDER BY said_at, turn_idx, vid) AS nxt FROM (SELECT vid, instance_id, subject_key AS sk, predicate, said_at, turn_idx, {sql.slot()} AS slot FROM fr))
+ SELECT 'sessions' AS payload, count(DISTINCT key) AS n FROM sessions UNION ALL SELECT 'entities', count(*) FROM seen UNION ALL SELECT 'facts', count(*) FROM fr UNION ALL SELECT lower(type), count(*) FROM e0 GROUP BY 1 UNION ALL SELECT 'next', count(*) FROM (SELECT lead(vid) OVER (PARTITION BY instance_id ORDER BY coalesce(idx, 0), vid) AS dst FROM sessions WHERE instance_id IS NOT NULL) WHERE dst IS NOT NULL
+ UNION ALL SELECT 'alias', count(*) FROM links UNION ALL SELECT 'close', count(*) FROM cf WHERE nxt IS NOT NULL UNION ALL SELECT 'supersedes', count(*) FROM cf WHERE nxt IS NOT NULL""",
     "path_pairs_2": f"WITH {_INC} SELECT * FROM adj WHERE a < b",
     "path_anchor_pairs": f"""WITH {_INC}, anc AS (SELECT instance_id, 'person:user' AS a, key AS b FROM entities WHERE key NOT IN ('person:user', 'person:assistant')),
  both_ AS (SELECT anc.*, 2 AS hops FROM anc JOIN adj USING (instance_id, a, b) UNION ALL SELECT anc.*, 4 FROM anc JOIN adj p ON p.instance_id = anc.instance_id AND p.a = anc.a JOIN adj r ON r.instance_id = p.instance_id AND r.a = p.b AND r.b = anc.b) SELECT instance_id, a, b, min(hops) AS hops FROM both_ GROUP BY 1, 2, 3""",
     "question_mentions": f"WITH {_MENTION} SELECT instance_id, array_to_string(names, ',') AS mentions FROM m3",
     "text_resolve": f"WITH {sql.STORED}, {_MENTION}, {_TEXT} SELECT * FROM txt",
-    "gate_entity": f"WITH {_GATE1} SELECT instance_id, passed, coalesce(missing, '') AS missing, array_to_string(resolved, ',') AS resolved FROM g1",
+    "gate_entity": f"WITH RECURSIVE {_GATE1} SELECT instance_id, passed, coalesce(missing, '') AS missing, array_to_string(resolved, ',') AS resolved FROM g1",
     "gate_predicate": f"WITH {sql.STORED}, {_HELD}, q AS (SELECT instance_id, {sql.wanted("coalesce(question, '')")} AS wanted FROM instances) SELECT k.instance_id, k.key, {_OK2} AS passed FROM held k JOIN q ON q.instance_id = k.instance_id",
     "gate_window": f"WITH {sql.STORED}, {_WW}, {_WHITS} SELECT instance_id, key, hit AS passed FROM hits",
-    "gate_cascade": f"WITH {_CASCADE} SELECT * FROM cascade",
-    "cascade_cost": f"WITH {_CASCADE} SELECT reason, round_trips, count(*) AS n FROM cascade GROUP BY 1, 2",
+    "gate_cascade": f"WITH RECURSIVE {_CASCADE} SELECT * FROM cascade",
+    "cascade_cost": f"WITH RECURSIVE {_CASCADE} SELECT reason, round_trips, count(*) AS n FROM cascade GROUP BY 1, 2",
     "citation_gate": f"""WITH {CITE}, bad AS (SELECT id, list(c ORDER BY pos) AS b FROM (SELECT id, instance_id, unnest(cited) AS c, generate_subscripts(cited, 1) AS pos FROM cit) x WHERE NOT EXISTS (SELECT 1 FROM stored s WHERE s.instance_id = x.instance_id AND s.fact_id = x.c) GROUP BY 1),
  g AS (SELECT cit.id, instance_id, CASE WHEN starts_with(upper(answer), 'ABSTAIN') THEN 'not_in_graph' WHEN b IS NOT NULL THEN 'fabricated_citation' WHEN len(cited) = 0 THEN 'uncited_answer' ELSE '' END AS reason, b FROM cit LEFT JOIN bad ON bad.id = cit.id)
  SELECT id, instance_id, reason = '' AS passed, reason, CASE WHEN reason = 'fabricated_citation' THEN array_to_string(b, ', ') ELSE '' END AS missing FROM g""",
