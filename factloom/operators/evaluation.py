@@ -44,19 +44,32 @@ def nearest_index(fraction: float) -> Column:
     return F.least(F.col("n") - 1, F.floor(F.col("n") * fraction))
 
 
-def scored(results: DataFrame, instances: DataFrame) -> DataFrame:
+#: Tokens of a prompt from which another reader has to take it, where a table of results doesn't say.
+CEILING = 600
+
+
+def scored(results: DataFrame, instances: DataFrame, judged: DataFrame | None = None, ceiling: int = CEILING) -> DataFrame:
     """One row per (run, arm, question), the last delivery's, with category, gold and whether it is correct.
 
-    An unanswerable question is right if abstained from, an answerable one if answered and the answer holds the gold text.
+    An unanswerable question is right if abstained from. An answerable one is wrong if abstained from, else as judged says
+    (instance_id, arm, verdict), or, without one, if the answer holds the gold text. Columns appealed, appeal_won and overflow are
+    taken from results where they are; overflow else is a prompt of an arm that shows everything beyond the ceiling.
     """
     r = results.withColumn("instance_id", F.lower(F.trim(F.regexp_replace("instance_id", r"\s+", " "))))
-    r = last_wins(r.where("arm is not null and instance_id is not null").select("run_id", "arm", "instance_id", "answer", "abstained", "reason", "fact_count", "round_trips", "latency_ms", "received_at", "delivery_id"), ["run_id", "arm", "instance_id"], F.struct("received_at", "delivery_id"))
+    r = last_wins(r.where("arm is not null and instance_id is not null").select("run_id", "arm", "instance_id", "answer", "abstained", "reason", "fact_count", "round_trips", "latency_ms", "received_at", "delivery_id", *[c for c in ("appealed", "appeal_won", "overflow") if c in results.columns]), ["run_id", "arm", "instance_id"], F.struct("received_at", "delivery_id"))
     i = instances.select(F.col("instance_id"), F.col("question_type").alias("category"), F.col("is_abstention").alias("gold_abstention"), F.coalesce("answer", F.lit("")).alias("gold"))
     j = r.join(i, "instance_id")
     text, gold = F.lower(F.coalesce("answer", F.lit(""))), F.lower("gold")
-    right = F.when(F.col("gold_abstention"), F.col("abstained")).when(F.col("abstained"), F.lit(False)).otherwise((gold != "") & F.contains(text, gold))
+    holds = (gold != "") & F.contains(text, gold)
+    if judged is not None:
+        j = j.join(judged.groupBy("instance_id", "arm").agg(F.max("verdict").alias("verdict")), ["instance_id", "arm"], "left")
+        holds = F.coalesce(F.col("verdict"), holds)
+    right = F.when(F.col("gold_abstention"), F.col("abstained")).when(F.col("abstained"), F.lit(False)).otherwise(holds)
+    prompt = (F.col("fact_count") * 20).cast("bigint")
+    flag = lambda c, other: F.coalesce(F.col(c), F.lit(False)).alias(c) if c in j.columns else other.alias(c)
+    flags = [flag("appealed", F.lit(False)), flag("appeal_won", F.lit(False)), flag("overflow", F.coalesce((F.col("arm") == "full_context") & (prompt > ceiling), F.lit(False)))]
     # The log has no token counts: prompts are counted by facts, completions by letters.
-    return j.select("run_id", "arm", "instance_id", "category", "gold_abstention", "abstained", F.coalesce("reason", F.lit("")).alias("reason"), F.coalesce(right, F.lit(False)).alias("correct"), (F.col("fact_count") * 20).cast("bigint").alias("prompt_tokens"), F.floor(F.length(F.coalesce("answer", F.lit(""))) / 4).cast("bigint").alias("completion_tokens"), "round_trips", "latency_ms")
+    return j.select("run_id", "arm", "instance_id", "category", "gold_abstention", "abstained", F.coalesce("reason", F.lit("")).alias("reason"), F.coalesce(right, F.lit(False)).alias("correct"), prompt.alias("prompt_tokens"), F.floor(F.length(F.coalesce("answer", F.lit(""))) / 4).cast("bigint").alias("completion_tokens"), "round_trips", "latency_ms", *flags)
 
 
 def with_all(rows: DataFrame) -> DataFrame:
@@ -71,12 +84,13 @@ def summary(rows: DataFrame) -> DataFrame:
         F.count("*").alias("n"), count_if(gold).alias("n_gold_abstention"), count_if(ok).alias("_ok"), count_if(ok & ~gold).alias("_ok_answerable"), count_if(~gold).alias("_answerable"),
         count_if(~said).alias("_answered"), count_if(ok & ~said).alias("_ok_answered"), count_if(said & gold).alias("_true_abstained"), count_if(said).alias("_abstained"),
         F.sum(F.col("prompt_tokens") + F.col("completion_tokens")).alias("_tokens"), F.sum("round_trips").alias("_trips"),
+        count_if(F.col("appealed")).alias("appeals"), count_if(F.col("appeal_won")).alias("appeals_won"), count_if(F.col("overflow")).alias("overflow"),
     )
     m = ranked(r, ["arm", "category"], "latency_ms", {"median_latency_ms": F.floor(F.col("n") / 2)})
     return s.join(m, ["arm", "category"], "left").select(
         "arm", "category", "n", "n_gold_abstention", rate(N("_ok"), N("n")).alias("accuracy"), rate(N("_ok_answerable"), N("_answerable")).alias("answerable_accuracy"), rate(N("_answered"), N("n")).alias("coverage"),
         rate(N("_ok_answered"), N("_answered")).alias("selective_accuracy"), rate(N("_true_abstained"), N("_abstained")).alias("abstain_precision"), rate(N("_true_abstained"), N("n_gold_abstention")).alias("abstain_recall"),
-        F.bround(N("_tokens").cast("double") / N("n")).cast("bigint").alias("tokens_per_q"), F.bround(N("_trips").cast("double") / N("n"), 2).alias("round_trips_per_q"), "median_latency_ms",
+        F.bround(N("_tokens").cast("double") / N("n")).cast("bigint").alias("tokens_per_q"), F.bround(N("_trips").cast("double") / N("n"), 2).alias("round_trips_per_q"), "median_latency_ms", "appeals", "appeals_won", "overflow",
     )
 
 
@@ -151,9 +165,13 @@ def stratified(instances: DataFrame, per_type: int = vocab.PER_TYPE, seed: int =
 def spread_sample(instances: DataFrame, count: int) -> DataFrame:
     """Every max(1, n div count)-th instance by id, the first count of them (a sampling operator).
 
-    Positions are found without a global sort in one task: ids are counted by a prefix of their hash order first.
+    Positions are found without a global sort in one task: ids are counted by ranges first, whose bounds are 63 quantiles of the
+    ids that a bounded sample of them (those of the smallest hashes) has, so that ids with a common beginning are spread too.
     """
-    i = instances.select("instance_id").where("instance_id is not null").withColumn("b", F.substring("instance_id", 1, 2))
+    i = instances.select("instance_id").where("instance_id is not null")
+    some = [r[0] for r in i.withColumn("h", F.xxhash64("instance_id")).orderBy("h", "instance_id").limit(6400).select("instance_id").collect()]
+    bounds = sorted({sorted(some)[len(some) * k // 64] for k in range(1, 64)}) if some else []
+    i = i.withColumn("b", F.size(F.filter(F.array(*[F.lit(x) for x in bounds]), lambda x: x <= F.col("instance_id"))) if bounds else F.lit(0))
     n = i.groupBy("b").agg(F.count("*").alias("c"))
     n = n.withColumn("before", F.coalesce(F.sum("c").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("n", F.sum("c").over(Window.partitionBy()))
     pos = F.row_number().over(Window.partitionBy("b").orderBy("instance_id")) - 1 + F.col("before")
@@ -161,16 +179,25 @@ def spread_sample(instances: DataFrame, count: int) -> DataFrame:
     return i.join(n, "b").withColumn("pos", pos).where((F.col("pos") % step == 0) & (F.col("pos") / step < count)).select("instance_id", F.col("pos").cast("bigint").alias("pos"))
 
 
-def quality(extracted: DataFrame, clean: DataFrame, transcripts: DataFrame, counts: DataFrame) -> DataFrame:
-    """metric, value of an extraction: kept facts, off-vocabulary predicates, bad turns, grounded and invented spans, and whether each share passes."""
-    from factloom.functions.text import digits_only, grounded
+def quality(extracted: DataFrame, clean: DataFrame, turns: DataFrame, counts: DataFrame, sessions: DataFrame) -> DataFrame:
+    """metric, value of an extraction: sessions and those parsed, kept facts, off-vocabulary predicates, bad turns, grounded and invented spans, whether each share passes, and whether all do.
+
+    A session that no extraction comes from counts as one whose output could not be parsed.
+    """
+    from factloom.functions.text import digits_only
+    from factloom.operators.retrieval import grounded_rows
 
     e = extracted.join(counts, "session_id", "left")
     turn = digits_only(F.col("turn_ref"))
     raw = e.agg(F.count("*").alias("raw_facts"), count_if(~F.coalesce(F.col("predicate").isin(vocab.PREDICATES), F.lit(False))).alias("off_vocabulary"), count_if(turn >= F.coalesce("n_turns", F.lit(0))).alias("bad_turn"))
-    k = clean.join(transcripts, "session_id", "left").withColumn("g", grounded(F.col("evidence_span"), F.col("text"))).withColumn("blank", F.trim("evidence_span") == "")
+    k = grounded_rows(clean, turns).withColumn("g", F.col("grounded")).withColumn("blank", F.trim("evidence_span") == "")
     kept = k.agg(F.count("*").alias("kept_facts"), count_if(F.col("g")).alias("grounded"), count_if(~F.col("g") & F.col("blank")).alias("no_span"), count_if(~F.col("g") & ~F.col("blank")).alias("invented_span"), count_if(F.col("predicate") == "other").alias("other"))
-    both = raw.crossJoin(kept)  # one row each
-    share = lambda c: F.when(N("kept_facts") > 0, F.bround(N(c).cast("double") / N("kept_facts"), 4)).otherwise(0.0)
-    both = both.withColumns({"grounded_share": share("grounded"), "other_share": share("other")}).withColumns({"grounding_passes": (N("grounded_share") >= 0.90).cast("int"), "other_passes": (N("other_share") <= 0.35).cast("int")})
-    return _unpivot(both, [], ["raw_facts", "off_vocabulary", "bad_turn", "kept_facts", "grounded", "no_span", "invented_span", "other", "grounded_share", "other_share", "grounding_passes", "other_passes"])
+    keys = sessions.select(F.col("key").alias("session_id")).where("session_id is not null").distinct()
+    from_ = extracted.select("session_id").distinct().withColumn("_x", F.lit(1))
+    seen = keys.join(from_, "session_id", "left").agg(F.count("*").alias("sessions"), F.count("_x").alias("parsed"))
+    both = raw.crossJoin(kept).crossJoin(seen)  # one row each
+    share = lambda c, of="kept_facts": F.when(N(of) > 0, F.bround(N(c).cast("double") / N(of), 4)).otherwise(0.0)
+    both = both.withColumns({"valid_share": share("parsed", "sessions"), "grounded_share": share("grounded"), "other_share": share("other")})
+    both = both.withColumns({"validity_passes": (N("valid_share") >= 0.95).cast("int"), "grounding_passes": (N("grounded_share") >= 0.90).cast("int"), "other_passes": (N("other_share") <= 0.35).cast("int")})
+    both = both.withColumn("go", N("validity_passes") * N("grounding_passes") * N("other_passes"))
+    return _unpivot(both, [], ["sessions", "parsed", "valid_share", "validity_passes", "go", "raw_facts", "off_vocabulary", "bad_turn", "kept_facts", "grounded", "no_span", "invented_span", "other", "grounded_share", "other_share", "grounding_passes", "other_passes"])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import vocab
 from factloom.operators import evaluation as ev
-from factloom.operators import graph, retrieval
+from factloom.operators import graph
 from factloom.operators.merge import last_wins
 from factloom.plans import sql
 from factloom.plans.graph import CLEAN
@@ -71,7 +71,7 @@ def dedupe_last_wins(spark: SparkSession, d: str) -> DataFrame:
 def extraction_quality(spark: SparkSession, d: str) -> DataFrame:
     e, turns = table(spark, d, "extracted_facts"), table(spark, d, "turns")
     n = graph.turn_counts(turns)
-    return ev.quality(e, graph.cleaned(e, n), retrieval.transcripts(turns), n)
+    return ev.quality(e, graph.cleaned(e, n), turns, n, table(spark, d, "sessions"))
 
 
 def top_predicates(spark: SparkSession, d: str) -> DataFrame:
@@ -80,6 +80,28 @@ def top_predicates(spark: SparkSession, d: str) -> DataFrame:
     return c.groupBy("predicate").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "predicate").limit(12)
 
 
+def top_subjects(spark: SparkSession, d: str) -> DataFrame:
+    """The eight most frequent subjects after cleaning, ties by first extraction (a top-k report)."""
+    from factloom.functions.text import entity_key
+
+    c = graph.cleaned(table(spark, d, "extracted_facts"), graph.turn_counts(table(spark, d, "turns"))).withColumn("subject", entity_key("subject_type", "subject"))
+    return c.groupBy("subject").agg(F.count("*").alias("n"), F.min("extract_id").alias("_first")).orderBy(F.desc("n"), "_first").limit(8).drop("_first")
+
+
+def top_off_vocabulary(spark: SparkSession, d: str) -> DataFrame:
+    """The fifteen most frequent predicates outside the vocabulary, ties by first extraction (a top-k report)."""
+    e = table(spark, d, "extracted_facts").where(F.col("predicate").isNotNull() & ~F.col("predicate").isin(vocab.PREDICATES))
+    return e.groupBy("predicate").agg(F.count("*").alias("n"), F.min("extract_id").alias("_first")).orderBy(F.desc("n"), "_first").limit(15).drop("_first")
+
+
+def gated_summary(spark: SparkSession, d: str) -> DataFrame:
+    """The summary of the arm that answers through the cascade, run over the tables: appeals and appeals won are its own."""
+    from factloom.plans.answer import answer_rows
+
+    a = answer_rows(spark, d).select(F.lit("run").alias("run_id"), F.lit("gated").alias("arm"), "instance_id", "answer", "abstained", "reason", "fact_count", "round_trips", F.lit(0.0).alias("latency_ms"), F.lit(0).alias("received_at"), F.lit(0).alias("delivery_id"), "appealed", "appeal_won", F.lit(False).alias("overflow"))
+    return ev.summary(written(ev.scored(a, table(spark, d, "instances")), "scored")).drop("median_latency_ms")
+
+
 def latency_percentiles(spark: SparkSession, d: str) -> DataFrame:
     r = table(spark, d, "results").select("arm", "latency_ms")
     return ev.ranked(r, ["arm"], "latency_ms", {"p50": ev.nearest_index(0.5), "p95": ev.nearest_index(0.95), "p99": ev.nearest_index(0.99)})
@@ -94,13 +116,13 @@ def arms_union(spark: SparkSession, d: str) -> DataFrame:
     return u.groupBy("arm").agg(F.count("*").alias("n")).join(u.join(F.broadcast(known), "reason", "left_anti").groupBy("arm").agg(F.countDistinct("reason").alias("unregistered")), "arm", "left").select("arm", "n", F.coalesce("unregistered", F.lit(0)).alias("unregistered"))
 
 
-QUERIES = {f.__name__: f for f in (eval_rows, eval_summary, abstention_reasons, cost_query, cost_ingest, go_no_go, strata_counts, stratified_slice, sample_instances, dedupe_last_wins, extraction_quality, top_predicates, latency_percentiles, arms_union)}
+QUERIES = {f.__name__: f for f in (eval_rows, eval_summary, abstention_reasons, cost_query, cost_ingest, go_no_go, strata_counts, stratified_slice, sample_instances, dedupe_last_wins, extraction_quality, top_predicates, top_subjects, top_off_vocabulary, gated_summary, latency_percentiles, arms_union)}
 
 _R = lambda a, b: f"CASE WHEN {b} > 0 THEN round_even(({a})::DOUBLE / ({b}), 4) END"
 SUMMARY = f"""{sql.SCORED}, s AS (SELECT arm, category, count(*) AS n, count(*) FILTER (gold_abstention) AS g, count(*) FILTER (correct) AS ok, count(*) FILTER (correct AND NOT gold_abstention) AS oka, count(*) FILTER (NOT gold_abstention) AS an, count(*) FILTER (NOT abstained) AS said,
- count(*) FILTER (correct AND NOT abstained) AS oks, count(*) FILTER (abstained AND gold_abstention) AS ta, count(*) FILTER (abstained) AS ab, sum(prompt_tokens + completion_tokens)::BIGINT AS tok, sum(round_trips)::BIGINT AS tr, list_sort(list(latency_ms) FILTER (latency_ms IS NOT NULL)) AS l FROM wide GROUP BY 1, 2),
+ count(*) FILTER (correct AND NOT abstained) AS oks, count(*) FILTER (abstained AND gold_abstention) AS ta, count(*) FILTER (abstained) AS ab, sum(prompt_tokens + completion_tokens)::BIGINT AS tok, sum(round_trips)::BIGINT AS tr, list_sort(list(latency_ms) FILTER (latency_ms IS NOT NULL)) AS l, count(*) FILTER (appealed) AS ap, count(*) FILTER (appeal_won) AS aw, count(*) FILTER (overflow) AS ov FROM wide GROUP BY 1, 2),
 sm AS (SELECT arm, category, n, g AS n_gold_abstention, {_R('ok', 'n')} AS accuracy, {_R('oka', 'an')} AS answerable_accuracy, {_R('said', 'n')} AS coverage, {_R('oks', 'said')} AS selective_accuracy, {_R('ta', 'ab')} AS abstain_precision, {_R('ta', 'g')} AS abstain_recall,
- round_even(tok::DOUBLE / n, 0)::BIGINT AS tokens_per_q, round_even(tr::DOUBLE / n, 2) AS round_trips_per_q, l[len(l) // 2 + 1] AS median_latency_ms FROM s)"""
+ round_even(tok::DOUBLE / n, 0)::BIGINT AS tokens_per_q, round_even(tr::DOUBLE / n, 2) AS round_trips_per_q, l[len(l) // 2 + 1] AS median_latency_ms, ap AS appeals, aw AS appeals_won, ov AS overflow FROM s)"""
 _KNOWN = ", ".join(f"('{r}')" for r in vocab.REASONS)
 _UNG = sql.strings(vocab.UNGATED_ARMS)
 _COST = {
@@ -111,7 +133,8 @@ _LEDGER = """lf AS (SELECT instance_id, count(*) AS facts, sum(coalesce(length(s
  lg AS (SELECT count(*)::DOUBLE AS i, greatest(sum(facts), 1)::DOUBLE AS f, greatest(sum(sessions), 1)::DOUBLE AS s, sum(p + c)::DOUBLE AS t, sum(facts // 500 + 1)::DOUBLE AS r, sum(facts * 3)::DOUBLE AS l, sum(pf)::DOUBLE AS pf FROM lf JOIN ls USING (instance_id))"""
 _ING = {"instances_ingested": "i", "sessions_ingested": "s", "facts_written": "f", "facts_per_session": "round_even(f / s, 2)", "extraction_tokens_per_fact": "round_even(t / f, 0)", "round_trips_per_fact": "round_even(r / f, 3)", "latency_per_fact": "round_even(l / f, 1)", "parse_failures": "pf"}
 _SHARE = lambda c: f"CASE WHEN kept > 0 THEN round_even({c}::DOUBLE / kept, 4) ELSE 0.0 END"
-_QUAL = {"raw_facts": "raw", "off_vocabulary": "off", "bad_turn": "bad", "kept_facts": "kept", "grounded": "g", "no_span": "ns", "invented_span": "inv", "other": "o", "grounded_share": _SHARE("g"), "other_share": _SHARE("o"), "grounding_passes": f"CASE WHEN {_SHARE('g')} >= 0.9 THEN 1 ELSE 0 END", "other_passes": f"CASE WHEN {_SHARE('o')} <= 0.35 THEN 1 ELSE 0 END"}
+_VALID = "CASE WHEN ses > 0 THEN round_even(par::DOUBLE / ses, 4) ELSE 0.0 END"
+_QUAL = {"sessions": "ses", "parsed": "par", "valid_share": _VALID, "validity_passes": f"CASE WHEN {_VALID} >= 0.95 THEN 1 ELSE 0 END", "go": f"CASE WHEN {_VALID} >= 0.95 AND {_SHARE('g')} >= 0.9 AND {_SHARE('o')} <= 0.35 THEN 1 ELSE 0 END", "raw_facts": "raw", "off_vocabulary": "off", "bad_turn": "bad", "kept_facts": "kept", "grounded": "g", "no_span": "ns", "invented_span": "inv", "other": "o", "grounded_share": _SHARE("g"), "other_share": _SHARE("o"), "grounding_passes": f"CASE WHEN {_SHARE('g')} >= 0.9 THEN 1 ELSE 0 END", "other_passes": f"CASE WHEN {_SHARE('o')} <= 0.35 THEN 1 ELSE 0 END"}
 _SPAN = f"trim({_FLAT('evidence_span')})"
 
 ORACLE = {
@@ -131,8 +154,10 @@ ORACLE = {
     "dedupe_last_wins": "SELECT arm, instance_id, delivery_id FROM results QUALIFY row_number() OVER (PARTITION BY arm, instance_id ORDER BY batch_no DESC, delivery_id DESC) = 1",
     "extraction_quality": f"""WITH {CLEAN}, {_TEXT}, a AS (SELECT count(*) AS raw, count(*) FILTER (coalesce(predicate NOT IN ({sql.strings(vocab.PREDICATES)}), true)) AS off, count(*) FILTER (coalesce(try_cast(regexp_replace(turn_ref, '[^0-9]', '', 'g') AS INT), 0) >= coalesce(n_turns, 0)) AS bad FROM extracted_facts LEFT JOIN nt USING (session_id)),
  b AS (SELECT predicate, trim(evidence_span) = '' AS blank, {_SPAN} <> '' AND contains({_FLAT("coalesce(text, '')")}, {_SPAN}) AS gr FROM clean LEFT JOIN tr USING (session_id)),
- q AS (SELECT a.*, k.* FROM a, (SELECT count(*) AS kept, count(*) FILTER (gr) AS g, count(*) FILTER (NOT gr AND blank) AS ns, count(*) FILTER (NOT gr AND NOT blank) AS inv, count(*) FILTER (predicate = 'other') AS o FROM b) k) """ + " UNION ALL ".join(f"SELECT '{m}' AS metric, ({e})::DOUBLE AS value FROM q" for m, e in _QUAL.items()),
+ ss AS (SELECT count(DISTINCT key) AS ses, count(DISTINCT key) FILTER (key IN (SELECT session_id FROM extracted_facts)) AS par FROM sessions), q AS (SELECT a.*, k.*, ss.* FROM a, ss, (SELECT count(*) AS kept, count(*) FILTER (gr) AS g, count(*) FILTER (NOT gr AND blank) AS ns, count(*) FILTER (NOT gr AND NOT blank) AS inv, count(*) FILTER (predicate = 'other') AS o FROM b) k) """ + " UNION ALL ".join(f"SELECT '{m}' AS metric, ({e})::DOUBLE AS value FROM q" for m, e in _QUAL.items()),
     "top_predicates": f"WITH {CLEAN} SELECT predicate, count(*) AS n FROM clean GROUP BY 1 ORDER BY n DESC, predicate LIMIT 12",
+    "top_subjects": f"WITH {CLEAN} SELECT subject, n FROM (SELECT {sql.entity_key('subject_type', 'subject')} AS subject, count(*) AS n, min(extract_id) AS f FROM clean GROUP BY 1) ORDER BY n DESC, f LIMIT 8",
+    "top_off_vocabulary": f"SELECT predicate, n FROM (SELECT predicate, count(*) AS n, min(extract_id) AS f FROM extracted_facts WHERE predicate NOT IN ({sql.strings(vocab.PREDICATES)}) GROUP BY 1) ORDER BY n DESC, f LIMIT 15",
     "latency_percentiles": "WITH a AS (SELECT arm, count(*) AS n, list_sort(list(latency_ms)) AS l FROM results WHERE latency_ms IS NOT NULL GROUP BY 1) SELECT arm, " + ", ".join(f"l[least(n - 1, floor(n * {f})::BIGINT) + 1] AS p{p}" for p, f in ((50, 0.5), (95, 0.95), (99, 0.99))) + " FROM a",
     "arms_union": f"SELECT arm, count(*) AS n, count(DISTINCT reason) FILTER (coalesce(reason, '') NOT IN ({sql.strings([*vocab.REASONS, ''])})) AS unregistered FROM results GROUP BY 1",
 }

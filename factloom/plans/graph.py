@@ -105,13 +105,13 @@ def alias_closure(spark: SparkSession, d: str) -> DataFrame:
 
 
 def path_pairs_2(spark: SparkSession, d: str) -> DataFrame:
-    return graph.adjacent(graph.incidence(stored(spark, d))).where("a < b")
+    return graph.adjacent(graph.incidence(stored(spark, d, "instance_id", "subject_key", "predicate", "value_text", "value_type"))).where("a < b")
 
 
 def path_anchor_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of an entity that a question's instance knows by name and the user, and how far apart they are."""
     e = entities(spark, d).where("key not in ('person:user', 'person:assistant')").select("instance_id", F.lit("person:user").alias("a"), F.col("key").alias("b"))
-    return graph.connected(e, graph.adjacent(graph.incidence(stored(spark, d))))
+    return graph.connected(e, graph.adjacent(graph.incidence(stored(spark, d, "instance_id", "subject_key", "predicate", "value_text", "value_type"))))
 
 
 def question_paths(spark: SparkSession, d: str) -> DataFrame:
@@ -123,6 +123,13 @@ def question_paths(spark: SparkSession, d: str) -> DataFrame:
     return graph.path_rows(pairs, graph.incidence(f))
 
 
+def paths_found(spark: SparkSession, d: str) -> DataFrame:
+    """The paths between the user and every other entity of an instance, within its limit, with their entities and facts."""
+    e = entities(spark, d).where("key not in ('person:user', 'person:assistant')").select("instance_id", F.lit("person:user").alias("a"), F.col("key").alias("b"))
+    p = graph.path_rows(e, graph.incidence(stored(spark, d, "instance_id", "subject_key", "predicate", "value_text", "value_type")))
+    return p.select("instance_id", "a", "b", "hops", F.array_join("entities", " > ").alias("entities"), F.array_join("facts", ",").alias("facts"))
+
+
 def question_mentions(spark: SparkSession, d: str) -> DataFrame:
     return questions(spark, d).select("instance_id", F.array_join(mentions(F.coalesce("question", F.lit(""))), ",").alias("mentions"))
 
@@ -133,11 +140,11 @@ def _aliases(spark: SparkSession, d: str) -> DataFrame:
 
 def text_resolve(spark: SparkSession, d: str) -> DataFrame:
     """Every mention of every question, looked for in the texts of its instance."""
-    return gates.text_resolved(gates.named(questions(spark, d)), stored(spark, d))
+    return gates.text_resolved(gates.named(questions(spark, d)), stored(spark, d, "instance_id", "asserted_at", "subject_key", "value_text", "snippet"))
 
 
 def gate_entity(spark: SparkSession, d: str) -> DataFrame:
-    g = gates.entity_gate(questions(spark, d), entities(spark, d), stored(spark, d), _aliases(spark, d))
+    g = gates.entity_gate(questions(spark, d), entities(spark, d), stored(spark, d, "instance_id", "asserted_at", "subject_key", "predicate", "value_text", "value_type", "snippet", "valid_from", "valid_to"), _aliases(spark, d))
     return g.select("instance_id", "passed", F.coalesce("missing", F.lit("")).alias("missing"), F.array_join("resolved", ",").alias("resolved"))
 
 
@@ -146,7 +153,7 @@ def gate_predicate(spark: SparkSession, d: str) -> DataFrame:
     from factloom.functions.text import question_predicates
 
     q = questions(spark, d).select("instance_id", question_predicates(F.coalesce("question", F.lit(""))).alias("wanted"))
-    h = gates.held(stored(spark, d)).join(q, "instance_id")
+    h = gates.held(stored(spark, d, "instance_id", "subject_key", "predicate")).join(q, "instance_id")
     return h.select("instance_id", "key", gates.predicate_passes(F.col("wanted"), F.col("predicates"), F.col("key")).alias("passed"))
 
 
@@ -155,13 +162,13 @@ def gate_window(spark: SparkSession, d: str) -> DataFrame:
     from factloom.functions.text import question_predicates
 
     q = with_window(questions(spark, d)).select("instance_id", question_predicates(F.coalesce("question", F.lit(""))).alias("wanted"), "w_start", "w_end")
-    f = stored(spark, d)
+    f = stored(spark, d, "instance_id", "subject_key", "predicate", "valid_from", "valid_to")
     keys = f.select("instance_id", F.col("subject_key").alias("key")).distinct().join(q, "instance_id")
     return gates.window_hits(keys, f).select("instance_id", "key", (F.col("hit") == 1).alias("passed"))
 
 
 def gate_cascade(spark: SparkSession, d: str) -> DataFrame:
-    return gates.cascade(questions(spark, d), entities(spark, d), stored(spark, d), _aliases(spark, d)).drop("trace")
+    return gates.cascade(questions(spark, d), entities(spark, d), stored(spark, d, "instance_id", "asserted_at", "subject_key", "predicate", "value_text", "value_type", "snippet", "valid_from", "valid_to"), _aliases(spark, d)).drop("trace")
 
 
 def cascade_cost(spark: SparkSession, d: str) -> DataFrame:
@@ -173,16 +180,16 @@ def _answers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def citation_gate(spark: SparkSession, d: str) -> DataFrame:
-    return gates.citation_gate(_answers(spark, d), stored(spark, d))
+    return gates.citation_gate(_answers(spark, d), stored(spark, d, "instance_id", "fact_id"))
 
 
 def appeals(spark: SparkSession, d: str) -> DataFrame:
     w = with_window(questions(spark, d)).select("instance_id", F.col("w_start").isNotNull().alias("windowed"))
     g = table(spark, d, "results").where("abstained").select(F.col("delivery_id").alias("id"), F.lower(F.trim("instance_id")).alias("instance_id"), F.coalesce("reason", F.lit("")).alias("reason"))
-    return gates.appeal(g.join(w, "instance_id"), stored(spark, d))
+    return gates.appeal(g.join(w, "instance_id"), stored(spark, d, "instance_id", "snippet"))
 
 
-QUERIES = {f.__name__: f for f in (clean_facts, date_hints, build_facts, build_entities, build_edges, edge_type_counts, session_next_edges, session_upsert, entity_first_last_seen, alias_containment, alias_ratio, alias_pairs, alias_edges, aliases_of_entity, payload_counts, alias_closure, path_pairs_2, path_anchor_pairs, question_paths, question_mentions, text_resolve, gate_entity, gate_predicate, gate_window, gate_cascade, cascade_cost, citation_gate, appeals)}
+QUERIES = {f.__name__: f for f in (clean_facts, date_hints, build_facts, build_entities, build_edges, edge_type_counts, session_next_edges, session_upsert, entity_first_last_seen, alias_containment, alias_ratio, alias_pairs, alias_edges, aliases_of_entity, payload_counts, alias_closure, path_pairs_2, path_anchor_pairs, paths_found, question_paths, question_mentions, text_resolve, gate_entity, gate_predicate, gate_window, gate_cascade, cascade_cost, citation_gate, appeals)}
 
 # --- the same in DuckDB
 
@@ -283,6 +290,10 @@ ORACLE = {
     "path_pairs_2": f"WITH {_INC} SELECT * FROM adj WHERE a < b",
     "path_anchor_pairs": f"""WITH {_INC}, anc AS (SELECT instance_id, 'person:user' AS a, key AS b FROM entities WHERE key NOT IN ('person:user', 'person:assistant')),
  both_ AS (SELECT anc.*, 2 AS hops FROM anc JOIN adj USING (instance_id, a, b) UNION ALL SELECT anc.*, 4 FROM anc JOIN adj p ON p.instance_id = anc.instance_id AND p.a = anc.a JOIN adj r ON r.instance_id = p.instance_id AND r.a = p.b AND r.b = anc.b) SELECT instance_id, a, b, min(hops) AS hops FROM both_ GROUP BY 1, 2, 3""",
+    "paths_found": f"""WITH {_INC}, edge AS (SELECT x.instance_id, x.entity AS a, x.fact AS f, y.entity AS b FROM inc x JOIN inc y ON x.instance_id = y.instance_id AND x.fact = y.fact AND x.entity <> y.entity), anc AS (SELECT DISTINCT instance_id, 'person:user' AS a, key AS b FROM entities WHERE key NOT IN ('person:user', 'person:assistant')),
+ pa AS (SELECT anc.*, 2 AS hops, [e.a, e.b] AS ents, [f] AS fs FROM anc JOIN edge e USING (instance_id, a, b) UNION ALL SELECT anc.*, 4, [e.a, e.b, g.b], [e.f, g.f] FROM anc JOIN edge e ON e.instance_id = anc.instance_id AND e.a = anc.a AND e.b <> anc.b JOIN edge g ON g.instance_id = e.instance_id AND g.a = e.b AND g.b = anc.b AND g.f <> e.f),
+ pn AS (SELECT *, row_number() OVER (PARTITION BY instance_id, ents ORDER BY fs) AS n FROM pa), pr AS (SELECT *, row_number() OVER (PARTITION BY instance_id ORDER BY n, ents) AS r FROM pn WHERE n <= 64)
+ SELECT instance_id, a, b, hops, array_to_string(ents, ' > ') AS entities, array_to_string(fs, ',') AS facts FROM pr WHERE r <= 64""",
     "question_mentions": f"WITH {_MENTION} SELECT instance_id, array_to_string(names, ',') AS mentions FROM m3",
     "text_resolve": f"WITH {sql.STORED}, {_MENTION}, {_TEXT} SELECT * FROM txt",
     "gate_entity": f"WITH RECURSIVE {_GATE1} SELECT instance_id, passed, coalesce(missing, '') AS missing, array_to_string(resolved, ',') AS resolved FROM g1",

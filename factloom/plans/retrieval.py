@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import vocab
-from factloom.functions.text import grounded
 from factloom.operators import graph, retrieval
 from factloom.plans import sql
 from factloom.plans.facts import entities, questions, stored
@@ -31,18 +30,17 @@ def fact_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fact_relevance(spark: SparkSession, d: str) -> DataFrame:
-    f = stored(spark, d).join(questions(spark, d).select("instance_id", "question"), "instance_id")
+    f = stored(spark, d, "instance_id", "predicate", "value_text", "snippet").join(questions(spark, d).select("instance_id", "question"), "instance_id")
     return f.select("vid", retrieval.relevance(F.coalesce("question", F.lit(""))).alias("score"))
 
 
 def narrow_groups(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.narrowed(questions(spark, d), stored(spark, d), cap=20)
+    return retrieval.narrowed(questions(spark, d), stored(spark, d, "instance_id", "subject_key", "predicate", "value_text", "snippet", "asserted_at"))
 
 
 def grounding(spark: SparkSession, d: str) -> DataFrame:
     c = graph.cleaned(table(spark, d, "extracted_facts"), graph.turn_counts(table(spark, d, "turns")))
-    t = retrieval.transcripts(table(spark, d, "turns"))
-    return c.join(t, "session_id", "left").select("extract_id", grounded(F.col("evidence_span"), F.col("text")).alias("grounded"))
+    return retrieval.grounded_rows(c, table(spark, d, "turns")).select("extract_id", "grounded")
 
 
 def evidence(spark: SparkSession, d: str) -> DataFrame:
@@ -67,7 +65,25 @@ def retrieved_minus_cited(spark: SparkSession, d: str) -> DataFrame:
     return c.join(n, "instance_id").select("id", (F.col("n") - F.col("cited")).alias("uncited"))
 
 
-QUERIES = {f.__name__: f for f in (session_transcript, turn_chunks, fact_lines, fact_relevance, narrow_groups, grounding, evidence, vector_topk, retrieved_minus_cited)}
+def uncited_facts(spark: SparkSession, d: str) -> DataFrame:
+    """The facts that a reader was shown and did not cite, by question."""
+    from factloom.operators.answer import retrieved
+    from factloom.operators.gates import cited_ids
+    from factloom.plans.answer import replies
+
+    f = retrieved(questions(spark, d), stored(spark, d)).where("shown").select("instance_id", "fact_id")
+    cited = replies(spark, d).where("attempt = 1").select("instance_id", F.explode(cited_ids(F.col("cited"))).alias("fact_id"))
+    return f.join(cited, ["instance_id", "fact_id"], "left_anti")
+
+
+def vector_topk_index(spark: SparkSession, d: str) -> DataFrame:
+    """The nearest vectors by way of the cell index: exact scores over the cells probed."""
+    v = table(spark, d, "embeddings")
+    q = v.where("vec_id % 20 = 0 and embedding is not null").select("vec_id", "embedding")  # the stated query set
+    return retrieval.nearest_by_cells(q, v).select("query_id", "vec_id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
+QUERIES = {f.__name__: f for f in (session_transcript, turn_chunks, fact_lines, fact_relevance, narrow_groups, grounding, evidence, vector_topk, vector_topk_index, retrieved_minus_cited, uncited_facts)}
 
 _LINE = "'[' || idx || '] ' || coalesce(role, '') || ': ' || coalesce(content, '')"
 _TEXT = f"tr AS (SELECT session_id, string_agg({_LINE}, chr(10) ORDER BY idx, turn_id) AS text FROM turns WHERE session_id IS NOT NULL GROUP BY 1)"
@@ -84,7 +100,7 @@ ORACLE = {
     "fact_lines": f"""WITH {sql.STORED} SELECT s.vid, fact_id || ' | ' || {_DAY('coalesce(valid_from, 0)')} || ' | ' || coalesce(e.name, '') || ' | ' || predicate || ' | ' || coalesce(value_text, '') || ' | "' || substr(coalesce(snippet, ''), 1, 240) || '"' || CASE WHEN coalesce(valid_to, 0) <> 0 THEN ' [superseded ' || {_DAY('valid_to')} || ']' ELSE '' END AS line
  FROM stored s LEFT JOIN entities e ON e.vid = s.subject_vid""",
     "fact_relevance": f"WITH {sql.STORED} SELECT vid, {_REL} AS score FROM stored s JOIN instances i ON i.instance_id = s.instance_id",
-    "narrow_groups": f"WITH {_G} SELECT f.instance_id, f.vid FROM f JOIN r ON r.instance_id = f.instance_id AND r.subject_key IS NOT DISTINCT FROM f.subject_key AND r.predicate IS NOT DISTINCT FROM f.predicate AND r.slot = f.slot WHERE total <= 20 OR before < 20",
+    "narrow_groups": f"WITH {_G} SELECT f.instance_id, f.vid FROM f JOIN r ON r.instance_id = f.instance_id AND r.subject_key IS NOT DISTINCT FROM f.subject_key AND r.predicate IS NOT DISTINCT FROM f.predicate AND r.slot = f.slot WHERE total <= {vocab.NARROW_CAP} OR before < {vocab.NARROW_CAP}",
     "grounding": f"WITH {CLEAN}, {_TEXT} SELECT extract_id, trim({_FLAT('evidence_span')}) <> '' AND contains({_FLAT("coalesce(text, '')")}, trim({_FLAT('evidence_span')})) AS grounded FROM clean LEFT JOIN tr USING (session_id)",
     "evidence": f"""WITH {CITE}, x AS (SELECT id, instance_id, unnest(cited) AS fact_id, generate_subscripts(cited, 1) - 1 AS pos FROM cit), pr AS (SELECT instance_id, fact_id, lag(fact_id) OVER (PARTITION BY instance_id, subject_key, predicate, slot ORDER BY asserted_at, coalesce(turn_idx, 0), vid) AS replaced FROM (SELECT *, {sql.slot()} AS slot FROM stored WHERE subject_key IS NOT NULL)),
  p AS (SELECT instance_id, fact_id, min(replaced) AS replaced FROM pr GROUP BY 1, 2)

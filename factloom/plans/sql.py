@@ -59,6 +59,6 @@ SCORED = r"""last AS (SELECT * REPLACE (lower(trim(regexp_replace(instance_id, '
 rows_ AS (SELECT run_id, arm, instance_id, answer, abstained, reason, fact_count, round_trips, latency_ms FROM last QUALIFY row_number() OVER (PARTITION BY run_id, arm, instance_id ORDER BY received_at DESC, delivery_id DESC) = 1),
 scored AS (SELECT r.run_id, r.arm, r.instance_id, i.question_type AS category, i.is_abstention AS gold_abstention, r.abstained, coalesce(r.reason, '') AS reason,
  coalesce(CASE WHEN i.is_abstention THEN r.abstained WHEN r.abstained THEN false ELSE coalesce(i.answer, '') <> '' AND contains(lower(coalesce(r.answer, '')), lower(coalesce(i.answer, ''))) END, false) AS correct,
- (r.fact_count * 20)::BIGINT AS prompt_tokens, (length(coalesce(r.answer, '')) // 4)::BIGINT AS completion_tokens, r.round_trips, r.latency_ms
+ (r.fact_count * 20)::BIGINT AS prompt_tokens, (length(coalesce(r.answer, '')) // 4)::BIGINT AS completion_tokens, r.round_trips, r.latency_ms, false AS appealed, false AS appeal_won, coalesce(r.arm = 'full_context' AND r.fact_count * 20 > 600, false) AS overflow
  FROM rows_ r JOIN instances i ON i.instance_id = r.instance_id),
 wide AS (SELECT * FROM scored UNION ALL SELECT * REPLACE ('ALL' AS category) FROM scored)"""
