@@ -6,28 +6,35 @@ their shape. For each text the forward-backward algorithm gives the posterior of
 a transition that makes very short sentences unlikely; a posterior of a half or more is a boundary.
 
 Places are blanks and line breaks behind an end mark, end marks without a blank before a capital, line breaks without a mark, and
-every blank in scripts that do not mark sentences. What punctuation settles is settled: blank lines, list and table lines and
-turn markers bound; a small letter, a comma or an open quotation or bracket does not; end marks of scripts with full-width marks
-or a danda do. The model is fitted by expectation-maximisation from these settled places on SAMPLE documents (those with the
-smallest hashes of at most SAMPLE_CHARS characters) and is applied to all.
+every blank in scripts that do not mark sentences; between other words the event has no chance. What punctuation settles is
+settled: blank lines, list and table lines and turn markers bound; a small letter, a comma or an open quotation or bracket does
+not; end marks of scripts with full-width marks or a danda do.
 
-Null, empty and blank texts have no sentence. Texts are read whole.
+The model is fitted on all documents by expectation-maximisation from the settled places. Places are found once and written as
+numbers; every round is a pass over them. Words are hashed into tables of fixed size, so that the counts of all partitions meet in a
+tree and the model is no larger for a larger corpus; what counts is rates, which the size of the corpus doesn't move.
+
+In scripts without blanks between words, a word's last or first five letters stand for it. Null, empty and blank texts have no
+sentence. Texts are read whole, in time that is linear but for a sort.
 """
 
 from __future__ import annotations
 
-import pickle
+import bisect
 import re
-from collections import Counter, defaultdict
+import zlib
+from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate, chain
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from factloom.session import ship, spread
+from factloom.session import spread, written
 
-SAMPLE, SAMPLE_CHARS, ROUNDS = 3000, 20_000, 3
+ROUNDS = 3
 
 # Abbreviations, with how sure it is that no sentence ends there before a capital.
 ABBREVIATIONS = "dr mr mrs ms prof st mt sr jr vs no nr p pp vol sec art abs fig figs approx incl cf al e.g i.e z.b d.h bzw ca vgl usw fr hr hrn bros gen col capt rev hon ph.d messrs sra srta dña pág págs p.ej núm ee uu m mm mme mlle env c.-à-d t г т ул д кв стр рис им проф руб коп мм т.е т.д म मि डॉ श्री د".split()
@@ -52,7 +59,6 @@ _THAI = re.compile(r"[฀-໿ក-៿က-႟]")
 _BLANK = re.compile(r"\s+")
 _PUNCT = r"\s.,;:!?…。，、；：！？؟؛،।()\[\]{}（）「」『』\"“”„«»<>|"
 _WORD = re.compile(rf"[^{_PUNCT}]+(?:\.[^{_PUNCT}]+)*")
-_LAST = re.compile(rf"[^{_PUNCT}]+(?:\.[^{_PUNCT}]+)*$")
 _MID = re.compile(rf"[^\s{_MARKS}{_CLOSERS}:—–-] ([^{_PUNCT}]+)")
 _PAIRS = {"(": ")", "[": "]", "{": "}", "（": "）", "「": "」", "『": "』", "《": "》", "〈": "〉", "【": "】", "“": "”", "„": "“”", "«": "»", "‹": "›", "‘": "’", "‚": "‘’"}
 _QUOTES = re.compile("[()\\[\\]{}（）「」『』《》〈〉【】“”„«»‹›‘’‚\"']")
@@ -93,28 +99,45 @@ def _shape(w: str) -> str:
     return "<x>" if c.isalpha() else f"<{c}>"
 
 
-def _left(text: str, end: int) -> tuple[str, str]:
-    """The word before end, and its shape."""
-    m = _LAST.search(text, max(0, end - 40), end)
-    w = m[0] if m else text[end - 1 : end]
+_STOPS = {c for c in map(chr, range(0x3001)) if c.isspace()} | set(".,;:!?…。，、；：！？؟؛،।()[]{}（）「」『』\"“”„«»<>|")
+
+
+def _before(p: str, end: int) -> str:
+    """The word that ends at a place, dots within it included, or the sign there."""
+    i = end
+    while i and p[i - 1] not in _STOPS or 1 < i < end and p[i - 1] == "." and p[i - 2] not in _STOPS:
+        i -= 1
+    return p[i:end] if i < end else p[end - 1 : end]
+
+
+def _left(w: str) -> tuple[str, str]:
+    """A word before a place, and its shape."""
     if w[:1].isdigit():
         return f"<n{min(len(w), 4) if w.isdigit() else '.'}>", "<n>"
     low = w.lower()
     return (w[-5:] if _THAI.search(w) else low), "<abbr>" if low in _ABBREVIATED or len(w) == 1 and w.isalpha() else _shape(w)
 
 
-def _right(text: str, at: int) -> tuple[str, str]:
+def _right(p: str, at: int) -> tuple[str, str]:
     """The word at a place, and its shape."""
-    c = text[at : at + 1]
+    c = p[at : at + 1]
     if c in "¡¿":
         return _begin(c + "A")
-    m = None if c in "—–-" else _WORD.match(text, at, at + 40)
-    if m or _THAI.search(text, at, at + 3):
+    m = None if c in "—–-" else _WORD.match(p, at)
+    if m or _THAI.search(p, at, at + 3):
         return _begin(m[0] if m else c)
-    inner = re.search(r"\w", text[at : at + 4])
+    inner = _LETTER.search(p, at, at + 4)
     return _begin(c + ("A" if inner and (inner[0].isupper() or inner[0].isdigit()) else "a"))
 
 
+_LETTER = re.compile(r"\w")
+_TRAIL = re.compile(rf"[{_MARKS}]+[{_CLOSERS}]*$")
+_START = re.compile(r"[^\W\d_]{2,}(?:[\s,;:!?’']|\.[\s.])|[^\W\d_]\s")
+_ADDRESS = re.compile(r"[@/]\S*$")
+_HAN = re.compile(rf"[{_CJK}]")
+_INITIAL, _DOTTED, _DASHED, _NO_DOT = re.compile(r"(?<![\w.])[^\W\d_]$"), re.compile(r"[^\W\d_]\.(?=\s)"), re.compile(r"[—–-]\S"), re.compile(r"[ऀ-ॿ฀-໿]$")
+
+
 def _begin(w: str) -> tuple[str, str]:
     """A word by the group of its script; in scripts without blanks between words, its first letters."""
     thai = bool(_THAI.match(w))
@@ -124,6 +147,30 @@ def _begin(w: str) -> tuple[str, str]:
     return g + (w[:5] if thai or _CJK1.match(w) else w), g + _shape(w)
 
 
+class _Pairs:
+    """Pairs of quotation marks and brackets: what lies within one."""
+
+    def __init__(self, pairs: list[tuple[int, int]]):
+        pairs = sorted(pairs)
+        self.opens, self.closes = [x for x, _ in pairs], sorted(y for _, y in pairs)
+        self.reach = list(accumulate((y for _, y in pairs), max))  # how far the pairs that open up to here go
+        self.closing = set(self.closes)
+
+    def inside(self, k: int) -> bool:
+        i = bisect.bisect_right(self.opens, k)
+        return i > 0 and self.reach[i - 1] > k
+
+    def around(self, a: int, e: int) -> bool:
+        """Whether a pair opens before a and closes at e or later."""
+        i = bisect.bisect_left(self.opens, a)
+        return i > 0 and self.reach[i - 1] >= e
+
+    def closed(self, a: int, e: int) -> bool:
+        """Whether one closes from a up to before e."""
+        i = bisect.bisect_left(self.closes, a)
+        return i < len(self.closes) and self.closes[i] < e
+
+
 def places(text: str) -> list[tuple[int, int, int, tuple[str, str], tuple[str, str], int]]:
     """start of the place (where a sentence may end), where the next would begin, YES/NO/MAYBE, left, right, words before."""
     out = []
@@ -134,100 +181,86 @@ def places(text: str) -> list[tuple[int, int, int, tuple[str, str], tuple[str, s
     paragraphs.append((at, len(text), len(text)))
     for lo, hi, nxt in paragraphs:
         p = text[lo:hi]
+        n = len(p)
         thai = bool(_THAI.search(p))
-        pairs = _quoted(p)
-        depth = [0] * (len(p) + 1)
-        for a, b in pairs:
-            for k in (a, b):
-                depth[k] += 1 if k == a else -1
-        inside, d = bytearray(len(p) + 1), 0
-        for k in range(len(p)):
-            d += depth[k]
-            inside[k] = d > 0
+        pairs = _Pairs(_quoted(p))
         starts = [m.end() for m in _LINE.finditer(p)]
-        line_starts = set(starts)
-        own = [bool(_ITEM.match(p, s)) and not _TURN.match(p, s) for s in [0, *starts]]
+        own = [bool(_ITEM.match(p, s)) and not _TURN.match(p, s) for s in [0, *starts]] if starts else []
         seen: dict[int, tuple] = {}
 
         def put(end: int, begin: int, what: int, mark: str, word_end: int, p=p, seen=seen) -> None:
-            left, right = _left(p, word_end), _right(p, begin)
+            left, right = _left(_before(p, word_end)), _right(p, begin)
             seen[begin] = (end, begin, what, (left[0] + "|" + mark, left[1] + "|" + mark), right)
 
         # Line breaks.
         for k, s in enumerate(starts):
-            end = len(p[:s].rstrip())
-            begin = s + len(p[s:]) - len(p[s:].lstrip())
-            if begin >= len(p) or end == 0:
+            end, begin = s, s
+            while end and p[end - 1].isspace():
+                end -= 1
+            while begin < n and p[begin].isspace():
+                begin += 1
+            if begin >= n or end == 0:
                 continue
             if _TURN.match(p, begin) or own[k] or own[k + 1]:
                 put(end, begin, YES, "¶", end)
-            elif not inside[end - 1] or not inside[begin]:
-                m = re.search(rf"[{_MARKS}]+[{_CLOSERS}]*$", p[max(0, end - 12) : end])
-                if not m:
-                    t = p[end - 1]
-                    c = p[begin]
-                    what = YES if _THAI.match(t) else NO if c.islower() or t in ",;:-–—" else MAYBE
-                    if t.isalnum() and not _THAI.match(t) and _THAI.match(c):
-                        what = MAYBE
-                    put(end, begin, what, " " if _THAI.match(t) or _THAI.match(c) else "\n", end)
+            elif (not pairs.inside(end - 1) or not pairs.inside(begin)) and not _TRAIL.search(p, max(0, end - 12), end):
+                t, c = p[end - 1], p[begin]
+                t_thai, c_thai = bool(_THAI.match(t)), bool(_THAI.match(c))
+                what = YES if t_thai else NO if c.islower() or t in ",;:-–—" else MAYBE
+                if t.isalnum() and not t_thai and c_thai:
+                    what = MAYBE
+                put(end, begin, what, " " if t_thai or c_thai else "\n", end)
         # End marks.
         for m in _END.finditer(p):
             a, e = m.span()
-            if e >= len(p) or e in line_starts and False:
+            if e >= n:
                 continue
-            mark = m[0]
             b = e
-            while b < len(p) and p[b].isspace():
+            while b < n and p[b].isspace():
                 b += 1
-            if b >= len(p) or b in seen and seen[b][2] == YES:
+            if b >= n or b in seen and seen[b][2] == YES:
                 continue
             # Closers that open the next quotation belong to it.
-            while e - 1 > a and e == b and p[e - 1] in "\"'“‘" and not any(e - 1 == q for _, q in pairs):
+            while e - 1 > a and e == b and p[e - 1] in "\"'“‘" and e - 1 not in pairs.closing:
                 e -= 1
                 b = e
-            core = mark.strip(_CLOSERS.replace("\\", ""))
-            head = core[:1]
-            if inside[e - 1] and not any(q == e - 1 for _, q in pairs) or (e < len(p) and inside[e] and any(x < e <= y for x, y in pairs if x < a)):
-                if not (e > a + 1 and any(q == e - 1 for _, q in pairs)) or any(x < a and e <= y for x, y in pairs):
+            shuts = e - 1 in pairs.closing
+            if pairs.inside(e - 1) and not shuts or pairs.inside(e) and pairs.around(a, e):
+                if not (e > a + 1 and shuts) or pairs.around(a, e):
                     continue
-            closed = any(a <= q < e for _, q in pairs)
+            core = m[0].strip(_CLOSERS.replace("\\", ""))
+            head = core[:1]
+            closed = pairs.closed(a, e)
             c = p[b]
-            spaced = b > e
-            sure = any(x in _SURE for x in core)
-            cjk = re.match(rf"[{_CJK}]", c) or re.search(rf"[{_CJK}]", p[max(0, a - 1) : a])
+            sure = not _SURE.isdisjoint(core)
             dots = "…" if core.startswith(("..", "…")) else "." if head in ".۔" else head
             dots += "”" * closed
-            if any(x in p[e:b] for x in "\n\r"):
+            if b - e > 1 and ("\n" in p[e:b] or "\r" in p[e:b]) or p[e] in "\n\r":
                 dots = "↵" + dots
-            if not spaced:
-                if sure or (cjk and head in "!?…！？"):
-                    if closed or c in "，、；：,;:）」』”)":
-                        continue
-                    put(e, b, YES, dots, a)
-                elif head in ".!?" and c.isupper() and (p[a - 1 : a].isalnum() or p[a - 1 : a] in ")”\"") and re.match(r"[^\W\d_]{2,}(?:[\s,;:!?’']|\.[\s.])|[^\W\d_]\s", p[b : b + 40]) and not re.search(r"[@/]\S*$", p[max(0, a - 30) : a]):
+            if b == e:
+                if sure or head in "!?…！？" and (_HAN.match(c) or _HAN.match(p[a - 1 : a])):
+                    if not (closed or c in "，、；：,;:）」』”)"):
+                        put(e, b, YES, dots, a)
+                elif head in ".!?" and c.isupper() and (p[a - 1 : a].isalnum() or p[a - 1 : a] in ")”\"") and _START.match(p, b) and not _ADDRESS.search(p, max(0, a - 30), a):
                     put(e, b, MAYBE if head == "." or not p[max(0, a - 3) : a].islower() else YES, ".", a)
                 elif head in ".!?" and c in "“„«¿¡([" and p[a - 1 : a].islower():
                     put(e, b, MAYBE if head == "." else YES, ".", a)
                 continue
-            if closed and sure:
-                if re.match(rf"[{_CJK}]", c):
-                    continue
+            if closed and sure and _HAN.match(c):
+                continue
             if closed and (c.isalpha() and not c.isupper() and not c.islower() or _SPEECH.match(p, b)):
                 put(e, b, NO, dots, a)  # speech within a sentence
                 continue
-            if c in ",;:，；：、)" or (c in "—–-" and not re.match(r"[—–-]\S", p[b : b + 2])):
+            if c in ",;:，；：、)" or c in "—–-" and not _DASHED.match(p, b):
                 put(e, b, NO, dots, a)
                 continue
-            word = _WORD.match(p, b)
-            w = word[0] if word else c
-            if c in "—–-":
-                w = p[b + 1 : b + 2]
-            small = w[0].islower() and not (len(w) > 1 and (w[1].isupper() or not w[1].isalpha() and not w[1:2] in "'’-."))
+            w = p[b + 1 : b + 2] if c in "—–-" else m[0] if (m := _WORD.match(p, b)) else c
+            small = w[:1].islower() and not (len(w) > 1 and (w[1].isupper() or not w[1].isalpha() and w[1] not in "'’-."))
             if sure or head in "!?؟！？۔" and not small:
                 put(e, b, YES, dots, a)
-            elif small or head == "." and re.search(r"(?<![\w.])[^\W\d_]$", p[max(0, a - 2) : a]) and re.match(r"[^\W\d_]\.(?=\s)", p[b : b + 3]):
+            elif small or head == "." and _INITIAL.search(p, max(0, a - 2), a) and _DOTTED.match(p, b, b + 3):
                 put(e, b, NO, dots, a)  # a small letter, or initials
-            elif head == "." and re.search(r"[ऀ-ॿ฀-໿]$", p[max(0, a - 1) : a]):
+            elif head == "." and _NO_DOT.search(p, max(0, a - 1), a):
                 put(e, b, NO, dots, a)  # scripts with a danda or no marks have dots in abbreviations only
             else:
                 put(e, b, YES if closed else MAYBE, dots, a)
@@ -235,31 +268,122 @@ def places(text: str) -> list[tuple[int, int, int, tuple[str, str], tuple[str, s
         if thai:
             for m in _BLANK.finditer(p):
                 e, b = m.span()
-                if e == 0 or b >= len(p) or b in seen or inside[e - 1] and inside[b] and any(x < e <= y for x, y in pairs):
+                if e == 0 or b >= n or b in seen or pairs.inside(e - 1) and pairs.inside(b) and pairs.around(e, e):
                     continue
                 if _THAI.match(p[e - 1]) or _THAI.match(p[b]):
                     put(e, b, MAYBE, " ", e)
         last = 0
         for begin in sorted(seen):
             end, _, what, left, right = seen[begin]
-            words = max(p.count(" ", last, end) + 1, (end - last) // 8) if end - last > 3 else 0
-            out.append((lo + end, lo + begin, what, left, right, words))
+            out.append((lo + end, lo + begin, what, left, right, max(p.count(" ", last, end) + 1, (end - last) // 8) if end - last > 3 else 0))
             last = begin
         if nxt > hi or hi < len(text):
-            end = lo + len(p.rstrip())
-            if end > lo and nxt < len(text):
-                out.append((end, nxt, YES, _edge(text, end), _right(text, nxt), 9))
+            end = n
+            while end and p[end - 1].isspace():
+                end -= 1
+            if end and nxt < len(text):
+                out.append((lo + end, nxt, YES, _edge(p, end), _right(text, nxt), 9))
     return out
 
 
-def _edge(text: str, end: int) -> tuple[str, str]:
-    m = re.search(rf"[{_MARKS}]+[{_CLOSERS}]*$", text[max(0, end - 12) : end])
-    thai = bool(_THAI.search(text, max(0, end - 20), end))
-    mark = " " if not m and thai else "\n" if not m else ("…" if m[0].startswith(("..", "…")) else m[0][0]) + "”" * (m[0][-1] in _CLOSERS)
-    left = _left(text, max(0, end - 12) + m.start() if m and end >= 12 else m.start() if m else end)
+def _edge(p: str, end: int) -> tuple[str, str]:
+    """The last word of a paragraph with its mark."""
+    m = _TRAIL.search(p, max(0, end - 12), end)
+    mark = " " if not m and _THAI.search(p, max(0, end - 20), end) else "\n" if not m else ("…" if m[0].startswith(("..", "…")) else m[0][0]) + "”" * (m[0][-1] in _CLOSERS)
+    left = _left(_before(p, m.start() if m else end))
     return left[0] + "|" + mark, left[1] + "|" + mark
 
 
+# --- places as numbers
+
+WORDS, PAIRS = 1 << 18, 1 << 19
+_TABLES = ("end", "all", "start", "no", "behind", "mid", "after", "on")
+#: Marks by number; what a place's first chance is, before any word is known.
+MARKS = [" ", "\n", "¶", *[c + q for c in ".…!?。！？｡．؟।॥" for q in ("", "”")], ""]
+_FIRST = np.array([0.3, 0.15, 0.9, *[0.7 if c in ".…" else 0.9 for c in ".…!?。！？｡．؟।॥" for _ in "ab"], 0.9])
+_MARK = {m: i for i, m in enumerate(MARKS)}
+#: What else is known of a place: a line break in it, an abbreviation or letter before it, a script without blanks behind it, a
+#: bracket or quotation behind it, and whether that goes on with a capital or number, and a number behind it.
+F_LINE, F_ABBREVIATION, F_THAI, F_SIGN, F_CAPITAL, F_NUMBER = 1, 2, 4, 8, 16, 32
+COLUMNS = ("end", "begin", "what", "left", "shape", "right", "rshape", "mark", "flags", "words")
+
+
+class _Numbers(dict):
+    """Hashes of words and shapes, kept for the words met."""
+
+    def __missing__(self, key: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        self[key] = i = zlib.crc32(key.encode("utf-8", "ignore")) % WORDS
+        return i
+
+
+def numbered(found: list, numbers: _Numbers) -> np.ndarray:
+    """COLUMNS of places, a row each."""
+    out = []
+    for end, begin, what, (w, shape), (r, rshape), words in found:
+        word, _, mark = w.rpartition("|")
+        flags = F_LINE * mark.startswith("↵")
+        if flags:
+            mark = mark[1:]
+            w, shape = f"{word}|{mark}", shape.replace("|↵", "|")
+        flags |= F_ABBREVIATION * (mark.startswith(".") and (word in _ABBREVIATED or len(word) == 1 and word.isalpha())) | F_THAI * r.startswith("t:") | F_NUMBER * r.endswith("<n>")
+        if not r[2:3].isalnum() and r[2:3] != "<":
+            flags |= F_SIGN | F_CAPITAL * r.endswith("A")
+        out.append((end, begin, what, numbers[w], numbers[shape], numbers[r], numbers[rshape], _MARK.get(mark, len(MARKS) - 1), flags, min(words, 9)))
+    return np.array(out, np.int32).reshape(-1, len(COLUMNS))
+
+
+def _pair(x: np.ndarray) -> np.ndarray:
+    return (x[:, 3].astype(np.int64) * 2654435761 + x[:, 5]) % PAIRS
+
+
+class Counts:
+    """The tables of the model, of fixed size; added up over partitions."""
+
+    SIZE = len(_TABLES) * WORDS + PAIRS + 6 + 2 * len(MARKS)
+
+    def __init__(self, flat: np.ndarray | None = None):
+        self.flat = np.zeros(self.SIZE) if flat is None else flat
+        for i, name in enumerate(_TABLES):
+            setattr(self, name, self.flat[i * WORDS : (i + 1) * WORDS])
+        at = len(_TABLES) * WORDS
+        self.pair = self.flat[at : at + PAIRS]
+        self.sums = self.flat[at + PAIRS : at + PAIRS + 6].reshape(3, 2)  # starts, words within, continuations, by script
+        self.shares = self.flat[at + PAIRS + 6 :].reshape(2, len(MARKS))  # settled and all events, by mark
+
+    def settle(self, x: np.ndarray) -> None:
+        """What settled places say."""
+        what, left, shape, right, rshape, mark, thai = *x[:, [2, 3, 4, 5, 6, 7]].T, (x[:, 8] & F_THAI) // F_THAI
+        some, no, yes = what != NO, what == NO, (what == YES) & (mark != _MARK["¶"])
+        np.add.at(self.all, np.concatenate([left[some], shape[some]]), 1)
+        np.add.at(self.no, left[no], 1)
+        np.add.at(self.behind, right, 1)
+        np.add.at(self.end, np.concatenate([left[yes], shape[yes]]), 1)
+        np.add.at(self.start, np.concatenate([right[yes], rshape[yes]]), 1)
+        np.add.at(self.sums[0], thai[yes], 1)
+
+    def within(self, texts: list[str], numbers: _Numbers) -> None:
+        """All words between blanks; those behind places are taken off by the model."""
+        for token, n in Counter(chain.from_iterable(map(str.split, texts))).items():
+            if (m := _WORD.match(token)) and not _THAI.match(token):
+                for k in _begin(m[0]):
+                    self.mid[numbers[k]] += n
+                self.sums[1, 0] += n
+
+    def expect(self, x: np.ndarray, p: np.ndarray) -> None:
+        """What the posteriors say of all places."""
+        what, left, right, rshape, mark, thai = *x[:, [2, 3, 5, 6, 7]].T, (x[:, 8] & F_THAI) // F_THAI
+        np.add.at(self.shares[0], mark, what == YES)
+        np.add.at(self.shares[1], mark, p)
+        on = ((what == NO) | (mark == _MARK[" "])) & (p < 1)
+        q = 1 - p[on]
+        np.add.at(self.after, np.concatenate([right[on], rshape[on]]), np.concatenate([q, q]))
+        np.add.at(self.sums[2], thai[on], q)
+        np.add.at(self.on, left[on], q)
+        np.add.at(self.pair, _pair(x)[on], q)
+
+
 class Model:
     """Counts of the hidden-event bigrams, and the posteriors they give.
 
@@ -270,202 +394,229 @@ class Model:
     """
 
     BACK, MIX = 2.0, 0.7
-
-    def __init__(self) -> None:
-        self.end: Counter = Counter()  # settled ends, by word and by shape
-        self.all: Counter = Counter()  # all occurrences
-        self.start: Counter = Counter()  # settled starts
-        self.starts: Counter = Counter()  # by group of scripts
-        self.mid: Counter = Counter()  # words within sentences
-        self.mids: Counter = Counter()
-        self.after: Counter = Counter()  # expected continuations
-        self.afters: Counter = Counter()
-        self.on: Counter = Counter()
-        self.pair: dict = defaultdict(float)
-        self.no: Counter = Counter()  # settled continuations
-        self.behind: Counter = Counter()  # all occurrences behind a place
-        self.share: dict[str, float] = {}  # of the settled among all events, by mark
-        self.memo: dict = {}
-
-    def settle(self, what: int, left: tuple[str, str], right: tuple[str, str]) -> None:
-        if what != NO:  # what a small letter or a comma settles is no case for the rate
-            for k in left:
-                self.all[k] += 1
-        self.no[left[0]] += what == NO
-        self.behind[right[0]] += 1
-        if what == YES and not left[0].endswith("|¶"):
-            for k in left:
-                self.end[k] += 1
-            for k in right:
-                self.start[k] += 1
-            self.starts[right[0][:2]] += 1
-
-    def expect(self, found: list, ps: list[float], sums: dict) -> None:
-        for (_, _, what, left, right, _), p in zip(found, ps, strict=True):
-            q = 1 - (p if what == MAYBE else float(what))
-            mark = left[0].rpartition("|")[2]
-            sums[mark][0] += what == YES
-            sums[mark][1] += 1 - q
-            if q > 0 and (what == NO or mark == " "):
-                for k in right:
-                    self.after[k] += q
-                self.afters[right[0][:2]] += q
-                self.on[left[0]] += q
-                self.pair[left[0], right[0]] += q
-
     #: Probability of a word that was never seen, alike behind an event and within sentences: it says nothing.
     UNSEEN = 0.002
 
-    def _word(self, n: float, total: float) -> float:
-        return (n + self.UNSEEN * (total + 1)) / (total + 1)
-
-    def _rate(self, k: str, prior: float, weight: float, mark: str) -> float:
-        seen = max(self.all[k] * self.share.get(mark, 0.3), self.end[k])
-        return min((self.end[k] + weight * prior) / (seen + weight), 0.995)
-
-    def score(self, left: tuple[str, str], right: tuple[str, str]) -> float:
-        """Probability of the event, given only the words at both sides."""
-        if (hit := self.memo.get((left[0], right[0]))) is not None:
-            return hit
-        w, shape = left
-        word, _, mark = w.rpartition("|")
-        line = mark.startswith("↵")
-        if line:
-            mark = mark[1:]
-            w, shape = f"{word}|{mark}", shape.replace("|↵", "|")
-        first = 0.7 if mark[:1] in ".…" and mark else 0.3 if mark == " " else 0.15 if mark == "\n" else 0.9
-        prior = self._rate(shape, first, 4, mark)
-        if mark.startswith(".") and (word in _ABBREVIATED or len(word) == 1 and word.isalpha()):
-            pe = self._rate(w, 0.02, 6, mark)
-        else:
-            pe = self._rate(w, prior, self.BACK, mark)
-            if self.end[w] >= 3 and not self.no[w]:
-                pe = max(pe, 0.97 if mark != " " else 0.9)
-        if line:
-            pe = 1 - (1 - pe) * 0.15
-        r = right[0]
-        g = r[:2]
-        if not r[2:3].isalnum() and r[2:3] != "<":  # a bracket or a quotation: what matters is how it goes on
-            return min(max(1 - (1 - pe) * 0.25 if r.endswith("A") else pe * 0.5, 1e-6), 1 - 1e-6)
-        if mark == " " and g == "t:":  # no words within sentences are known to be such: the next word's own rate of starting one
-            pr = 0.9 if self.start[r] >= 3 else (self.start[r] + 0.1) / (self.behind[r] + 1)
-            yes, no = pe * min(pr, 0.95) / 0.3, (1 - pe) * (1 - min(pr, 0.95)) / 0.7
-            out = min(max(yes / (yes + no), 1e-6), 1 - 1e-6)
-            self.memo[left[0], right[0]] = out
-            return out
-        in_start = self._word(self.start[r], self.starts[g])
-        plain = self._word(self.after[r] + self.mid[r], self.afters[g] + self.mids[g])
-        seen = self.on[w]
-        bigram = self.pair.get((w, r), 0.0) / seen if seen > 0 else 0.0
+    def __init__(self, settled: Counts, expected: Counts | None = None):
+        self.c = settled
+        self.e = expected or Counts()
+        self.share = np.clip((self.e.shares[0] + 1) / (self.e.shares[1] + 4), 0.02, 1.0) if expected else np.full(len(MARKS), 0.3)
+        self.mid = np.maximum(settled.mid - settled.behind, 0)
+
+    def _rate(self, k: np.ndarray, prior: np.ndarray | float, weight: float, share: np.ndarray) -> np.ndarray:
+        seen = np.maximum(self.c.all[k] * share, self.c.end[k])
+        return np.minimum((self.c.end[k] + weight * prior) / (seen + weight), 0.995)
+
+    def score(self, x: np.ndarray) -> np.ndarray:
+        """Probability of the event at each place, given only the words at both sides."""
+        c, e = self.c, self.e
+        left, shape, right, mark, flags = x[:, [3, 4, 5, 7, 8]].T
+        share = self.share[mark]
+        blank = mark == _MARK[" "]
+        thai = (flags & F_THAI) // F_THAI
+        plain_rate = self._rate(left, self._rate(shape, _FIRST[mark], 4, share), self.BACK, share)
+        always = (c.end[left] >= 3) & (c.no[left] < 0.02 * c.end[left])  # a word that ends sentences and is never gone on from
+        plain_rate = np.where(always, np.maximum(plain_rate, np.where(blank, 0.9, 0.97)), plain_rate)
+        pe = np.where(flags & F_ABBREVIATION, self._rate(left, 0.02, 6, share), plain_rate)
+        pe = np.where(flags & F_LINE, 1 - (1 - pe) * 0.15, pe)
+        word = lambda n, total: (n + self.UNSEEN * (total + 1)) / (total + 1)
+        in_start = word(c.start[right], c.sums[0][thai])
+        plain = word(e.after[right] + self.mid[right], e.sums[2][thai] + c.sums[1][thai])
+        seen = e.on[left]
+        bigram = np.divide(e.pair[_pair(x)], seen, out=np.zeros(len(x)), where=seen > 0)
         mix = self.MIX * seen / (seen + self.BACK)
         follow = mix * bigram + (1 - mix) * plain
         # How often a word that stands behind places does so behind settled events, against how often it would if it began sentences.
-        begins = 0.5 if r.endswith("<n>") else min(max((self.start[r] + 1) / (max(self.behind[r] * self.share.get(mark, 0.3), self.start[r]) + 2), 0.02), 0.98)
+        settled = np.maximum(c.behind[right] * share, c.start[right])
+        begins = np.where(flags & F_NUMBER, 0.5, np.clip((c.start[right] + 1) / (settled + 2), 0.02, 0.98))
         yes, no = pe * in_start * begins, (1 - pe) * follow * (1 - begins)
-        out = min(max(yes / (yes + no), 1e-6), 1 - 1e-6) if yes + no > 0 else 0.5
-        if len(self.memo) < 200_000:
-            self.memo[left[0], right[0]] = out
-        return out
-
-    def posteriors(self, found: list) -> list[float]:
-        """The posterior of the event at each place of one text, by forward-backward."""
-        n = len(found)
-        emit = []
-        for _, _, what, left, right, _ in found:
-            p = 1.0 if what == YES else 0.0 if what == NO else self.score(left, right)
-            emit.append((1 - p, p))
-        move = [1.0 if f[5] >= 2 else 0.15 if f[5] == 1 else 0.02 for f in found]  # a sentence of one word, of none
-        alpha = []
-        a0, a1 = 1.0, 0.0
-        for i in range(n):
-            t = move[i]
-            b1 = (a0 + a1 * t) * emit[i][1]
-            b0 = (a0 + a1) * emit[i][0]
-            z = a0 + a1
-            if found[i][2] == YES:
-                b0, b1 = 0.0, z
-            s = b0 + b1 or 1.0
-            a0, a1 = b0 / s, b1 / s
-            alpha.append((a0, a1))
-        out = [0.0] * n
-        b0 = b1 = 1.0
-        for i in range(n - 1, -1, -1):
-            x, y = alpha[i][0] * b0, alpha[i][1] * b1
-            out[i] = y / (x + y) if x + y else alpha[i][1]
-            t = move[i]
-            e0, e1 = emit[i]
-            if found[i][2] == YES:
-                e0, e1, t = 0.0, 1.0, 1.0
-            n0 = e0 * b0 + e1 * b1
-            n1 = e0 * b0 + e1 * t * b1
-            s = max(n0, n1) or 1.0
-            b0, b1 = n0 / s, n1 / s
-        return out
+        out = yes / np.maximum(yes + no, 1e-300)
+        # Scripts without marks: no words within sentences are known to be such; the next word's own rate of starting one counts.
+        pr = np.minimum((c.start[right] + 0.1) / (settled + 1), 0.95)
+        yes, no = pe * pr / 0.3, (1 - pe) * (1 - pr) / 0.7
+        out = np.where(blank & (thai == 1), yes / (yes + no), out)
+        # A bracket or a quotation: what matters is how it goes on.
+        out = np.where(flags & F_SIGN, np.where(flags & F_CAPITAL, 1 - (1 - pe) * 0.25, pe * 0.5), out)
+        return np.clip(out, 1e-6, 1 - 1e-6)
+
+    def posteriors(self, x: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """The posterior of the event at each place, by forward-backward over each text; first: where texts begin.
+
+        The steps of the chain are 2 x 2 matrices, multiplied in doubling strides, forwards and backwards, over all texts at once.
+        """
+        n = len(x)
+        if not n:
+            return np.zeros(0)
+        what, words = x[:, 2], x[:, 9]
+        p = np.where(what == YES, 1.0, np.where(what == NO, 0.0, self.score(x)))
+        short = np.where(what == YES, 1.0, np.where(words >= 2, 1.0, np.where(words == 1, 0.15, 0.02)))  # a sentence of one word, of none
+        begins = np.zeros(n, bool)
+        begins[first] = True
+        short = np.where(begins, 1.0, short)
+        step = np.empty((n, 2, 2))
+        step[:, 0, 0], step[:, 0, 1], step[:, 1, 0], step[:, 1, 1] = 1 - p, p, 1 - p, p * short
+        longest = int(np.diff(np.append(first, n)).max())
+
+        def scan(m: np.ndarray, back: bool) -> np.ndarray:
+            s = 1
+            while s < longest:
+                m = m.copy()
+                m[s:] = (m[s:] @ m[:-s]) if back else (m[:-s] @ m[s:])
+                m /= np.maximum(m.max((1, 2), keepdims=True), 1e-300)
+                s *= 2
+            return m
+
+        alpha = scan(step, False)[:, 0]
+        # What follows place i: the steps behind it up to the end of its text, where nothing follows.
+        last = np.append(first[1:], n) - 1
+        after = np.roll(step, -1, axis=0)
+        after[last] = 1.0
+        beta = scan(after[::-1], True)[::-1].sum(2)
+        y = alpha[:, 1] * beta[:, 1]
+        total = alpha[:, 0] * beta[:, 0] + y
+        return np.where(what == YES, 1.0, np.where(what == NO, 0.0, np.divide(y, total, out=alpha[:, 1].copy(), where=total > 0)))
 
     @staticmethod
-    def fit(texts: list[str]) -> Model:
-        all_places = [places(t) for t in texts]
-        model = Model()
-        for found in all_places:
-            for _, _, what, left, right, _ in found:
-                mark = left[0].rpartition("|")[2]
-                if mark.startswith("↵"):
-                    left = (left[0].replace("|↵", "|"), left[1].replace("|↵", "|"))
-                model.settle(what, left, right)
-        for t in texts:
-            for m in _MID.finditer(t):
-                if not _THAI.match(m[1]):
-                    for k in _begin(m[1][:40]):
-                        model.mid[k] += 1
-                    model.mids["o:"] += 1
-        for _ in range(ROUNDS):
-            ps = [model.posteriors(found) for found in all_places]
-            model.after, model.on, model.pair, model.afters, model.memo = Counter(), Counter(), defaultdict(float), Counter(), {}
-            sums: dict = defaultdict(lambda: [0.0, 0.0])
-            for found, p in zip(all_places, ps, strict=True):
-                model.expect(found, p, sums)
-            model.share = {m: min(max((a + 1) / (b + 4), 0.02), 1.0) for m, (a, b) in sums.items()}
-        model.memo = {}
+    def fit(texts: list[str], rounds: int = ROUNDS) -> Model:
+        """The model of texts in memory, as fitted() makes it of a corpus."""
+        numbers, settled = _Numbers(), Counts()
+        xs = [numbered(places(t), numbers) for t in texts]
+        settled.within(texts, numbers)
+        x = np.concatenate([*xs, np.zeros((0, len(COLUMNS)), np.int32)])
+        first = np.cumsum([0, *[len(y) for y in xs if len(y)]])[:-1].astype(int)
+        settled.settle(x)
+        model = Model(settled)
+        for _ in range(rounds):
+            expected = Counts()
+            expected.expect(x, model.posteriors(x, first))
+            model = Model(settled, expected)
         return model
 
 
+def _cut(lo: int, hi: int, x: np.ndarray, p: np.ndarray) -> list[tuple[int, int]]:
+    """start, end of each sentence of a text that begins at lo and ends at hi, white space aside."""
+    out, at = [], lo
+    for end, begin in x[p >= 0.5, :2].tolist():
+        if end > at:
+            out.append((at, end))
+            at = begin
+    if hi > at:
+        out.append((at, hi))
+    return out
+
+
 def split(text: str | None, model: Model) -> list[tuple[int, int]]:
     """start, end of each sentence."""
     if not text or text.isspace():
         return []
-    found = places(text)
-    out, at = [], len(text) - len(text.lstrip())
-    for (end, begin, _, _, _, _), p in zip(found, model.posteriors(found), strict=True):
-        if p >= 0.5 and end > at:
-            out.append((at, end))
-            at = begin
-    end = len(text.rstrip())
-    if end > at:
-        out.append((at, end))
-    return out
+    x = numbered(places(text), _Numbers())
+    return _cut(len(text) - len(text.lstrip()), len(text.rstrip()), x, model.posteriors(x, np.array([0])))
 
 
-def fit(documents: DataFrame, sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> Model:
-    """The model of a bounded sample: at most sample texts of at most chars characters each."""
-    rows = documents.select("doc_id", "text").where((F.length("text") > 0) & (F.length("text") <= chars)).withColumn("h", F.xxhash64("doc_id", "text")).orderBy("h").limit(sample).select("text").collect()
-    return Model.fit([r[0] for r in rows])
+PLACES = "doc_id bigint, lo int, hi int, places binary, counts binary"
 
 
-def sentences(documents: DataFrame, model: Model) -> DataFrame:
-    """doc_id, start_at, end_at of each sentence."""
-    held = ship(documents.sparkSession, model)  # bounded by the sample
+def found_places(documents: DataFrame) -> DataFrame:
+    """PLACES: of each text its extent and its places as numbers; and of each partition, without doc_id, what its settled places count."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = pickle.loads(held.value)
+        numbers, counts = _Numbers(), Counts()
+        for b in batches:
+            rows, xs = [], []
+            for i, t in zip(b["doc_id"], b["text"], strict=True):
+                if t and not t.isspace():
+                    x = numbered(places(t), numbers)
+                    xs.append(x)
+                    rows.append((i, len(t) - len(t.lstrip()), len(t.rstrip()), x.tobytes(), None))
+            if xs:
+                counts.settle(np.concatenate(xs))
+                counts.within([t for t in b["text"] if t], numbers)
+            yield pd.DataFrame(rows, columns=["doc_id", "lo", "hi", "places", "counts"])
+        yield pd.DataFrame({"doc_id": [None], "lo": [0], "hi": [0], "places": [None], "counts": [_packed(counts)]})
+
+    return spread(documents.select("doc_id", "text").where("text is not null and doc_id is not null")).mapInPandas(run, PLACES)
+
+
+def _packed(c: Counts) -> bytes:
+    """Counts as bytes: places and values of those that are not null."""
+    at = np.flatnonzero(c.flat).astype(np.int32)
+    return len(at).to_bytes(8, "little") + at.tobytes() + c.flat[at].tobytes()
+
+
+def _added(a: bytes, b: bytes) -> bytes:
+    total = np.zeros(Counts.SIZE)
+    for raw in (a, b):
+        n = int.from_bytes(raw[:8], "little")
+        total[np.frombuffer(raw, np.int32, n, 8)] += np.frombuffer(raw[8 + 4 * n :], np.float64)
+    return _packed(Counts(total))
+
+
+def _total(parts: DataFrame) -> Counts:
+    """The sum of the counts of all partitions, which meet in a tree; of one size whatever the corpus is."""
+    rdd = parts.where("counts is not null").select("counts").rdd.map(lambda r: bytes(r[0]))
+    raw = rdd.treeReduce(_added, depth=3) if rdd.getNumPartitions() and not rdd.isEmpty() else _packed(Counts())
+    return Counts(np.frombuffer(_dense(raw)).copy())
+
+
+def _dense(raw: bytes) -> bytes:
+    n, flat = int.from_bytes(raw[:8], "little"), np.zeros(Counts.SIZE)
+    flat[np.frombuffer(raw, np.int32, n, 8)] = np.frombuffer(raw[8 + 4 * n :], np.float64)
+    return flat.tobytes()
+
+
+def _blocks(b: pa.RecordBatch, at_once: int = 2000) -> Iterator[tuple[list, list, list, list[np.ndarray], np.ndarray, np.ndarray]]:
+    """doc ids, lo, hi, places of each, all places and where each text's begin."""
+    cols = [b.column(c).to_pylist() for c in ("doc_id", "lo", "hi", "places")]
+    for a in range(0, len(cols[0]), at_once):
+        doc, lo, hi, raw = (c[a : a + at_once] for c in cols)
+        xs = [np.frombuffer(r, np.int32).reshape(-1, len(COLUMNS)) for r in raw]
+        yield doc, lo, hi, xs, np.concatenate(xs), np.cumsum([0, *[len(x) for x in xs if len(x)]])[:-1].astype(int)
+
+
+def fitted(found: DataFrame, rounds: int = ROUNDS) -> Model:
+    """The model of all documents. found: of found_places, written."""
+    texts = found.where("doc_id is not null")
+    settled = _total(found)
+    model = Model(settled)
+    for _ in range(rounds):
+        held = found.sparkSession.sparkContext.broadcast((_packed(settled), _packed(model.e)))  # of one size whatever the corpus is
+        new = model.e.flat.any()
+
+        def run(batches: Iterator[pa.RecordBatch], held=held, new=new) -> Iterator[pa.RecordBatch]:
+            s, e = (Counts(np.frombuffer(_dense(x))) for x in held.value)
+            m, counts = Model(s, e if new else None), Counts()
+            for b in batches:
+                for *_, x, first in _blocks(b):
+                    counts.expect(x, m.posteriors(x, first))
+            yield pa.RecordBatch.from_arrays([pa.array([_packed(counts)], pa.binary())], ["counts"])
+
+        model = Model(settled, _total(texts.select("doc_id", "lo", "hi", "places").mapInArrow(run, "counts binary")))
+        held.unpersist()
+    return model
+
+
+def sentences(documents: DataFrame, model: Model | None = None) -> DataFrame:
+    """doc_id, start_at, end_at of each sentence, by the given model or that of all documents."""
+    found = written(found_places(documents), "places")
+    model = model or fitted(found)
+    held = found.sparkSession.sparkContext.broadcast((_packed(model.c), _packed(model.e), bool(model.e.flat.any())))  # of one size whatever the corpus is
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s, e, new = held.value
+        m = Model(Counts(np.frombuffer(_dense(s))), Counts(np.frombuffer(_dense(e))) if new else None)
         for b in batches:
-            yield pd.DataFrame([(i, *s) for i, t in zip(b["doc_id"], b["text"], strict=True) for s in split(t, m)], columns=["doc_id", "start_at", "end_at"])
+            for doc, lo, hi, xs, x, first in _blocks(b):
+                p, at, rows = m.posteriors(x, first), 0, []
+                for i, a, z, own in zip(doc, lo, hi, xs, strict=True):
+                    rows += [(i, *c) for c in _cut(a, z, own, p[at : at + len(own)])]
+                    at += len(own)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32()), strict=False)] if rows else [pa.array([], k) for k in (pa.int64(), pa.int32(), pa.int32())], ["doc_id", "start_at", "end_at"])
 
-    return spread(documents.select("doc_id", "text").where("text is not null")).mapInPandas(run, "doc_id bigint, start_at int, end_at int")
+    return found.where("doc_id is not null").select("doc_id", "lo", "hi", "places").mapInArrow(run, "doc_id bigint, start_at int, end_at int")
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    docs = spark.read.parquet(f"{d}/documents.parquet")
-    return sentences(docs, fit(docs))
+    return sentences(spark.read.parquet(f"{d}/documents.parquet"))
 
 
 QUERIES = {"p9_found": p9_found}

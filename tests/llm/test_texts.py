@@ -126,7 +126,8 @@ def test_many_spans_of_one_text_take_linear_time():
 
 @pytest.fixture(scope="module")
 def model(spark, data):
-    return sentences.fit(spark.read.parquet(data.replace("sf0.001", "sf0.01") + "/documents.parquet"))
+    docs = spark.read.parquet(data.replace("sf0.001", "sf0.01") + "/documents.parquet")
+    return sentences.fitted(sentences.written(sentences.found_places(docs), "places"))
 
 
 SENTENCES = [
@@ -160,4 +161,61 @@ def test_sentence_table(spark, model):
     docs = spark.createDataFrame([(1, None, "", 0), (2, " \n", "", 0), (3, "One. Two.", "", 0), (4, "word " * 20_000 + "end. Next one.", "", 0)], DOCS)
     got = [(r.doc_id, r.start_at, r.end_at) for r in sentences.sentences(docs, model).collect()]
     assert (3, 0, 4) in got and (3, 5, 9) in got and {g[0] for g in got} == {3, 4}
-    assert sentences.split("Yes. No.", sentences.Model.fit([])) and sentences.fit(spark.createDataFrame([], DOCS)).end == {}
+    assert sentences.split("Yes. No.", sentences.Model.fit([])) and sentences.sentences(spark.createDataFrame([], DOCS)).count() == 0
+    own = [(r.doc_id, r.start_at, r.end_at) for r in sentences.sentences(docs).collect()]  # fitted on these four
+    assert {g[0] for g in own} == {3, 4} and (3, 0, 4) in own
+
+
+def test_the_model_of_a_corpus_is_that_of_its_texts(spark, data):
+    import numpy as np
+
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    texts = [r.text for r in docs.where("length(text) > 0").collect()]
+    one = sentences.Model.fit(texts)
+    whole = sentences.fitted(sentences.written(sentences.found_places(docs.repartition(3)), "places"))
+    assert np.allclose(one.c.flat, whole.c.flat) and np.allclose(one.e.flat, whole.e.flat)
+
+
+def test_a_larger_corpus_moves_few_boundaries(spark, data):
+    texts = [r.text for r in spark.read.parquet(data.replace("sf0.001", "sf0.01") + "/documents.parquet").where("length(text) > 0").collect()]
+    one, four = sentences.Model.fit(texts), sentences.Model.fit(texts * 4)
+    a, b = ([set(sentences.split(t, m)) for t in texts] for m in (one, four))
+    assert sum(len(x & y) for x, y in zip(a, b, strict=True)) >= 0.995 * sum(map(len, a))
+
+
+def test_posteriors_against_all_ways_to_cut(model):
+    import itertools
+
+    import numpy as np
+
+    r = random.Random(3)
+    texts = ["Dr. Ferr was here. No. 5 is e.g. Mr. Smith. I. He said no. It", "A. B. C. D. e. F", "One", "Go. Go! No. What? Hm. Mr. X", "ฉันชอบ แมว มาก ไป ที่ นี่"]
+    for _ in range(20):
+        some = [r.choice(texts) for _ in range(4)]
+        xs = [sentences.numbered(sentences.places(t), sentences._Numbers()) for t in some]
+        x = np.concatenate(xs)
+        first = np.cumsum([0, *[len(y) for y in xs if len(y)]])[:-1].astype(int)
+        got, at = model.posteriors(x, first), 0
+        for y in xs:
+            if not len(y):
+                continue
+            p = np.where(y[:, 2] == sentences.YES, 1.0, np.where(y[:, 2] == sentences.NO, 0.0, model.score(y)))
+            t = np.where((y[:, 2] == sentences.YES) | (y[:, 9] >= 2), 1.0, np.where(y[:, 9] == 1, 0.15, 0.02))
+            mass, hit = 0.0, np.zeros(len(y))
+            for way in itertools.product((0, 1), repeat=len(y)):
+                w = np.prod([(p[i] * (t[i] if i and way[i - 1] else 1)) if e else 1 - p[i] for i, e in enumerate(way)])
+                mass += w
+                hit += w * np.array(way)
+            assert np.allclose(got[at : at + len(y)], hit / mass, atol=1e-6)
+            at += len(y)
+
+
+def test_sentences_of_long_texts_take_linear_time(model):
+    import time
+
+    took = []
+    for n in (2000, 20_000):
+        began = time.perf_counter()
+        assert len(sentences.split('He said, "we met (by chance) there." It was\nnice.\n' * n, model)) >= n
+        took.append(time.perf_counter() - began)
+    assert took[1] < 30 * took[0]
