@@ -84,7 +84,9 @@ def references(canon: DataFrame) -> DataFrame:
     thesaurus = spark.createDataFrame([(p, s) for p, all_ in SYNONYMS.items() for s in all_], "predicate string, said string")
     entries = canon.where("predicate is not null and predicate <> 'other'").select("predicate", "gloss")
     own = entries.select("predicate").distinct()
-    phrases = entries.selectExpr("predicate", f"explode(split(trim(regexp_replace(lower(coalesce(gloss, '')), '\\\\b({GLOSS_GLUE.replace(',', '|')})\\\\b', ' ')), ',| or | and |;')) AS said")
+    cut = "',| or | and |;'"
+    bare = f"trim(regexp_replace(lower(coalesce(gloss, '')), '\\\\b({GLOSS_GLUE.replace(',', '|')})\\\\b', ' '))"
+    phrases = entries.selectExpr("predicate", f"explode(array_union(split(lower(coalesce(gloss, '')), {cut}), split({bare}, {cut}))) AS said")
     both = own.selectExpr("predicate", "predicate AS said", "2 AS plain").unionByName(thesaurus.join(own, "predicate", "left_semi").selectExpr("predicate", "said", "1 AS plain")).unionByName(phrases.selectExpr("predicate", "said", "0 AS plain"))
     refs = both.selectExpr("predicate", r"regexp_replace(lower(said), '[^\\p{L}\\p{N}]+', '') AS ref", "plain").where(f"ref <> '' and (plain > 0 or length(ref) >= {GLOSS_LEAST})")
     refs = refs.groupBy("ref").agg(F.max("plain").alias("plain"), F.max_by("predicate", "plain").alias("predicate"), F.countDistinct("predicate").alias("n")).where("plain > 0 or n = 1")
@@ -145,7 +147,7 @@ def _oracle() -> str:
     return f"""
 said(predicate, said) AS (VALUES {said}),
 entries AS (SELECT predicate, gloss FROM canon_predicates WHERE predicate IS NOT NULL AND predicate <> 'other'),
-phrases AS (SELECT predicate, unnest(regexp_split_to_array(trim(regexp_replace(lower(coalesce(gloss, '')), '\\b({GLOSS_GLUE.replace(",", "|")})\\b', ' ', 'g')), ',| or | and |;')) AS said FROM entries),
+phrases AS (SELECT predicate, unnest(list_concat(regexp_split_to_array(lower(coalesce(gloss, '')), ',| or | and |;'), regexp_split_to_array(trim(regexp_replace(lower(coalesce(gloss, '')), '\\b({GLOSS_GLUE.replace(",", "|")})\\b', ' ', 'g')), ',| or | and |;'))) AS said FROM entries),
 every AS (SELECT predicate, regexp_replace(lower(said), '[^\\p{{L}}\\p{{N}}]+', '', 'g') AS ref, plain FROM (SELECT DISTINCT predicate, predicate AS said, 2 AS plain FROM entries
   UNION ALL SELECT predicate, said, 1 FROM said WHERE predicate IN (SELECT predicate FROM entries) UNION ALL SELECT predicate, said, 0 FROM phrases)),
 refs AS (SELECT ref, max(plain) AS plain, arg_max(predicate, plain) AS predicate FROM every WHERE ref <> '' AND (plain > 0 OR length(ref) >= {GLOSS_LEAST}) GROUP BY ref HAVING max(plain) > 0 OR count(DISTINCT predicate) = 1),

@@ -30,6 +30,20 @@ def test_canonical(spark):
     assert canonical.canonical(spark.createDataFrame([], "extract_id bigint, predicate string"), canon).count() == 0
 
 
+def test_references_come_from_glosses_too(spark, data):
+    canon = spark.read.parquet(f"{data}/canon_predicates.parquet")
+    long = "a very long entry of a reference list that nobody would ever type in full without a slip"
+    canon = canon.unionByName(spark.createDataFrame([(long, "", False)], CANON))
+    # Spellings that stand neither in the thesaurus nor in the tables.
+    want = {"organisation that employs the subject": "employer", "Organisaton employs": "employer", "place travelled to": "visited", "electronic mail adress": "email", "number telephone": "other", "title held at work": "job_title", "money_set_aside_for_spending": "budget",
+            "tool or service": "other", "is married to": "family_relation", "isMarriedTo": "family_relation", "Proficient in": "skill", "commenced": "started", long.replace("nobody", "nobdy").upper(): long, "x" + long * 2: "other"}
+    facts = spark.createDataFrame(list(enumerate(want)), "extract_id bigint, predicate string")
+    got = {r.extract_id: r.predicate for r in canonical.canonical(facts, canon).collect()}
+    assert {v: got[i] for i, v in enumerate(want)} == want
+    said = {r.ref for r in canonical.references(canon).collect()}
+    assert "dateofbirth" in said and len(said) > 200
+
+
 def test_pigeonhole_against_all_pairs(spark):
     r = random.Random(3)
     canon = spark.createDataFrame([(p, "", True) for p in canonical.SYNONYMS], CANON)
