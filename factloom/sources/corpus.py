@@ -19,9 +19,9 @@ def parse_date(c: Column) -> Column:
     return day * 86400 + F.regexp_extract(t, p, 4).try_cast("bigint") * 3600 + F.regexp_extract(t, p, 5).try_cast("bigint") * 60
 
 
-def instances(spark: SparkSession, path: str) -> DataFrame:
-    """One row per question with its sessions, sorted by date (ties in file order) and numbered. The file is one JSON array or JSON lines."""
-    raw = spark.read.schema(RAW).option("multiLine", True).json(path)
+def instances(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """One row per question with its sessions, sorted by date (ties in file order) and numbered. Files of JSON lines (lines) are split among tasks, JSON arrays are read file by file: array_lines() turns one into lines once."""
+    raw = spark.read.schema(RAW).option("multiLine", not lines).json(path)
     zipped = F.arrays_zip("haystack_session_ids", "haystack_dates", "haystack_sessions")
     rows = F.transform(zipped, lambda s, i: F.struct(parse_date(s["haystack_dates"]).alias("timestamp"), i.alias("pos"), s["haystack_session_ids"].alias("session_id"), s["haystack_sessions"].alias("turns")))
     turn = lambda t, i: F.struct(i.cast("int").alias("idx"), t["role"].alias("role"), t["content"].alias("content"), F.coalesce(t["has_answer"], F.lit(False)).alias("has_answer"))
@@ -29,6 +29,11 @@ def instances(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.col("question_id").alias("instance_id"), "question_type", "question", F.coalesce(F.col("answer"), F.lit("")).alias("answer"), parse_date(F.col("question_date")).alias("asked_at"), F.coalesce(F.col("question_id").endswith("_abs"), F.lit(False)).alias("is_abstention"), sessions.alias("sessions"), "answer_session_ids")
 
 
+def array_lines(spark: SparkSession, path: str, to: str) -> None:
+    """Writes a JSON array, the file of a published corpus, as JSON lines that further reads split."""
+    spark.read.schema(RAW).option("multiLine", True).json(path).repartition(spark.sparkContext.defaultParallelism).write.mode("overwrite").json(to)
+
+
 def instance(all_: DataFrame, instance_id: str) -> DataFrame:
     """One instance; KeyError if there is none."""
     one = all_.where(F.col("instance_id") == instance_id).limit(1)

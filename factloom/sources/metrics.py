@@ -28,3 +28,16 @@ def histograms(samples: DataFrame) -> DataFrame:
     g = s.groupBy("metric", "unit").agg(F.sum(F.when(F.col("part") == "sum", F.col("sample")).otherwise(0.0)).alias("sum"), F.sum(F.when(F.col("part") == "count", F.col("sample")).otherwise(0.0)).alias("count"))
     scale = F.element_at(F.create_map(*[F.lit(x) for kv in UNIT_MS.items() for x in kv]), F.col("unit"))
     return g.withColumn("mean_ms", F.when(F.col("count") > 0, F.round(F.col("sum") * scale / F.col("count"), 3)).otherwise(0.0))
+
+
+# The counters that a server's cost is told by.
+SERVER_SCALARS = ["graph_queries_total", "graph_mutations_total", "graph_vertices_total"]
+
+
+def server_cost(samples: DataFrame) -> DataFrame:
+    """scope, metric, value, unit, note: the mean of every histogram in milliseconds, and the counters of SERVER_SCALARS that are there."""
+    h = histograms(samples)
+    note = F.concat(F.lit("mean over "), F.col("count").cast("bigint").cast("string"), F.lit(" samples; exported in "), "unit")
+    timed = h.select(F.lit("server").alias("scope"), "metric", F.col("mean_ms").alias("value"), F.lit("ms").alias("unit"), note.alias("note"))
+    counted = scalars(samples).where(F.col("name").isin(SERVER_SCALARS)).select(F.lit("server").alias("scope"), F.col("name").alias("metric"), "value", F.lit("count").alias("unit"), F.lit("").alias("note"))
+    return timed.unionByName(counted)

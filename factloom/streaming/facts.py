@@ -12,14 +12,14 @@ from factloom.memory import Memory
 
 
 def absorb(memory: Memory):
-    """The foreachBatch function that adds fact rows to a memory."""
+    """The foreachBatch function that adds fact rows to a memory; facts and batch number become valid with one commit."""
 
     def run(batch: DataFrame, number: int) -> None:
-        if number + 1 in memory.store.versions("batches"):
+        done = memory.store.read("stream")
+        if done is not None and not done.where(f"batch = {number}").isEmpty():
             return
-        if not batch.isEmpty():
-            memory.add_rows(batch)
-        memory.store.write("batches", batch.sparkSession.createDataFrame([(number,)], "batch bigint"))
+        mine = batch.sparkSession.createDataFrame([(number,)], "batch bigint")
+        memory.add_rows(batch, more={"stream": mine if done is None else done.unionByName(mine)})
 
     return run
 

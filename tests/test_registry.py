@@ -6,6 +6,10 @@ from factloom.plans import registry
 from tests.conftest import compare
 
 
+#: Two anchors of a question are rarely joined in the smallest tables.
+MAY_BE_EMPTY = {"question_paths"}
+
+
 @pytest.mark.parametrize("name", sorted(registry.ORACLE))
 def test_against_sql(spark, data, name):
     compare(spark, name, registry.QUERIES[name], registry.ORACLE[name], data)
@@ -14,7 +18,9 @@ def test_against_sql(spark, data, name):
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE)))
 def test_runs(spark, data, name):
     df = registry.QUERIES[name](spark, data)
-    assert df.count() >= 0 and df.columns
+    rows = df.collect()
+    assert rows or name in MAY_BE_EMPTY
+    assert len(set(df.columns)) == len(df.columns) and (len({repr(r) for r in rows}) == len(rows))
 
 
 def test_entry_point(spark, data):
@@ -23,3 +29,14 @@ def test_entry_point(spark, data):
     q = e.queries()
     assert set(e.oracle_sql()) <= set(q) and {"p1_found", "p3_found", "p4_found"} <= set(q)
     assert e.entry(spark).limit(1).count() == 1
+
+
+def test_nearest_by_cells_has_the_recall_it_states(spark):
+    from factloom.operators import retrieval
+
+    v = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet") if __import__("os").path.exists("/root/testdata/sf0.01") else pytest.skip("no test tables here")
+    q = v.where("vec_id % 20 = 0")
+    exact = {(r.query_id, r.vec_id) for r in retrieval.nearest(q, v).collect()}
+    got = {(r.query_id, r.vec_id) for r in retrieval.nearest_by_cells(q, v).collect()}
+    assert len(got & exact) >= 0.9 * len(exact)
+    assert retrieval.nearest_by_cells(q.limit(0), v).count() == 0 and retrieval.nearest_by_cells(q, v.limit(0)).count() == 0
