@@ -21,6 +21,7 @@ sentence. Texts are read whole, in time that is linear but for a sort.
 from __future__ import annotations
 
 import bisect
+import functools
 import re
 import zlib
 from collections import Counter
@@ -110,12 +111,13 @@ def _before(p: str, end: int) -> str:
     return p[i:end] if i < end else p[end - 1 : end]
 
 
-def _left(w: str) -> tuple[str, str]:
-    """A word before a place, and its shape."""
+@functools.lru_cache(1 << 16)
+def _left(w: str, mark: str) -> tuple[str, str]:
+    """A word before a place and its shape, each with the mark between."""
     if w[:1].isdigit():
-        return f"<n{min(len(w), 4) if w.isdigit() else '.'}>", "<n>"
+        return f"<n{min(len(w), 4) if w.isdigit() else '.'}>|{mark}", f"<n>|{mark}"
     low = w.lower()
-    return (w[-5:] if _THAI.search(w) else low), "<abbr>" if low in _ABBREVIATED or len(w) == 1 and w.isalpha() else _shape(w)
+    return f"{w[-5:] if _THAI.search(w) else low}|{mark}", f"{'<abbr>' if low in _ABBREVIATED or len(w) == 1 and w.isalpha() else _shape(w)}|{mark}"
 
 
 def _right(p: str, at: int) -> tuple[str, str]:
@@ -138,6 +140,7 @@ _HAN = re.compile(rf"[{_CJK}]")
 _INITIAL, _DOTTED, _DASHED, _NO_DOT = re.compile(r"(?<![\w.])[^\W\d_]$"), re.compile(r"[^\W\d_]\.(?=\s)"), re.compile(r"[—–-]\S"), re.compile(r"[ऀ-ॿ฀-໿]$")
 
 
+@functools.lru_cache(1 << 16)
 def _begin(w: str) -> tuple[str, str]:
     """A word by the group of its script; in scripts without blanks between words, its first letters."""
     thai = bool(_THAI.match(w))
@@ -189,8 +192,7 @@ def places(text: str) -> list[tuple[int, int, int, tuple[str, str], tuple[str, s
         seen: dict[int, tuple] = {}
 
         def put(end: int, begin: int, what: int, mark: str, word_end: int, p=p, seen=seen) -> None:
-            left, right = _left(_before(p, word_end)), _right(p, begin)
-            seen[begin] = (end, begin, what, (left[0] + "|" + mark, left[1] + "|" + mark), right)
+            seen[begin] = (end, begin, what, _left(_before(p, word_end), mark), _right(p, begin))
 
         # Line breaks.
         for k, s in enumerate(starts):
@@ -290,8 +292,7 @@ def _edge(p: str, end: int) -> tuple[str, str]:
     """The last word of a paragraph with its mark."""
     m = _TRAIL.search(p, max(0, end - 12), end)
     mark = " " if not m and _THAI.search(p, max(0, end - 20), end) else "\n" if not m else ("…" if m[0].startswith(("..", "…")) else m[0][0]) + "”" * (m[0][-1] in _CLOSERS)
-    left = _left(_before(p, m.start() if m else end))
-    return left[0] + "|" + mark, left[1] + "|" + mark
+    return _left(_before(p, m.start() if m else end), mark)
 
 
 # --- places as numbers
@@ -309,7 +310,11 @@ COLUMNS = ("end", "begin", "what", "left", "shape", "right", "rshape", "mark", "
 
 
 class _Numbers(dict):
-    """Hashes of words and shapes, kept for the words met."""
+    """Hashes of words and shapes, kept for the words met, and what is known of both sides of a place."""
+
+    def __init__(self):
+        self.lefts: dict[tuple, tuple] = {}
+        self.rights: dict[tuple, tuple] = {}
 
     def __missing__(self, key: str) -> int:
         if len(self) > 500_000:
@@ -318,19 +323,39 @@ class _Numbers(dict):
         return i
 
 
-def numbered(found: list, numbers: _Numbers) -> np.ndarray:
-    """COLUMNS of places, a row each."""
-    out = []
-    for end, begin, what, (w, shape), (r, rshape), words in found:
+    def left(self, key: tuple[str, str]) -> tuple[int, int, int, int]:
+        """word, shape, mark, flags of what stands before a place."""
+        w, shape = key
         word, _, mark = w.rpartition("|")
         flags = F_LINE * mark.startswith("↵")
         if flags:
             mark = mark[1:]
             w, shape = f"{word}|{mark}", shape.replace("|↵", "|")
-        flags |= F_ABBREVIATION * (mark.startswith(".") and (word in _ABBREVIATED or len(word) == 1 and word.isalpha())) | F_THAI * r.startswith("t:") | F_NUMBER * r.endswith("<n>")
+        flags |= F_ABBREVIATION * (mark.startswith(".") and (word in _ABBREVIATED or len(word) == 1 and word.isalpha()))
+        return self[w], self[shape], _MARK.get(mark, len(MARKS) - 1), flags
+
+    def right(self, key: tuple[str, str]) -> tuple[int, int, int]:
+        """word, shape, flags of what stands behind a place."""
+        r, shape = key
+        flags = F_THAI * r.startswith("t:") | F_NUMBER * r.endswith("<n>")
         if not r[2:3].isalnum() and r[2:3] != "<":
             flags |= F_SIGN | F_CAPITAL * r.endswith("A")
-        out.append((end, begin, what, numbers[w], numbers[shape], numbers[r], numbers[rshape], _MARK.get(mark, len(MARKS) - 1), flags, min(words, 9)))
+        return self[r], self[shape], flags
+
+
+def numbered(found: list, numbers: _Numbers) -> np.ndarray:
+    """COLUMNS of places, a row each."""
+    out, lefts, rights = [], numbers.lefts, numbers.rights
+    for end, begin, what, left, right, words in found:
+        if (x := lefts.get(left)) is None:
+            if len(lefts) > 500_000:
+                lefts.clear()
+            x = lefts[left] = numbers.left(left)
+        if (y := rights.get(right)) is None:
+            if len(rights) > 500_000:
+                rights.clear()
+            y = rights[right] = numbers.right(right)
+        out.append((end, begin, what, x[0], x[1], y[0], y[1], x[2], x[3] | y[2], words if words < 9 else 9))
     return np.array(out, np.int32).reshape(-1, len(COLUMNS))
 
 
@@ -453,28 +478,31 @@ class Model:
         begins = np.zeros(n, bool)
         begins[first] = True
         short = np.where(begins, 1.0, short)
-        step = np.empty((n, 2, 2))
-        step[:, 0, 0], step[:, 0, 1], step[:, 1, 0], step[:, 1, 1] = 1 - p, p, 1 - p, p * short
-        longest = int(np.diff(np.append(first, n)).max())
+        # Where a place is settled, what comes before makes no difference: a chain is no longer than a run of open places.
+        settled = np.flatnonzero(np.concatenate([[True], what != MAYBE, [True]]))
+        longest = int(np.diff(settled).max()) + 1
+        step = np.stack([1 - p, p, 1 - p, p * short])
 
-        def scan(m: np.ndarray, back: bool) -> np.ndarray:
+        def scan(m: np.ndarray) -> np.ndarray:
+            """The product of each step with those before it."""
             s = 1
             while s < longest:
-                m = m.copy()
-                m[s:] = (m[s:] @ m[:-s]) if back else (m[:-s] @ m[s:])
-                m /= np.maximum(m.max((1, 2), keepdims=True), 1e-300)
+                a, b, c, d = m[:, :-s]
+                e, f, g, h = m[:, s:]
+                new = np.stack([a * e + b * g, a * f + b * h, c * e + d * g, c * f + d * h])
+                new /= np.maximum(new.max(0), 1e-300)
+                m = np.concatenate([m[:, :s], new], axis=1)
                 s *= 2
             return m
 
-        alpha = scan(step, False)[:, 0]
+        alpha = scan(step)[:2]
         # What follows place i: the steps behind it up to the end of its text, where nothing follows.
-        last = np.append(first[1:], n) - 1
-        after = np.roll(step, -1, axis=0)
-        after[last] = 1.0
-        beta = scan(after[::-1], True)[::-1].sum(2)
-        y = alpha[:, 1] * beta[:, 1]
-        total = alpha[:, 0] * beta[:, 0] + y
-        return np.where(what == YES, 1.0, np.where(what == NO, 0.0, np.divide(y, total, out=alpha[:, 1].copy(), where=total > 0)))
+        after = np.roll(step, -1, axis=1)
+        after[:, np.append(first[1:], n) - 1] = 1.0
+        a, b, c, d = scan(after[[0, 2, 1, 3], ::-1])[:, ::-1]  # transposed, to multiply from the right
+        y = alpha[1] * (b + d)
+        total = alpha[0] * (a + c) + y
+        return np.where(what == YES, 1.0, np.where(what == NO, 0.0, np.divide(y, total, out=alpha[1].copy(), where=total > 0)))
 
     @staticmethod
     def fit(texts: list[str], rounds: int = ROUNDS) -> Model:
@@ -544,24 +572,21 @@ def _packed(c: Counts) -> bytes:
 
 
 def _added(a: bytes, b: bytes) -> bytes:
-    total = np.zeros(Counts.SIZE)
-    for raw in (a, b):
-        n = int.from_bytes(raw[:8], "little")
-        total[np.frombuffer(raw, np.int32, n, 8)] += np.frombuffer(raw[8 + 4 * n :], np.float64)
-    return _packed(Counts(total))
+    (at, x), (bt, y) = (((np.frombuffer(raw, np.int32, n, 8), np.frombuffer(raw[8 + 4 * n :], np.float64)) for raw in (a, b) for n in [int.from_bytes(raw[:8], "little")]))
+    at, back = np.unique(np.concatenate([at, bt]), return_inverse=True)
+    return len(at).to_bytes(8, "little") + at.tobytes() + np.bincount(back, np.concatenate([x, y])).tobytes()
 
 
 def _total(parts: DataFrame) -> Counts:
     """The sum of the counts of all partitions, which meet in a tree; of one size whatever the corpus is."""
     rdd = parts.where("counts is not null").select("counts").rdd.map(lambda r: bytes(r[0]))
-    raw = rdd.treeReduce(_added, depth=3) if rdd.getNumPartitions() and not rdd.isEmpty() else _packed(Counts())
-    return Counts(np.frombuffer(_dense(raw)).copy())
+    return _unpacked(rdd.treeReduce(_added) if rdd.getNumPartitions() else _packed(Counts()))
 
 
-def _dense(raw: bytes) -> bytes:
+def _unpacked(raw: bytes) -> Counts:
     n, flat = int.from_bytes(raw[:8], "little"), np.zeros(Counts.SIZE)
     flat[np.frombuffer(raw, np.int32, n, 8)] = np.frombuffer(raw[8 + 4 * n :], np.float64)
-    return flat.tobytes()
+    return Counts(flat)
 
 
 def _blocks(b: pa.RecordBatch, at_once: int = 2000) -> Iterator[tuple[list, list, list, list[np.ndarray], np.ndarray, np.ndarray]]:
@@ -583,7 +608,7 @@ def fitted(found: DataFrame, rounds: int = ROUNDS) -> Model:
         new = model.e.flat.any()
 
         def run(batches: Iterator[pa.RecordBatch], held=held, new=new) -> Iterator[pa.RecordBatch]:
-            s, e = (Counts(np.frombuffer(_dense(x))) for x in held.value)
+            s, e = map(_unpacked, held.value)
             m, counts = Model(s, e if new else None), Counts()
             for b in batches:
                 for *_, x, first in _blocks(b):
@@ -603,7 +628,7 @@ def sentences(documents: DataFrame, model: Model | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s, e, new = held.value
-        m = Model(Counts(np.frombuffer(_dense(s))), Counts(np.frombuffer(_dense(e))) if new else None)
+        m = Model(_unpacked(s), _unpacked(e) if new else None)
         for b in batches:
             for doc, lo, hi, xs, x, first in _blocks(b):
                 p, at, rows = m.posteriors(x, first), 0, []
