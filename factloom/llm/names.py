@@ -268,7 +268,9 @@ def compared(reps: DataFrame) -> DataFrame:
             yield b.assign(keys=[block_keys(n) for n in b["norm"]]).drop(columns="norm")
 
     k = reps.mapInPandas(keyed, "node bigint, instance_id string, kind string, keys array<string>").select("node", "instance_id", "kind", F.explode("keys").alias("key")).select("node", F.xxhash64("instance_id", "kind", "key").alias("h"), F.col("key").startswith("1|").alias("single"))
-    met = k.select(F.col("node").alias("a"), "h", "single").join(k.select(F.col("node").alias("b"), "h"), "h").where("a < b").groupBy("a", "b").agg(F.min("single").alias("single"))
+    # Both sides carry the same columns, so that they are made and shuffled once.
+    l, r = k.select("h", F.col("node").alias("a"), F.col("single").alias("_s")), k.select("h", F.col("node").alias("b"), F.col("single").alias("_t"))
+    met = l.join(r, "h").where("a < b").groupBy("a", "b").agg(F.min(F.col("_s") | F.col("_t")).alias("single"))
     side = lambda n, c: reps.select(F.col("node").alias(n), F.struct("instance_id", "kind").alias(f"_{n}"), F.col("norm").alias(c))
     one = lambda c: ~F.col(c).contains(" ")
     # Hashes that meet by chance are told apart here; a code alone joins only names of one token.
