@@ -290,16 +290,16 @@ def clusters(entities: DataFrame) -> DataFrame:
     n = written(nodes(entities), "names")
     reps = written(n.groupBy("instance_id", "kind", "norm").agg(F.min("vid").alias("node")).select("node", "instance_id", "kind", "norm"), "names")
     fits = written(compared(reps), "names")
-    strong = components(fits.where("same >= 2 and not weak_a and not weak_b"), "a", "b")
+    strong = written(components(fits.where("same >= 2 and not weak_a and not weak_b"), "a", "b"), "names")
     # Cut names: the clusters that each fits. A full name without a cluster is one of its own.
     one_weak = fits.where("weak_a <> weak_b").select(F.expr("if(weak_a, a, b)").alias("cut"), F.expr("if(weak_a, b, a)").alias("node"))
     held = one_weak.join(strong, "node", "left").select("cut", "node", F.coalesce("component", "node").alias("c"))
     choice = held.groupBy("cut").agg(F.min("c").alias("c"), F.max("c").alias("most"))
-    tied = choice.where("c = most").select(F.col("cut").alias("a"), F.col("c").alias("b"))
+    tied = choice.where("c = most").select(F.col("cut").alias("node"), F.col("c").alias("component"))
     loose = fits.where("weak_a and weak_b")
     loose = loose.join(choice.select(F.col("cut").alias("a")), "a", "left_anti").join(choice.select(F.col("cut").alias("b")), "b", "left_anti").select("a", "b")
-    links = strong.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(tied).unionByName(loose)
-    final = components(links, "a", "b")
+    # A node is in one of the three: full names, cut ones that fit one cluster, cut ones that fit none.
+    final = strong.unionByName(tied).unionByName(components(loose, "a", "b"))
     count = fits.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
     named = reps.join(final, "node", "left").join(count, "node", "left").select("instance_id", "kind", "norm", F.coalesce("component", "node").alias("cluster"), F.coalesce("links", F.lit(0)).alias("links"))
     return n.join(named, ["instance_id", "kind", "norm"]).select("vid", "cluster", "links")

@@ -106,14 +106,6 @@ def test_names_of_other_tenants_and_empty(spark):
     assert names.linked(e).count() == 0 and names.linked(spark.createDataFrame([], ENT)).count() == 0
 
 
-def test_components_of_a_long_chain(spark):
-    from factloom.operators.components import components
-
-    edges = [(i, i + 1) for i in range(60)] + [(100, 101), (101, 101), (101, 100), (None, 5), (7, 7), (200, 200)]
-    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "src bigint, dst bigint")).collect()}
-    assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100, 200: 200}
-
-
 def test_leaks_against_brute_force(spark):
     r = random.Random(4)
     vocabulary = [f"word{i}" for i in range(300)]
