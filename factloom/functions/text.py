@@ -39,6 +39,7 @@ def words(c: Column) -> Column:
 
 def normalized(c: Column | str) -> Column:
     """The comparison key of a name: lower case, no honorific in front, punctuation as blanks."""
+    # The honorifics, and the signs that become blanks.
     t = F.regexp_replace(fold(c), r"^(?:mr|mrs|ms|miss|dr|prof|sir)\.?\s+", "")
     return F.trim(F.regexp_replace(F.regexp_replace(t, r"[^\p{L}\p{M}\p{N}_\s-]", " "), r"\s+", " "))
 
@@ -61,6 +62,7 @@ def _list(words_: list[str]) -> Column:
 
 def mentions(question: Column) -> Column:
     """The names a question uses, lower case, in order, and the user's key if it speaks of itself."""
+    # Fixed value: the shape of a name.
     runs = F.regexp_extract_all(question, F.lit(r"(\b[A-Z][a-z]{2,}(?:\s+[A-Z][a-z]+)*)"), F.lit(1))
     low = F.transform(runs, lambda r: F.lower(r))
     starters, dropped = _list(vocab.STARTERS), _list([*vocab.CALENDAR, *vocab.SECOND_PERSON])

@@ -1,14 +1,23 @@
 """Fixed vocabularies. All of them are fixed values that results depend on."""
 
 # Predicates, in order.
-PREDICATES = "name age occupation employer job_title lives_in hometown birthday family_relation pet health_condition education skill language likes dislikes prefers allergic_to dietary_restriction goal plan budget owns uses subscribes_to quantity purchased visited attended scheduled started stopped completed experienced email phone address social_account other".split()
+PREDICATES = [
+    "name", "age", "occupation", "employer", "job_title", "lives_in", "hometown", "birthday", "family_relation", "pet", "health_condition",
+    "education", "skill", "language", "likes", "dislikes", "prefers", "allergic_to", "dietary_restriction", "goal", "plan", "budget", "owns", "uses",
+    "subscribes_to", "quantity", "purchased", "visited", "attended", "scheduled", "started", "stopped", "completed", "experienced", "email", "phone",
+    "address", "social_account", "other",
+]
 # Predicates that hold one value, and one that counts things.
-FUNCTIONAL = "name age occupation employer job_title lives_in hometown birthday email phone address budget".split()
+FUNCTIONAL = [
+    "name", "age", "occupation", "employer", "job_title", "lives_in", "hometown", "birthday", "email", "phone", "address", "budget",
+]
 COUNTED = ["quantity"]
 # Fixed value: a count at the start of a value (lower case).
 LEADING_COUNT = r"^\s*(?:\d[\d,.]*|one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve)\s+(?:of\s+)?"
 # Entity types, and those of object values by predicate.
-ENTITY_TYPES = "person org place thing preference event".split()
+ENTITY_TYPES = [
+    "person", "org", "place", "thing", "preference", "event",
+]
 OBJECT_TYPES = {"employer": "org", "subscribes_to": "org", "lives_in": "place", "hometown": "place", "address": "place", "family_relation": "person", "attended": "event", "scheduled": "event"}
 # Values that say that there is none.
 EMPTY_VALUES = ["none", "nothing", "unknown", "n/a", "na", "null", "unspecified", "not applicable"]
@@ -20,7 +29,11 @@ SELF_KEY, ASSISTANT_KEY = "person:user", "person:assistant"
 # Words of a question that are no names.
 SELF_CUES = ["i", "me", "my", "mine", "myself", "i'm", "im", "i've", "ive", "i'd", "i'll"]
 SECOND_PERSON = ["you", "your", "yours", "yourself", "you've", "youve", "you'd", "you'll", "you're", "youre"]
-STARTERS = "what when where who why how which did do does is was are were has have had can could should would will the a an my i in on at if tell any some please let also just given based recently lately there these those after before since during while hey thanks recommend suggest".split()
+STARTERS = [
+    "what", "when", "where", "who", "why", "how", "which", "did", "do", "does", "is", "was", "are", "were", "has", "have", "had", "can", "could",
+    "should", "would", "will", "the", "a", "an", "my", "i", "in", "on", "at", "if", "tell", "any", "some", "please", "let", "also", "just", "given",
+    "based", "recently", "lately", "there", "these", "those", "after", "before", "since", "during", "while", "hey", "thanks", "recommend", "suggest",
+]
 # Months by number, and other calendar words.
 MONTHS = {"jan": 1, "january": 1, "feb": 2, "february": 2, "mar": 3, "march": 3, "apr": 4, "april": 4, "may": 5, "jun": 6, "june": 6, "jul": 7, "july": 7, "aug": 8, "august": 8, "sep": 9, "sept": 9, "september": 9, "oct": 10, "october": 10, "nov": 11, "november": 11, "dec": 12, "december": 12}
 CALENDAR = [*MONTHS, *"monday tuesday wednesday thursday friday saturday sunday today tomorrow yesterday christmas easter thanksgiving".split()]
@@ -65,7 +78,9 @@ CUES = {
     "address": ["address", "street", "postcode", "zip"],
 }
 # Reasons to abstain, in order of the cascade.
-REASONS = "unknown_entity no_such_relation no_fact_in_window no_path not_in_graph uncited_answer fabricated_citation empty_graph".split()
+REASONS = [
+    "unknown_entity", "no_such_relation", "no_fact_in_window", "no_path", "not_in_graph", "uncited_answer", "fabricated_citation", "empty_graph",
+]
 # Bounds.
 MAX_SPAN, NARROW_CAP, TOP_K, MAX_LEN, PATH_LIMIT, PER_TYPE = 240, 60, 10, 4, 64, 20
 NO_GATES = "(no gates)"

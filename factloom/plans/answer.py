@@ -77,6 +77,9 @@ a AS (SELECT *, reached AND cr = 'not_in_graph' AND n_shown > 0 AND (windowed OR
 ORACLE = {
     "shown_facts": f"WITH RECURSIVE {_CASCADE}, {_SHOWN} SELECT instance_id, vid, scoped, shown FROM sh",
     "uncited_facts": f"WITH RECURSIVE {_CASCADE}, {_SHOWN}, {_REPLIES} SELECT sh.instance_id, fact_id FROM sh JOIN repl USING (instance_id) WHERE shown AND NOT list_contains(cited, fact_id)",
+    "arm_rows": f"""WITH RECURSIVE {_ANSWER} SELECT 'full_context' AS arm, i.instance_id, trim(coalesce(answer, 'ABSTAIN')) AS answer, starts_with(upper(trim(coalesce(answer, 'ABSTAIN'))), 'ABSTAIN') AS abstained, '' AS reason, false AS appealed, false AS appeal_won, coalesce(length(question) > 40, false) AS overflow, 0 AS round_trips, length(question) AS prompt_tokens
+ FROM instances i WHERE instance_id IN (SELECT instance_id FROM turns WHERE session_id IS NOT NULL) UNION ALL SELECT 'gated', z.instance_id, CASE WHEN NOT said THEN 'ABSTAIN' WHEN cr = '' THEN text ELSE 'As the facts say' END, NOT said, CASE WHEN said THEN '' WHEN NOT passed THEN reason WHEN NOT reached THEN 'empty_graph' ELSE cr END, appealed, appealed AND ok2, false, round_trips,
+ CASE WHEN reached THEN coalesce(length(q.question), 0) ELSE 0 END FROM z JOIN instances q ON q.instance_id = z.instance_id""",
     "answer_rows": f"""WITH RECURSIVE {_ANSWER} SELECT instance_id, CASE WHEN NOT said THEN 'ABSTAIN' WHEN cr = '' THEN text ELSE 'As the facts say' END AS answer, NOT said AS abstained, CASE WHEN said THEN '' WHEN NOT passed THEN reason WHEN NOT reached THEN 'empty_graph' ELSE cr END AS reason,
  CASE WHEN said THEN '' WHEN NOT passed THEN reason || CASE WHEN missing <> '' THEN ': ' || missing ELSE '' END WHEN reached AND cr = 'fabricated_citation' THEN cr || ': ' || array_to_string(bad1, ', ') ELSE '' END AS gate_detail,
  CASE WHEN NOT reached THEN 0 WHEN appealed AND ok2 THEN CASE WHEN windowed THEN n_all ELSE n_shown END ELSE n_shown END AS fact_count, round_trips, appealed, appealed AND ok2 AS appeal_won, CASE WHEN NOT said THEN '' WHEN cr = '' THEN array_to_string(cited, ',') ELSE array_to_string(cited2, ',') END AS cited FROM z""",

@@ -108,15 +108,28 @@ def latency_percentiles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def arms_union(spark: SparkSession, d: str) -> DataFrame:
-    """Rows of each arm put together again, with the reasons that are not registered."""
-    r = table(spark, d, "results").select("arm", F.coalesce("reason", F.lit("")).alias("reason"), "abstained")
+    """How many rows each arm has, and how many of its reasons are not registered."""
+    r = table(spark, d, "results").select("arm", F.coalesce("reason", F.lit("")).alias("reason"))
     known = spark.createDataFrame([(x,) for x in [*vocab.REASONS, ""]], "reason string")
-    gated, rest = r.where(~F.col("arm").isin(vocab.UNGATED_ARMS)), r.where(F.col("arm").isin(vocab.UNGATED_ARMS))
-    u = gated.unionByName(rest)
-    return u.groupBy("arm").agg(F.count("*").alias("n")).join(u.join(F.broadcast(known), "reason", "left_anti").groupBy("arm").agg(F.countDistinct("reason").alias("unregistered")), "arm", "left").select("arm", "n", F.coalesce("unregistered", F.lit(0)).alias("unregistered"))
+    other = r.join(F.broadcast(known), "reason", "left_anti").groupBy("arm").agg(F.countDistinct("reason").alias("unregistered"))  # nine fixed reasons
+    return r.groupBy("arm").agg(F.count("*").alias("n")).join(other, "arm", "left").select("arm", "n", F.coalesce("unregistered", F.lit(0)).alias("unregistered"))
 
 
-QUERIES = {f.__name__: f for f in (eval_rows, eval_summary, abstention_reasons, cost_query, cost_ingest, go_no_go, strata_counts, stratified_slice, sample_instances, dedupe_last_wins, extraction_quality, top_predicates, top_subjects, top_off_vocabulary, gated_summary, latency_percentiles, arms_union)}
+def arm_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of two arms over the tables, put together: all sessions in one prompt, and the cascade. Their reader says what is asked for."""
+    from factloom.operators import answer, arms
+    from factloom.plans import answer as plans
+    from factloom.plans.facts import entities, questions, stored
+
+    i = table(spark, d, "instances").select("instance_id", F.coalesce("answer", F.lit("ABSTAIN")).alias("text"), F.length("question").cast("bigint").alias("prompt_tokens"), F.lit(1).cast("bigint").alias("completion_tokens"), F.lit(1.0).alias("latency_ms"))
+    replies = i.withColumn("arm", F.explode(F.array(F.lit("full_context"), F.lit("gated"))))
+    full = arms.full_context(table(spark, d, "turns"), replies, ceiling=40)
+    asked = answer.requests(questions(spark, d), stored(spark, d), entities(spark, d))
+    gated = arms.gated(plans._rows(spark, d), asked, replies)
+    return full.unionByName(gated).select("arm", "instance_id", "answer", "abstained", "reason", "appealed", "appeal_won", "overflow", "round_trips", "prompt_tokens")
+
+
+QUERIES = {f.__name__: f for f in (eval_rows, eval_summary, abstention_reasons, cost_query, cost_ingest, go_no_go, strata_counts, stratified_slice, sample_instances, dedupe_last_wins, extraction_quality, top_predicates, top_subjects, top_off_vocabulary, gated_summary, latency_percentiles, arms_union, arm_rows)}
 
 _R = lambda a, b: f"CASE WHEN {b} > 0 THEN round_even(({a})::DOUBLE / ({b}), 4) END"
 SUMMARY = f"""{sql.SCORED}, s AS (SELECT arm, category, count(*) AS n, count(*) FILTER (gold_abstention) AS g, count(*) FILTER (correct) AS ok, count(*) FILTER (correct AND NOT gold_abstention) AS oka, count(*) FILTER (NOT gold_abstention) AS an, count(*) FILTER (NOT abstained) AS said,

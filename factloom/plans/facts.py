@@ -118,11 +118,16 @@ def guarded_entities(spark: SparkSession, d: str) -> DataFrame:
 
 
 def edge_integrity(spark: SparkSession, d: str) -> DataFrame:
-    """Facts whose subject or session is not stored."""
-    f = stored(spark, d, "subject_vid", "session_id")
-    no_subject = merge.dangling(f.select("vid", "subject_vid"), entities(spark, d), "subject_vid").select("vid", F.lit("subject").alias("missing"))
+    """Facts whose subject, session or object is not stored."""
+    f = stored(spark, d, "instance_id", "subject_vid", "session_id", "predicate", "value_text", "value_type")
+    e = entities(spark, d)
+    no_subject = merge.dangling(f.select("vid", "subject_vid"), e, "subject_vid").select("vid", F.lit("subject").alias("missing"))
     no_session = merge.dangling(f.select("vid", "session_id"), table(spark, d, "sessions"), "session_id", "key").select("vid", F.lit("session").alias("missing"))
-    return no_subject.unionByName(no_session)
+    object_types = F.create_map(*[F.lit(x) for kv in vocab.OBJECT_TYPES.items() for x in kv])
+    o = f.where("value_type = 'entity' and value_text is not null and instance_id is not null").withColumn("_t", F.coalesce(F.try_element_at(object_types, F.col("predicate")), F.lit("thing")))
+    o = o.select("vid", "instance_id", entity_key("_t", "value_text").alias("key"))
+    no_object = o.join(e.select("instance_id", "key"), ["instance_id", "key"], "left_anti").select("vid", F.lit("object").alias("missing"))
+    return no_subject.unionByName(no_session).unionByName(no_object)
 
 
 def asked_predicates(spark: SparkSession, d: str) -> DataFrame:
@@ -233,7 +238,7 @@ ORACLE = {
     "guarded_entities": f"""WITH {sql.STORED}, u AS (SELECT vid, name, first_seen, last_seen, 0 AS arrival FROM entities UNION ALL SELECT subject_vid, subject_key, turn_idx, turn_idx, log_id FROM stored),
  f AS (SELECT vid, first_seen FROM u QUALIFY row_number() OVER (PARTITION BY vid ORDER BY arrival) = 1), w AS (SELECT vid, name, last_seen FROM u QUALIFY row_number() OVER (PARTITION BY vid ORDER BY last_seen DESC NULLS LAST, arrival) = 1)
  SELECT w.vid, name, first_seen, last_seen FROM w JOIN f USING (vid)""",
-    "edge_integrity": f"WITH {sql.STORED} SELECT vid, 'subject' AS missing FROM stored WHERE subject_vid NOT IN (SELECT vid FROM entities) UNION ALL SELECT vid, 'session' FROM stored s WHERE NOT EXISTS (SELECT 1 FROM sessions WHERE key = s.session_id)",
+    "edge_integrity": f"WITH {sql.STORED} SELECT vid, 'subject' AS missing FROM stored WHERE subject_vid NOT IN (SELECT vid FROM entities) UNION ALL SELECT vid, 'session' FROM stored s WHERE NOT EXISTS (SELECT 1 FROM sessions WHERE key = s.session_id) UNION ALL SELECT vid, 'object' FROM (SELECT vid, instance_id, {sql.entity_key(sql.object_type(), 'value_text')} AS k FROM stored WHERE value_type = 'entity' AND value_text IS NOT NULL AND instance_id IS NOT NULL) o WHERE NOT EXISTS (SELECT 1 FROM entities e WHERE e.instance_id = o.instance_id AND e.key = o.k)",
     "asked_predicates": f"SELECT instance_id, array_to_string({sql.wanted("coalesce(question, '')")}, ',') AS wanted FROM instances",
     "memory_get_all": f"WITH {sql.STORED} SELECT instance_id, vid, fact_id, predicate, value_text, valid_from FROM stored WHERE status = 'current'",
     "memory_history": f"WITH {sql.CHAIN} SELECT c.vid, c.fact_id, c.value_text, n.fact_id AS new_fact_id, n.value_text AS new_value FROM chain c JOIN stored n ON n.vid = c.nxt",

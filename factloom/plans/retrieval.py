@@ -43,9 +43,11 @@ def grounding(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.grounded_rows(c, table(spark, d, "turns")).select("extract_id", "grounded")
 
 
-def evidence(spark: SparkSession, d: str) -> DataFrame:
-    a = table(spark, d, "results").select(F.col("delivery_id").alias("id"), F.lower(F.trim("instance_id")).alias("instance_id"), F.col("cited_fact_ids").alias("cited"))
-    return retrieval.evidence(a, stored(spark, d))
+def turn_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """How many tokens each turn has."""
+    from factloom.functions.tokens import token_counts
+
+    return token_counts(table(spark, d, "turns"), "turn_id", "content")
 
 
 def vector_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -83,7 +85,7 @@ def vector_topk_index(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.nearest_by_cells(q, v).select("query_id", "vec_id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
-QUERIES = {f.__name__: f for f in (session_transcript, turn_chunks, fact_lines, fact_relevance, narrow_groups, grounding, evidence, vector_topk, vector_topk_index, retrieved_minus_cited, uncited_facts)}
+QUERIES = {f.__name__: f for f in (session_transcript, turn_chunks, fact_lines, fact_relevance, narrow_groups, grounding, turn_tokens, vector_topk, vector_topk_index, retrieved_minus_cited, uncited_facts)}
 
 _LINE = "'[' || idx || '] ' || coalesce(role, '') || ': ' || coalesce(content, '')"
 _TEXT = f"tr AS (SELECT session_id, string_agg({_LINE}, chr(10) ORDER BY idx, turn_id) AS text FROM turns WHERE session_id IS NOT NULL GROUP BY 1)"
@@ -102,10 +104,6 @@ ORACLE = {
     "fact_relevance": f"WITH {sql.STORED} SELECT vid, {_REL} AS score FROM stored s JOIN instances i ON i.instance_id = s.instance_id",
     "narrow_groups": f"WITH {_G} SELECT f.instance_id, f.vid FROM f JOIN r ON r.instance_id = f.instance_id AND r.subject_key IS NOT DISTINCT FROM f.subject_key AND r.predicate IS NOT DISTINCT FROM f.predicate AND r.slot = f.slot WHERE total <= {vocab.NARROW_CAP} OR before < {vocab.NARROW_CAP}",
     "grounding": f"WITH {CLEAN}, {_TEXT} SELECT extract_id, trim({_FLAT('evidence_span')}) <> '' AND contains({_FLAT("coalesce(text, '')")}, trim({_FLAT('evidence_span')})) AS grounded FROM clean LEFT JOIN tr USING (session_id)",
-    "evidence": f"""WITH {CITE}, x AS (SELECT id, instance_id, unnest(cited) AS fact_id, generate_subscripts(cited, 1) - 1 AS pos FROM cit), pr AS (SELECT instance_id, fact_id, lag(fact_id) OVER (PARTITION BY instance_id, subject_key, predicate, slot ORDER BY asserted_at, coalesce(turn_idx, 0), vid) AS replaced FROM (SELECT *, {sql.slot()} AS slot FROM stored WHERE subject_key IS NOT NULL)),
- p AS (SELECT instance_id, fact_id, min(replaced) AS replaced FROM pr GROUP BY 1, 2)
- SELECT id, pos, x.fact_id, predicate, coalesce(value_text, '') AS value, session_id, turn_idx, CASE WHEN coalesce(role, '') = '' THEN 'unknown' ELSE role END AS role, coalesce(valid_from, 0) AS valid_from, coalesce(valid_to, 0) AS valid_to, coalesce(replaced, '') AS supersedes
- FROM x JOIN stored s ON s.instance_id = x.instance_id AND s.fact_id = x.fact_id LEFT JOIN p ON p.instance_id = x.instance_id AND p.fact_id = x.fact_id""",
     "vector_topk": """WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 9) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0)
  SELECT query_id, vec_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10""",
     "retrieved_minus_cited": f"""WITH {CITE}, ff AS (SELECT DISTINCT instance_id, fact_id FROM stored), n AS (SELECT instance_id, count(*) AS n FROM ff GROUP BY 1), c AS (SELECT id, cit.instance_id, len(list_filter(cited, lambda y: list_contains(ids, y))) AS k FROM cit LEFT JOIN (SELECT instance_id, list(fact_id) AS ids FROM ff GROUP BY 1) l ON l.instance_id = cit.instance_id)
