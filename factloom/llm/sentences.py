@@ -6,11 +6,12 @@ their shape. For each text the forward-backward algorithm gives the posterior of
 a transition that makes very short sentences unlikely; a posterior of a half or more is a boundary.
 
 Places are blanks and line breaks behind an end mark, end marks without a blank before a capital, line breaks without a mark, and
-every blank in scripts that do not mark sentences; between other words the event has no chance. What punctuation settles is
-settled: blank lines, list and table lines and turn markers bound; a small letter, a comma or an open quotation or bracket does
-not; end marks of scripts with full-width marks or a danda do.
+every blank in scripts that do not mark sentences; between other words the event has no chance. Only blank lines, list and table
+lines and turn markers settle a place. Punctuation speaks for or against the event, by WEIGHT in log odds, and the words at both
+sides decide with it: a small letter, a comma or speech that goes on speaks against, an exclamation or question mark before
+a capital and the end marks of scripts with full-width marks or a danda speak for; within quotations and brackets there is no place.
 
-The model is fitted on all documents by expectation-maximisation from the settled places. Places are found once and written as
+The model is fitted on all documents by expectation-maximisation from the places that are settled or spoken for. Places are found once and written as
 numbers; every round is a pass over them. Words are hashed into tables of fixed size, so that the counts of all partitions meet in a
 tree and the model is no larger for a larger corpus; what counts is rates, which the size of the corpus doesn't move.
 
@@ -40,7 +41,9 @@ ROUNDS = 3
 # Abbreviations, with how sure it is that no sentence ends there before a capital.
 ABBREVIATIONS = "dr mr mrs ms prof st mt sr jr vs no nr p pp vol sec art abs fig figs approx incl cf al e.g i.e z.b d.h bzw ca vgl usw fr hr hrn bros gen col capt rev hon ph.d messrs sra srta dña pág págs p.ej núm ee uu m mm mme mlle env c.-à-d t г т ул д кв стр рис им проф руб коп мм т.е т.д म मि डॉ श्री د".split()
 _ABBREVIATED = set(ABBREVIATIONS)
-YES, NO, MAYBE = 1, 0, 2
+#: What is settled, what is open, and what punctuation speaks for or against, with how much (in log odds).
+YES, NO, MAYBE, LIKELY, UNLIKELY = 1, 0, 2, 3, 4
+WEIGHT = 3.0
 
 _BREAK = r"(?:\r\n|[\n\r\x0b\x0c\x85  ])"
 _PARAGRAPH = re.compile(rf"{_BREAK}[^\S\n\r\x0b\x0c\x85  ]*(?:{_BREAK}\s*)+")
@@ -208,7 +211,7 @@ def places(text: str) -> list[tuple[int, int, int, tuple[str, str], tuple[str, s
             elif (not pairs.inside(end - 1) or not pairs.inside(begin)) and not _TRAIL.search(p, max(0, end - 12), end):
                 t, c = p[end - 1], p[begin]
                 t_thai, c_thai = bool(_THAI.match(t)), bool(_THAI.match(c))
-                what = YES if t_thai else NO if c.islower() or t in ",;:-–—" else MAYBE
+                what = LIKELY if t_thai else UNLIKELY if c.islower() or t in ",;:-–—" else MAYBE
                 if t.isalnum() and not t_thai and c_thai:
                     what = MAYBE
                 put(end, begin, what, " " if t_thai or c_thai else "\n", end)
@@ -242,30 +245,30 @@ def places(text: str) -> list[tuple[int, int, int, tuple[str, str], tuple[str, s
             if b == e:
                 if sure or head in "!?…！？" and (_HAN.match(c) or _HAN.match(p[a - 1 : a])):
                     if not (closed or c in "，、；：,;:）」』”)"):
-                        put(e, b, YES, dots, a)
+                        put(e, b, LIKELY, dots, a)
                 elif head in ".!?" and c.isupper() and (p[a - 1 : a].isalnum() or p[a - 1 : a] in ")”\"") and _START.match(p, b) and not _ADDRESS.search(p, max(0, a - 30), a):
-                    put(e, b, MAYBE if head == "." or not p[max(0, a - 3) : a].islower() else YES, ".", a)
+                    put(e, b, MAYBE if head == "." or not p[max(0, a - 3) : a].islower() else LIKELY, ".", a)
                 elif head in ".!?" and c in "“„«¿¡([" and p[a - 1 : a].islower():
-                    put(e, b, MAYBE if head == "." else YES, ".", a)
+                    put(e, b, MAYBE if head == "." else LIKELY, ".", a)
                 continue
             if closed and sure and _HAN.match(c):
                 continue
             if closed and (c.isalpha() and not c.isupper() and not c.islower() or _SPEECH.match(p, b)):
-                put(e, b, NO, dots, a)  # speech within a sentence
+                put(e, b, UNLIKELY, dots, a)  # speech within a sentence
                 continue
             if c in ",;:，；：、)" or c in "—–-" and not _DASHED.match(p, b):
-                put(e, b, NO, dots, a)
+                put(e, b, UNLIKELY, dots, a)
                 continue
             w = p[b + 1 : b + 2] if c in "—–-" else m[0] if (m := _WORD.match(p, b)) else c
             small = w[:1].islower() and not (len(w) > 1 and (w[1].isupper() or not w[1].isalpha() and w[1] not in "'’-."))
             if sure or head in "!?؟！？۔" and not small:
-                put(e, b, YES, dots, a)
+                put(e, b, LIKELY, dots, a)
             elif small or head == "." and _INITIAL.search(p, max(0, a - 2), a) and _DOTTED.match(p, b, b + 3):
-                put(e, b, NO, dots, a)  # a small letter, or initials
+                put(e, b, UNLIKELY, dots, a)  # a small letter, or initials
             elif head == "." and _NO_DOT.search(p, max(0, a - 1), a):
-                put(e, b, NO, dots, a)  # scripts with a danda or no marks have dots in abbreviations only
+                put(e, b, UNLIKELY, dots, a)  # scripts with a danda or no marks have dots in abbreviations only
             else:
-                put(e, b, YES if closed else MAYBE, dots, a)
+                put(e, b, LIKELY if closed else MAYBE, dots, a)
         # Blanks in scripts without marks.
         if thai:
             for m in _BLANK.finditer(p):
@@ -306,6 +309,8 @@ _MARK = {m: i for i, m in enumerate(MARKS)}
 #: What else is known of a place: a line break in it, an abbreviation or letter before it, a script without blanks behind it, a
 #: bracket or quotation behind it, and whether that goes on with a capital or number, and a number behind it.
 F_LINE, F_ABBREVIATION, F_THAI, F_SIGN, F_CAPITAL, F_NUMBER = 1, 2, 4, 8, 16, 32
+#: What places count as when the model is fitted, and what speaks for the event.
+_KIND, _SPEAKS = np.array([NO, YES, MAYBE, YES, NO]), np.array([0.0, 0.0, 0.0, WEIGHT, -WEIGHT])
 COLUMNS = ("end", "begin", "what", "left", "shape", "right", "rshape", "mark", "flags", "words")
 
 
@@ -380,6 +385,7 @@ class Counts:
     def settle(self, x: np.ndarray) -> None:
         """What settled places say."""
         what, left, shape, right, rshape, mark, thai = *x[:, [2, 3, 4, 5, 6, 7]].T, (x[:, 8] & F_THAI) // F_THAI
+        what = _KIND[what]
         some, no, yes = what != NO, what == NO, (what == YES) & (mark != _MARK["¶"])
         np.add.at(self.all, np.concatenate([left[some], shape[some]]), 1)
         np.add.at(self.no, left[no], 1)
@@ -399,6 +405,7 @@ class Counts:
     def expect(self, x: np.ndarray, p: np.ndarray) -> None:
         """What the posteriors say of all places."""
         what, left, right, rshape, mark, thai = *x[:, [2, 3, 5, 6, 7]].T, (x[:, 8] & F_THAI) // F_THAI
+        what = _KIND[what]
         np.add.at(self.shares[0], mark, what == YES)
         np.add.at(self.shares[1], mark, p)
         on = ((what == NO) | (mark == _MARK[" "])) & (p < 1)
@@ -464,6 +471,12 @@ class Model:
         out = np.where(flags & F_SIGN, np.where(flags & F_CAPITAL, 1 - (1 - pe) * 0.25, pe * 0.5), out)
         return np.clip(out, 1e-6, 1 - 1e-6)
 
+    def chance(self, x: np.ndarray) -> np.ndarray:
+        """Probability of the event at each place by the words at both sides and by what punctuation speaks for; settled places have 0 or 1."""
+        what, p = x[:, 2], self.score(x)
+        odds = p / (1 - p) * np.exp(_SPEAKS[what])
+        return np.where(what == YES, 1.0, np.where(what == NO, 0.0, odds / (1 + odds)))
+
     def posteriors(self, x: np.ndarray, first: np.ndarray) -> np.ndarray:
         """The posterior of the event at each place, by forward-backward over each text; first: where texts begin.
 
@@ -473,13 +486,13 @@ class Model:
         if not n:
             return np.zeros(0)
         what, words = x[:, 2], x[:, 9]
-        p = np.where(what == YES, 1.0, np.where(what == NO, 0.0, self.score(x)))
+        p = self.chance(x)
         short = np.where(what == YES, 1.0, np.where(words >= 2, 1.0, np.where(words == 1, 0.15, 0.02)))  # a sentence of one word, of none
         begins = np.zeros(n, bool)
         begins[first] = True
         short = np.where(begins, 1.0, short)
         # Where a place is settled, what comes before makes no difference: a chain is no longer than a run of open places.
-        settled = np.flatnonzero(np.concatenate([[True], what != MAYBE, [True]]))
+        settled = np.flatnonzero(np.concatenate([[True], what < MAYBE, [True]]))
         longest = int(np.diff(settled).max()) + 1
         step = np.stack([1 - p, p, 1 - p, p * short])
 

@@ -5,7 +5,7 @@ import random
 import pytest
 
 from factloom.llm import canonical, leakage, names, queries
-from tests.conftest import compare
+from tests.conftest import compare, variants
 
 CANON = "predicate string, gloss string, single_valued boolean"
 
@@ -20,6 +20,20 @@ def test_runs(spark, data, name):
     assert queries.QUERIES[name](spark, data).count() > 0
 
 
+@pytest.fixture(scope="module")
+def odd(spark, data, tmp_path_factory):
+    return variants(spark, data, str(tmp_path_factory.mktemp("odd")))
+
+
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+def test_empty_tables_nulls_and_repeats(spark, odd, name):
+    """Null rows give nothing but an empty list of tokens, an untouched text, and an entity without class."""
+    for kind in ("empty", "nulls"):
+        rows = queries.QUERIES[name](spark, f"{odd}/{kind}").collect()
+        assert rows == [] or kind == "nulls" and name in ("p6_redacted", "p7_ids"), kind
+    assert queries.QUERIES[name](spark, f"{odd}/twice").count() >= 0
+
+
 def test_canonical(spark):
     canon = spark.createDataFrame([(p, "", True) for p in ("age", "job_title", "dislikes", "likes", "allergic_to", "lives_in", "other")], CANON)
     want = {"jobTitle": "job_title", "JB TITLE": "job_title", "dislies": "dislikes", '"likes"': "likes", "has_allergic to": "allergic_to", "alelrgci to": "allergic_to", "lives ins": "lives_in", "hates": "dislikes", "stage": "other", "???": "other", "x" * 5000: "other", "cannot_stand": "dislikes", "shoe size": "other"}

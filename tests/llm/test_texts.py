@@ -199,7 +199,7 @@ def test_posteriors_against_all_ways_to_cut(model):
         for y in xs:
             if not len(y):
                 continue
-            p = np.where(y[:, 2] == sentences.YES, 1.0, np.where(y[:, 2] == sentences.NO, 0.0, model.score(y)))
+            p = model.chance(y)
             t = np.where((y[:, 2] == sentences.YES) | (y[:, 9] >= 2), 1.0, np.where(y[:, 9] == 1, 0.15, 0.02))
             mass, hit = 0.0, np.zeros(len(y))
             for way in itertools.product((0, 1), repeat=len(y)):
