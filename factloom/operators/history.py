@@ -134,9 +134,9 @@ def versions(dimension: DataFrame, most: int = HOT) -> DataFrame:
 
 
 def single_valued(facts: DataFrame, canon: DataFrame) -> DataFrame:
-    """Updates of predicates that hold one value. canon is the vocabulary, 39 rows that do not grow: it is broadcast."""
+    """Updates of predicates that hold one value. canon is the vocabulary; Spark broadcasts it by its size."""
     keep = canon.where("single_valued").select("predicate").distinct()
-    return facts.join(F.broadcast(keep), "predicate", "left_semi")
+    return facts.join(keep, "predicate", "left_semi")
 
 
 def fact_versions(facts: DataFrame, canon: DataFrame, batches: int = BATCHES) -> DataFrame:

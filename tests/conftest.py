@@ -57,3 +57,17 @@ def compare(spark, name, fn, sql, folder):
     at = [names.index(c) for c in cols]
     theirs = Counter(repr(tuple(norm(r[i]) for i in at)) for r in found.fetchall())
     assert ours == theirs, (name, list((ours - theirs))[:2], list((theirs - ours))[:2])
+
+
+def variants(spark, data, folder):
+    """Folders with the tables of a problem emptied, with rows of nulls only, and with every row twice and a further column."""
+    from pyspark.sql import functions as F
+
+    names = ["sessions", "extracted_facts", "facts", "canon_predicates", "results", "entities", "turns", "documents", "eval_items"]
+    for n in names:
+        t = spark.read.parquet(f"{data}/{n}.parquet")
+        few = t.limit(40) if n != "canon_predicates" else t
+        nulls = few.select(*[F.lit(None).cast(x.dataType).alias(x.name) for x in t.schema]).limit(3)
+        for kind, df in (("empty", t.limit(0)), ("nulls", nulls), ("twice", few.unionByName(few).withColumn("key" if "key" not in t.columns else "text", F.lit("clash")) if n not in ("documents", "eval_items", "turns") else few.unionByName(few).withColumn("key", F.lit("clash")))):
+            df.coalesce(1).write.mode("overwrite").parquet(f"{folder}/{kind}/{n}.parquet")
+    return folder

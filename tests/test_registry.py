@@ -3,7 +3,7 @@
 import pytest
 
 from factloom.plans import registry
-from tests.conftest import compare
+from tests.conftest import compare, variants
 
 
 #: Two anchors of a question are rarely joined in the smallest tables.
@@ -31,12 +31,25 @@ def test_entry_point(spark, data):
     assert e.entry(spark).limit(1).count() == 1
 
 
-def test_nearest_by_cells_has_the_recall_it_states(spark):
+def test_nearest_by_cells_has_the_recall_it_states(spark, data):
     from factloom.operators import retrieval
 
-    v = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet") if __import__("os").path.exists("/root/testdata/sf0.01") else pytest.skip("no test tables here")
+    v = spark.read.parquet(f"{data}/embeddings.parquet")
     q = v.where("vec_id % 20 = 0")
     exact = {(r.query_id, r.vec_id) for r in retrieval.nearest(q, v).collect()}
     got = {(r.query_id, r.vec_id) for r in retrieval.nearest_by_cells(q, v).collect()}
     assert len(got & exact) >= 0.9 * len(exact)
     assert retrieval.nearest_by_cells(q.limit(0), v).count() == 0 and retrieval.nearest_by_cells(q, v.limit(0)).count() == 0
+
+
+@pytest.fixture(scope="module")
+def odd(spark, data, tmp_path_factory):
+    return variants(spark, data, str(tmp_path_factory.mktemp("odd")))
+
+
+@pytest.mark.parametrize("name", sorted(n for n in registry.QUERIES if n[0] == "p" and n[1].isdigit()))
+def test_empty_tables_nulls_and_repeats(spark, odd, name):
+    for kind in ("empty", "nulls"):
+        assert registry.QUERIES[name](spark, f"{odd}/{kind}").collect() == [], kind
+    rows = [repr(r) for r in registry.QUERIES[name](spark, f"{odd}/twice").collect()]
+    assert len(rows) in (len(set(rows)), 2 * len(set(rows)))  # a row twice gives the same result, or each twice
