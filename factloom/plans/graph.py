@@ -120,7 +120,8 @@ def question_paths(spark: SparkSession, d: str) -> DataFrame:
     g = gates.entity_gate(questions(spark, d), entities(spark, d), f, _aliases(spark, d)).where("passed")
     t = g.select("instance_id", F.array_except("resolved", F.array(F.lit(vocab.ASSISTANT_KEY))).alias("t"))
     pairs = t.select("instance_id", "t", F.explode("t").alias("a")).select("instance_id", "a", F.explode("t").alias("b")).where("a < b")
-    return graph.path_rows(pairs, graph.incidence(f))
+    p = graph.path_rows(pairs, graph.incidence(f))
+    return p.select("instance_id", "a", "b", "hops", F.array_join("entities", " > ").alias("entities"), F.array_join("facts", ",").alias("facts"))
 
 
 def paths_found(spark: SparkSession, d: str) -> DataFrame:
@@ -267,6 +268,11 @@ cascade AS (SELECT instance_id, passed AND ok23 AND (NOT did OR ok4) AS passed,
 _CITED = "list_filter(list_transform(coalesce(cited_fact_ids, []), lambda x: trim(lower(coalesce(x, '')))), lambda x: x <> '')"
 CITE = f"""{sql.STORED}, an AS (SELECT delivery_id AS id, lower(trim(instance_id)) AS instance_id, coalesce(answer, '') AS answer, {_CITED} AS c0 FROM results), cit AS (SELECT * EXCLUDE c0, list_filter(c0, lambda x, i: list_position(c0, x) = i) AS cited FROM an)"""
 
+# The paths of up to four edges between the anchors anc, ranked fairly within an instance.
+_PATHS = """edge AS (SELECT x.instance_id, x.entity AS a, x.fact AS f, y.entity AS b FROM inc x JOIN inc y ON x.instance_id = y.instance_id AND x.fact = y.fact AND x.entity <> y.entity),
+ pa AS (SELECT anc.*, 2 AS hops, [e.a, e.b] AS ents, [f] AS fs FROM anc JOIN edge e USING (instance_id, a, b) UNION ALL SELECT anc.*, 4, [e.a, e.b, g.b], [e.f, g.f] FROM anc JOIN edge e ON e.instance_id = anc.instance_id AND e.a = anc.a AND e.b <> anc.b JOIN edge g ON g.instance_id = e.instance_id AND g.a = e.b AND g.b = anc.b AND g.f <> e.f),
+ pn AS (SELECT *, row_number() OVER (PARTITION BY instance_id, ents ORDER BY fs) AS n FROM pa), pr AS (SELECT *, row_number() OVER (PARTITION BY instance_id ORDER BY n, ents) AS r FROM pn WHERE n <= 64)"""
+
 ORACLE = {
     "clean_facts": f"WITH {CLEAN} SELECT extract_id, subject, subject_type, predicate, value_text, turn_idx, evidence_span FROM clean",
     "date_hints": f"WITH {TOUCHED} SELECT extract_id, vf AS valid_from FROM touched",
@@ -290,10 +296,9 @@ ORACLE = {
     "path_pairs_2": f"WITH {_INC} SELECT * FROM adj WHERE a < b",
     "path_anchor_pairs": f"""WITH {_INC}, anc AS (SELECT instance_id, 'person:user' AS a, key AS b FROM entities WHERE key NOT IN ('person:user', 'person:assistant')),
  both_ AS (SELECT anc.*, 2 AS hops FROM anc JOIN adj USING (instance_id, a, b) UNION ALL SELECT anc.*, 4 FROM anc JOIN adj p ON p.instance_id = anc.instance_id AND p.a = anc.a JOIN adj r ON r.instance_id = p.instance_id AND r.a = p.b AND r.b = anc.b) SELECT instance_id, a, b, min(hops) AS hops FROM both_ GROUP BY 1, 2, 3""",
-    "paths_found": f"""WITH {_INC}, edge AS (SELECT x.instance_id, x.entity AS a, x.fact AS f, y.entity AS b FROM inc x JOIN inc y ON x.instance_id = y.instance_id AND x.fact = y.fact AND x.entity <> y.entity), anc AS (SELECT DISTINCT instance_id, 'person:user' AS a, key AS b FROM entities WHERE key NOT IN ('person:user', 'person:assistant')),
- pa AS (SELECT anc.*, 2 AS hops, [e.a, e.b] AS ents, [f] AS fs FROM anc JOIN edge e USING (instance_id, a, b) UNION ALL SELECT anc.*, 4, [e.a, e.b, g.b], [e.f, g.f] FROM anc JOIN edge e ON e.instance_id = anc.instance_id AND e.a = anc.a AND e.b <> anc.b JOIN edge g ON g.instance_id = e.instance_id AND g.a = e.b AND g.b = anc.b AND g.f <> e.f),
- pn AS (SELECT *, row_number() OVER (PARTITION BY instance_id, ents ORDER BY fs) AS n FROM pa), pr AS (SELECT *, row_number() OVER (PARTITION BY instance_id ORDER BY n, ents) AS r FROM pn WHERE n <= 64)
+    "paths_found": f"""WITH {_INC}, anc AS (SELECT DISTINCT instance_id, 'person:user' AS a, key AS b FROM entities WHERE key NOT IN ('person:user', 'person:assistant')), {_PATHS}
  SELECT instance_id, a, b, hops, array_to_string(ents, ' > ') AS entities, array_to_string(fs, ',') AS facts FROM pr WHERE r <= 64""",
+    "question_paths": f"WITH RECURSIVE {_CASCADE}, anc AS (SELECT DISTINCT instance_id, a, b FROM two), {_PATHS} SELECT instance_id, a, b, hops, array_to_string(ents, ' > ') AS entities, array_to_string(fs, ',') AS facts FROM pr WHERE r <= 64",
     "question_mentions": f"WITH {_MENTION} SELECT instance_id, array_to_string(names, ',') AS mentions FROM m3",
     "text_resolve": f"WITH {sql.STORED}, {_MENTION}, {_TEXT} SELECT * FROM txt",
     "gate_entity": f"WITH RECURSIVE {_GATE1} SELECT instance_id, passed, coalesce(missing, '') AS missing, array_to_string(resolved, ',') AS resolved FROM g1",
