@@ -83,7 +83,7 @@ ORACLE = {
     "answer_rows": f"""WITH RECURSIVE {_ANSWER} SELECT instance_id, CASE WHEN NOT said THEN 'ABSTAIN' WHEN cr = '' THEN text ELSE 'As the facts say' END AS answer, NOT said AS abstained, CASE WHEN said THEN '' WHEN NOT passed THEN reason WHEN NOT reached THEN 'empty_graph' ELSE cr END AS reason,
  CASE WHEN said THEN '' WHEN NOT passed THEN reason || CASE WHEN missing <> '' THEN ': ' || missing ELSE '' END WHEN reached AND cr = 'fabricated_citation' THEN cr || ': ' || array_to_string(bad1, ', ') ELSE '' END AS gate_detail,
  CASE WHEN NOT reached THEN 0 WHEN appealed AND ok2 THEN CASE WHEN windowed THEN n_all ELSE n_shown END ELSE n_shown END AS fact_count, round_trips, appealed, appealed AND ok2 AS appeal_won, CASE WHEN NOT said THEN '' WHEN cr = '' THEN array_to_string(cited, ',') ELSE array_to_string(cited2, ',') END AS cited FROM z""",
-    "answer_evidence": f"""WITH {sql.STORED}, {_REPLIES}, x AS (SELECT instance_id, unnest(cited) AS fact_id, generate_subscripts(cited, 1) - 1 AS pos FROM repl), pr AS (SELECT instance_id, fact_id, lag(fact_id) OVER (PARTITION BY instance_id, subject_key, predicate, slot ORDER BY asserted_at, coalesce(turn_idx, 0), vid) AS replaced FROM (SELECT *, {sql.slot()} AS slot FROM stored WHERE subject_key IS NOT NULL)),
+    "answer_evidence": f"""WITH {sql.STORED}, {_REPLIES}, x AS (SELECT instance_id, unnest(cited) AS fact_id, (generate_subscripts(cited, 1) - 1)::INT AS pos FROM repl), pr AS (SELECT instance_id, fact_id, lag(fact_id) OVER (PARTITION BY instance_id, subject_key, predicate, slot ORDER BY asserted_at, coalesce(turn_idx, 0), vid) AS replaced FROM (SELECT *, {sql.slot()} AS slot FROM stored WHERE subject_key IS NOT NULL)),
  p AS (SELECT instance_id, fact_id, min(replaced) AS replaced FROM pr GROUP BY 1, 2)
  SELECT x.instance_id AS id, pos, x.fact_id, predicate, coalesce(value_text, '') AS value, session_id, turn_idx, CASE WHEN coalesce(role, '') = '' THEN 'unknown' ELSE role END AS role, coalesce(valid_from, 0) AS valid_from, coalesce(valid_to, 0) AS valid_to, coalesce(replaced, '') AS supersedes
  FROM x JOIN stored s ON s.instance_id = x.instance_id AND s.fact_id = x.fact_id LEFT JOIN p ON p.instance_id = x.instance_id AND p.fact_id = x.fact_id""",

@@ -101,7 +101,7 @@ ORACLE = {
     "turn_chunks": f"SELECT turn_id, '[' || {_DAY('floor(epoch(s.received_at))')} || '] session ' || s.idx || ', turn ' || t.idx || ' (' || coalesce(role, '') || '): ' || coalesce(content, '') AS chunk FROM turns t JOIN sessions s ON s.key = t.session_id",
     "fact_lines": f"""WITH {sql.STORED} SELECT s.vid, fact_id || ' | ' || {_DAY('coalesce(valid_from, 0)')} || ' | ' || coalesce(e.name, '') || ' | ' || predicate || ' | ' || coalesce(value_text, '') || ' | "' || substr(coalesce(snippet, ''), 1, 240) || '"' || CASE WHEN coalesce(valid_to, 0) <> 0 THEN ' [superseded ' || {_DAY('valid_to')} || ']' ELSE '' END AS line
  FROM stored s LEFT JOIN entities e ON e.vid = s.subject_vid""",
-    "fact_relevance": f"WITH {sql.STORED} SELECT vid, {_REL} AS score FROM stored s JOIN instances i ON i.instance_id = s.instance_id",
+    "fact_relevance": f"WITH {sql.STORED} SELECT vid, ({_REL})::INT AS score FROM stored s JOIN instances i ON i.instance_id = s.instance_id",
     "narrow_groups": f"WITH {_G} SELECT f.instance_id, f.vid FROM f JOIN r ON r.instance_id = f.instance_id AND r.subject_key IS NOT DISTINCT FROM f.subject_key AND r.predicate IS NOT DISTINCT FROM f.predicate AND r.slot = f.slot WHERE total <= {vocab.NARROW_CAP} OR before < {vocab.NARROW_CAP}",
     "grounding": f"WITH {CLEAN}, {_TEXT} SELECT extract_id, trim({_FLAT('evidence_span')}) <> '' AND contains({_FLAT("coalesce(text, '')")}, trim({_FLAT('evidence_span')})) AS grounded FROM clean LEFT JOIN tr USING (session_id)",
     "vector_topk": """WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 9) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0)
