@@ -1,7 +1,7 @@
 """Exactly one copy of each message out of an at-least-once stream.
 
 A keyed state store (RocksDB) holds for each message its keeper: the delivery received first, then of the smallest id. Messages share
-a state by shards of their hash, some dozens in each, as a call of the state's function costs far more than an entry does. Timers on
+a state by shards of their hash, some hundreds in each, as a call of the state's function costs far more than an entry does. Timers on
 the event-time watermark (latest arrival so far) expire an entry that was last seen a horizon ago and put its keeper out to an archive.
 A message without state is looked up in the archive of the batches before, so that copies later than the horizon are still known
 for what they are. State, timers and offsets are Spark's checkpoint of a micro-batch; what a batch puts out is written below its
@@ -35,8 +35,8 @@ LATEST = 2**62
 DROPPED = "delivery_id bigint"
 EVENTS = "kind string, message string, at bigint, id bigint"
 STATE = "entries string"
-#: Shards of messages; a stream of very many messages takes more, so that a shard holds some dozens. It can't change within a stream.
-SHARDS = 1024
+#: Shards of messages; a stream of very many messages takes more, so that a shard holds some hundreds. It can't change within a stream.
+SHARDS = 256
 #: Folders that the archive is spread over by the message's hash; a batch reads only those that its messages fall in.
 BUCKETS = 16
 #: Micro-batches that a table at rest is replayed in.
@@ -56,7 +56,7 @@ def _reduced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         again = b.duplicated("message")
         yield b[~again]
         spare = b[again & ~b.duplicated(["message", "id"])]
-        yield spare.assign(shard=-1 - spare["id"] % 100, message=None)
+        yield spare.assign(shard=-1 - spare["id"] % 32, message=None)
 
 
 def _settled(horizon_ms: int):
