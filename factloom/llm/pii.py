@@ -32,12 +32,13 @@ from factloom.session import spread
 THRESHOLD = 0.5
 
 # Common given names of many countries; short forms come from the nickname table.
-GIVEN = """aaliyah abdullah ahmed aisha alejandro aleksandra ali amina amit ana anastasia andrea andrew anita anna antonio arjun ashley barbara bashir benjamin boris brian carlos
-carmen catherine charles chen chiara chinwe christine claire daniel david deborah diego dmitri donna elena emily emma eric esther fatima fatou fernando francesco frank george
-giovanni giulia hannah hans hassan helen henry hiroshi hugo ibrahim igor ingrid irina isabel ivan jacob jacques james jan jean jennifer jessica joão john jorge joseph juan julia
-jürgen karen karim kenji kevin khadija kofi kwame lars laura layla leila li linda lisa lucas luis magdalena mahmoud maria marie mark martin mary matthew maya mehmet mei
-michael michelle min mohammed nadia nancy natalia nia nicole nikolai noor olga olivia omar pablo patricia paul pedro peter piotr priya rachel rahul ravi rebecca richard
-rosa ruth samuel sandra sanjay sara sarah sergei sofia sophie sunita susan sven takeshi tariq thomas tuan victor wei yasmin yuki yusuf zainab""".split()
+GIVEN = """aaliyah abdullah ahmed aisha alejandro aleksandra ali amina amit ana anastasia andrea andrew anita anna antonio arjun ashley barbara bashir benjamin
+boris brian carlos carmen catherine charles chen chiara chinwe christine claire daniel david deborah diego dmitri donna elena emily emma eric esther
+fatima fatou fernando francesco george giovanni giulia hannah hans hassan helen henry hiroshi hugo ibrahim igor ingrid irina isabel ivan jacob jacques
+james jennifer jessica joão john jorge joseph juan julia jürgen karen karim kenji kevin khadija kofi kwame lars laura layla leila linda lisa lucas
+luis magdalena mahmoud maria marie martin mary matthew maya mehmet mei michael michelle mohammed nadia nancy natalia nia nicole nikolai noor olga
+olivia omar pablo patricia paul pedro peter piotr priya rachel rahul ravi rebecca richard rosa ruth samuel sandra sanjay sara sarah sergei sofia
+sophie sunita susan sven takeshi tariq thomas tuan victor wei yasmin yuki yusuf zainab""".split()
 # Endings of family names in many languages; those of the texts' own names are learned.
 FAMILY_ENDINGS = "sson ssen sen son ova ovic ovich enko ić ez ski ska sky mann berg strom ström owicz etti elli idis poulos yan ian oglu wicz".split()
 # Words that come before or behind a person's name, and words that come before a number of another sort.
@@ -233,6 +234,8 @@ def _numbers(text: str) -> list[tuple[int, int, str, float]]:
 
 def _family(word: str, strict: bool, model: NameModel) -> bool:
     """Whether a word can be a family name: by the model, or, where that isn't asked for, by its capital."""
+    if _fold(word) in NO_PERSON:
+        return False
     if all(model[_fold(p)] & IS_FAMILY for p in word.split("-")):
         return True
     return not strict and word[0].isupper() and len(word) > 2 and not model[_fold(word)] & IS_GIVEN
@@ -367,9 +370,11 @@ def _listed(text: str, model: NameModel) -> list[tuple[int, int, str, float]]:
             elif g == 2:
                 score = 0.3
             else:
-                score = 0.2
-            if not score or score < 0.55:
+                score = 0.2 if w[0].isupper() else 0.0  # a short form alone is often a word of its own
+            if score < 0.55:
                 score += cue(i, j)
+            if j == i and i + 1 < n and gap(i, i + 1) == " " and words[i + 1][2][0].isupper() and _fold(words[i + 1][2]) in NO_PERSON:
+                score = 0.0  # a street, a station, a college
             out.append((s, end, "person_name", score))
             i = j + 1
             continue
