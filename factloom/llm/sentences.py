@@ -43,7 +43,7 @@ ABBREVIATIONS = "dr mr mrs ms prof st mt sr jr vs no nr p pp vol sec art abs fig
 _ABBREVIATED = set(ABBREVIATIONS)
 #: What is settled, what is open, and what punctuation speaks for or against, with how much (in log odds).
 YES, NO, MAYBE, LIKELY, UNLIKELY = 1, 0, 2, 3, 4
-WEIGHT = 3.0
+WEIGHT = 6.0
 
 _BREAK = r"(?:\r\n|[\n\r\x0b\x0c\x85  ])"
 _PARAGRAPH = re.compile(rf"{_BREAK}[^\S\n\r\x0b\x0c\x85  ]*(?:{_BREAK}\s*)+")
