@@ -7,9 +7,10 @@ Jaro-Winkler, edit distance and the nickname table. Accepted pairs of full names
 names (initials, cut words, acronyms) are then tied to the cluster they fit, if they fit exactly one; those that fit none are
 clustered among themselves.
 
-Rows with the same tokens are one node from the start, so repeats cost nothing in the blocks; blocks shuffle hashes and node ids
-only. Rows with a null or blank name, instance or type are never linked, nor are types other than person and org, nor the speakers
-themselves (user, assistant).
+Rows with the same tokens are one node from the start, so repeats cost nothing in the blocks. An instance's rows of one type come
+together in one task, by a single shuffle of the table, and all steps are taken there; where they are counted to be too many for that,
+the same steps are joins, whose blocks shuffle hashes and node ids only. Rows with a null or blank name, instance or type are never
+linked, nor are types other than person and org, nor the speakers themselves (user, assistant).
 """
 
 from __future__ import annotations
@@ -17,9 +18,11 @@ from __future__ import annotations
 import functools
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import combinations, islice
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -248,16 +251,29 @@ def cut_short(norm: str, kind: str) -> bool:
     return norm.startswith("=") or sum(not weak(t) for t in ts) < (1 if kind == "org" and len(ts) == 1 else 2)
 
 
-def nodes(entities: DataFrame) -> DataFrame:
-    """vid, instance_id, kind, norm of each row that may be linked."""
+# Names of the speakers themselves.
+SPEAKERS = ("user", "assistant")
+#: Rows of an instance and type up to which one task takes them all.
+GROUP = 2000
+#: Rows of a result that are sent at once.
+BATCH = 50_000
+
+
+def rows(entities: DataFrame) -> DataFrame:
+    """vid, instance_id, kind, name of each row of a type that may be linked, without the speakers as they are mostly written."""
+    e = entities.select("vid", "instance_id", F.col("entity_type").alias("kind"), "name")
+    return e.where("kind in ('person', 'org') and instance_id is not null and vid is not null and name is not null").where(~F.col("name").isin(*SPEAKERS))
+
+
+def nodes(named: DataFrame) -> DataFrame:
+    """vid, instance_id, kind, norm of each of the rows that may be linked."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             b["norm"] = [tokens(n, k) for n, k in zip(b["name"], b["kind"], strict=True)]
-            yield b[(b["norm"] != "") & ~b["norm"].isin(["user", "assistant"])][["vid", "instance_id", "kind", "norm"]]
+            yield b[~b["norm"].isin(["", *SPEAKERS])][["vid", "instance_id", "kind", "norm"]]
 
-    e = entities.select("vid", "instance_id", F.col("entity_type").alias("kind"), "name").where("entity_type in ('person', 'org') and instance_id is not null and vid is not null")
-    return spread(e).mapInPandas(run, "vid bigint, instance_id string, kind string, norm string")
+    return named.mapInPandas(run, "vid bigint, instance_id string, kind string, norm string")
 
 
 def compared(reps: DataFrame) -> DataFrame:
@@ -285,9 +301,9 @@ def compared(reps: DataFrame) -> DataFrame:
     return pairs.mapInPandas(run, "a bigint, b bigint, same int, weak_a boolean, weak_b boolean")
 
 
-def clusters(entities: DataFrame) -> DataFrame:
-    """vid, cluster, links of each row that may be linked: links counts the other spellings that its own was accepted with."""
-    n = written(nodes(entities), "names")
+def joined(named: DataFrame) -> DataFrame:
+    """vid, cluster, links by joins, for rows of one instance that no task can take together."""
+    n = written(nodes(named), "names")
     reps = written(n.groupBy("instance_id", "kind", "norm").agg(F.min("vid").alias("node")).select("node", "instance_id", "kind", "norm"), "names")
     fits = written(compared(reps), "names")
     strong = written(components(fits.where("same >= 2 and not weak_a and not weak_b"), "a", "b"), "names")
@@ -301,14 +317,117 @@ def clusters(entities: DataFrame) -> DataFrame:
     # A node is in one of the three: full names, cut ones that fit one cluster, cut ones that fit none.
     final = strong.unionByName(tied).unionByName(components(loose, "a", "b"))
     count = fits.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
-    named = reps.join(final, "node", "left").join(count, "node", "left").select("instance_id", "kind", "norm", F.coalesce("component", "node").alias("cluster"), F.coalesce("links", F.lit(0)).alias("links"))
-    return n.join(named, ["instance_id", "kind", "norm"]).select("vid", "cluster", "links")
+    placed = reps.join(final, "node", "left").join(count, "node", "left").select("instance_id", "kind", "norm", F.coalesce("component", "node").alias("cluster"), F.coalesce("links", F.lit(0)).alias("links"))
+    return n.join(placed, ["instance_id", "kind", "norm"]).select("vid", "cluster", "links")
+
+
+def settled(named: dict[str, int], kind: str) -> dict[str, tuple[int, int]]:
+    """Cluster and links of each name of one instance and kind, given with their nodes: what joined() finds by joins."""
+    order = sorted(named, key=named.__getitem__)
+    blocks: dict[str, list[int]] = {}
+    if len(order) > 1:
+        for i, n in enumerate(order):
+            for key in block_keys(n):
+                blocks.setdefault(key, []).append(i)
+    one = [" " not in n for n in order]
+    # A code alone joins only names of one token.
+    met = {p for key, at in blocks.items() if len(at) > 1 for p in combinations(at, 2) if one[p[0]] or one[p[1]] or not key.startswith("1|")}
+    fits = [(i, j, same) for i, j in met if (same := compare(order[i], order[j], kind))]
+    cut = [cut_short(n, kind) for n in order] if fits else []
+    root, links = list(range(len(order))), [0] * len(order)
+
+    def top(i: int) -> int:
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    def tie(i: int, j: int) -> None:
+        i, j = top(i), top(j)
+        root[max(i, j)] = min(i, j)
+
+    for i, j, same in fits:
+        links[i] += 1
+        links[j] += 1
+        if same >= 2 and not cut[i] and not cut[j]:
+            tie(i, j)
+    # Cut names: the clusters that each fits. Those that fit none are tied among themselves.
+    choice: dict[int, set[int]] = {}
+    for i, j, _ in fits:
+        if cut[i] != cut[j]:
+            choice.setdefault(i if cut[i] else j, set()).add(top(j if cut[i] else i))
+    for i, j, _ in fits:
+        if cut[i] and cut[j] and i not in choice and j not in choice:
+            tie(i, j)
+    for i, c in choice.items():
+        if len(c) == 1:
+            root[i] = c.pop()
+    return {n: (named[order[top(i)]], links[i]) for i, n in enumerate(order)}
+
+
+def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict[str, list[int]], dict[str, tuple[int, int]]]]:
+    """The vids, and the cluster and links, of each name of each instance and kind; rows come sorted by these."""
+    at, vids = (None, None), {}
+    for b in batches:
+        for vid, instance, kind, name in zip(*(b.column(c).to_pylist() for c in ("vid", "instance_id", "kind", "name")), strict=True):
+            if (instance, kind) != at:
+                if vids:
+                    yield vids, settled({n: min(v) for n, v in vids.items()}, at[1])
+                at, vids = (instance, kind), {}
+            if (norm := tokens(name, kind)) and norm not in SPEAKERS:
+                vids.setdefault(norm, []).append(vid)
+    if vids:
+        yield vids, settled({n: min(v) for n, v in vids.items()}, at[1])
+
+
+def batched(found: Iterator[tuple], names: list[str]) -> Iterator[pa.RecordBatch]:
+    while got := list(islice(found, BATCH)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*got, strict=True)], names)
+
+
+def cluster_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """vid, cluster, links."""
+    yield from batched(((v, *placed[n]) for vids, placed in groups(batches) for n, vs in vids.items() for v in vs), ["vid", "cluster", "links"])
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int]]:
+    for vids, placed in groups(batches):
+        members: dict[int, list[int]] = {}
+        for n, vs in vids.items():
+            members.setdefault(placed[n][0], []).extend(vs)
+        for vs in members.values():
+            if len(vs) > 1:
+                yield from (p for p in combinations(sorted(vs), 2) if p[0] < p[1])
+
+
+def pair_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """vid_a < vid_b."""
+    yield from batched(_pairs(batches), ["vid_a", "vid_b"])
+
+
+def placed(entities: DataFrame, run: Callable, schema: str, by_joins: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """run over the rows of each instance and kind in a task of their own; by_joins of those that are too many for that."""
+    e, key = rows(entities), ["instance_id", "kind"]
+    parts = max(entities.sparkSession.sparkContext.defaultParallelism, e.rdd.getNumPartitions())
+    wide = written(e.groupBy(*key).count().where(F.col("count") > GROUP).select(*key), "names")
+    few = wide.isEmpty()
+    together = e if few else e.join(wide, key, "left_anti")
+    found = together.repartition(parts, "instance_id").sortWithinPartitions(*key).mapInArrow(run, schema)
+    return found if few else found.unionByName(by_joins(spread(e).join(wide, key, "left_semi")))
+
+
+def clusters(entities: DataFrame) -> DataFrame:
+    """vid, cluster, links of each row that may be linked: links counts the other spellings that its own was accepted with."""
+    return placed(entities, cluster_rows, "vid bigint, cluster bigint, links bigint", joined)
+
+
+def paired(named: DataFrame) -> DataFrame:
+    c = written(joined(named), "names")
+    return c.select(F.col("vid").alias("vid_a"), "cluster").join(c.select(F.col("vid").alias("vid_b"), "cluster"), "cluster").where("vid_a < vid_b").select("vid_a", "vid_b")
 
 
 def linked(entities: DataFrame) -> DataFrame:
     """vid_a < vid_b of each two rows that mean the same person or organisation."""
-    c = written(clusters(entities), "names")
-    return c.select(F.col("vid").alias("vid_a"), "cluster").join(c.select(F.col("vid").alias("vid_b"), "cluster"), "cluster").where("vid_a < vid_b").select("vid_a", "vid_b")
+    return placed(entities, pair_rows, "vid_a bigint, vid_b bigint", paired)
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

@@ -120,6 +120,26 @@ def test_names_of_other_tenants_and_empty(spark):
     assert names.linked(e).count() == 0 and names.linked(spark.createDataFrame([], ENT)).count() == 0
 
 
+def test_few_jobs_whatever_the_names(spark, data):
+    """The driver holds the plans, stages and metrics of all jobs: of loops of joins, some tens."""
+    spark.sparkContext.setJobGroup("names", "names")
+    try:
+        names.p5_found(spark, data).write.format("noop").mode("overwrite").save()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("names")) <= 10
+
+
+@pytest.mark.parametrize("most", [0, 2, 5])
+def test_names_by_joins_are_those_of_one_task(spark, data, monkeypatch, most):
+    """Instances of more rows than one task takes have the same clusters, links and pairs."""
+    e = spark.read.parquet(f"{data}/entities.parquet")
+    e = e.unionByName(e.selectExpr("vid + 1 as vid", "* except (vid)").where("vid % 3 = 0"))
+    got = [sorted(map(tuple, f(e).collect())) for f in (names.clusters, names.linked)]
+    monkeypatch.setattr(names, "GROUP", most)
+    assert got == [sorted(map(tuple, f(e).collect())) for f in (names.clusters, names.linked)] and got[0] and got[1]
+
+
 def test_leaks_against_brute_force(spark):
     r = random.Random(4)
     vocabulary = [f"word{i}" for i in range(300)]
